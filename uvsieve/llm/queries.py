@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .langid import identify_language
+from .minhash import near_duplicates
 from .quality import score_quality
 from .tokencount import count_tokens
 
@@ -22,6 +23,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), likeness=0.8)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
@@ -32,6 +37,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_quality": op8_quality,
     "op10_token_counts": op10_token_counts,
 }
