@@ -10,6 +10,7 @@ from .common import read_table
 from .langid import identify_language
 from .minhash import near_duplicates
 from .quality import score_quality
+from .repeats import remove_repeats
 from .tokencount import count_tokens
 
 
@@ -23,6 +24,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), likeness=0.8)
 
@@ -37,6 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_quality": op8_quality,
     "op10_token_counts": op10_token_counts,
