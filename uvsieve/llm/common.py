@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back."""
+    cut(df.limit(0))  # sees to it that there is a folder
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def crc_mod(column: str, divisor: int) -> Column:
     """crc32 of a number's decimal text, modulo ``divisor``."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor)).cast("int")

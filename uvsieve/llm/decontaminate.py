@@ -194,32 +194,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, least: float = 0.8, lea
     items match nothing; rows that repeat give repeated results, items that repeat count once. With an empty table there is no row.
     Items beyond ``index_bytes`` make further indexes, each of which all documents are held against.
     """
-    session = documents.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).dropDuplicates()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // index_bytes))
     schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
-    def against(part: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()  # about index_bytes
-        index = session.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in rows], least))
-
+    def against(index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = index.value
             for batch in batches if x else ():
                 for rows, column in slices(batch):
-                    words, owner = words_of(column)
-                    begin, end, item, score = retrieve(x, words, owner, max(32, x.stride))
-                    best: dict[tuple[int, int], tuple[float, ...]] = {}
-                    for b, e, i, s in zip(begin.tolist(), end.tolist(), item.tolist(), score.tolist(), strict=True):
-                        held = np.isin(x.runs[i], shingles(words[b:e], owner[b:e], SIZE)[0])
-                        asked = x.question[i]
-                        overlap = held.mean()
-                        question = held[asked].mean() if asked.any() else overlap
-                        answer = held[~asked].mean() if not asked.all() else overlap
-                        if overlap >= least - 1e-9 and min(question, answer) >= least_part - 1e-9:
-                            key = (int(owner[b]), i)
-                            best[key] = max(best.get(key, (0.0,)), (float(overlap), s, float(question), float(answer)))
+                    best = held_items(x, column, least, least_part)
                     ids = rows.column("doc_id").to_pylist()
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([ids[o] for o, _ in best], pa.int64()), pa.array([x.item_ids[i] for _, i in best], pa.int64()), *(pa.array([v[k] for v in best.values()], pa.float64()) for k in (1, 0, 2, 3))],
@@ -228,4 +210,48 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, least: float = 0.8, lea
 
         return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionAll, [against(p) for p in range(parts)])
+    return reduce(DataFrame.unionAll, [against(i) for i in indexes(benchmark, least, index_bytes)])
+
+
+def indexes(benchmark: DataFrame, least: float, index_bytes: int) -> list:
+    """Broadcast indexes of all items, each of about ``index_bytes`` of their text."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).dropDuplicates()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // index_bytes))
+
+    def one(part: int):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
+        return benchmark.sparkSession.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in rows], least))
+
+    return [one(p) for p in range(parts)]
+
+
+def held_items(index: Index, column: pa.Array, least: float, least_part: float) -> dict[tuple[int, int], tuple[float, ...]]:
+    """By text and item that it holds: the overlap, score, question's and answer's overlap of its best passage."""
+    words, owner = words_of(column)
+    best: dict[tuple[int, int], tuple[float, ...]] = {}
+    for b, e, i, s in zip(*(x.tolist() for x in retrieve(index, words, owner, max(32, index.stride))), strict=True):
+        held = np.isin(index.runs[i], shingles(words[b:e], owner[b:e], SIZE)[0])
+        asked = index.question[i]
+        overlap = held.mean()
+        question = held[asked].mean() if asked.any() else overlap
+        answer = held[~asked].mean() if not asked.all() else overlap
+        if overlap >= least - 1e-9 and min(question, answer) >= least_part - 1e-9:
+            key = (int(owner[b]), i)
+            best[key] = max(best.get(key, (0.0,)), (float(overlap), s, float(question), float(answer)))
+    return best
+
+
+def drop_leaked(documents: DataFrame, benchmark: DataFrame, *, least: float = 0.8, least_part: float = 0.5, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of ``documents`` that hold no test item (as ``leaks`` finds them), with all their columns. Nothing is shuffled."""
+    for index in indexes(benchmark, least, index_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            x = index.value
+            for batch in batches:
+                for rows, column in slices(batch):
+                    leaked = {o for o, _ in held_items(x, column, least, least_part)} if x else ()
+                    yield rows.filter(pa.array([k not in leaked for k in range(rows.num_rows)], pa.bool_()))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents

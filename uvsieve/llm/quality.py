@@ -140,21 +140,46 @@ def score_quality(documents: DataFrame, labels: DataFrame, *, threshold: float =
     one. Repeated rows give repeated results; no row is dropped. Training takes a bounded sample:
     ``per_class`` texts of each class, none longer than ``longest`` bytes (scored texts have no such bound).
     """
-    session = documents.sparkSession
-    model = session.sparkContext.broadcast(train(training_rows(documents, labels, per_class=per_class, longest=longest, folds=folds, held_fold=held_fold)))  # bounded by dictionary_bytes
+    model = _fitted(documents, labels, per_class, longest, folds, held_fold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        pair = compressor(m.good, m.level), compressor(m.bad, m.level)
+        score = Scorer(model.value)
         for batch in batches:
             for rows, column in slices(batch):
-                data, ends = utf8(column)
-                sizes, n_bytes = sizes_by_text(data, ends, pair, m.block), np.diff(ends)
-                z = m.weights[0] + features(sizes, n_bytes) @ np.array(m.weights[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(m.doubt + (1 - 2 * m.doubt) / (1 + np.exp(-np.clip(z, -30, 30)))), pa.array(n_bytes), pa.array(sizes[:, 0]), pa.array(sizes[:, 1])],
-                    ["doc_id", "score", "n_bytes", "good_bytes", "bad_bytes"],
-                )
+                scores, sizes, n_bytes = score(column)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(scores), pa.array(n_bytes), pa.array(sizes[:, 0]), pa.array(sizes[:, 1])], ["doc_id", "score", "n_bytes", "good_bytes", "bad_bytes"])
 
     scored = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, n_bytes long, good_bytes long, bad_bytes long")
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", folds) == held_fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_bytes", "good_bytes", "bad_bytes")
+
+
+class Scorer:
+    """Scores texts under a model; made once per task."""
+
+    def __init__(self, model: QualityModel):
+        self.model, self.pair = model, (compressor(model.good, model.level), compressor(model.bad, model.level))
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = self.model
+        data, ends = utf8(column)
+        sizes, n_bytes = sizes_by_text(data, ends, self.pair, m.block), np.diff(ends)
+        z = m.weights[0] + features(sizes, n_bytes) @ np.array(m.weights[1:])
+        return m.doubt + (1 - 2 * m.doubt) / (1 + np.exp(-np.clip(z, -30, 30))), sizes, n_bytes
+
+
+def _fitted(documents: DataFrame, labels: DataFrame, per_class: int, longest: int, folds: int, held_fold: int):
+    rows = training_rows(documents, labels, per_class=per_class, longest=longest, folds=folds, held_fold=held_fold)
+    return documents.sparkSession.sparkContext.broadcast(train(rows))  # bounded by dictionary_bytes
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.3, folds: int = 5, held_fold: int = 0, per_class: int = 1_500, longest: int = 32_768) -> DataFrame:
+    """The rows of ``documents`` that ``score_quality`` predicts 1 for, with all their columns. Nothing is shuffled."""
+    model = _fitted(documents, labels, per_class, longest, folds, held_fold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(model.value)
+        for batch in batches:
+            for rows, column in slices(batch):
+                yield rows.filter(pa.array(score(column)[0] >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -10,6 +10,7 @@ from .common import read_table
 from .decontaminate import leaks
 from .langid import identify_language
 from .minhash import near_duplicates
+from .pieces import encode_pieces
 from .quality import score_quality
 from .repeats import remove_repeats
 from .tokencount import count_tokens
@@ -21,6 +22,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(read_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), rate=0.1, seed=17)
+
+
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -46,6 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_encode_pieces": op1_encode_pieces,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op5_language_id": op5_language_id,
     "op6_repeated_passages": op6_repeated_passages,

@@ -261,35 +261,41 @@ def repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
     return spans
 
 
+def _left(content: np.ndarray, found: list | None) -> tuple[bytes, int]:
+    """What spans leave of a text, and how many maximal runs they make."""
+    if not found:
+        return content.tobytes(), 0
+    pairs = np.array([(s["start"], s["stop"]) for s in found], np.int64)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    high = np.maximum.accumulate(pairs[:, 1])
+    opens = np.r_[True, pairs[1:, 0] > high[:-1]]
+    start, stop = pairs[opens, 0], high[np.r_[np.flatnonzero(opens)[1:] - 1, len(high) - 1]]
+    keep = np.zeros(len(content) + 1, np.int32)
+    keep[start] += 1
+    keep[stop] -= 1
+    return content[np.cumsum(keep)[:-1] == 0].tobytes(), len(start)
+
+
+def _each_left(rows: pa.RecordBatch, column: pa.Array) -> list[tuple[bytes, int]]:
+    data, ends = utf8(column)
+    return [_left(data[ends[i] : ends[i + 1]], found) for i, found in enumerate(rows.column("_spans").to_pylist())]
+
+
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, column in slices(batch):
-            data, ends = utf8(column)
-            out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
-            for i, found in enumerate(rows.column("spans").to_pylist()):
-                content = data[ends[i] : ends[i + 1]]
-                if found:
-                    pairs = np.array([(s["start"], s["stop"]) for s in found], np.int64)
-                    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-                    high = np.maximum.accumulate(pairs[:, 1])
-                    opens = np.r_[True, pairs[1:, 0] > high[:-1]]
-                    start, stop = pairs[opens, 0], high[np.r_[np.flatnonzero(opens)[1:] - 1, len(high) - 1]]
-                    keep = np.zeros(len(content) + 1, np.int32)
-                    keep[start] += 1
-                    keep[stop] -= 1
-                    rest = content[np.cumsum(keep)[:-1] == 0]
-                else:
-                    start, rest = (), content
-                out["n_bytes"].append(len(content))
-                out["n_removed"].append(len(content) - len(rest))
-                out["n_spans"].append(len(start))
-                out["kept"].append(rest.tobytes())
+            left, n_bytes = _each_left(rows, column), np.diff(utf8(column)[1])
+            kept = [k for k, _ in left]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array([hashlib.sha256(k).hexdigest() for k in out["kept"]]), pa.array(out["kept"], pa.binary())],
+                [rows.column("doc_id"), pa.array(n_bytes), pa.array(n_bytes - np.array([len(k) for k in kept], np.int64)), pa.array([n for _, n in left], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
 
+def _spans_by_document(rows: DataFrame, hot: int) -> DataFrame:
+    return repeated_spans(rows, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+
+
 def remove_repeats(documents: DataFrame, *, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) of every row of ``documents(doc_id, text)``.
 
@@ -298,5 +304,25 @@ def remove_repeats(documents: DataFrame, *, hot: int = HOT) -> DataFrame:
     columns are not read.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    spans = repeated_spans(rows, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return rows.join(spans, "doc_id", "left").mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.join(_spans_by_document(rows, hot), "doc_id", "left").mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def cut_repeats(documents: DataFrame, *, hot: int = HOT) -> DataFrame:
+    """``documents`` with what ``remove_repeats`` leaves of each text, n_chars (if there) to match, and all other columns as they were.
+
+    A character of which only some bytes are left goes whole. No row goes, except those without doc_id; a null text stays null.
+    """
+    rows = documents.where(F.col("doc_id").isNotNull())
+    narrow = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spans = _spans_by_document(narrow, hot).withColumnRenamed("doc_id", "_doc")
+    names = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, column in slices(batch):
+                missing = rows.column("text").is_null().to_pylist()
+                text = [None if none else k.decode(errors="ignore") for (k, _), none in zip(_each_left(rows, column), missing, strict=True)]
+                new = {"text": pa.array(text, pa.string()), "n_chars": pa.array([len(t or "") for t in text], pa.int64())}
+                yield pa.RecordBatch.from_arrays([new[n].cast(rows.schema.field(n).type) if n in new else rows.column(n) for n in names], names)
+
+    return rows.join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").mapInArrow(run, documents.schema)
