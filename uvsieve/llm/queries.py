@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .decontaminate import leaks
+from .digest import fingerprints
 from .langid import identify_language
 from .minhash import near_duplicates
 from .pieces import encode_pieces
@@ -26,6 +27,10 @@ def op1_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(read_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), rate=0.1, seed=17)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -52,6 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_encode_pieces": op1_encode_pieces,
+    "op2_fingerprints": op2_fingerprints,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op5_language_id": op5_language_id,
     "op6_repeated_passages": op6_repeated_passages,
