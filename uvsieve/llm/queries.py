@@ -11,6 +11,7 @@ from .decontaminate import leaks
 from .digest import fingerprints
 from .langid import identify_language
 from .minhash import near_duplicates
+from .pages import main_texts
 from .pieces import encode_pieces
 from .quality import score_quality
 from .repeats import remove_repeats
@@ -35,6 +36,10 @@ def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_encode_pieces": op1_encode_pieces,
     "op2_fingerprints": op2_fingerprints,
     "op3_benchmark_leaks": op3_benchmark_leaks,
+    "op4_main_text": op4_main_text,
     "op5_language_id": op5_language_id,
     "op6_repeated_passages": op6_repeated_passages,
     "op7_near_duplicates": op7_near_duplicates,
