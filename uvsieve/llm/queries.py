@@ -10,6 +10,7 @@ from .common import read_table
 from .decontaminate import leaks
 from .digest import fingerprints
 from .langid import identify_language
+from .lmscore import score_documents
 from .minhash import near_duplicates
 from .pages import main_texts
 from .pieces import encode_pieces
@@ -56,6 +57,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repeated_passages": op6_repeated_passages,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_quality": op8_quality,
+    "op9_lm_scores": op9_lm_scores,
     "op10_token_counts": op10_token_counts,
 }
 
