@@ -1,4 +1,463 @@
-"""Registered queries and their SQL."""
+"""The registered queries over the derived observation, each in a few lines on the operators."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import formats, geometry, thresholds
+from ..functions.stokes import stokes_flag, stokes_value
+from ..operators import annuli, cells, flags, loading, profiles, summary
+from ..sources import fixtures
+from ..sources.observation import DerivedObservation
+from .oracle import ORACLE_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+FACTOR, SIGMA, RINGS = 0.2, 3.0, 10
+CELL = cells.CELL
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def six(name: str, alias: str | None = None):
+    return F.round(name, 6).alias(alias or name)
+
+
+# what several queries start from
+
+
+def vis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.visibilities(spark, sf_dir).withColumn("value", F.col("amp"))
+
+
+def planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, geometry.Grid]:
+    rows = vis(spark, sf_dir)
+    return rows, geometry.plan_grid(rows, diameter=fixtures.DIAMETER, factor=FACTOR)
+
+
+def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, grid = planned(spark, sf_dir)
+    return grid.binned(rows).select(*CELL, "newrow", "value", "flag", "u", "v")
+
+
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.usable(binned(spark, sf_dir)).select(*CELL, "newrow", "value")
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, grid = planned(spark, sf_dir)
+    return annuli.with_radius(cells.cell_stats(cells.usable(grid.binned(rows))), grid)
+
+
+def ringed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = placed(spark, sf_dir)
+    return annuli.with_ring(found, annuli.plan_annuli(found, RINGS, SIGMA))
+
+
+def flagging(spark: SparkSession, sf_dir: str) -> flags.Flagging:
+    rows, grid = planned(spark, sf_dir)
+    return flags.flag_outliers(rows, grid, sigma=SIGMA, n_annuli=RINGS)
+
+
+def long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = DerivedObservation(spark, sf_dir)
+    return loading.flatten(o.main, o.descriptions, o.windows)
+
+
+# finding interference
+
+
+@query
+def flag_visibilities(spark, sf_dir):
+    return flagging(spark, sf_dir).flagged_rows()
+
+
+@query
+def flag_rows(spark, sf_dir):
+    return flagging(spark, sf_dir).judged().where("outlier").select("newrow", *CELL, six("value"), six("lo"), six("hi"))
+
+
+@query
+def median_grid(spark, sf_dir):
+    return cells.median_grid(binned(spark, sf_dir)).select(*CELL, six("median"))
+
+
+@query
+def median_grid_flagged(spark, sf_dir):
+    return flagging(spark, sf_dir).median_after().select(*CELL, six("median"))
+
+
+@query
+def flag_count_grid(spark, sf_dir):
+    return flagging(spark, sf_dir).count_grid()
+
+
+@query
+def bin_thresholds(spark, sf_dir):
+    return flagging(spark, sf_dir).thresholds.select(*CELL, six("lo"), six("hi"), "branch")
+
+
+@query
+def flag_percentage(spark, sf_dir):
+    run = flagging(spark, sf_dir)
+    n = vis(spark, sf_dir).agg(F.count("*").alias("n"))
+    return run.flagged_rows().agg(F.count("*").alias("flagged")).crossJoin(F.broadcast(n)).select("flagged", "n", F.round(100.0 * F.col("flagged") / F.col("n"), 6).alias("percent"))
+
+
+# geometry
+
+
+@query
+def grid_spec(spark, sf_dir):
+    rows = vis(spark, sf_dir)
+    wide = F.floor(1 / (F.lit(1.22) * F.col("lam_max") / fixtures.DIAMETER)).cast("double")
+    x = geometry.grid_limits(rows).withColumn("bw", wide)
+    count = lambda a: F.floor(FACTOR * (F.col(f"{a}_hi") - F.col(f"{a}_lo")) / F.col("bw")).cast("int").alias(f"{a}_n")
+    return x.select(six("u_lo"), six("u_hi"), six("v_lo"), six("v_hi"), six("bw"), count("u"), count("v"))
+
+
+@query
+def uv_limits(spark, sf_dir):
+    return geometry.grid_limits(vis(spark, sf_dir)).select(*[six(c) for c in ("u_lo", "u_hi", "v_lo", "v_hi", "lam_min", "lam_max")])
+
+
+@query
+def linspace_edges(spark, sf_dir):
+    _, grid = planned(spark, sf_dir)
+    return spark.createDataFrame(list(enumerate(grid.u.edges, 1)), "idx int, edge double").select("idx", six("edge"))
+
+
+@query
+def digitize(spark, sf_dir):
+    return binned(spark, sf_dir).select("newrow", *CELL)
+
+
+@query
+def uv_distance(spark, sf_dir):
+    return vis(spark, sf_dir).select("newrow", F.round(geometry.uv_distance(F.col("u"), F.col("v")), 6).alias("distance"))
+
+
+@query
+def fov(spark, sf_dir):
+    width = geometry.field_of_view(F.col("lam"), F.lit(fixtures.DIAMETER))
+    return vis(spark, sf_dir).groupBy("chan").agg(F.round(F.max(width), 9).alias("fov"), F.round(F.max("lam"), 9).alias("wavelength"))
+
+
+@query
+def angular_resolution(spark, sf_dir):
+    longest = F.max(geometry.uv_distance(F.col("u"), F.col("v")))
+    return vis(spark, sf_dir).agg(F.round(1 / longest * (180 / F.pi()) * 3600, 6).alias("arcsec"))
+
+
+@query
+def statistical_width(spark, sf_dir):
+    x = geometry.grid_limits(vis(spark, sf_dir))
+    return x.select(*[F.round(F.col(f"{a}_std") * 3.5 / F.pow("n", F.lit(0.25)), 6).alias(f"{a}_width") for a in "uv"])
+
+
+# rows and cells
+
+
+@query
+def null_flags(spark, sf_dir):
+    return cells.null_rows(binned(spark, sf_dir)).select("newrow")
+
+
+@query
+def sort_bins(spark, sf_dir):
+    """A row's place in the order of cells: where its cell's run begins, and its rank within."""
+    rows = kept(spark, sf_dir)
+    within = F.row_number().over(Window.partitionBy(*CELL).orderBy("newrow"))
+    return rows.withColumn("_w", within).join(cells.row_map(rows), CELL).select((F.col("start") + F.col("_w")).alias("place"), "newrow")
+
+
+@query
+def grid_row_map(spark, sf_dir):
+    return cells.row_map(kept(spark, sf_dir))
+
+
+@query
+def mad_grid(spark, sf_dir):
+    return cells.mad_grid(kept(spark, sf_dir)).select(*CELL, six("mad"))
+
+
+@query
+def rms_grid(spark, sf_dir):
+    return cells.rms_grid(kept(spark, sf_dir)).select(*CELL, six("rms"))
+
+
+@query
+def std_grid(spark, sf_dir):
+    return cells.apply_grid(kept(spark, sf_dir), "std", F.stddev_pop).select(*CELL, six("std"))
+
+
+@query
+def cell_summary(spark, sf_dir):
+    return cells.summary(kept(spark, sf_dir)).select(*CELL, "n", *[six(c) for c in ("mean", "median", "std", "mad", "ratio")])
+
+
+@query
+def cell_index_ranges(spark, sf_dir):
+    return cells.index_ranges(kept(spark, sf_dir))
+
+
+@query
+def group_indices(spark, sf_dir):
+    found = cells.grouped(kept(spark, sf_dir).where(F.col("u_bin").between(3, 6)))
+    return found.select(*CELL, F.array_join(F.col("members.newrow").cast("array<string>"), ",").alias("rows"))
+
+
+@query
+def group_flagval(spark, sf_dir):
+    found = cells.grouped(binned(spark, sf_dir).where(F.col("u_bin").between(3, 6)), "value", "flag")
+    return found.select(*CELL, F.array_join(F.transform("members", lambda m: F.concat(m["newrow"].cast("string"), F.lit(":"), m["flag"].cast("int").cast("string"))), ",").alias("rows"))
+
+
+@query
+def distinct_bins(spark, sf_dir):
+    return binned(spark, sf_dir).agg(F.countDistinct("u_bin").alias("u_bins"), F.countDistinct("v_bin").alias("v_bins"))
+
+
+@query
+def existing_flags(spark, sf_dir):
+    return cells.flag_share(binned(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
+
+
+@query
+def remove_zero_values(spark, sf_dir):
+    rows = binned(spark, sf_dir)
+    return rows.groupBy(*CELL).agg(F.count_if(F.col("value") > 0).alias("positive"), F.count_if(F.col("value") == 0).alias("zero"))
+
+
+@query
+def kd_partition_sizes(spark, sf_dir):
+    return cells.partition_sizes(kept(spark, sf_dir), levels=2)
+
+
+@query
+def cells_in_range(spark, sf_dir):
+    return cells.cells_within(kept(spark, sf_dir).groupBy(*CELL).agg(F.count("*").alias("n")), (5, 9), (4, 12))
+
+
+@query
+def limit_cells(spark, sf_dir):
+    return kept(spark, sf_dir).groupBy(*CELL).agg(F.count("*").alias("n")).orderBy(*CELL).limit(90)
+
+
+@query
+def sample_cells(spark, sf_dir):
+    return profiles.sample_rows(cells.median_grid(binned(spark, sf_dir)), 0.2, 7)
+
+
+@query
+def uvrange_filter(spark, sf_dir):
+    return loading.within_uv(vis(spark, sf_dir), 500, 1500).select("newrow")
+
+
+# annuli and thresholds
+
+
+@query
+def annulus_edges(spark, sf_dir):
+    return annuli.edge_frame(placed(spark, sf_dir), RINGS).select("annulus_id", six("r_lo"), six("r_hi"))
+
+
+@query
+def annulus_assign(spark, sf_dir):
+    return ringed(spark, sf_dir).select(*CELL, six("radius"), "annulus_id")
+
+
+@query
+def annulus_limits(spark, sf_dir):
+    return annuli.ring_limits(ringed(spark, sf_dir), SIGMA).select("annulus_id", "n_cells", six("ci_lower"), six("ci_upper"))
+
+
+@query
+def annulus_stats_cells(spark, sf_dir):
+    return profiles.ring_profile(ringed(spark, sf_dir)).select("annulus_id", "n", six("mean"), six("median"))
+
+
+@query
+def annulus_stats_values(spark, sf_dir):
+    rings = ringed(spark, sf_dir).where(F.col("annulus_id").isNotNull()).select(*CELL, "annulus_id")
+    return profiles.ring_stats(kept(spark, sf_dir).join(rings, CELL)).select("annulus_id", "n", *[six(c) for c in ("mean", "median", "mad", "low", "high")])
+
+
+@query
+def cells_in_annulus(spark, sf_dir):
+    return ringed(spark, sf_dir).where(F.col("annulus_id") == 3).select(*CELL, six("median"))
+
+
+@query
+def rayleigh_thresholds(spark, sf_dir):
+    grid, alpha = cells.median_grid(binned(spark, sf_dir)), F.lit(thresholds.checked_alpha(0.045))
+    return grid.select(*CELL, F.round(thresholds.rayleigh_low(F.col("median"), alpha), 6).alias("lo"), F.round(thresholds.rayleigh_high(F.col("median"), alpha), 6).alias("hi"))
+
+
+@query
+def fixed_thresholds(spark, sf_dir):
+    grid, alpha = cells.median_grid(binned(spark, sf_dir)), F.lit(thresholds.fixed_alpha(3))
+    return grid.select(*CELL, F.round(thresholds.rayleigh_low(F.col("median"), alpha), 6).alias("lo"), F.round(thresholds.rayleigh_high(F.col("median"), alpha), 6).alias("hi"))
+
+
+# profiles
+
+
+@query
+def radial_profile(spark, sf_dir):
+    return profiles.radial_profile(placed(spark, sf_dir), "median", 20).select("bin", "n", six("median"), six("std"), six("centre"))
+
+
+@query
+def histogram(spark, sf_dir):
+    return profiles.histogram(kept(spark, sf_dir), 50).select("bin", six("left"), six("right"), "n", six("density"))
+
+
+@query
+def fit_distributions(spark, sf_dir):
+    names = ("norm_mean", "norm_std", "rayleigh_sigma", "lognorm_mean", "lognorm_std")
+    return profiles.fits(kept(spark, sf_dir)).select(*[six(c) for c in names])
+
+
+@query
+def rayleigh_pdf(spark, sf_dir):
+    rows = kept(spark, sf_dir)
+    sigma = F.broadcast(profiles.fits(rows).select("rayleigh_sigma"))  # one row
+    return rows.crossJoin(sigma).select("newrow", F.round(profiles.rayleigh_density(F.col("value"), F.col("rayleigh_sigma")), 6).alias("density"))
+
+
+@query
+def hexbin(spark, sf_dir):
+    rows = binned(spark, sf_dir).where(~F.col("flag")).withColumn("distance", geometry.uv_distance(F.col("u"), F.col("v")))
+    return profiles.hexagons(rows, "distance", "value")
+
+
+@query
+def grid_colors(spark, sf_dir):
+    grid = cells.median_grid(binned(spark, sf_dir))
+    middle = grid.agg(F.median("median").alias("m"))
+    top = grid.crossJoin(F.broadcast(middle)).agg((F.first("m") + 3 * thresholds.MAD_SCALE * F.median(F.abs(F.col("median") - F.col("m")))).alias("top"))
+    return grid.crossJoin(F.broadcast(top)).select(*CELL, formats.heat_colour(F.col("median"), F.col("top")).alias("colour"))
+
+
+# nested tables
+
+
+@query
+def load_binned(spark, sf_dir):
+    return long_rows(spark, sf_dir).select("newrow", "ddid", "row", "chan", six("u"), six("v"), F.round(stokes_value(F.col("data"), "I"), 4).alias("stokes_i"), stokes_flag(F.col("flag"), "I").alias("flag"))
+
+
+@query
+def stokes_all(spark, sf_dir):
+    values = [F.round(stokes_value(F.col("data"), s), 4).alias(s.lower()) for s in "QUV"]
+    return long_rows(spark, sf_dir).select("newrow", *values, stokes_flag(F.col("flag"), "U").alias("flag_uv"), stokes_flag(F.col("flag"), "A").alias("flag_any"))
+
+
+@query
+def amplitude(spark, sf_dir):
+    return long_rows(spark, sf_dir).select("newrow", F.round(stokes_value(F.col("data"), "I", "abs"), 3).alias("amplitude"))
+
+
+@query
+def filter_ddid_in(spark, sf_dir):
+    return long_rows(spark, sf_dir).where(F.col("ddid").isin(1)).select("newrow")
+
+
+@query
+def filter_field(spark, sf_dir):
+    return fixtures.main_table(spark, sf_dir).where(F.col("field_id") == 2).groupBy("ddid").agg(F.count("*").alias("n"))
+
+
+@query
+def row_spans(spark, sf_dir):
+    o = DerivedObservation(spark, sf_dir)
+    return loading.row_spans(o.main, o.descriptions, o.windows)
+
+
+@query
+def ddid_by_nchan(spark, sf_dir):
+    o = DerivedObservation(spark, sf_dir)
+    found = loading.row_bases(o.main, o.descriptions, o.windows).groupBy("nchan").agg(F.array_sort(F.collect_list(F.col("ddid").cast("string"))).alias("d"))
+    return found.select("nchan", F.array_join("d", ",").alias("ddids"))
+
+
+def _written(spark, sf_dir, overwrite):
+    rows = long_rows(spark, sf_dir)
+    return loading.flagged_long(rows, rows.where(F.col("newrow") % 10 == 0), "I", overwrite)
+
+
+@query
+def write_flags_or(spark, sf_dir):
+    return _written(spark, sf_dir, False).select("newrow", *[F.col("flag")[k].alias(f"f{k}") for k in range(4)])
+
+
+@query
+def write_flags_overwrite(spark, sf_dir):
+    return _written(spark, sf_dir, True).select("newrow", *[F.col("flag")[k].alias(f"f{k}") for k in range(4)])
+
+
+@query
+def renest_flags(spark, sf_dir):
+    text = F.transform("flag", lambda c: F.array_join(F.transform(c, lambda f: f.cast("int").cast("string")), ""))
+    return loading.renest(_written(spark, sf_dir, False)).select("ddid", "row", F.array_join(text, "/").alias("flags"))
+
+
+# summaries
+
+
+@query
+def main_table_info(spark, sf_dir):
+    return summary.main_info(fixtures.main_table(spark, sf_dir)).select("ddid", "n_rows", F.round("exposure", 3).alias("exposure"), "began", "ended")
+
+
+@query
+def scan_list(spark, sf_dir):
+    o = DerivedObservation(spark, sf_dir)
+    return summary.scan_list(o.main, o.fields, o.states).drop("interval")
+
+
+@query
+def field_list(spark, sf_dir):
+    o = DerivedObservation(spark, sf_dir)
+    return summary.field_list(o.main, o.fields).select("field_id", "name", "n_rows", "ra", "declination")
+
+
+@query
+def list_fields(spark, sf_dir):
+    o = DerivedObservation(spark, sf_dir)
+    return summary.field_intents(o.main, o.fields, o.states)
+
+
+@query
+def spectral_windows(spark, sf_dir):
+    o = DerivedObservation(spark, sf_dir)
+    return summary.window_list(o.descriptions, o.windows, o.polarizations).withColumn("centre_mhz", F.round("centre_mhz", 6))
+
+
+@query
+def antenna_list(spark, sf_dir):
+    return summary.antenna_list(DerivedObservation(spark, sf_dir).antennas)
+
+
+@query
+def longest_baseline(spark, sf_dir):
+    return summary.longest_baseline(DerivedObservation(spark, sf_dir).antennas).select(six("distance"))
+
+
+@query
+def spw_exclude_bad(spark, sf_dir):
+    bad = fixtures.bad_ranges(spark)
+    low, high, _ = formats.range_bounds(F.col("range"))
+    windows = spark.createDataFrame(summary.split_range(880.0, 1680.0, 32), "low double, high double")
+    return summary.windows_outside(windows, bad.select(low.alias("bad_low"), high.alias("bad_high")))
+
+
+__all__ = ["QUERIES", "ORACLE_SQL"]
