@@ -439,7 +439,8 @@ def list_fields(spark, sf_dir):
 @query
 def spectral_windows(spark, sf_dir):
     o = DerivedObservation(spark, sf_dir)
-    return summary.window_list(o.descriptions, o.windows, o.polarizations).withColumn("centre_mhz", F.round("centre_mhz", 6))
+    rows = o.main.groupBy("ddid").agg(F.count("*").alias("n_rows"))
+    return summary.window_list(o.descriptions, o.windows, o.polarizations).join(rows, "ddid").withColumn("centre_mhz", F.round("centre_mhz", 6))
 
 
 @query
@@ -454,10 +455,165 @@ def longest_baseline(spark, sf_dir):
 
 @query
 def spw_exclude_bad(spark, sf_dir):
-    bad = fixtures.bad_ranges(spark)
+    """Channels seen in the rows, 2 MHz wide, without those wholly in a bad range."""
     low, high, _ = formats.range_bounds(F.col("range"))
-    windows = spark.createDataFrame(summary.split_range(880.0, 1680.0, 32), "low double, high double")
-    return summary.windows_outside(windows, bad.select(low.alias("bad_low"), high.alias("bad_high")))
+    bad = fixtures.bad_ranges(spark).select(low.alias("bad_low"), high.alias("bad_high"))
+    centre = F.round(geometry.LIGHT / F.col("lam") / 1e6, 6)
+    seen = long_rows(spark, sf_dir).groupBy("ddid", "chan").agg(F.max(centre).alias("mhz"), F.count("*").alias("n"))
+    return summary.windows_outside(seen.select("ddid", "chan", "n", (F.col("mhz") - 1).alias("low"), (F.col("mhz") + 1).alias("high")), bad)
+
+
+# rows, joins and sets
+
+
+@query
+def scan_main(spark, sf_dir):
+    return fixtures.main_table(spark, sf_dir).select("row_id", "field_id", "ddid", "scan_number", six("u_m"), six("v_m"))
+
+
+@query
+def scan_ordered(spark, sf_dir):
+    """Places in the order (scan_number, time, row_id): a scan's start from the scans' counts, and the rank within."""
+    rows = fixtures.main_table(spark, sf_dir).where(F.col("scan_number") <= 3).select("scan_number", "time", "row_id")
+    counts = rows.groupBy("scan_number").agg(F.count("*").alias("n"))
+    starts = counts.select("scan_number", (F.sum("n").over(Window.orderBy("scan_number")) - F.col("n")).alias("start"))
+    within = F.row_number().over(Window.partitionBy("scan_number").orderBy("time", "row_id"))
+    return rows.withColumn("w", within).join(starts, "scan_number").select((F.col("start") + F.col("w")).alias("place"), "row_id")
+
+
+@query
+def residual_column(spark, sf_dir):
+    return long_rows(spark, sf_dir).select("newrow", F.round(F.col("data")[0]["re"].cast("double"), 4).alias("first_re"), F.round(F.col("data")[2]["re"].cast("double"), 4).alias("third_re"))
+
+
+@query
+def union_ddids(spark, sf_dir):
+    o = DerivedObservation(spark, sf_dir)
+    return loading.flatten_apart(o.main, o.descriptions, o.windows).select("newrow", "ddid", six("u"), six("v"))
+
+
+@query
+def join_ddid_spw(spark, sf_dir):
+    return long_rows(spark, sf_dir).groupBy("ddid", "chan", F.round("lam", 9).alias("lam")).agg(F.count("*").alias("n"))
+
+
+@query
+def field_lookup(spark, sf_dir):
+    fields = fixtures.fields(spark, sf_dir)
+    return fields.where(F.col("field_id") == loading.field_by_name(fields, "ASIA")).select("field_id", "name")
+
+
+@query
+def source_list(spark, sf_dir):
+    return summary.source_list(fixtures.fields(spark, sf_dir).select("source_id", "name", F.lit(0).alias("spw_id")))
+
+
+@query
+def observation_info(spark, sf_dir):
+    return fixtures.observations(spark, sf_dir).select("observer", "project", "telescope_name").limit(1)
+
+
+@query
+def spw_bounds(spark, sf_dir):
+    """Frequency ranges as text, one made from each antenna's number, read back."""
+    k = F.col("antenna_id")
+    text = F.concat(F.when(k % 2 == 0, "0:").otherwise(""), (k + 880).cast("string"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("~"), (k + 933).cast("string"))), F.lit("MHz"))
+    low, high, unit = formats.range_bounds(F.col("text"))
+    given = DerivedObservation(spark, sf_dir).antennas.select(text.alias("text"))
+    return given.select("text", low.alias("low"), high.alias("high"), unit.alias("unit"))
+
+
+@query
+def cell_runs(spark, sf_dir):
+    after = F.lead("start").over(Window.orderBy(*CELL))
+    return cells.row_map(kept(spark, sf_dir)).select(*CELL, "start", after.alias("next_start"))
+
+
+@query
+def cell_limits(spark, sf_dir):
+    found = placed(spark, sf_dir)
+    rings = annuli.plan_annuli(found, RINGS, SIGMA)
+    upper = rings.limit(F.col("annulus_id"))
+    doubted = F.coalesce(F.col("median") > upper, F.lit(False)) | F.coalesce(F.try_divide("mean", "median") > flags.DOUBTFUL, F.lit(False))
+    return annuli.with_ring(found, rings).select(*CELL, F.round(upper, 6).alias("ci_upper"), doubted.alias("doubted"))
+
+
+@query
+def bin_counts(spark, sf_dir):
+    return kept(spark, sf_dir).groupBy(*CELL).agg(F.count("*").alias("n"))
+
+
+@query
+def group_values(spark, sf_dir):
+    found = cells.grouped(kept(spark, sf_dir).where(F.col("u_bin").between(3, 6)), "value")
+    return found.select(*CELL, F.array_join(F.transform("members", lambda m: F.round(m["value"] * 1000).cast("bigint").cast("string")), ",").alias("thousandths"))
+
+
+@query
+def amplitude_median_std(spark, sf_dir):
+    rows = kept(spark, sf_dir).withColumn("value", F.abs("value"))
+    return cells.medians(rows).join(cells.apply_grid(rows, "std", F.stddev_pop), CELL).select(*CELL, six("median"), six("std"))
+
+
+@query
+def apply_fn(spark, sf_dir):
+    return cells.apply_grid(kept(spark, sf_dir), "extent", lambda v: F.max(v) - F.min(v)).select(*CELL, six("extent"))
+
+
+@query
+def null_flags_multi(spark, sf_dir):
+    rows = binned(spark, sf_dir).where(~F.col("flag")).withColumn("values", F.array(F.col("value"), F.col("u") * 0))
+    return rows.join(cells.nonzero_rows(rows).select("newrow"), "newrow", "left_anti").select("newrow")
+
+
+@query
+def hist_range(spark, sf_dir):
+    return profiles.histogram(kept(spark, sf_dir), 20, low=2.0, high=12.0).select("bin", "n")
+
+
+@query
+def histogram_weighted(spark, sf_dir):
+    return profiles.histogram(kept(spark, sf_dir), 20, low=2.0, high=12.0, weight="value").select("bin", F.round("n", 5).alias("n"))
+
+
+@query
+def rayleigh_clip_upper(spark, sf_dir):
+    rows = kept(spark, sf_dir)
+    doubtful = cells.cell_stats(rows).where(F.try_divide("mean", "median") > flags.DOUBTFUL)
+    high = thresholds.rayleigh_high(F.col("median"), F.lit(0.045))
+    return rows.join(doubtful.select(*CELL, high.alias("high")), CELL).groupBy(*CELL).agg(F.count_if(F.col("value") < F.col("high")).alias("n_left"))
+
+
+@query
+def sigma_clip(spark, sf_dir):
+    rows = kept(spark, sf_dir)
+    bounds = flags.clip_groups(rows, SIGMA)
+    left = rows.join(bounds, CELL).where((F.col("value") > F.col("low")) & (F.col("value") < F.col("high")))
+    return left.groupBy(*CELL).agg(F.count("*").alias("n_left"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query
+def semi_flagged(spark, sf_dir):
+    return vis(spark, sf_dir).join(flagging(spark, sf_dir).flagged_rows(), "newrow", "left_semi").groupBy("chan").agg(F.count("*").alias("n"))
+
+
+@query
+def anti_flagged(spark, sf_dir):
+    return vis(spark, sf_dir).join(flagging(spark, sf_dir).flagged_rows(), "newrow", "left_anti").groupBy("chan").agg(F.count("*").alias("n"))
+
+
+@query
+def apply_flags(spark, sf_dir):
+    ids = flagging(spark, sf_dir).flagged_rows().select("newrow", F.lit(True).alias("hit"))
+    return vis(spark, sf_dir).join(ids, "newrow", "left").select("newrow", F.coalesce("hit", F.lit(False)).alias("flagged"))
+
+
+@query
+def radial_annulus_profile(spark, sf_dir):
+    run = flagging(spark, sf_dir)
+    both = cells.named_union({"before": run.cells, "after": run.median_after()}, {"before": "median", "after": "median"})
+    rings = run.cells.where(F.col("annulus_id").isNotNull()).select(*CELL, "annulus_id")
+    return both.join(rings, CELL).groupBy("name", "annulus_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 __all__ = ["QUERIES", "ORACLE_SQL"]

@@ -40,6 +40,11 @@ BLOCKS = {
         UNION ALL SELECT u_bin, v_bin, kept AS vals, it+1, len(kept)<len(vals) FROM (
           SELECT u_bin, v_bin, it, vals, list_filter(vals, lambda x: x>c-3*s AND x<c+3*s) AS kept FROM (
             SELECT *, sqrt(greatest(list_sum(list_transform(vals, lambda x: x*x))-len(vals)*c*c,0)/(len(vals)-1)) AS s FROM (SELECT *, list_avg(vals) AS c FROM clip WHERE go AND it<100 AND len(vals)>=2) a) b) d""",
+    "allclip": """SELECT u_bin, v_bin, list(value ORDER BY value) AS vals, 0 AS it, true AS go FROM kept GROUP BY ALL
+        UNION ALL SELECT u_bin, v_bin, kept1 AS vals, it+1, len(kept1)<len(vals) FROM (
+          SELECT u_bin, v_bin, it, vals, list_filter(vals, lambda x: x>c-3*s AND x<c+3*s) AS kept1 FROM (
+            SELECT *, sqrt(greatest(list_sum(list_transform(vals, lambda x: x*x))-len(vals)*c*c,0)/(len(vals)-1)) AS s FROM (SELECT *, list_avg(vals) AS c FROM allclip WHERE go AND it<100 AND len(vals)>=2) a) b) d""",
+    "allclipped": "SELECT u_bin, v_bin, arg_max(vals, it) AS vals FROM allclip GROUP BY ALL",
     "clipped": "SELECT u_bin, v_bin, arg_max(vals, it) AS vals FROM clip GROUP BY ALL",
     "st2": """SELECT u_bin, v_bin, mean, median FROM st1 WHERE NOT coalesce(mean/nullif(median,0)>1.4,false)
         UNION ALL SELECT u_bin, v_bin, list_avg(vals), list_median(vals) FROM clipped WHERE len(vals)>0""",
@@ -83,7 +88,7 @@ def sql(select: str) -> str:
                 need(BLOCKS[name])
 
     need(select)
-    recursive = "RECURSIVE " if "clip" in needed else ""
+    recursive = "RECURSIVE " if needed & {"clip", "allclip"} else ""
     parts = ", ".join(f"{n} AS ({b})" for n, b in BLOCKS.items() if n in needed)
     return f"WITH {recursive}{parts} {select}" if parts else select
 
@@ -161,7 +166,32 @@ ORACLE_SQL: dict[str, str] = {
     "field_list": sql("""SELECT r_regionkey::INTEGER AS field_id, r_name AS name, coalesce(n,0) AS n_rows, printf('%d:%02d:%02d.%02d', h//360000, h//6000%60, h//100%60, h%100) AS ra, printf('%s%d.%02d.%02d.%02d', CASE WHEN g<0 AND d>0 THEN '-' ELSE '' END, d//360000, d//6000%60, d//100%60, d%100) AS declination
         FROM (SELECT *, round(degrees(r_regionkey::DOUBLE*0.1)/15*360000)::BIGINT AS h, degrees(r_regionkey::DOUBLE*0.2-0.5) AS g, round(abs(degrees(r_regionkey::DOUBLE*0.2-0.5))*360000)::BIGINT AS d FROM region) f LEFT JOIN (SELECT field_id, count(*) AS n FROM nested GROUP BY 1) c ON c.field_id=r_regionkey"""),
     "list_fields": sql("SELECT r_regionkey::INTEGER AS field_id, r_name AS name, coalesce(obs_mode,'') AS intent FROM region LEFT JOIN (SELECT field_id, arg_max(state_id, struct_pack(s:=scan_number, t:=ts, r:=row_id)) AS state_id FROM nested GROUP BY 1) l ON l.field_id=r_regionkey LEFT JOIN states USING (state_id)"),
-    "spectral_windows": sql("SELECT ddid, spw_id, name, len(chan_freq)::INTEGER AS n_chan, chan_freq[1]/1e6 AS first_mhz, chan_width/1e3 AS width_khz, total_bandwidth/1e3 AS bandwidth_khz, round((list_min(chan_freq)+list_max(chan_freq))/2e6,6) AS centre_mhz, 'XX,XY,YX,YY' AS correlations FROM dd JOIN spw USING (spw_id)"),
+    "spectral_windows": sql("SELECT ddid, spw_id, name, len(chan_freq)::INTEGER AS n_chan, chan_freq[1]/1e6 AS first_mhz, chan_width/1e3 AS width_khz, total_bandwidth/1e3 AS bandwidth_khz, round((list_min(chan_freq)+list_max(chan_freq))/2e6,6) AS centre_mhz, 'XX,XY,YX,YY' AS correlations, n_rows FROM dd JOIN spw USING (spw_id) JOIN (SELECT ddid, count(*) AS n_rows FROM nested GROUP BY ddid) c USING (ddid)"),
     "longest_baseline": sql("SELECT round(max(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))),6) AS distance FROM ant a JOIN ant b ON a.antenna_id<b.antenna_id"),
-    "spw_exclude_bad": "SELECT 880.0::DOUBLE+k*(1680.0-880.0)/32 AS low, 880.0::DOUBLE+(k+1)*(1680.0-880.0)/32 AS high FROM (SELECT unnest(range(32)) AS k) x WHERE NOT EXISTS (SELECT 1 FROM (VALUES (933.0,960.0),(1163.0,1299.0),(1524.0,1630.0)) b(l,h) WHERE 880.0+k*(1680.0-880.0)/32>=l AND 880.0+(k+1)*(1680.0-880.0)/32<=h)",
+    "spw_exclude_bad": sql("SELECT ddid, chan, n, mhz-1 AS low, mhz+1 AS high FROM (SELECT ddid, chan, max(round(299792458::DOUBLE/lam/1e6,6)) AS mhz, count(*) AS n FROM long GROUP BY ALL) x WHERE NOT EXISTS (SELECT 1 FROM (VALUES (933.0,960.0),(1163.0,1299.0),(1524.0,1630.0)) b(l,h) WHERE mhz-1>=l AND mhz+1<=h)"),
+    "scan_main": sql("SELECT row_id, field_id, ddid, scan_number, round(u_m,6) AS u_m, round(v_m,6) AS v_m FROM nested"),
+    "scan_ordered": sql("SELECT (row_number() OVER (ORDER BY scan_number, time, row_id))::BIGINT AS place, row_id FROM nested WHERE scan_number<=3"),
+    "residual_column": sql("SELECT newrow, round((amp/2)::FLOAT::DOUBLE,4) AS first_re, round((amp/16)::FLOAT::DOUBLE,4) AS third_re FROM long"),
+    "union_ddids": sql("SELECT newrow, ddid, round(u,6) AS u, round(v,6) AS v FROM long"),
+    "join_ddid_spw": sql("SELECT ddid, chan, round(lam,9) AS lam, count(*) AS n FROM long GROUP BY ALL"),
+    "field_lookup": "SELECT r_regionkey::INTEGER AS field_id, r_name AS name FROM region WHERE r_name='ASIA'",
+    "source_list": "SELECT r_regionkey::INTEGER AS source_id, r_name AS name, 0 AS spw_id, 0.0::DOUBLE AS rest_frequency, 0.0::DOUBLE AS system_velocity FROM region",
+    "observation_info": "SELECT 'observer' AS observer, 'project' AS project, 'array' AS telescope_name",
+    "spw_bounds": "SELECT CASE WHEN s_suppkey%2=0 THEN '0:' ELSE '' END||(s_suppkey+880)||CASE WHEN s_suppkey%3=0 THEN '' ELSE '~'||(s_suppkey+933) END||'MHz' AS text, (s_suppkey+880)::DOUBLE AS low, CASE WHEN s_suppkey%3=0 THEN s_suppkey+880 ELSE s_suppkey+933 END::DOUBLE AS high, 'MHz' AS unit FROM supplier",
+    "cell_runs": sql("SELECT u_bin, v_bin, start, lead(start) OVER (ORDER BY u_bin, v_bin) AS next_start FROM (SELECT u_bin, v_bin, (sum(n) OVER (ORDER BY u_bin,v_bin)-n)::BIGINT AS start FROM stats) x"),
+    "cell_limits": sql("SELECT u_bin, v_bin, round(cu,6) AS ci_upper, doubted FROM known"),
+    "bin_counts": sql("SELECT u_bin, v_bin, n FROM stats"),
+    "group_values": sql("SELECT u_bin, v_bin, string_agg(round(value*1000)::BIGINT::VARCHAR, ',' ORDER BY newrow) AS thousandths FROM kept WHERE u_bin BETWEEN 3 AND 6 GROUP BY ALL"),
+    "amplitude_median_std": sql("SELECT u_bin, v_bin, round(median(abs(value)),6) AS median, round(stddev_pop(abs(value)),6) AS std FROM kept GROUP BY ALL"),
+    "apply_fn": sql("SELECT u_bin, v_bin, round(max(value)-min(value),6) AS extent FROM kept GROUP BY ALL"),
+    "null_flags_multi": sql("SELECT newrow FROM binned WHERE NOT flag AND value+u*0=0"),
+    "hist_range": sql("SELECT least(floor((value-2)/(12.0::DOUBLE-2)*20),19)::INTEGER AS bin, count(*) AS n FROM kept WHERE value BETWEEN 2 AND 12 GROUP BY ALL"),
+    "histogram_weighted": sql("SELECT least(floor((value-2)/(12.0::DOUBLE-2)*20),19)::INTEGER AS bin, round(sum(value),5) AS n FROM kept WHERE value BETWEEN 2 AND 12 GROUP BY ALL"),
+    "rayleigh_clip_upper": sql("SELECT k.u_bin, k.v_bin, count_if(value < m/sqrt(2*ln(2))*sqrt(-2*ln(0.045/2)))::BIGINT AS n_left FROM kept k JOIN mids USING (u_bin,v_bin) JOIN stats s USING (u_bin,v_bin) WHERE s.mean/s.median>1.2 GROUP BY ALL"),
+    "sigma_clip": sql("""SELECT u_bin, v_bin, count(*) AS n_left, round(avg(x),6) AS mean FROM (SELECT u_bin, v_bin, unnest(vals) AS x FROM allclipped) z GROUP BY ALL"""),
+    "semi_flagged": sql("SELECT chan, count(*) AS n FROM vis WHERE newrow IN (SELECT newrow FROM flags) GROUP BY chan"),
+    "anti_flagged": sql("SELECT chan, count(*) AS n FROM vis WHERE newrow NOT IN (SELECT newrow FROM flags) GROUP BY chan"),
+    "apply_flags": sql("SELECT newrow, newrow IN (SELECT newrow FROM flags) AS flagged FROM vis"),
+    "radial_annulus_profile": sql("""SELECT name, annulus_id, n, round(mean,6) AS mean FROM (SELECT 'before' AS name, annulus_id, count(*) AS n, avg(median) AS mean FROM ringed WHERE annulus_id IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT 'after', annulus_id, count(*), avg(coalesce(m,0)) FROM ringed LEFT JOIN (SELECT u_bin, v_bin, median(value) AS m FROM judged WHERE NOT outlier GROUP BY ALL) j USING (u_bin,v_bin) WHERE annulus_id IS NOT NULL GROUP BY ALL) x"""),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,6 +75,13 @@ def flatten(main: DataFrame, descriptions: DataFrame, windows: DataFrame, data:
     return long.select((F.col("base") + F.col("row") * F.col("nchan") + F.col("chan")).alias("newrow"), "ddid", "row", "chan", lam.alias("lam"), "u_m", "v_m", (F.col("u_m") / lam).alias("u"), (F.col("v_m") / lam).alias("v"), *kept)
 
 
+def flatten_apart(main: DataFrame, descriptions: DataFrame, windows: DataFrame, data: str = "residual") -> DataFrame:
+    """As ``flatten``, one data description at a time and put together: the same rows. For windows of unlike width that are to be kept apart."""
+    known = sorted(r["ddid"] for r in descriptions.select("ddid").collect())  # a dimension table
+    whole = flatten(main, descriptions, windows, data)
+    return reduce(DataFrame.unionByName, [whole.where(F.col("ddid") == d) for d in known])
+
+
 def within_uv(rows: DataFrame, low: float, high: float) -> DataFrame:
     return rows.where(uv_distance(F.col("u"), F.col("v")).between(low, high))
 

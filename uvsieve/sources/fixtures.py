@@ -104,6 +104,12 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("r_regionkey").cast("int").alias("field_id"), F.col("r_name").alias("name"), F.lit("T").alias("code"), F.col("r_regionkey").cast("int").alias("source_id"), F.array(F.array(k * 0.1, k * 0.2 - 0.5)).alias("reference_dir"))
 
 
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One observation, as long as the events last."""
+    span = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min("ts").alias("began"), F.max("ts").alias("ended"))
+    return span.select(F.lit("observer").alias("observer"), F.lit("project").alias("project"), F.lit("array").alias("telescope_name"), "began", "ended")
+
+
 def bad_ranges(spark: SparkSession) -> DataFrame:
     """Frequency ranges of known interference."""
     return spark.createDataFrame([("933~960MHz",), ("1163~1299MHz",), ("1524~1630MHz",)], "range string")
