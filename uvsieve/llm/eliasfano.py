@@ -80,7 +80,9 @@ class Sequence:
 def _by_chunk(chunks: np.ndarray):
     order = np.argsort(chunks, kind="stable")
     ordered = chunks[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else []
+    if not len(ordered):
+        return
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     for a, b in zip(starts, [*starts[1:], len(ordered)], strict=True):
         yield int(ordered[a]), order[a:b]
 
