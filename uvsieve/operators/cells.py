@@ -26,16 +26,23 @@ def null_rows(rows: DataFrame, keep_flagged: bool = False) -> DataFrame:
     return (rows if keep_flagged else rows.where(~F.col("flag"))).where(F.col("value") == 0)
 
 
+def _any_hot(rows: DataFrame, keys: list[str], value: str, hot: int) -> bool:
+    """Whether a group has more than ``hot`` rows: one aggregate of counts, of which a number comes back."""
+    return (rows.groupBy(*keys).agg(F.count(value).alias("_n")).agg(F.max("_n")).first()[0] or 0) > hot
+
+
 def medians(rows: DataFrame, keys: list[str] = CELL, value: str = "value", hot: int = HOT_ROWS) -> DataFrame:
     """(keys, median): the exact median of each group, the mean of the middle pair where the count is even.
 
     Groups of up to ``hot`` rows are one aggregate. In a larger one the median is first bracketed by approximate quantiles, whose buffers are
     of bounded size; the rows below the bracket are counted, and only those within it are gathered."""
-    sizes = rows.groupBy(*keys).agg(F.count(value).alias("_n"))
-    most = sizes.agg(F.max("_n")).first()[0] or 0
-    if most <= hot:
+    if not _any_hot(rows, keys, value, hot):
         return rows.groupBy(*keys).agg(F.median(value).alias("median"))
-    sizes = settled(sizes)
+    return _split_medians(rows, keys, value, hot)
+
+
+def _split_medians(rows: DataFrame, keys: list[str], value: str, hot: int) -> DataFrame:
+    sizes = settled(rows.groupBy(*keys).agg(F.count(value).alias("_n")))
     plain = rows.join(sizes.where(F.col("_n") <= hot).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.median(value).alias("median"))
     return plain.unionByName(_bracketed(rows.join(sizes.where(F.col("_n") > hot), keys), keys, value))
 
@@ -56,9 +63,11 @@ def median_grid(rows: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
 
 
 def cell_stats(rows: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
-    """(u_bin, v_bin, n, mean, median) of rows that are to be counted."""
-    sums = rows.groupBy(*CELL).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    return sums.join(medians(rows, hot=hot), CELL)
+    """(u_bin, v_bin, n, mean, median) of rows that are to be counted: one shuffle, unless a cell is too large for one buffer."""
+    sums = [F.count("*").alias("n"), F.avg("value").alias("mean")]
+    if not _any_hot(rows, CELL, "value", hot):
+        return rows.groupBy(*CELL).agg(*sums, F.median("value").alias("median"))
+    return rows.groupBy(*CELL).agg(*sums).join(_split_medians(rows, CELL, "value", hot), CELL)
 
 
 def mad_grid(rows: DataFrame, scale: float = MAD_SCALE, hot: int = HOT_ROWS) -> DataFrame:
