@@ -156,6 +156,11 @@ def test_formats(spark):
     assert df.select(formats.correlation_names(F.array(F.lit(9), F.lit(12), F.lit(5)))).first()[0] == "XX,YY,RR"
 
 
+def test_observation_summary(spark):
+    lists = summary.observation_summary(DerivedObservation(spark, FOLDER))
+    assert {k: v.count() > 0 for k, v in lists.items()} == dict.fromkeys(("main", "scans", "fields", "intents", "windows", "antennas"), True)
+
+
 def test_geodetic(spark):
     x = spark.range(1).select(*summary.geodetic(F.lit(6378137.0), F.lit(0.0), F.lit(0.0)), *summary.geodetic(F.lit(0.0), F.lit(1e-3), F.lit(6356752.314245))).first()
     assert x[0:3] == pytest.approx((0, 0, 0), abs=1e-6) and x[4] == pytest.approx(90, abs=1e-6) and x[5] == pytest.approx(0, abs=1e-3)

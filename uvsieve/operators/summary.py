@@ -97,3 +97,12 @@ def split_range(low: float, high: float, n: int) -> list[tuple[float, float]]:
     """``n`` ranges of equal width."""
     width = (high - low) / n
     return [(low + k * width, low + (k + 1) * width) for k in range(n)]
+
+
+def observation_summary(observation) -> dict[str, DataFrame]:
+    """All lists of an ``Observation`` by name, each a DataFrame; nothing is collected."""
+    o = observation
+    return {
+        "main": main_info(o.main), "scans": scan_list(o.main, o.fields, o.states), "fields": field_list(o.main, o.fields), "intents": field_intents(o.main, o.fields, o.states),
+        "windows": window_list(o.descriptions, o.windows, o.polarizations), "antennas": antenna_list(o.antennas),
+    }
