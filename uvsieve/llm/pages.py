@@ -175,7 +175,7 @@ def line_hash(text: str) -> int:
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per page: the hashes of its candidate lines and the packed lines."""
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=9).compress
     for batch in batches:
         for rows, column in slices(batch, "html"):
             found = [lines_of(p) for p in column.to_pylist()]
