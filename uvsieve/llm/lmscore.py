@@ -30,7 +30,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 END = np.uint64(0x454E44)  # no word's hash but by a chance of 2^-64
 #: Bytes of text in a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 class Block:
@@ -190,8 +190,8 @@ def score_documents(documents: DataFrame, *, folds: int = 5, held_fold: int = 1,
     blocks = max(shards, -(-size // block_bytes))
     shards = max(shards, blocks // 2)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(blocks)).cast("int"))
-    packed = dealt.mapInArrow(_pack_rows, "block int, doc_id long, training boolean, packed binary").repartition("block")
-    asked = packed.sortWithinPartitions("block").select("block", "training", "packed").mapInArrow(_asking(shards), "shard int, block int, packed binary")
+    packed = dealt.mapInArrow(_pack_rows, "block int, doc_id long, training boolean, packed binary")
+    asked = packed.repartition("block").sortWithinPartitions("block").select("block", "training", "packed").mapInArrow(_asking(shards), "shard int, block int, packed binary")
     answers = cut(asked.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(_answering, "block int, shard int, packed binary, v long, n long"))
     total = answers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     own = packed.select("block", F.lit(-1).alias("shard"), "doc_id", "packed")
