@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,15 +94,16 @@ class Encoder:
 
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
+        self.names: list[str] = []
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def learn(self, entries: np.ndarray, names: list[str]) -> None:
+    def learn(self, entries: np.ndarray) -> None:
         """Encodes each unit under each variant asked for: entry = row x variants + variant."""
         rows, variant = entries // self.variants, entries % self.variants
-        units = [names[r] for r in rows.tolist()]
+        units = [self.names[r] for r in rows.tolist()]
         with np.errstate(over="ignore"):
-            keys = mix64(np.array([_text_key(u) for u in units], np.uint64) ^ mix64(variant.astype(np.uint64) + np.uint64(self.seed % 2**64)))
+            keys = mix64(np.array([xxhash.xxh3_64_intdigest(u) for u in units], np.uint64) ^ mix64(variant.astype(np.uint64) + np.uint64(self.seed % 2**64)))
         flat, size = self.pieces.encode_units(units, keys, self.rate)
         if self.used + len(flat) > len(self.pool):
             self.pool = np.r_[self.pool[: self.used], np.zeros(max(len(flat), len(self.pool)), np.int32)]
@@ -119,6 +121,7 @@ class Encoder:
         rows = self.rows
         for u in set(units).difference(rows):
             rows[u] = len(rows)
+            self.names.append(u)
         row = np.fromiter(map(rows.__getitem__, units), np.int64, len(units))
         grown = len(rows) * self.variants - len(self.start)
         if grown > 0:
@@ -128,21 +131,13 @@ class Encoder:
             document = np.repeat(mix64(ids.view(np.uint64) ^ np.uint64(self.seed % 2**64)), count)
             entry = row * self.variants + (mix64(document + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.variants)).astype(np.int64)
         if len(missing := np.unique(entry[self.size[entry] < 0])):
-            self.learn(missing, list(rows))
+            self.learn(missing)
         size = self.size[entry]
         flat = self.pool[ragged(self.start[entry], size)]
         ends = np.r_[0, np.cumsum(count)]
         return flat, np.diff(np.r_[0, np.cumsum(size)][ends])
 
 
-def _text_key(unit: str) -> int:
-    """A 64-bit number from a unit's letters, alike on every machine."""
-    value = 0xCBF29CE484222325
-    for b in unit.encode():
-        value = (value ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return value
-
-
 def decode(pieces: Pieces, flat: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     """The bytes of each document's pieces, without the leading blank."""
     size = pieces.content_length[flat]
