@@ -94,12 +94,17 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different anchors of each text, and how often each stands in it."""
     for batch in batches:
         for rows, column in slices(batch):
             data, ends = utf8(column)
             hashes, _, first, _ = segments(data, ends)
-            ids = rows.column("doc_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[np.searchsorted(ends, first, "right") - 1])], ["anchor", "doc_id"])
+            owner = np.searchsorted(ends, first, "right") - 1
+            order = np.lexsort((hashes, owner))  # a text that repeats itself has few anchors, many times
+            hashes, owner = hashes[order], owner[order]
+            opens = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(hashes) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[opens, len(hashes)])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[opens].view(np.int64)), pa.array(rows.column("doc_id").to_numpy()[owner[opens]]), pa.array(times.astype(np.int32))], ["anchor", "doc_id", "times"])
 
 
 def _chosen(rows: pa.RecordBatch, column: pa.Array, name: str):
@@ -246,8 +251,8 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, start, stop): byte spans of ``documents(doc_id, text)`` covered by windows that also start earlier. They may overlap."""
-    listed = documents.mapInArrow(_anchor_rows, "anchor long, doc_id long").repartition("anchor")
-    counts = listed.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    listed = documents.mapInArrow(_anchor_rows, "anchor long, doc_id long, times int").repartition("anchor")
+    counts = listed.groupBy("anchor").agg(F.sum("times").alias("n")).where(F.col("n") > 1)
     repeated = listed.join(counts.hint("shuffle_hash"), "anchor")
     chosen = cut(repeated.groupBy("doc_id").agg(F.collect_set(F.when(F.col("n") <= hot, F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot")))
     kept = documents.join(chosen, "doc_id")
