@@ -147,11 +147,15 @@ def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         together = np.bincount(code, times[seen], len(known)).astype(np.int64)
         trie = Trie.build(words, counts, (known >> np.uint64(32)).astype(np.int64), (known & np.uint64(0xFFFFFFFF)).astype(np.uint32), together)
         del pairs, times, known, code
-        for i, (r, t) in enumerate(zip(rows, told, strict=True)):
-            where, found = trie.find_words(t[0])
-            at = np.where(found, where, 0)
-            codes = trie.find_successors(np.repeat(at, widened(t[2])), np.repeat(found, widened(t[2])), t[3])
-            answer = pack(narrow(np.where(found, counts[at], 0)), trie.rests[at], codes)
+        # all blocks' questions at once, so that each part of a level is decoded once
+        where, found = trie.find_words(np.concatenate([t[0] for t in told]))
+        at = np.where(found, where, 0)
+        fan = np.concatenate([widened(t[2]) for t in told])
+        every = trie.find_successors(np.repeat(at, fan), np.repeat(found, fan), np.concatenate([t[3] for t in told]))
+        ends = np.cumsum([0] + [len(t[3]) for t in told])
+        for i, r in enumerate(rows):
+            own, codes = slice(edges[i], edges[i + 1]), every[ends[i] : ends[i + 1]]
+            answer = pack(narrow(np.where(found[own], counts[at[own]], 0)), trie.rests[at[own]], codes)
             v, n = (int((counts > 0).sum()), int(counts.sum())) if i == 0 else (0, 0)
             yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int32()), pa.array([shard], pa.int32()), pa.array([answer], pa.binary()), pa.array([v]), pa.array([n])], ["block", "shard", "packed", "v", "n"])
 
