@@ -59,10 +59,11 @@ class Block:
         self.pair_counts = np.bincount(self.pair[learned], minlength=len(pairs))
 
 
-def shard_bounds(words: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's words begin among rising hashes, and the end."""
-    edges = np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
-    return np.r_[0, np.searchsorted(words, edges), len(words)]
+def shard_bounds(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that hold any of the rising hashes, and where the words of each begin, and the end."""
+    shard = (words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    some, first = np.unique(shard, return_index=True)
+    return some.astype(np.int32), np.r_[first, len(words)]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -120,15 +121,14 @@ def _asking(shards: int):
         squeeze = zstandard.ZstdDecompressor().decompress
         for block, rows in _blocks(batches, ("block", "training", "packed")):
             b = Block([squeeze(r[2]) for r in rows], np.array([r[1] for r in rows], bool))
-            bounds = shard_bounds(b.words, shards)
+            some, bounds = shard_bounds(b.words, shards)
             first = np.searchsorted(b.context, bounds)
             names = (b.words >> np.uint64(32)).astype(np.uint32)[b.successor]
             fan = np.bincount(b.context, minlength=len(b.words))
             out = []
-            for k in range(shards):
+            for k, shard in enumerate(some.tolist()):
                 w, p = slice(bounds[k], bounds[k + 1]), slice(first[k], first[k + 1])
-                if bounds[k] < bounds[k + 1]:
-                    out.append((k, block, pack(b.words[w], narrow(b.word_counts[w]), narrow(fan[w]), names[p], narrow(b.pair_counts[p]))))
+                out.append((shard, block, pack(b.words[w], narrow(b.word_counts[w]), narrow(fan[w]), names[p], narrow(b.pair_counts[p]))))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["shard", "block", "packed"])
 
     return run
