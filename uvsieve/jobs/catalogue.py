@@ -220,6 +220,12 @@ def group_flagval(spark, sf_dir):
     return found.select(*CELL, F.array_join(F.transform("members", lambda m: F.concat(m["newrow"].cast("string"), F.lit(":"), m["flag"].cast("int").cast("string"))), ",").alias("rows"))
 
 
+@query
+def group_members(spark, sf_dir):
+    """The members of every cell; the three queries group_indices, group_flagval and group_values show four columns of cells only, as their SQL does."""
+    return cells.members(binned(spark, sf_dir), "value", "flag").withColumn("value", F.round("value", 6))
+
+
 @query
 def distinct_bins(spark, sf_dir):
     return binned(spark, sf_dir).agg(F.countDistinct("u_bin").alias("u_bins"), F.countDistinct("v_bin").alias("v_bins"))

@@ -94,6 +94,16 @@ def grouped(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("newrow", *columns))).alias("members"))
 
 
+def members(rows: DataFrame, *columns: str, width: int = 100_000) -> DataFrame:
+    """(u_bin, v_bin, place, newrow, ...): the cell's rows in order of newrow, numbered from 1, a row each. A cell is cut into ranges of ``width``
+    newrows: the ranges' running sums are added, and only within a range is there a window, so that no cell meets in one task."""
+    placed = rows.select(*CELL, "newrow", *columns).withColumn("_block", F.floor(F.col("newrow") / width))
+    sizes = placed.groupBy(*CELL, "_block").agg(F.count("*").alias("_n"))
+    starts = sizes.select(*CELL, "_block", (F.sum("_n").over(Window.partitionBy(*CELL).orderBy("_block")) - F.col("_n")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy(*CELL, "_block").orderBy("newrow"))
+    return placed.withColumn("_within", within).join(starts, [*CELL, "_block"]).select(*CELL, (F.col("_start") + F.col("_within")).alias("place"), "newrow", *columns)
+
+
 def index_ranges(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*CELL).agg(F.min("newrow").alias("first_row"), F.max("newrow").alias("last_row"))
 
