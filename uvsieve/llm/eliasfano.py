@@ -117,9 +117,22 @@ def restored(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, np.exp2(-(codes.astype(np.float64) - 1) / SCALE), 0.0)
 
 
-def discounts(counts: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+#: Groups of contexts, by the power of two of what follows them, that have discounts of their own.
+GROUPS = 64
+
+
+def context_groups(total: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(total, 1)).astype(np.int64)
+
+
+def counts_of_counts(counts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How often counts of 1 to 4 occur in each group of contexts. Those of several tries add up."""
+    return np.stack([np.bincount(group[counts == k], minlength=GROUPS) for k in range(1, 5)], 1)
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
     """What is taken off counts of 1, 2 and more, for each group of contexts, from how often counts of 1 to 4 occur."""
-    n = np.stack([np.bincount(group[counts == k], minlength=groups) for k in range(1, 5)], 1).astype(np.float64)
+    n = n.astype(np.float64)
     y = n[:, 0] / np.maximum(n[:, 0] + 2 * n[:, 1], 1)
     out = np.stack([k - (k + 1) * y * n[:, k] / np.maximum(n[:, k - 1], 1) for k in (1, 2, 3)], 1)
     few = n.sum(1) < 50
@@ -139,13 +152,12 @@ class Trie:
     rests: np.ndarray
 
     @classmethod
-    def build(cls, words: np.ndarray, counts: np.ndarray, context: np.ndarray, word: np.ndarray, together: np.ndarray) -> Trie:
-        """``words`` rise; ``context`` (places in ``words``) and ``word`` (32-bit names) rise together."""
+    def build(cls, words: np.ndarray, counts: np.ndarray, context: np.ndarray, word: np.ndarray, together: np.ndarray, off: np.ndarray) -> Trie:
+        """``words`` rise; ``context`` (places in ``words``) and ``word`` (32-bit names) rise together; ``off``: the ``discounts`` of all tries."""
         store = Store()
         n = len(words)
         total = np.bincount(context, together, n)
-        group = np.log2(np.maximum(total, 1)).astype(np.int64)
-        off = discounts(together, group[context], 64)
+        group = context_groups(total)
         p = (together - off[group[context], np.minimum(together, 3).astype(np.int64) - 1]) / np.maximum(total[context], 1)
         codes = quantised(p)
         rest = np.where(total > 0, 1 - np.bincount(context, restored(codes), n), 1.0)

@@ -5,7 +5,8 @@ occurrences, rest(u) what the shares leave, and p(w) the add-half unigram of the
 
 No machine holds the model. Documents are dealt into blocks; each block tells every shard of the vocabulary which of the shard's
 words and successors it holds and how often its training documents do (counted, sorted and packed, so a hot word
-costs a block one entry). A shard adds up what all blocks tell, builds its trie - words, pointers and successors as
+costs a block one entry). A shard adds up what all blocks tell; how often counts of 1 to 4 occur is summed over all shards,
+so that the discounts are the corpus's and not the shard's. With them a shard builds its trie - words, pointers and successors as
 Elias-Fano levels, mapped from a file - and answers each block by successor search within the word's own range. With the
 answers, packed in the same order, each block scores its documents. Words are named by 64-bit hashes, successors within a
 word's range by the hash's upper 32 bits.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, slices, utf8
-from .eliasfano import Trie, restored
+from .eliasfano import GROUPS, Trie, context_groups, counts_of_counts, discounts, restored
 from .words import span_hashes, spans
 
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -134,19 +135,42 @@ def _asking(shards: int):
     return run
 
 
-def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard, rows in _blocks(batches, ("shard", "block", "packed")):
-        told = [unpack(r[2], "<u8", "u1", "u1", "<u4", "u1") for r in rows]
-        words, place = np.unique(np.concatenate([t[0] for t in told]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([widened(t[1]) for t in told]), len(words)).astype(np.int64)
-        edges = np.cumsum([0] + [len(t[0]) for t in told])
+class Told:
+    """What all blocks tell a shard, added up: words with their counts, and the pairs seen with theirs."""
+
+    def __init__(self, packed: list[bytes]):
+        self.parts = told = [unpack(x, "<u8", "u1", "u1", "<u4", "u1") for x in packed]
+        self.words, place = np.unique(np.concatenate([t[0] for t in told]), return_inverse=True)
+        self.counts = np.bincount(place, np.concatenate([widened(t[1]) for t in told]), len(self.words)).astype(np.int64)
+        self.edges = edges = np.cumsum([0] + [len(t[0]) for t in told])
         pairs = np.concatenate([np.repeat(place[a:b], widened(t[2])) for t, a, b in zip(told, edges[:-1], edges[1:], strict=True)]).astype(np.uint64) << np.uint64(32) | np.concatenate([t[3] for t in told])
         times = np.concatenate([widened(t[4]) for t in told])
         seen = times > 0
         known, code = np.unique(pairs[seen], return_inverse=True)
-        together = np.bincount(code, times[seen], len(known)).astype(np.int64)
-        trie = Trie.build(words, counts, (known >> np.uint64(32)).astype(np.int64), (known & np.uint64(0xFFFFFFFF)).astype(np.uint32), together)
-        del pairs, times, known, code
+        self.together = np.bincount(code, times[seen], len(known)).astype(np.int64)
+        self.context, self.name = (known >> np.uint64(32)).astype(np.int64), (known & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _surveying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often counts of 1 to 4 occur in each group of a shard's contexts, group by group."""
+    for _, rows in _blocks(batches, ("shard", "packed")):
+        told = Told([r[1] for r in rows])
+        group = context_groups(np.bincount(told.context, told.together, len(told.words)))
+        n = counts_of_counts(told.together, group[told.context]).reshape(-1)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["place", "n"])
+
+
+def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard, rows in _blocks(batches, ("shard", "block", "packed", "survey")):
+        n = np.zeros(4 * GROUPS, np.int64)
+        for entry in filter(None, (rows[0][3] or "").split(",")):
+            place, _, times = entry.partition(":")
+            n[int(place)] = int(times)
+        all_told = Told([r[2] for r in rows])
+        told, edges, words, counts = all_told.parts, all_told.edges, all_told.words, all_told.counts
+        trie = Trie.build(words, counts, all_told.context, all_told.name, all_told.together, discounts(n.reshape(GROUPS, 4)))
+        del all_told
         # all blocks' questions at once, so that each part of a level is decoded once
         where, found = trie.find_words(np.concatenate([t[0] for t in told]))
         at = np.where(found, where, 0)
@@ -196,7 +220,11 @@ def score_documents(documents: DataFrame, *, folds: int = 5, held_fold: int = 1,
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(blocks)).cast("int"))
     packed = dealt.mapInArrow(_pack_rows, "block int, doc_id long, training boolean, packed binary")
     asked = packed.repartition("block").sortWithinPartitions("block").select("block", "training", "packed").mapInArrow(_asking(shards), "shard int, block int, packed binary")
-    answers = cut(asked.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(_answering, "block int, shard int, packed binary, v long, n long"))
+    heard = asked.repartition("shard").sortWithinPartitions("shard", "block")  # read twice, shuffled once
+    survey = heard.select("shard", "packed").mapInArrow(_surveying, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    survey = survey.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "place", "n"))), ",").alias("survey"))  # one row, at most 256 numbers
+    informed = heard.crossJoin(F.broadcast(survey)).sortWithinPartitions("shard", "block")
+    answers = cut(informed.mapInArrow(_answering, "block int, shard int, packed binary, v long, n long"))
     total = answers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     own = packed.select("block", F.lit(-1).alias("shard"), "doc_id", "packed")
     told = answers.select("block", "shard", F.lit(None).cast("long").alias("doc_id"), "packed")
