@@ -42,18 +42,24 @@ class PairTable:
         return np.where(hit, self.rank[at], NEVER), np.where(hit, self.merged[at], -1)
 
 
+def place_hash(start, middle, end) -> np.ndarray:
+    """A candidate's identity within its word."""
+    with np.errstate(over="ignore"):
+        place = np.asarray(start, np.uint64) * np.uint64(0x9E3779B1) + np.asarray(middle, np.uint64) * np.uint64(0x85EBCA6B3) + np.asarray(end, np.uint64) * np.uint64(0xC2B2AE3D27)
+        return mix64(place)
+
+
 def candidate_hash(key, start, middle, end) -> np.ndarray:
     """The keyed hash that decides on a candidate."""
     with np.errstate(over="ignore"):
-        place = np.asarray(start, np.uint64) * np.uint64(0x9E3779B1) + np.asarray(middle, np.uint64) * np.uint64(0x85EBCA6B3) + np.asarray(end, np.uint64) * np.uint64(0xC2B2AE3D27)
-        return mix64(np.asarray(key, np.uint64) ^ mix64(place))
+        return mix64(np.asarray(key, np.uint64) ^ place_hash(start, middle, end))
 
 
 def threshold(rate: float) -> np.uint64:
     return np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
 
 
-def _agenda(symbols: np.ndarray, table: PairTable, rate: float, key: int) -> list[int]:
+def _agenda(symbols: np.ndarray, table: PairTable, rate: float, key: int, offered: list | None = None) -> list[int]:
     ids, n = symbols.tolist(), len(symbols)
     after, before, end = [*range(1, n), -1], [*range(-1, n - 1)], [*range(1, n + 1)]
     below, heap = int(threshold(rate)), []
@@ -67,6 +73,9 @@ def _agenda(symbols: np.ndarray, table: PairTable, rate: float, key: int) -> lis
             ranks, merged = table.find(np.array([a for a, _ in unknown]), np.array([b for _, b in unknown]))
             known.update(zip(unknown, zip(ranks.tolist(), merged.tolist(), strict=True), strict=True))
         skipped = candidate_hash(np.uint64(key), left, right, [end[j] for j in right]).tolist() if rate else [2**64] * len(pairs)
+        if offered is not None:
+            some = [(i, j, end[j]) for i, j, p in zip(left, right, new, strict=True) if known[p][0] != NEVER]
+            offered.append(np.array(some, np.int64).reshape(-1, 3))
         for i, j, p, h in zip(left, right, new, skipped, strict=True):
             if known[p][0] != NEVER and (not rate or h >= below):
                 heapq.heappush(heap, (known[p][0], i, j, end[j]))
@@ -86,7 +95,7 @@ def _agenda(symbols: np.ndarray, table: PairTable, rate: float, key: int) -> lis
     return [x for x in ids if x >= 0]
 
 
-def _side_by_side(ids: np.ndarray, lengths: np.ndarray, table: PairTable, rate: float, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _side_by_side(ids: np.ndarray, lengths: np.ndarray, table: PairTable, rate: float, keys: np.ndarray, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """ids: a row per word, filled up with -1."""
     n, width = ids.shape
     below, columns = threshold(rate), np.arange(width)
@@ -103,7 +112,11 @@ def _side_by_side(ids: np.ndarray, lengths: np.ndarray, table: PairTable, rate:
             skip = candidate_hash(keys[rows], start[rows, at], start[rows, at + 1], start[rows, np.minimum(at + 2, width)]) < below
             rank = np.where(skip, NEVER, rank)
         none = (left < 0) | (right < 0)
-        return np.where(none, NEVER, rank), merged
+        rank = np.where(none, NEVER, rank)
+        if offered is not None:
+            r, a = rows[rank != NEVER], at[rank != NEVER]
+            offered.append((r, place_hash(start[r, a], start[r, a + 1], start[r, np.minimum(a + 2, width)])))
+        return rank, merged
 
     rows, at = np.indices((n, width)).reshape(2, -1)
     rank, merged = (x.reshape(n, width) for x in ranks(rows, at))
@@ -132,10 +145,11 @@ def _side_by_side(ids: np.ndarray, lengths: np.ndarray, table: PairTable, rate:
             rank[alive[ok], where[ok]], merged[alive[ok], where[ok]] = ranks(alive[ok], where[ok])
 
 
-def merge_words(flat: np.ndarray, lengths: np.ndarray, table: PairTable, rate: float = 0.0, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def merge_words(flat: np.ndarray, lengths: np.ndarray, table: PairTable, rate: float = 0.0, keys: np.ndarray | None = None, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of words (one after the other in ``flat``) after merging, and how many each has.
 
-    rate: the share of candidates to skip; keys: an unsigned 64-bit key per word.
+    rate: the share of candidates to skip; keys: an unsigned 64-bit key per word. ``offered`` takes, in parts, the words' numbers and the place
+    hashes of all candidates met on the way; at rate 0 a word whose key skips none of these merges alike at any rate.
     """
     lengths = np.asarray(lengths, np.int64)
     starts, n = np.cumsum(lengths) - lengths, len(lengths)
@@ -154,13 +168,20 @@ def merge_words(flat: np.ndarray, lengths: np.ndarray, table: PairTable, rate: f
         size, width = lengths[rows], int(lengths[order[to - 1]])
         ids = np.full((len(rows), width), -1, np.int32)
         ids[np.arange(width)[None, :] < size[:, None]] = flat[ragged(starts[rows], size)]
-        ids, size = _side_by_side(ids, size, table, rate, keys[rows])
+        met = None if offered is None else []
+        ids, size = _side_by_side(ids, size, table, rate, keys[rows], met)
+        if offered is not None:
+            offered.extend((rows[r], h) for r, h in met)
         parts.append(ids[np.arange(width)[None, :] < size[:, None]])
         out_lengths[rows] = size
         done.append(rows)
         at = to
     for row in order[short:]:
-        merged = _agenda(flat[starts[row] : starts[row] + lengths[row]], table, rate, int(keys[row]))
+        met = None if offered is None else []
+        merged = _agenda(flat[starts[row] : starts[row] + lengths[row]], table, rate, int(keys[row]), met)
+        if met:
+            places = np.concatenate(met)
+            offered.append((np.full(len(places), row), place_hash(*places.T)))
         parts.append(np.array(merged, np.int32))
         out_lengths[row] = len(merged)
         done.append(np.array([row]))

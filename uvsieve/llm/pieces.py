@@ -6,8 +6,9 @@ skipped when its keyed hash falls below the rate, so a word is cut differently f
 alike for the same seed, document and place. Pieces joined again give the text back.
 
 No piece holds a mark after another letter, or a line feed; that is proved when the model is read. Hence
-units - marks with the letters after them, and line feeds - never interact and are encoded apart. A place in a document picks
-one of ``variants`` keys by a keyed hash, and a unit under a key is encoded once per worker.
+units - marks with the letters after them, and line feeds - never interact and are encoded apart. Every occurrence has a key of its
+own, of seed, document and place. A unit is encoded without dropout once per worker; only occurrences whose key skips a candidate
+met on that way are encoded again, and the others would come out the same.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mix64, ragged, slices, utf8
-from .merges import PairTable, merge_words
+from .merges import PairTable, merge_words, threshold
 
 MARK = "▁"
 #: Units a worker remembers before it starts afresh; bounds memory, not results.
 MEMORY_UNITS = 400_000
+#: Occurrences whose candidates are looked at at a time.
+STEP = 100_000
 UNIT = re.compile("\n| *[^ \n]+| +")
 BYTE = re.compile("<0x([0-9A-F]{2})>")
 
@@ -66,13 +69,13 @@ class Pieces:
         #: A letter that is no piece stands as this number plus its code point until it is spelt in bytes.
         self.foreign = n
 
-    def encode_units(self, units: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    def encode_units(self, units: list[str], keys: np.ndarray, rate: float, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         joined = "".join(units).replace(" ", MARK)
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         distinct, code = np.unique(points, return_inverse=True)
         symbols = np.array([self.ids.get(chr(c), self.foreign + int(c)) for c in distinct], np.int32)[code]
-        flat, count = merge_words(symbols, lengths, self.table, rate, keys)
+        flat, count = merge_words(symbols, lengths, self.table, rate, keys, offered)
         foreign = np.flatnonzero(flat >= self.foreign)
         if len(foreign):
             owner = np.repeat(np.arange(len(units)), count)
@@ -85,55 +88,85 @@ class Pieces:
         return flat, count
 
 
+class Runs:
+    """Runs of numbers, one after the other."""
+
+    def __init__(self, kind):
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, kind), 0
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.r_[self.pool[: self.used], np.zeros(max(len(flat), len(self.pool)), self.pool.dtype)]
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.start, self.size = np.r_[self.start, self.used + np.cumsum(size) - size], np.r_[self.size, size]
+        self.used += len(flat)
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        return self.pool[ragged(self.start[rows], self.size[rows])]
+
+
 class Encoder:
-    """Encodes documents; remembers the units met so far."""
+    """Encodes documents; remembers the units met so far: their pieces without dropout, and the candidates met on the way there."""
 
-    def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int):
-        self.pieces, self.rate, self.seed, self.variants = pieces, rate, seed, variants if rate else 1
+    def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int | None = None):
+        self.pieces, self.rate, self.seed, self.variants = pieces, rate, seed, variants
         self.forget()
 
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.names: list[str] = []
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
-
-    def learn(self, entries: np.ndarray) -> None:
-        """Encodes each unit under each variant asked for: entry = row x variants + variant."""
-        rows, variant = entries // self.variants, entries % self.variants
-        units = [self.names[r] for r in rows.tolist()]
-        with np.errstate(over="ignore"):
-            keys = mix64(np.array([xxhash.xxh3_64_intdigest(u) for u in units], np.uint64) ^ mix64(variant.astype(np.uint64) + np.uint64(self.seed % 2**64)))
-        flat, size = self.pieces.encode_units(units, keys, self.rate)
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.r_[self.pool[: self.used], np.zeros(max(len(flat), len(self.pool)), np.int32)]
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.start[entries], self.size[entries] = self.used + np.cumsum(size) - size, size
-        self.used += len(flat)
+        self.whole, self.offers = Runs(np.int32), Runs(np.uint64)
+
+    def learn(self, units: list[str]) -> None:
+        """Encodes each unit without dropout."""
+        offered: list[tuple[np.ndarray, np.ndarray]] | None = [] if self.rate else None
+        self.whole.add(*self.pieces.encode_units(units, np.zeros(len(units), np.uint64), 0.0, offered))
+        owner, places = (np.concatenate(x) for x in zip(*offered, strict=True)) if offered else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        self.offers.add(places[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(units)))
+        self.rows.update(zip(units, range(len(self.rows), len(self.rows) + len(units)), strict=True))
+
+    def varied(self, row: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The occurrences that skip a candidate."""
+        below, found = threshold(self.rate), []
+        for at in range(0, len(row), STEP):
+            part = row[at : at + STEP]
+            n = self.offers.size[part]
+            skip = mix64(np.repeat(keys[at : at + STEP], n) ^ self.offers.take(part)) < below
+            hit = np.zeros(len(part), bool)
+            hit[np.repeat(np.arange(len(part)), n)[skip]] = True
+            found.append(at + np.flatnonzero(hit))
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def encode(self, ids: np.ndarray, documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The piece numbers of all documents, one after the other, and how many each has."""
-        if len(self.rows) > MEMORY_UNITS or self.used > 16 * MEMORY_UNITS:
+        if len(self.rows) > MEMORY_UNITS or max(self.whole.used, self.offers.used) > 16 * MEMORY_UNITS:
             self.forget()
         split = [UNIT.findall(" " + t) if t else [] for t in documents]
         count = np.fromiter(map(len, split), np.int64, len(split))
         units = [u for s in split for u in s]
-        rows = self.rows
-        for u in set(units).difference(rows):
-            rows[u] = len(rows)
-            self.names.append(u)
-        row = np.fromiter(map(rows.__getitem__, units), np.int64, len(units))
-        grown = len(rows) * self.variants - len(self.start)
-        if grown > 0:
-            self.start, self.size = np.r_[self.start, np.zeros(grown, np.int64)], np.r_[self.size, np.full(grown, -1)]
-        with np.errstate(over="ignore"):
-            place = ragged(np.zeros(len(count), np.int64), count).astype(np.uint64)
-            document = np.repeat(mix64(ids.view(np.uint64) ^ np.uint64(self.seed % 2**64)), count)
-            entry = row * self.variants + (mix64(document + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.variants)).astype(np.int64)
-        if len(missing := np.unique(entry[self.size[entry] < 0])):
-            self.learn(missing)
-        size = self.size[entry]
-        flat = self.pool[ragged(self.start[entry], size)]
+        if new := list(set(units).difference(self.rows)):
+            self.learn(new)
+        row = np.fromiter(map(self.rows.__getitem__, units), np.int64, len(units))
+        size = self.whole.size[row]
+        redone = np.zeros(0, np.int64)
+        if self.rate:
+            with np.errstate(over="ignore"):
+                place = ragged(np.zeros(len(count), np.int64), count).astype(np.uint64)
+                document = np.repeat(mix64(ids.view(np.uint64) ^ np.uint64(self.seed % 2**64)), count)
+                keys = mix64(document + place * np.uint64(0x9E3779B97F4A7C15))
+                if self.variants:
+                    names = np.array([xxhash.xxh3_64_intdigest(u) for u in units], np.uint64)
+                    keys = mix64(names ^ mix64(keys % np.uint64(self.variants) + np.uint64(self.seed % 2**64)))
+            redone = self.varied(row, keys)
+        if len(redone):
+            again, size[redone] = self.pieces.encode_units([units[k] for k in redone.tolist()], keys[redone], self.rate)
+        at = np.cumsum(size) - size
+        flat = np.zeros(int(size.sum()), np.int32)
+        same = np.ones(len(row), bool)
+        same[redone] = False
+        flat[ragged(at[same], size[same])] = self.whole.take(row[same])
+        if len(redone):
+            flat[ragged(at[redone], size[redone])] = again
         ends = np.r_[0, np.cumsum(count)]
         return flat, np.diff(np.r_[0, np.cumsum(size)][ends])
 
@@ -146,13 +179,13 @@ def decode(pieces: Pieces, flat: np.ndarray, lengths: np.ndarray) -> list[bytes]
     return [joined[a + 1 : b] if b > a else b"" for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def encode_pieces(documents: DataFrame, model: str, *, rate: float = 0.1, seed: int = 17, variants: int = 8, carry: bool = False) -> DataFrame:
+def encode_pieces(documents: DataFrame, model: str, *, rate: float = 0.1, seed: int = 17, variants: int | None = None, carry: bool = False) -> DataFrame:
     """doc_id, n_pieces, pieces (array of piece numbers) and lossless of every row of ``documents(doc_id, text)``.
 
     ``lossless``: the pieces were decoded again and gave the text. It fails only where a text holds the mark itself,
     which decodes to a blank. Null and empty texts have no pieces. At rate 0 the pieces are those of the model's own encoder. Repeated
     rows give equal results, a null doc_id counts as 0; other columns are not read; nothing is shuffled.
-    ``model`` is a merge-type model's path that every executor can read. Dropout draws for a unit one of ``variants`` segmentations.
+    ``model`` is a merge-type model's path that every executor can read. Dropout is drawn for each occurrence of a unit; with ``variants``, from so many keys only.
     With ``carry``, all columns of ``documents`` come along (their names must differ from the three added ones).
     """
 
