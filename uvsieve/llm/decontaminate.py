@@ -14,6 +14,7 @@ enough of their five-word runs, in the question and in the answer part, must sta
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -24,14 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, utf8
+from .common import cut, ragged, slices, texts, utf8
 from .words import PUNCTUATED, shingles, span_hashes, spans
 
 K1, B = 1.2, 0.75
 SIZE = 5
 BLOCK = 8
-#: Bytes of test items that one index (and its broadcast) holds; more items make more indexes.
+#: Bytes of test items that one index holds; more items make more indexes. So many of them are broadcast together.
 INDEX_BYTES = 8 << 20
+AT_A_TIME = 4
 SLACK = 1e-6
 
 
@@ -69,22 +71,28 @@ def question_length(text: str, n_words: int) -> int:
     return max(1, math.ceil(n_words * 2 / 3))
 
 
-def build(items: list[tuple[int, str]], least: float) -> Index | None:
-    items = [(i, t) for i, t in items if t]
-    if not items:
-        return None
+@dataclass(frozen=True)
+class Whole:
+    """What the weights need to know of all items: how many have words, their mean length, and the longest one's."""
+
+    n: int
+    mean: float
+    longest: int
+
+
+def build(items: list[tuple[int, str]], known: dict[int, int], whole: Whole, least: float) -> Index | None:
+    """The index of some of the items. ``known``: in how many of all items each term (by hash) stands."""
     words, owner = words_of(pa.array([t for _, t in items], pa.large_string()))
     count = np.bincount(owner, minlength=len(items))
-    has = np.flatnonzero(count)
-    if not len(has):
+    if not len(words):
         return None
     begin = np.searchsorted(owner, np.arange(len(items) + 1))
     terms, code = np.unique(words, return_inverse=True)
     pairs, tf = np.unique(owner * len(terms) + code, return_counts=True)
     item, term = pairs // len(terms), pairs % len(terms)
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log(1 + (len(has) - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * count[item] / count[has].mean()))
+    df = np.array([known[t] for t in terms.view(np.int64).tolist()], np.float64)
+    idf = np.log(1 + (whole.n - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * count[item] / whole.mean))
     runs, question, floor = [], [], np.ones(len(items))
     for i, (_, text) in enumerate(items):
         own = words[begin[i] : begin[i + 1]]
@@ -107,7 +115,7 @@ def build(items: list[tuple[int, str]], least: float) -> Index | None:
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     return Index(
         [i for i, _ in items], terms, np.searchsorted(terms >> np.uint64(48), np.arange(65537, dtype=np.uint64)), number, most, np.searchsorted(term[first], np.arange(len(terms) + 1)), (item // BLOCK)[first], np.maximum.reduceat(weight, first),
-        np.r_[first, len(cell)], item, weight, runs, question, int(count.max()),
+        np.r_[first, len(cell)], item, weight, runs, question, whole.longest,
     )
 
 
@@ -191,66 +199,112 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, least: float = 0.8, lea
     ``documents(doc_id, text)``, ``benchmark(item_id, text)``. Held: a passage has at least ``least`` of the item's five-word runs (an item
     under five words is one run) and at least ``least_part`` of those of its question and of its answer. Letter case and ASCII
     punctuation don't count. The score is BM25 over the least that such a passage reaches. Null or wordless texts and
-    items match nothing; rows that repeat give repeated results, items that repeat count once. With an empty table there is no row.
-    Items beyond ``index_bytes`` make further indexes, each of which all documents are held against.
+    items match nothing; rows that repeat give repeated results, items that repeat count once; a null doc_id or item_id stays null. With an empty table there is no row.
+    Items beyond ``index_bytes`` make further indexes; the statistics are those of all items, so the rows don't depend on it.
     """
     schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
-    def against(index) -> DataFrame:
+    def against(parts) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x = index.value
-            for batch in batches if x else ():
+            for batch in batches:
                 for rows, column in slices(batch):
-                    best = held_items(x, column, least, least_part)
+                    held = held_items(parts.value, column, least, least_part)
                     ids = rows.column("doc_id").to_pylist()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[o] for o, _ in best], pa.int64()), pa.array([x.item_ids[i] for _, i in best], pa.int64()), *(pa.array([v[k] for v in best.values()], pa.float64()) for k in (1, 0, 2, 3))],
+                        [pa.array([ids[o] for o, _, _ in held], pa.int64()), pa.array([parts.value[p].item_ids[i] for _, p, i in held], pa.int64()), *(pa.array([v[k] for v in held.values()], pa.float64()) for k in (1, 0, 2, 3))],
                         ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"],
                     )
 
         return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionAll, [against(i) for i in indexes(benchmark, least, index_bytes)])
+    return reduce(DataFrame.unionAll, [against(p) for p in indexes(benchmark, least, index_bytes)])
 
 
-def indexes(benchmark: DataFrame, least: float, index_bytes: int) -> list:
-    """Broadcast indexes of all items, each of about ``index_bytes`` of their text."""
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different terms of each item, and its number of words with the first of them."""
+    for batch in batches:
+        words, owner = words_of(texts(batch.column("text")))
+        if not len(words):
+            continue
+        count = np.bincount(owner, minlength=batch.num_rows)
+        order = np.lexsort((words, owner))
+        words, owner = words[order], owner[order]
+        opens = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])])
+        head = np.r_[True, owner[opens][1:] != owner[opens][:-1]]
+        yield pa.RecordBatch.from_arrays([batch.column("part").take(pa.array(owner[opens])), pa.array(words[opens].view(np.int64)), pa.array(np.where(head, count[owner[opens]], 0))], ["part", "term", "n_words"])
+
+
+def indexes(benchmark: DataFrame, least: float, index_bytes: int = INDEX_BYTES, at_a_time: int = AT_A_TIME) -> list:
+    """Broadcast lists of indexes of all items. An index holds about ``index_bytes`` of their text, and is built in a task of its own;
+    a list holds ``at_a_time`` indexes, and documents are read once for each list."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).dropDuplicates()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // index_bytes))
-
-    def one(part: int):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        return benchmark.sparkSession.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in rows], least))
-
-    return [one(p) for p in range(parts)]
-
-
-def held_items(index: Index, column: pa.Array, least: float, least_part: float) -> dict[tuple[int, int], tuple[float, ...]]:
-    """By text and item that it holds: the overlap, score, question's and answer's overlap of its best passage."""
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    terms = cut(items.select("part", "text").mapInArrow(_item_terms, "part int, term long, n_words long"))
+    x = terms.where("n_words > 0").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.max("n_words").alias("longest")).first()
+    context = benchmark.sparkSession.sparkContext
+    if not x["n"]:
+        return [context.broadcast([])]
+    whole = Whole(x["n"], x["words"] / x["n"], x["longest"])
+    known = terms.groupBy("term").agg(F.count("*").alias("df"), F.collect_set("part").alias("parts"))  # at most as many as indexes
+    told = known.select(F.explode("parts").alias("part"), "term", "df", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finish() -> pa.RecordBatch:
+            made = build(rows, df, whole, least)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps(made)], pa.binary())], ["part", "packed"])
+
+        part, df, rows = None, {}, []
+        for batch in batches:
+            for p, term, n, item, text in zip(*(batch.column(c).to_pylist() for c in ("part", "term", "df", "item_id", "text")), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield finish()
+                    part, df, rows = p, {}, []
+                if term is None:
+                    rows.append((item, text))
+                else:
+                    df[term] = n
+        if part is not None:
+            yield finish()
+
+    both = told.unionByName(items.withColumn("term", F.lit(None).cast("long")).withColumn("df", F.lit(None).cast("long")))
+    built = cut(both.repartition("part").sortWithinPartitions("part", "item_id", "text").mapInArrow(run, "part int, packed binary"))
+    out = []
+    for first in range(0, parts, at_a_time):
+        made = [pickle.loads(r["packed"]) for r in built.where(F.col("part").between(first, first + at_a_time - 1)).orderBy("part").collect()]
+        out.append(context.broadcast([m for m in made if m]))
+    return out
+
+
+def held_items(parts: list[Index], column: pa.Array, least: float, least_part: float) -> dict[tuple[int, int, int], tuple[float, ...]]:
+    """By text, index and item that it holds: the overlap, score, question's and answer's overlap of its best passage."""
+    best: dict[tuple[int, int, int], tuple[float, ...]] = {}
+    if not parts:
+        return best
     words, owner = words_of(column)
-    best: dict[tuple[int, int], tuple[float, ...]] = {}
-    for b, e, i, s in zip(*(x.tolist() for x in retrieve(index, words, owner, max(32, index.stride))), strict=True):
-        held = np.isin(index.runs[i], shingles(words[b:e], owner[b:e], SIZE)[0])
-        asked = index.question[i]
-        overlap = held.mean()
-        question = held[asked].mean() if asked.any() else overlap
-        answer = held[~asked].mean() if not asked.all() else overlap
-        if overlap >= least - 1e-9 and min(question, answer) >= least_part - 1e-9:
-            key = (int(owner[b]), i)
-            best[key] = max(best.get(key, (0.0,)), (float(overlap), s, float(question), float(answer)))
+    for part, index in enumerate(parts):
+        for b, e, i, s in zip(*(x.tolist() for x in retrieve(index, words, owner, max(32, index.stride))), strict=True):
+            held = np.isin(index.runs[i], shingles(words[b:e], owner[b:e], SIZE)[0])
+            asked = index.question[i]
+            overlap = held.mean()
+            question = held[asked].mean() if asked.any() else overlap
+            answer = held[~asked].mean() if not asked.all() else overlap
+            if overlap >= least - 1e-9 and min(question, answer) >= least_part - 1e-9:
+                key = (int(owner[b]), part, i)
+                best[key] = max(best.get(key, (0.0,)), (float(overlap), round(s, 9), float(question), float(answer)))
     return best
 
 
 def drop_leaked(documents: DataFrame, benchmark: DataFrame, *, least: float = 0.8, least_part: float = 0.5, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The rows of ``documents`` that hold no test item (as ``leaks`` finds them), with all their columns. Nothing is shuffled."""
-    for index in indexes(benchmark, least, index_bytes):
+    """The rows of ``documents`` that hold no test item (as ``leaks`` finds them), with all their columns. No document is shuffled."""
+    for parts in indexes(benchmark, least, index_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            x = index.value
+        def run(batches: Iterator[pa.RecordBatch], parts=parts) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for rows, column in slices(batch):
-                    leaked = {o for o, _ in held_items(x, column, least, least_part)} if x else ()
+                    leaked = {o for o, _, _ in held_items(parts.value, column, least, least_part)}
                     yield rows.filter(pa.array([k not in leaked for k in range(rows.num_rows)], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)
