@@ -255,7 +255,8 @@ def test_lines_of_page():
     page = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>x</p>";</script><style>p{}</style></head><body><header><p>Site</p></header><nav><ul><li>Home</li></ul></nav>
     <div class="cookie-notice">We use cookies</div><main><article><header><h1>Head &amp; line</h1></header><p>One <b>two</b>
       three&nbsp;four<br>five<p>Six<ul><li>a</li><li>b</li></ul><form><p>Sign up</p></form><aside>Also</aside><div id="comments"><p>Nice!</p></div></article></main><footer>&copy; x</footer></body></html>"""
-    assert [t for m, t in lines_of(page) if m] == ["Head & line", "One two three four five", "Six", "a", "b"]
+    assert [t for m, t in lines_of(page) if m == "-"] == ["T", "Site", "Home", "We use cookies", "Sign up", "Also", "Nice!", "© x"]
+    assert [t for m, t in lines_of(page) if m == "+"] == ["Head & line", "One two three four five", "Six", "a", "b"]
     assert [t for _, t in lines_of("plain < text <b>bold</b> &lt;")] == ["plain < text bold <"]
     assert lines_of("") == [] and lines_of("<p>") == [] and [t for _, t in lines_of("<article><p>cut o")] == ["cut o"]
 

@@ -1,31 +1,39 @@
-"""Main text of web pages by differencing with the page of nearest URL.
+"""Main text of web pages by differencing with the pages of nearest URL.
 
-A page's markup is cut into lines: one for each block of text, with where it stood. Pages are put in order of host and
-path; a page's mate is the neighbour, before or after it on the same host, whose path it shares the longer start with. The
-lines of a page and its mate are aligned by their longest common subsequence, and what both have is the site's, not
-the page's: shared lines are deleted. Inside an article element a shared line stays if it reads as prose, or if
-most of the article is shared (then the mate is a copy, and says nothing about the site).
+A page's markup is cut into lines: one for each block of text, whatever element it stands in. Pages are put in order of
+host and path; a page's mates are the page before and the page after it on its host, copies passed over, and the nearer is the one
+whose path it shares the longer start with. The lines of a page and of each mate are aligned by their longest common subsequence, and what both
+have is the site's, not the page's: lines shared with the nearer mate are deleted. In an article element it takes both mates (where there are two),
+so that a passage that one neighbour quotes stays.
 
-Elements that never hold main text (menus, forms, scripts, adverts by class or role, reader comments and so on)
-are left out before lines are aligned.
+Elements speak only for lines that no alignment deletes, since a site may have texts that no two pages share: those in elements
+that never hold main text (menus, forms, adverts by class or role, reader comments and so on) go too, and on a page with an article
+or main element those outside of it.
+
+Pages that follow each other and are alike in 90 % of their main text, by length, are copies. A run of copies has the same mates: the last
+page before it and the first after it.
 """
 
 from __future__ import annotations
 
 import html
+import os.path
+import pickle
 import re
-from bisect import bisect_left
+import tempfile
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import slices
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|math|textarea|select|object|canvas|audio|video)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -41,8 +49,14 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dir
 MARKED = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted related replies reply respond share sharing shares sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar alertdialog form".split())
 MAIN = frozenset(("article", "main"))
-#: A line of an article with fewer words and no mark of a sentence at its end is not prose.
-PROSE_WORDS = 6
+#: Kinds of lines: in an article or main element, outside of one, and in an element that never holds main text.
+INSIDE, OUTSIDE, APART = "+", " ", "-"
+#: The share of both pages' main text, by length, that makes them copies.
+COPY = 0.9
+#: Ranges of URLs for each shuffle partition, and URLs sampled to cut a range.
+RANGES, SAMPLES = 4, 40
+#: Bytes of packed pages of a run of copies held in memory; the rest waits in a scratch file of the task.
+HELD_BYTES = 32 << 20
 
 
 def _is_marked(rest: str) -> bool:
@@ -61,53 +75,63 @@ def _is_marked(rest: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[bool, str]]:
-    """The page's blocks of text in order, each with whether it stands in an article or main element."""
-    out: list[tuple[bool, str]] = []
+def lines_of(page: str) -> list[tuple[str, str]]:
+    """The page's blocks of text in order, each with its kind. Raw elements (scripts, styles, drop-down lists and so on) have none."""
+    out: list[tuple[str, str]] = []
     block: list[str] = []
+    apart: list[str] = []
     inside, skipping, depth = 0, "", 0
     at = 0
 
-    def close() -> None:
-        if block:
-            text = " ".join(html.unescape("".join(block)).split())
+    def close(pieces: list[str], kind: str) -> None:
+        if pieces:
+            text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append((inside > 0, text))
-            block.clear()
+                out.append((kind, text))
+            pieces.clear()
+
+    def place() -> str:
+        return INSIDE if inside else OUTSIDE
 
     for token in TOKEN.finditer(page):
-        if token.start() > at and not skipping:
-            block.append(page[at : token.start()])
+        if token.start() > at:
+            (apart if skipping else block).append(page[at : token.start()])
         at = token.end()
         name = token["name"]
         if not name:
             continue
         name, closing = name.lower(), bool(token["close"])
         if skipping:
+            if name in BLOCKS or name in SKIPPED:
+                close(apart, APART)
+            elif name in VOID or name in ("td", "th"):
+                apart.append(" ")
             if name == skipping:
                 depth += -1 if closing else not token["rest"].endswith("/")
                 if depth <= 0:
+                    close(apart, APART)
                     skipping = ""
                 continue
             # an article that begins, or whatever ends the body, ends an element that was never closed
             if not ((name in MAIN and not closing and not inside) or (closing and (name in ("body", "html") or (name in MAIN and inside)))):
                 continue
+            close(apart, APART)
             skipping = ""
         if closing:
             if name in BLOCKS:
-                close()
+                close(block, place())
                 if name in MAIN and inside:
                     inside -= 1
             continue
         if name in VOID:
             if name == "hr":
-                close()
+                close(block, place())
             else:
                 block.append(" ")
             continue
         skip = name in SKIPPED or (name == "header" and not inside) or (name not in ("html", "body", "article", "main") and _is_marked(token["rest"]))
         if name in BLOCKS or (skip and name not in ("label", "button")):
-            close()
+            close(block, place())
         if skip:
             if not token["rest"].endswith("/"):
                 skipping, depth = name, 1
@@ -116,9 +140,10 @@ def lines_of(page: str) -> list[tuple[bool, str]]:
             block.append(" ")
         if name in MAIN:
             inside += 1
-    if at < len(page) and not skipping:
-        block.append(page[at:])
-    close()
+    if at < len(page):
+        (apart if skipping else block).append(page[at:])
+    close(apart, APART)
+    close(block, place())
     return out
 
 
@@ -151,116 +176,232 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
     return [*range(start), *reversed(middle), *range(len(a) - end, len(a))]
 
 
-def main_text(lines: list[tuple[bool, str]], mate: np.ndarray) -> str:
-    """What is left of a page's lines without those it shares with its mate."""
-    kept = [k for k in range(len(lines)) if lines[k][0]] if any(m for m, _ in lines) else list(range(len(lines)))
-    hashes = np.array([line_hash(lines[k][1]) for k in kept], np.int64)
-    shared = set(common_lines(hashes, mate)) if len(mate) and len(kept) else set()
-    in_article = bool(kept) and lines[kept[0]][0]
-    size = [len(lines[k][1]) for k in kept]
-    if shared and 2 * sum(size[i] for i in shared) > sum(size):
-        shared = set()  # a copy, not another page of the site
-    out = []
-    for i, k in enumerate(kept):
-        text = lines[k][1]
-        if i in shared and not (in_article and (len(text.split()) >= PROSE_WORDS or text[-1] in ".!?:;\"'”»…)")):
-            continue
-        out.append(text)
-    return "\n".join(out)
-
-
 def line_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: the hashes of its candidate lines and the packed lines."""
-    pack = zstandard.ZstdCompressor(level=9).compress
+@dataclass
+class Page:
+    """A page as the stream of pages in order of URL holds it."""
+
+    page_id: int | None
+    url: str | None
+    host: str
+    path: str
+    packed: bytes
+    lines: list[tuple[str, str]] = field(init=False)
+    hashes: np.ndarray = field(init=False)
+    main: Counter = field(init=False)
+    size: int = field(init=False)
+
+    def __post_init__(self) -> None:
+        content = zstandard.ZstdDecompressor().decompress(self.packed).decode() if self.packed else ""
+        self.lines = [(x[0], x[1:]) for x in content.split("\n")] if content else []
+        self.hashes = np.array([line_hash(t) for _, t in self.lines], np.int64)
+        kind = INSIDE if any(k == INSIDE for k, _ in self.lines) else OUTSIDE
+        self.main = Counter()
+        for (k, t), h in zip(self.lines, self.hashes.tolist(), strict=True):
+            if k == kind:
+                self.main[h] += len(t)
+        self.size = sum(self.main.values())
+
+    def is_copy(self, other: Page) -> bool:
+        low, high = sorted((self.size, other.size))
+        return low > 0 and low >= COPY * high and (self.main & other.main).total() >= COPY * high
+
+    def text(self, before: Page | None, after: Page | None) -> str:
+        """The page's text without lines that its mates have too."""
+        mates = [m for m in (before, after) if m is not None]
+        shared = [set(common_lines(self.hashes, m.hashes)) for m in mates]
+        near = max(range(len(mates)), key=lambda k: len(os.path.commonprefix([self.path, mates[k].path])), default=None)  # the earlier of equals
+        site = set.intersection(*shared) if shared else set()
+        kind, gone = (INSIDE, site) if any(k == INSIDE for k, _ in self.lines) else (OUTSIDE, shared[near] if mates else set())
+        return "\n".join(t for i, (k, t) in enumerate(self.lines) if k == kind and i not in gone)
+
+
+def _line_rows(bounds: list[tuple]):
+    """Per page: the range its URL falls into, and its packed lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=9).compress
+        for batch in batches:
+            for rows, column in slices(batch, "html"):
+                packed = [pack("\n".join(k + t for k, t in lines_of(p)).encode()) for p in column.to_pylist()]
+                keys = zip(*(rows.column(c).to_pylist() for c in ("host", "path", "place")), strict=True)
+                part = pa.array([bisect_right(bounds, k) for k in keys], pa.int32())
+                yield pa.RecordBatch.from_arrays([part, *(rows.column(c) for c in ("host", "path", "place", "page_id", "url")), pa.array(packed, pa.binary())], ["part", "host", "path", "place", "page_id", "url", "packed"])
+
+    return run
+
+
+class Run:
+    """Pages that follow each other and are copies. Not known: what stands before the first run of a range, and after the last."""
+
+    def __init__(self, part: int, page: Page, before: Page | None, first: bool):
+        self.part, self.before, self.after, self.first, self.last = part, before, None, first, False
+        self.opening = self.closing = page
+        self.rows, self.size, self.file = [], 0, None
+        self.add(page)
+
+    def add(self, page: Page) -> None:
+        self.closing = page
+        self.rows.append(_row(page))
+        self.size += len(page.packed)
+        if self.size > HELD_BYTES:
+            self.file = self.file or tempfile.TemporaryFile()
+            pickle.dump(self.rows, self.file)
+            self.rows, self.size = [], 0
+
+    def pages(self) -> Iterator[tuple]:
+        if self.file:
+            self.file.seek(0)
+            while True:
+                try:
+                    yield from pickle.load(self.file)
+                except EOFError:
+                    break
+        yield from self.rows
+
+
+def _row(page: Page | None) -> tuple:
+    return (page.page_id, page.url, page.host, page.path, page.packed) if page else (None,) * 5
+
+
+def _page(row: tuple) -> Page | None:
+    return Page(*row) if row[4] is not None else None
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
+    """The runs of copies of each range, from pages in order."""
+    run: Run | None = None
     for batch in batches:
-        for rows, column in slices(batch, "html"):
-            found = [lines_of(p) for p in column.to_pylist()]
-            articles = [any(m for m, _ in f) for f in found]
-            hashes = [[line_hash(t) for m, t in f if m or not article] for f, article in zip(found, articles, strict=True)]
-            packed = [pack("\n".join(("+" if m else "-") + t for m, t in f).encode()) for f in found]
-            yield pa.RecordBatch.from_arrays([rows.column("page_id"), rows.column("url"), pa.array(hashes, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["page_id", "url", "hashes", "packed"])
-
-
-def _neighbour_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From pages in order: each with the one before and after it. At a partition's ends the neighbour is left null, and ``edge`` tells which."""
-    part = TaskContext.get().partitionId()
-    before = current = None
-    names = ["part", "edge", "row_id", "host", "path", "before_id", "before_host", "before_path", "after_id", "after_host", "after_path"]
-    types = [pa.int32(), pa.int32(), *[pa.int64(), pa.string(), pa.string()] * 3]
-    none = (None, None, None)
+        for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "page_id", "url", "host", "path", "packed")), strict=True):
+            page = Page(*row)
+            if run is None or run.part != part:
+                if run is not None:
+                    run.last = True
+                    yield run
+                run = Run(part, page, None, True)
+            elif page.host == run.closing.host and page.is_copy(run.closing):
+                run.add(page)
+            else:
+                same = page.host == run.closing.host
+                run.after = page if same else None
+                yield run
+                run = Run(part, page, run.closing if same else None, False)
+    if run is not None:
+        run.last = True
+        yield run
+
+
+RESULT = "page_id long, url string, text string, n_chars long"
+ROW = [(n, t) for n, t in zip(("page_id", "url", "host", "path", "packed"), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)]
+NAMES = [*(n for n, _ in ROW), *(f"{m}_{n}" for m in ("before", "after") for n, _ in ROW)]
+TYPES = [t for _, t in ROW] * 3
+PAGES = ", ".join(f"{n} {'long' if t == pa.int64() else 'binary' if t == pa.binary() else 'string'}" for n, t in zip(NAMES, TYPES, strict=True))
+
+
+def _result(out: list[tuple]) -> pa.RecordBatch:
+    arrays = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array([len(x[2]) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+
+def _inner_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of all pages but those of each range's first and last run."""
+    out, size = [], 0
+    for run in _runs(batches):
+        if run.first or run.last:
+            continue
+        for row in run.pages():
+            out.append((row[0], row[1], Page(*row).text(run.before, run.after)))
+            size += len(out[-1][2])
+            if size > 4 << 20:
+                yield _result(out)
+                out, size = [], 0
+    yield _result(out)
+
+
+def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages of each range's first and last run, with the mates known so far (kind 0); and for a range's ends a row of kind 1, 2 or 3:
+    first, last or only run, with its first page (a first run) or last page, and the mate on the other side."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), *(pa.array([r[3 + k] for r in rows], t) for k, t in enumerate(TYPES))], ["part", "kind", "edge", *NAMES])
 
-    for batch in batches:
+    for run in _runs(batches):
+        if not (run.first or run.last):
+            continue
+        edge, known = run.first + 2 * run.last, (*_row(run.before), *_row(run.after))
+        if run.first:
+            yield batch_of([(run.part, 1, edge, *_row(run.opening), *known)])
+        if run.last:
+            yield batch_of([(run.part, 2, edge, *_row(run.closing), *known)])
         out = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("row_id", "host", "path")), strict=True):
-            if current is not None:
-                out.append((part, 1 if before is None else 0, *current, *(before or none), *row))
-                before = current
-            current = row
+        for row in run.pages():
+            out.append((run.part, 0, edge, *row, *known))
+            if len(out) == 500:
+                yield batch_of(out)
+                out = []
         if out:
             yield batch_of(out)
-    if current is not None:
-        yield batch_of([(part, 3 if before is None else 2, *current, *(before or none), *none)])
-
-
-def mates(pages: DataFrame) -> DataFrame:
-    """(row_id, mate_id): of ``pages(row_id, host, path)`` each with the neighbour of nearest path on its host. A page alone on its host has none."""
-    ordered = pages.repartitionByRange("host", "path", "row_id").sortWithinPartitions("host", "path", "row_id")
-    near = cut(ordered.mapInArrow(_neighbour_rows, "part int, edge int, row_id long, host string, path string, before_id long, before_host string, before_path string, after_id long, after_host string, after_path string"))
-    # the ends of partitions (two rows each) meet their neighbours here
-    ends = {}
-    for r in near.where("edge > 0").select("part", "edge", "row_id", "host", "path").collect():
-        first, last = ends.get(r["part"], (None, None))
-        ends[r["part"]] = (r if r["edge"] & 1 else first, r if r["edge"] & 2 else last)
+
+
+def _mates_of_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each range, in order, the mate before its first run and the mate after its last: found in the ranges on either side, or beyond them if these are copies throughout."""
+    ends: dict[int, dict[int, tuple]] = {}
+    for batch in batches:
+        for part, kind, edge, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "edge", *NAMES)), strict=True):
+            ends.setdefault(part, {})[kind] = (edge, _page(row[:5]), row[5:10], row[10:])
     parts = sorted(ends)
-    joints = [(a, *ends[b][0][2:5], b, *ends[a][1][2:5]) for a, b in zip(parts, parts[1:], strict=False)]
-    session = pages.sparkSession
-    after = F.broadcast(session.createDataFrame([j[:4] for j in joints], "part int, a_id long, a_host string, a_path string").withColumn("lasts", F.lit(True)))
-    prior = F.broadcast(session.createDataFrame([j[4:] for j in joints], "part int, b_id long, b_host string, b_path string").withColumn("firsts", F.lit(True)))
-    whole = near.withColumn("lasts", F.when(F.col("edge").isin(2, 3), F.lit(True))).withColumn("firsts", F.when(F.col("edge").isin(1, 3), F.lit(True))).join(after, ["part", "lasts"], "left").join(prior, ["part", "firsts"], "left")
-
-    def shared(other: str) -> F.Column:
-        """How many leading letters two paths share: by halving, on built-in functions."""
-        return F.length(F.regexp_extract(F.concat_ws("\u0000", "path", other), "^([^\u0000]*)[^\u0000]*\u0000\\1", 1))
-
-    both = whole.select(
-        "row_id", "host", "path", F.coalesce("before_id", "b_id").alias("b"), F.coalesce("before_host", "b_host").alias("bh"), F.coalesce("before_path", "b_path").alias("bp"),
-        F.coalesce("after_id", "a_id").alias("a"), F.coalesce("after_host", "a_host").alias("ah"), F.coalesce("after_path", "a_path").alias("ap"),
-    )
-    b_near = F.when(F.col("bh") == F.col("host"), shared("bp")).otherwise(-1)
-    a_near = F.when(F.col("ah") == F.col("host"), shared("ap")).otherwise(-1)
-    return both.select("row_id", F.when((b_near >= a_near) & (b_near >= 0), F.col("b")).when(a_near >= 0, F.col("a")).alias("mate_id")).where(F.col("mate_id").isNotNull())
-
-
-def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor().decompress
+    found: dict[int, list] = {p: [None, None] for p in parts}
+    for side, order in ((0, parts), (1, parts[::-1])):
+        # what lies on this side of the range just passed: its outermost page, and the mate beyond the run that it belongs to
+        outer, beyond = None, None
+        for part in order:
+            edge, near, *_ = ends[part][1 + side]
+            if outer is not None and outer.host == near.host:
+                found[part][side] = beyond if outer.is_copy(near) else outer
+            edge, far, *known = ends[part][2 - side]
+            outer = far
+            beyond = found[part][side] if edge == 3 else _page(known[side])
+    rows = [(p, *_row(b), *_row(a)) for p, (b, a) in found.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[1 + k] for r in rows], t) for k, t in enumerate(TYPES[5:]))], ["part", *(f"outer_{n}" for n in NAMES[5:])])
+
+
+def _edge_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = []
-        for packed, mate in zip(batch.column("packed").to_pylist(), batch.column("mate_hashes").to_pylist(), strict=True):
-            content = unpack(packed).decode()
-            lines = [(x[0] == "+", x[1:]) for x in content.split("\n")] if content else []
-            text.append(main_text(lines, np.array(mate or [], np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        out = []
+        for edge, *row in zip(*(batch.column(c).to_pylist() for c in ("edge", *NAMES, *(f"outer_{n}" for n in NAMES[5:]))), strict=True):
+            before, after = _page(row[15:20] if edge & 1 else row[5:10]), _page(row[20:25] if edge & 2 else row[10:15])
+            out.append((row[0], row[1], Page(*row[:5]).text(before, after)))
+        yield _result(out)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages(page_id, url, html)``.
 
     A null html is empty and has an empty text. Pages with null or unreadable URLs are mates of each other only. Rows that repeat are
-    rows of their own. Other columns are not read.
+    rows of their own, and copies. Pages of one URL follow each other in order of page_id (null first). Other columns are not read.
+
+    Pages are dealt by ranges of URLs, cut by a sample of ``SAMPLES`` for each; in a range they stream past in order. Only the first and the last run of
+    each range wait for the mates beyond it; the result doesn't depend on where the ranges are cut.
     """
-    lines = cut(
-        pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_line_rows, "page_id long, url string, hashes array<long>, packed binary")
-        .withColumn("row_id", F.monotonically_increasing_id())
-    )
-    parts = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), "^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 1), F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 2)
-    placed = lines.select("row_id", F.regexp_replace(parts[0], "^(www\\.|m\\.)|:\\d+$", "").alias("host"), F.regexp_replace(parts[1], "/+$", "").alias("path"))
-    hashes = lines.select(F.col("row_id").alias("mate_id"), F.col("hashes").alias("mate_hashes"))
-    met = mates(placed).join(hashes, "mate_id").select("row_id", "mate_hashes")
-    return lines.select("row_id", "page_id", "url", "packed").join(met, "row_id", "left").mapInArrow(_text_rows, "page_id long, url string, text string, n_chars long")
+    url = F.coalesce("url", F.lit(""))
+    pattern = "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, pattern, 1)), "^(www\\.|m\\.)|:\\d+$", "")
+    path = F.regexp_replace(F.regexp_extract(url, pattern, 2), "/+$", "")
+    page_id = F.col("page_id").cast("long")
+    placed = pages.select(page_id.alias("page_id"), "url", "html", host.alias("host"), path.alias("path"), F.coalesce(page_id, F.lit(-(2**63)).cast("long")).alias("place"))
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = n * RANGES
+    one_in = max(1, pages.count() // (ranges * SAMPLES))
+    key = ["host", "path", "place"]
+    sample = sorted(tuple(r) for r in placed.select(*key).where(F.pmod(F.xxhash64(*key, F.lit(4)), F.lit(one_in)) == 0).collect())  # about SAMPLES for each range
+    bounds = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
+    schema = "part int, host string, path string, place long, page_id long, url string, packed binary"
+    ordered = placed.mapInArrow(_line_rows(bounds), schema).repartition(n, "part").sortWithinPartitions("part", *key, "packed")  # shuffled once, read by each branch
+    edges = ordered.mapInArrow(_edge_rows, f"part int, kind int, edge int, {PAGES}")
+    outer = ", ".join(f"outer_{c}" for c in PAGES.split(", ")[5:])
+    mates = edges.where("kind > 0").repartition(1).mapInArrow(_mates_of_ranges, f"part int, {outer}")  # two rows for each range
+    late = edges.where("kind = 0").join(mates, "part").mapInArrow(_edge_texts, RESULT)
+    return ordered.mapInArrow(_inner_texts, RESULT).unionAll(late)
