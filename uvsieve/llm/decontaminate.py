@@ -6,7 +6,7 @@ threshold" is a score of 1 for each item alike, and none that could pass verific
 
 For a passage the terms are taken in order of their largest weight. Those that come first and
 cannot reach 1 together are not essential: a block of items which no other term of the passage touches
-is skipped (the pivot of WAND). For touched blocks the blocks' own largest weights are summed; only
+is skipped (the pivot of WAND). For touched blocks the blocks' own largest weights are summed, of the essential terms first and then of all; only
 where that bound reaches 1 are the block's postings read and its items scored. Retrieved items are verified:
 enough of their five-word runs, in the question and in the answer part, must stand in the passage.
 """
@@ -35,6 +35,8 @@ BLOCK = 8
 INDEX_BYTES = 8 << 20
 AT_A_TIME = 4
 SLACK = 1e-6
+#: Bounds of passages and blocks that are held at a time.
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -135,6 +137,14 @@ def look_up(index: Index, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, found[hit]
 
 
+def block_bounds(index: Index, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """By passage (of ``n``) and block: the sum of the terms' largest weights in the block."""
+    size = index.block_from[term + 1] - index.block_from[term]
+    where = ragged(index.block_from[term], size)
+    n_blocks = len(index.item_ids) // BLOCK + 1
+    return np.bincount(np.repeat(passage * n_blocks, size) + index.blocks[where], index.block_most[where], n * n_blocks).reshape(n, n_blocks)
+
+
 def retrieve(index: Index, words: np.ndarray, owner: np.ndarray, stride: int) -> tuple[np.ndarray, ...]:
     """Passages that reach 1 for an item: the passage's first word, its last word + 1, item and score.
 
@@ -162,14 +172,19 @@ def retrieve(index: Index, words: np.ndarray, owner: np.ndarray, stride: int) ->
     running -= np.repeat(np.r_[0, running][opens], np.diff(np.r_[opens, len(keys)]))
     light = running < 1 - SLACK
     rest = np.bincount(passage[light], index.most[term[light]], int(passage[-1]) + 1)
-    p, t = passage[~light], term[~light]
-    # bounds of the blocks that essential terms touch
-    size = index.block_from[t + 1] - index.block_from[t]
-    where = ragged(index.block_from[t], size)
-    n_blocks = len(index.item_ids) // BLOCK + 1
-    cells, code = np.unique(np.repeat(p, size) * n_blocks + index.blocks[where], return_inverse=True)
-    bound = np.bincount(code, index.block_most[where], len(cells)) + rest[cells // n_blocks]
-    cells = cells[bound >= 1 - SLACK]
+    n_blocks, cells = len(index.item_ids) // BLOCK + 1, []
+    many = max(1, CELLS // n_blocks)
+    for low in range(0, int(passage[-1]) + 1, many):  # so many passages at a time, all blocks of each
+        span, n = slice(*np.searchsorted(passage, (low, low + many))), min(many, len(rest) - low)
+        p, t, heavy = passage[span] - low, term[span], ~light[span]
+        # bounds of the blocks that essential terms touch, as if each held the light terms too
+        bound = block_bounds(index, p[heavy], t[heavy], n)
+        bound[bound + rest[low : low + n, None] < 1 - SLACK] = 0
+        # then with what it does hold of them
+        some = heavy < bound.any(1)[p]
+        bound[bound > 0] += block_bounds(index, p[some], t[some], n)[bound > 0]
+        cells.append(np.flatnonzero(bound >= 1 - SLACK) + low * n_blocks)
+    cells = np.concatenate(cells)
     if not len(cells):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
     # scores of the items of those blocks, over all terms of the passage
