@@ -53,6 +53,26 @@ def test_fingerprints_of_few(spark):
     assert r["near_next"] == 1 and r["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+def coarse(form):
+    return bytes([sum(form) % 5])
+
+
+def test_fingerprints_where_digests_clash(spark):
+    """With five digests in all, texts and edited texts of different canonical forms still have different fingerprints, and equal ones equal."""
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choice("ab ") for _ in range(rng.randint(0, 9)))) for k in range(200)] + [(None, "ab"), (3, "ab")]
+    got = fingerprints(docs(spark, rows), hashing=coarse).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 1
+    found, ordered = {}, sorted(r for r in rows if r[0] is not None)
+    byid = {r["doc_id"]: r for r in got}
+    for (i, t), (_, following) in zip(ordered, ordered[1:], strict=False):
+        if i not in (2, 3):  # two texts have the doc_id 3
+            changed = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+            for form, name in ((canonical(t), "fingerprint"), (canonical(changed), "edited_fingerprint")):
+                found.setdefault(byid[i][name], set()).add(form)
+    assert all(len(f) == 1 for f in found.values()) and len(set.union(*found.values())) == len(found)
+
+
 # near-duplicates
 
 
@@ -168,6 +188,27 @@ def test_repeats_brute_force(spark, hot):
     assert remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_repeats_with_hot_parts(spark):
+    """Frequent anchors with many different surroundings are cut until each part is one window."""
+    rng = random.Random(2)
+    core = "".join(rng.choice("abcdefgh") for _ in range(60))
+    edge = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    rows = [(k, edge(rng.randint(0, 60)) + core + edge(rng.randint(0, 60))) for k in range(120)]
+    rows += [(200 + k, rows[k % 40][1][rng.randint(0, 9) :]) for k in range(80)]
+    want = uncovered(rows)
+    for hot in (2, 9):
+        got = remove_repeats(docs(spark, rows), hot=hot).collect()
+        assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]] for r in got) and sum(r["n_removed"] for r in got) > 1000
+
+
+def test_repeats_of_odd_rows(spark):
+    """One doc_id with two texts, rows without doc_id, and a text of several slices."""
+    rows = [(1, "p" * 150), (1, "q" * 300), (None, "q" * 120), (None, "r" * 101), (None, None), (7, "z" * (5 << 20))]
+    got = {(r["doc_id"], r["n_bytes"]): (r["n_removed"], r["n_spans"]) for r in remove_repeats(docs(spark, rows)).collect()}
+    assert got == {(1, 150): (149, 1), (1, 300): (299, 1), (None, 120): (120, 1), (None, 101): (100, 1), (None, 0): (0, 0), (7, 5 << 20): ((5 << 20) - 1, 1)}
+    assert cut_repeats(docs(spark, rows)).count() == len(rows)
+
+
 # benchmark leaks
 
 

@@ -13,15 +13,20 @@ sequential pass over the arrays, the order of those that start here (a stable so
 inserted symbol - the transform) and the length of their common prefixes. Where common prefixes reach ``length``,
 suffixes start with the same window; all but the earliest in the corpus are repeats.
 
-Copies of a whole segment stream past and never enter the construction. An anchor that occurs
-more than ``HOT`` times isn't grouped at all: its windows are keyed by their own hash, and the
-earliest of each is a plain minimum.
+Copies of a whole segment stream past and never enter the construction.
+
+A window has its anchor at one of 81 places. An anchor that occurs more than ``HOT`` times has its segments cut into three, by
+the anchor's place in the window, and each third is grouped by all the bytes that its windows have in common, not by the anchor alone.
+Equal segments are then folded into the earliest (in part before the shuffle, by their bytes), and what
+is left of a group goes through the same construction. A group that still has over ``HOT`` different segments is cut into
+three again: 81 = 3^4, so after four cuts a group is one window.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,9 @@ from .common import cut, mix64, ragged, slices, utf8
 
 LENGTH = 100
 GRAM = 20
-HOT = 20_000
+HOT = 5_000
+#: Places of the anchor in a window that a segment's part covers, from cut to cut.
+CUTS = (27, 9, 3, 1)
 #: Window starts that one numpy step handles; places in it must fit 24 bits.
 STEP = 1 << 20
 #: Different segments that one construction holds.
@@ -121,31 +128,58 @@ def _chosen(rows: pa.RecordBatch, column: pa.Array, name: str):
     return data, ends, hashes[keep], place[keep], first[keep], last[keep], owner[keep]
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchor, document, anchor's place in it, where the segment begins and its bytes."""
-    for batch in batches:
-        for rows, column in slices(batch):
-            data, ends, hashes, place, first, last, owner = _chosen(rows, column, "anchors")
-            size = last - first + LENGTH
-            flat = data[ragged(first, size)]
-            content = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-            base = ends[owner]
+SEGMENT = "key long, doc_id long, twin int, place long, before int, content binary"
+SEGMENT_NAMES = [f.split()[0] for f in SEGMENT.split(", ")]
+
+
+def _binary(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The bytes of each run, as one binary array."""
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes()), pa.py_buffer(data[ragged(start, size)].tobytes())])
+
+
+def _segment_rows(name: str):
+    """Of the anchors listed in a column: anchor, document, anchor's place in it, how far before it the segment begins, and its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, column in slices(batch):
+                data, ends, hashes, place, first, last, owner = _chosen(rows, column, name)
+                own = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes.view(np.int64)), rows.column("doc_id").take(own), rows.column("twin").take(own), pa.array(place - ends[owner]), pa.array((place - first).astype(np.int32)), _binary(data, first, last - first + LENGTH)],
+                    SEGMENT_NAMES,
+                )
+
+    return run
+
+
+def _split(width: int):
+    """Segments cut by the anchor's place in the window into parts of ``width`` places; a part's key is a hash of the bytes that all its windows have, and of which part it is."""
+    fixed = LENGTH - width + 1
+    reach = LENGTH - GRAM
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = batch.column("content")
+            size = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1].astype(np.int64)
+            data, ends = np.frombuffer(content.buffers()[2], np.uint8)[size[0] : size[-1]] if len(content) else np.zeros(0, np.uint8), size - size[:1]
+            before = batch.column("before").to_numpy().astype(np.int64)
+            high, low = before, before - (np.diff(ends) - LENGTH)  # the anchor's places in the first and in the last window
+            parts = high // width - low // width + 1
+            row = np.repeat(np.arange(len(content)), parts)
+            part = high[row] // width - ragged(np.zeros(len(parts), np.int64), parts)
+            top, bottom = np.minimum(high[row], part * width + width - 1), np.maximum(low[row], part * width)
+            anchor = ends[row] + before[row]
+            hashes = gram_hashes(data, fixed)
+            # all windows of the part hold what lies from its least place before the anchor on
+            with np.errstate(over="ignore"):
+                key = mix64(hashes[anchor - part * width] + (part + reach * width).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            own = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(rows.column("doc_id").to_numpy()[owner]), pa.array(place - base), pa.array((place - first).astype(np.int32)), content], ["anchor", "doc_id", "place", "before", "content"]
+                [pa.array(key.view(np.int64)), *(batch.column(n).take(own) for n in ("doc_id", "twin", "place")), pa.array(top.astype(np.int32)), _binary(data, anchor - top, top - bottom + LENGTH)], SEGMENT_NAMES
             )
 
-
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For hot anchors: two hashes of each window, its document and start."""
-    for batch in batches:
-        for rows, column in slices(batch):
-            data, ends, hashes, place, first, last, owner = _chosen(rows, column, "hot")
-            whole = gram_hashes(data, LENGTH)
-            n = last - first + 1
-            start = ragged(first, n)
-            ids, base = rows.column("doc_id").to_numpy()[owner], ends[owner]
-            second = mix64(gram_hashes(data, LENGTH // 2)[start] + np.uint64(9)) ^ np.repeat(hashes, n)
-            yield pa.RecordBatch.from_arrays([pa.array(whole[start].view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(start - np.repeat(base, n))], ["w1", "w2", "doc_id", "start"])
+    return run
 
 
 def construct(columns: np.ndarray, starts: int, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -205,64 +239,88 @@ def repeated_windows(content: list[np.ndarray], before: np.ndarray, rank: np.nda
 
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From segments in order of anchor, content, document and place: the repeated spans (doc_id, start, stop)."""
-    held: list[tuple] = []  # different segments: content, before, doc_id, place; and their anchors
+    """From segments in order of key, content, document and place: the repeated spans (doc_id, twin, start, stop)."""
+    held: list[tuple] = []  # different segments: key, content, before, doc_id, twin, place
 
     def finish(rows: list[tuple]) -> tuple[np.ndarray, ...]:
         if len(rows) < 2:
-            return (np.zeros(0, np.int64),) * 3
-        _, content, before, doc, place = zip(*rows, strict=True)
-        before, doc, place = np.array(before, np.int64), np.array(doc, np.int64), np.array(place, np.int64)
+            return (np.zeros(0, np.int64),) * 4
+        _, content, before, *rest = zip(*rows, strict=True)
+        before, (doc, twin, place) = np.array(before, np.int64), (np.array(x, np.int64) for x in rest)
         rank = np.empty(len(rows), np.int64)
-        rank[np.lexsort((place, doc))] = np.arange(len(rows))
+        rank[np.lexsort((place, twin, doc))] = np.arange(len(rows))
+        # segments of different keys may be handled together: they have no window in common
         repeated = np.pad(repeated_windows([np.frombuffer(c, np.uint8) for c in content], before, rank).astype(np.int8), ((0, 0), (1, 1)))
         edge = np.diff(repeated, axis=1)
         row, start = np.nonzero(edge == 1)
         _, stop = np.nonzero(edge == -1)
         begin = place[row] - (LENGTH - GRAM)
-        return doc[row], begin + start, begin + stop - 1 + LENGTH
+        return doc[row], twin[row], begin + start, begin + stop - 1 + LENGTH
 
-    def batch_of(doc, start, stop) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (doc, start, stop)], ["doc_id", "start", "stop"])
+    def batch_of(parts: list[tuple]) -> pa.RecordBatch:
+        doc, twin, start, stop = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in range(4))
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(twin.astype(np.int32)), pa.array(start), pa.array(stop)], ["doc_id", "twin", "start", "stop"])
 
     last: tuple | None = None
     for batch in batches:
-        doc, start, stop = [], [], []
+        copies: list[tuple] = []
         parts: list[tuple] = []
-        columns = [batch.column(c).to_pylist() for c in ("anchor", "content", "before", "doc_id", "place")]
-        for row in zip(*columns, strict=True):
-            if last is not None and row[0] == last[0] and row[1] == last[1]:
-                if row[3] != last[3] or row[4] != last[4]:  # a copy of the whole segment, later in the corpus
-                    begin = row[4] - row[2]
-                    doc.append(row[3])
-                    start.append(begin)
-                    stop.append(begin + len(row[1]))
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "before", "doc_id", "twin", "place")), strict=True):
+            if last is not None and row[:3] == last[:3]:
+                if row[3:] != last[3:]:  # a copy of the whole segment, later in the corpus
+                    begin = row[5] - row[2]
+                    copies.append((row[3], row[4], begin, begin + len(row[1])))
                 continue
             if last is not None and row[0] != last[0] and len(held) >= SEGMENTS:
                 parts.append(finish(held))
                 held = []
             last = row
             held.append(row)
-        parts.append((doc, start, stop))
-        yield batch_of(*(np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in range(3)))
+        parts.append(tuple(zip(*copies, strict=True)) if copies else ((),) * 4)
+        yield batch_of(parts)
     if held:
-        yield batch_of(*finish(held))
+        yield batch_of([finish(held)])
+
+
+SPAN = "doc_id long, twin int, start long, stop long"
+
+
+def _constructed(found: DataFrame) -> DataFrame:
+    return found.repartition("key").sortWithinPartitions("key", "content", "before", "doc_id", "twin", "place").mapInArrow(_span_rows, SPAN)
+
+
+def _hot_spans(found: DataFrame, hot: int) -> DataFrame:
+    """Spans of segments whose key is too frequent for one task."""
+    out = []
+    for width in CUTS:
+        parts = found.mapInArrow(_split(width), SEGMENT)
+        same = ["key", "content", "before"]
+        firsts = cut(parts.groupBy(*same).agg(F.min(F.struct("doc_id", "twin", "place")).alias("first"), F.count("*").alias("n")))
+        # copies of a whole part: all but the earliest go
+        copies = parts.join(firsts.where("n > 1").select(*same, "first"), same).where(F.struct("doc_id", "twin", "place") != F.col("first"))
+        begin = F.col("place") - F.col("before")
+        out.append(copies.select("doc_id", "twin", begin.alias("start"), (begin + F.length("content")).alias("stop")))
+        different = firsts.select(*same, "first.*")
+        sizes = firsts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        out.append(_constructed(different.join(sizes.where(F.col("m") <= hot), "key", "left_semi")))
+        large = cut(sizes.where(F.col("m") > hot).select("key"))
+        if not large.limit(1).count():
+            break
+        found = different.join(large, "key", "left_semi").select(*SEGMENT_NAMES)
+    return reduce(DataFrame.union, out)
 
 
 def repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, start, stop): byte spans of ``documents(doc_id, text)`` covered by windows that also start earlier. They may overlap."""
-    listed = documents.mapInArrow(_anchor_rows, "anchor long, doc_id long, times int").repartition("anchor")
+    """(doc_id, twin, start, stop): byte spans of ``documents(doc_id, twin, text)`` covered by windows that also start earlier. They may overlap."""
+    listed = documents.mapInArrow(_anchor_rows, "anchor long, doc_id long, times int")
     counts = listed.groupBy("anchor").agg(F.sum("times").alias("n")).where(F.col("n") > 1)
-    repeated = listed.join(counts.hint("shuffle_hash"), "anchor")
+    repeated = listed.join(counts.hint("shuffle_hash"), "anchor")  # a frequent anchor's side can be split
     chosen = cut(repeated.groupBy("doc_id").agg(F.collect_set(F.when(F.col("n") <= hot, F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot")))
     kept = documents.join(chosen, "doc_id")
-    found = kept.select("doc_id", "text", "anchors").mapInArrow(_segment_rows, "anchor long, doc_id long, place long, before int, content binary")
-    spans = found.repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id", "place").mapInArrow(_span_rows, "doc_id long, start long, stop long")
+    spans = _constructed(kept.select("doc_id", "twin", "text", "anchors").mapInArrow(_segment_rows("anchors"), SEGMENT))
     if chosen.where(F.size("hot") > 0).limit(1).count():
-        windows = kept.where(F.size("hot") > 0).select("doc_id", "text", "hot").mapInArrow(_window_rows, "w1 long, w2 long, doc_id long, start long")
-        earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("earliest"))
-        later = windows.join(earliest, ["w1", "w2"]).where(F.struct("doc_id", "start") > F.col("earliest"))
-        spans = spans.union(later.select("doc_id", "start", (F.col("start") + LENGTH).alias("stop")))
+        frequent = kept.where(F.size("hot") > 0).select("doc_id", "twin", "text", "hot").mapInArrow(_segment_rows("hot"), SEGMENT)
+        spans = spans.union(_hot_spans(cut(frequent), hot))
     return spans
 
 
@@ -297,29 +355,34 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _spans_by_document(rows: DataFrame, hot: int) -> DataFrame:
-    return repeated_spans(rows, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+def _identified(documents: DataFrame, *columns: str) -> DataFrame:
+    """With ``_doc``, where a document stands in the corpus (behind all others, by a hash of its text, if it has no doc_id), and ``_twin``, which tells texts of one doc_id apart."""
+    behind = F.lit(2**62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    return documents.select(*columns, F.coalesce(F.col("doc_id").cast("long"), behind).alias("_doc"), F.hash("text").alias("_twin"))
+
+
+def _with_spans(documents: DataFrame, hot: int, *columns: str) -> DataFrame:
+    rows = _identified(documents, *columns)
+    spans = repeated_spans(rows.select(F.col("_doc").alias("doc_id"), F.col("_twin").alias("twin"), "text"), hot).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    return rows.join(spans.withColumnsRenamed({"doc_id": "_doc", "twin": "_twin"}), ["_doc", "_twin"], "left").select(*columns, "_spans")
 
 
 def remove_repeats(documents: DataFrame, *, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) of every row of ``documents(doc_id, text)``.
 
-    A null text is empty; a text under 100 bytes loses nothing. Of equal windows the one with the least (doc_id, start) stays.
-    Rows that repeat a doc_id with the same text count as one document and all get its result. Rows without doc_id are passed over; other
-    columns are not read.
+    A null text is empty; a text under 100 bytes loses nothing. Of equal windows the one with the least (doc_id, start) stays; documents without doc_id
+    come last. Rows that repeat a doc_id with the same text count as one document and all get its result; different texts of one doc_id
+    are documents of their own, in order of a hash. Other columns are not read.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    return rows.join(_spans_by_document(rows, hot), "doc_id", "left").mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _with_spans(rows, hot, "doc_id", "text").mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def cut_repeats(documents: DataFrame, *, hot: int = HOT) -> DataFrame:
     """``documents`` with what ``remove_repeats`` leaves of each text, n_chars (if there) to match, and all other columns as they were.
 
-    A character of which only some bytes are left goes whole. No row goes, except those without doc_id; a null text stays null.
+    A character of which only some bytes are left goes whole. No row goes; a null text stays null.
     """
-    rows = documents.where(F.col("doc_id").isNotNull())
-    narrow = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = _spans_by_document(narrow, hot).withColumnRenamed("doc_id", "_doc")
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,4 +393,4 @@ def cut_repeats(documents: DataFrame, *, hot: int = HOT) -> DataFrame:
                 new = {"text": pa.array(text, pa.string()), "n_chars": pa.array([len(t or "") for t in text], pa.int64())}
                 yield pa.RecordBatch.from_arrays([new[n].cast(rows.schema.field(n).type) if n in new else rows.column(n) for n in names], names)
 
-    return rows.join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").mapInArrow(run, documents.schema)
+    return _with_spans(documents, hot, *names).mapInArrow(run, documents.schema)
