@@ -55,6 +55,8 @@ INSIDE, OUTSIDE, APART = "+", " ", "-"
 COPY = 0.9
 #: Ranges of URLs for each shuffle partition, and URLs sampled to cut a range.
 RANGES, SAMPLES = 4, 40
+#: Bytes of markup for each shuffle partition, at most on average.
+PART_BYTES = 32 << 20
 #: Bytes of packed pages of a run of copies held in memory; the rest waits in a scratch file of the task.
 HELD_BYTES = 32 << 20
 
@@ -392,9 +394,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract(url, pattern, 2), "/+$", "")
     page_id = F.col("page_id").cast("long")
     placed = pages.select(page_id.alias("page_id"), "url", "html", host.alias("host"), path.alias("path"), F.coalesce(page_id, F.lit(-(2**63)).cast("long")).alias("place"))
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = pages.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes")).first()
+    n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes["bytes"] // PART_BYTES))
     ranges = n * RANGES
-    one_in = max(1, pages.count() // (ranges * SAMPLES))
+    one_in = max(1, sizes["rows"] // (ranges * SAMPLES))
     key = ["host", "path", "place"]
     sample = sorted(tuple(r) for r in placed.select(*key).where(F.pmod(F.xxhash64(*key, F.lit(4)), F.lit(one_in)) == 0).collect())  # about SAMPLES for each range
     bounds = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
