@@ -172,18 +172,18 @@ def uncovered(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 3])
-def test_repeats_brute_force(spark, hot):
+@pytest.mark.parametrize("share", [repeats.SHARE, 0.0])
+def test_repeats_brute_force(spark, share):
     rng = random.Random(1)
     parts = ["ab", "abc", "é", "xyz ", "q" * 30, "日本" * 20]
     rows = [(i, "".join(rng.choice(parts) for _ in range(rng.choice([0, 3, 40, 200])))) for i in range(50)]
     rows += [(100, "z" * 1000), (101, "z" * 300), (102, None), (103, ""), (104, "ab" * 200), (105, "x" * 99), (106, "x" * 100), (107, "x" * 100), (-5, "z" * 150)]
     df = docs(spark, [*rows, rows[3]])
     want = uncovered(rows)
-    got = [r for r in remove_repeats(df, hot=hot).collect()]
+    got = [r for r in remove_repeats(df, share=share).collect()]
     assert len(got) == len(rows) + 1
     assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]] for r in got)
-    left = cut_repeats(df, hot=hot)
+    left = cut_repeats(df, share=share)
     assert left.columns == df.columns and left.count() == len(rows) + 1 and left.where("doc_id = 102 and text is null").count() == 1
     assert remove_repeats(docs(spark, [])).count() == 0
 
@@ -196,16 +196,17 @@ def test_repeats_with_hot_parts(spark):
     rows = [(k, edge(rng.randint(0, 60)) + core + edge(rng.randint(0, 60))) for k in range(120)]
     rows += [(200 + k, rows[k % 40][1][rng.randint(0, 9) :]) for k in range(80)]
     want = uncovered(rows)
-    for hot in (2, 9):
-        got = remove_repeats(docs(spark, rows), hot=hot).collect()
+    for share in (0.0, 0.5):
+        got = remove_repeats(docs(spark, rows), share=share).collect()
         assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]] for r in got) and sum(r["n_removed"] for r in got) > 1000
 
 
 def test_repeats_of_odd_rows(spark):
     """One doc_id with two texts, rows without doc_id, and a text of several slices."""
-    rows = [(1, "p" * 150), (1, "q" * 300), (None, "q" * 120), (None, "r" * 101), (None, None), (7, "z" * (5 << 20))]
+    rows = [(1, "p" * 150), (1, "q" * 300), (None, "q" * 120), (None, "r" * 101), (None, None), (7, "z" * 30_000), (8, " ".join(f"{k * 7919 % 99991}" for k in range(500_000)))]
     got = {(r["doc_id"], r["n_bytes"]): (r["n_removed"], r["n_spans"]) for r in remove_repeats(docs(spark, rows)).collect()}
-    assert got == {(1, 150): (149, 1), (1, 300): (299, 1), (None, 120): (120, 1), (None, 101): (100, 1), (None, 0): (0, 0), (7, 5 << 20): ((5 << 20) - 1, 1)}
+    assert got == {(1, 150): (149, 1), (1, 300): (299, 1), (None, 120): (120, 1), (None, 101): (100, 1), (None, 0): (0, 0), (7, 30_000): (29_999, 1), (8, len(rows[-1][1])): got[8, len(rows[-1][1])]}
+    assert got[8, len(rows[-1][1])][0] > 400_000 * 5 - 10_000  # the numbers come round after 99,991
     assert cut_repeats(docs(spark, rows)).count() == len(rows)
 
 

@@ -1,10 +1,9 @@
-"""Elias-Fano sequences, and the two-level n-gram trie made of them."""
+"""Elias-Fano sequences, and the three-level n-gram trie made of them."""
 
 from __future__ import annotations
 
 import mmap
 import tempfile
-from dataclasses import dataclass
 
 import numpy as np
 
@@ -77,6 +76,16 @@ class Sequence:
         return place, equal
 
 
+class Level:
+    """Small numbers beside a sequence, mapped like it."""
+
+    def __init__(self, values: np.ndarray, store: Store):
+        self.kind, self.where, self.store = values.dtype, store.put(values), store
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return self.store.get(self.where).view(self.kind)[places]
+
+
 def _by_chunk(chunks: np.ndarray):
     order = np.argsort(chunks, kind="stable")
     ordered = chunks[order]
@@ -95,6 +104,7 @@ class Store:
 
     def put(self, array: np.ndarray) -> slice:
         raw = np.ascontiguousarray(array).view(np.uint8).reshape(-1)
+        self.size += self.file.write(bytes(-self.size % 8))  # numbers begin where they can be mapped
         self.file.write(raw.tobytes())
         self.size += len(raw)
         return slice(self.size - len(raw), self.size)
@@ -140,43 +150,49 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.clip(out, 0.02, [0.98, 1.9, 2.9])
 
 
-@dataclass
+#: Bits that name a successor within its context's range.
+NAME_BITS = np.uint64(40)
+
+
+def by_count(counts: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` contexts how many successors occur once, twice and more often: what the discounts are taken from."""
+    return np.stack([np.bincount(context[np.minimum(counts, 3) == k], minlength=n) for k in (1, 2, 3)], 1)
+
+
+def left_over(total: np.ndarray, times: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The share of each context that its discounts leave; all of it where nothing follows. Made of whole numbers, so that parts add up to the same."""
+    taken = (times * off[context_groups(total)]).sum(1)
+    return np.where(total > 0, np.clip(taken / np.maximum(total, 1), 0, 1), 1.0)
+
+
 class Trie:
-    """Words (by hash), how often each occurs, and their successors with quantised discounted probabilities."""
-
-    words: Sequence
-    pointers: Sequence
-    successors: Sequence
-    counts: np.ndarray
-    codes: np.ndarray
-    rests: np.ndarray
-
-    @classmethod
-    def build(cls, words: np.ndarray, counts: np.ndarray, context: np.ndarray, word: np.ndarray, together: np.ndarray, off: np.ndarray) -> Trie:
-        """``words`` rise; ``context`` (places in ``words``) and ``word`` (32-bit names) rise together; ``off``: the ``discounts`` of all tries."""
+    """Words (by hash), their successors, and the successors of these pairs, with quantised discounted probabilities.
+
+    Each level below the first is a rising sequence of (place of the context in the level above, name of the successor); pointers tell where the range of a context
+    begins. All levels and their codes are mapped from a file."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, ...], triples: tuple[np.ndarray, ...], off: np.ndarray):
+        """``pairs`` and ``triples``: places of contexts in the level above, names and counts, rising; ``off``: discounts of both orders."""
         store = Store()
-        n = len(words)
-        total = np.bincount(context, together, n)
-        group = context_groups(total)
-        p = (together - off[group[context], np.minimum(together, 3).astype(np.int64) - 1]) / np.maximum(total[context], 1)
-        codes = quantised(p)
-        rest = np.where(total > 0, 1 - np.bincount(context, restored(codes), n), 1.0)
-        pointers = np.searchsorted(context, np.arange(n + 1))
-        trie = cls(
-            Sequence(words, store), Sequence(pointers, store), Sequence(context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), store),
-            counts, codes, quantised(np.clip(rest, 0, 1)),
-        )
-        return trie
+        self.words, self.counts, self.levels = Sequence(words, store), Level(counts, store), []
+        for total, (context, name, times), discount in zip((counts, pairs[2]), (pairs, triples), off, strict=True):
+            share = (times - discount[context_groups(total)[context], np.minimum(times, 3) - 1]) / np.maximum(total[context], 1)
+            pointers = np.searchsorted(context, np.arange(len(total) + 1))
+            keys = context.astype(np.uint64) << NAME_BITS | name
+            self.levels.append((Sequence(pointers, store), Sequence(keys, store), Level(quantised(share), store)))
+        self.rests = Level(quantised(left_over(pairs[2], by_count(triples[2], triples[0], len(pairs[2])), off[1])), store)
+        self.times = Level(by_count(pairs[2], pairs[0], len(words)), store)
 
     def find_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.words.successor(words)
 
-    def find_successors(self, context: np.ndarray, known: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of p(word | context), 0 where unseen: the successor of the word within the context's own range."""
-        out = np.zeros(len(context), np.uint16)
+    def find(self, order: int, context: np.ndarray, known: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each name the place, whether it is there, and its code (0 if not): by successor search within the range of its context."""
+        pointers, sequence, codes = self.levels[order - 2]
+        places, there, out = np.zeros(len(context), np.int64), np.zeros(len(context), bool), np.zeros(len(context), np.uint16)
         rows = np.flatnonzero(known)
-        place, equal = self.successors.successor(context[rows].astype(np.uint64) << np.uint64(32) | word[rows].astype(np.uint64))
-        low, high = self.pointers.at(context[rows]), self.pointers.at(context[rows] + 1)
-        inside = equal & (place >= low.astype(np.int64)) & (place < high.astype(np.int64))
-        out[rows[inside]] = self.codes[place[inside]]
-        return out
+        place, equal = sequence.successor(context[rows].astype(np.uint64) << NAME_BITS | name[rows])
+        inside = equal & (place >= pointers.at(context[rows]).astype(np.int64)) & (place < pointers.at(context[rows] + 1).astype(np.int64))
+        rows, place = rows[inside], place[inside]
+        places[rows], there[rows], out[rows] = place, True, codes.at(place)
+        return places, there, out

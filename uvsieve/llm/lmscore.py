@@ -1,15 +1,19 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-The model interpolates two orders: p(w | u) = a(u, w) + rest(u) * p(w), with a(u, w) a discounted and quantised share of u's
-occurrences, rest(u) what the shares leave, and p(w) the add-half unigram of the base score. A text begins after an end.
+The model interpolates three orders: p(w | t u) = a(t, u, w) + rest(t, u) * p(w | u), p(w | u) = a(u, w) + rest(u) * p(w), with a(...) a discounted
+and quantised share of what follows a context, rest(...) what the shares leave, and p(w) the add-half unigram of the base score. A text
+begins after an end; its first word has that end alone as context.
 
 No machine holds the model. Documents are dealt into blocks; each block tells every shard of the vocabulary which of the shard's
-words and successors it holds and how often its training documents do (counted, sorted and packed, so a hot word
+words, pairs and triples that begin with them it holds and how often its training documents do (counted, sorted and packed, so what is frequent
 costs a block one entry). A shard adds up what all blocks tell; how often counts of 1 to 4 occur is summed over all shards,
 so that the discounts are the corpus's and not the shard's. With them a shard builds its trie - words, pointers and successors as
-Elias-Fano levels, mapped from a file - and answers each block by successor search within the word's own range. With the
-answers, packed in the same order, each block scores its documents. Words are named by 64-bit hashes, successors within a
-word's range by the hash's upper 32 bits.
+Elias-Fano levels, mapped from a file - and answers each block by successor search within the context's own range. With the
+answers, packed in the same order, each block scores its documents.
+
+Words are named by 64-bit hashes, successors within a context's range by the hash's upper 40 bits. A frequent word would make its shard too large, so it is
+cut into parts by its successors, as many as it has times the share of a shard in a sample; parts are shards' words like any other, and what their
+successors leave is added up by the block in whole numbers. The parts change who counts, not what is counted.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, slices, utf8
-from .eliasfano import GROUPS, Trie, context_groups, counts_of_counts, discounts, restored
+from .common import crc_mod, mix64, ragged, slices, utf8
+from .eliasfano import GROUPS, NAME_BITS, Trie, context_groups, counts_of_counts, discounts, left_over, restored
 from .words import span_hashes, spans
 
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -34,30 +38,68 @@ END = np.uint64(0x454E44)  # no word's hash but by a chance of 2^-64
 BLOCK_BYTES = 8 << 20
 
 
+#: Bytes of text, about, from which frequent words are told.
+SAMPLE_BYTES = 16 << 20
+#: Shards are dealt to tasks by number; their words are those whose hash falls into a range.
+Parts = dict[int, int]
+
+
+def tokens_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all tokens - the words and the end of each text - and how many each text has."""
+    starts, stops, owner = spans(data, ends, WHITE)
+    n_tokens = np.bincount(owner, minlength=len(ends) - 1).astype(np.int64) + 1
+    tokens = np.full(int(n_tokens.sum()), END, np.uint64)
+    is_word = np.ones(len(tokens), bool)
+    is_word[np.cumsum(n_tokens) - 1] = False
+    tokens[is_word] = span_hashes(data, starts, stops)
+    return tokens, n_tokens
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, rising, where each first stands, and the number of each key among them."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    fresh = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.zeros(0, bool)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return ordered[fresh], order[fresh], number
+
+
 class Block:
-    """The tokens of some texts as different words (by rising hash) and different pairs of a word and its successor."""
+    """The tokens of some texts as different words, pairs and triples.
+
+    Words stand by rising hash; their parts, to which pairs belong, by rising id; pairs by part and the successor's name; triples by pair and name."""
 
-    def __init__(self, texts: list[bytes], training: np.ndarray):
+    def __init__(self, texts: list[bytes], training: np.ndarray, frequent: Parts):
         data = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
-        ends = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
-        starts, stops, owner = spans(data, ends, WHITE)
-        words = span_hashes(data, starts, stops)
-        n_words = np.bincount(owner, minlength=len(texts)).astype(np.int64)
-        self.n_tokens = n_words + 1
-        close = np.cumsum(self.n_tokens) - 1  # where each text's end stands
-        tokens = np.full(int(self.n_tokens.sum()), END, np.uint64)
-        is_word = np.ones(len(tokens), bool)
-        is_word[close] = False
-        tokens[is_word] = words
+        tokens, self.n_tokens = tokens_of(data, np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64))
         self.owner = np.repeat(np.arange(len(texts)), self.n_tokens)
-        self.words, self.token = np.unique(tokens, return_inverse=True)
-        context = np.r_[np.searchsorted(self.words, END), self.token[:-1]]
-        n = len(self.words)
-        pairs, self.pair = np.unique(context * n + self.token, return_inverse=True)
-        self.context, self.successor = pairs // n, pairs % n
+        self.words, _, self.token = numbered(tokens)
+        n, names = len(self.words), self.words >> (np.uint64(64) - NAME_BITS)
+        parts = np.array([frequent.get(w, 1) for w in self.words.tolist()], np.int64) if frequent else np.ones(n, np.int64)
+        part = ragged(np.zeros(n, np.int64), parts)
+        self.word = np.repeat(np.arange(n), parts)
+        with np.errstate(over="ignore"):
+            ids = np.where(part == 0, self.words[self.word], mix64(self.words[self.word] + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.word, self.leads = ids[order], self.word[order], part[order] == 0
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        # pairs: each token after the one before it, the first of a text after an end
+        before = np.r_[np.searchsorted(self.words, END), self.token[:-1]]
+        own = place[(np.cumsum(parts) - parts)[before] + (mix64(self.words)[self.token] % parts[before].astype(np.uint64)).astype(np.int64)]
+        keys, first, self.pair = numbered(own.astype(np.uint64) << NAME_BITS | names[self.token])
+        self.part, self.pair_name, self.successor = (keys >> NAME_BITS).astype(np.int64), keys & ((np.uint64(1) << NAME_BITS) - np.uint64(1)), self.token[first]
+        # triples: all but the first token of a text
+        self.later = np.ones(len(tokens), bool)
+        self.later[np.cumsum(self.n_tokens) - self.n_tokens] = False
+        self.at = np.flatnonzero(self.later)
+        keys, first, self.triple = numbered(self.pair[self.at - 1].astype(np.uint64) << NAME_BITS | names[self.token[self.at]])
+        self.context, self.triple_name, self.inner = (keys >> NAME_BITS).astype(np.int64), keys & ((np.uint64(1) << NAME_BITS) - np.uint64(1)), self.pair[self.at[first]]
         learned = training[self.owner]
-        self.word_counts = np.bincount(self.token[learned], minlength=n)
-        self.pair_counts = np.bincount(self.pair[learned], minlength=len(pairs))
+        self.word_counts = np.bincount(self.token[learned], minlength=n)[self.word]
+        self.pair_counts = np.bincount(self.pair[learned], minlength=len(self.part))
+        self.triple_counts = np.bincount(self.triple[learned[self.at]], minlength=len(self.context))
 
 
 def shard_bounds(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +133,17 @@ def widened(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
+def thin(names: np.ndarray) -> np.ndarray:
+    """40-bit names as five bytes each."""
+    return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).reshape(-1)
+
+
+def thick(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = raw.reshape(-1, 5)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
 def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
@@ -101,105 +154,143 @@ def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column("block"), rows.column("doc_id"), rows.column("training"), pa.array(packed, pa.binary())], ["block", "doc_id", "training", "packed"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
-    """The rows of each block, from rows in order of block."""
-    held, block = [], None
+def _grouped(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each block or shard, from rows in its order."""
+    held, key = [], None
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-            if row[0] != block:
+            if row[0] != key:
                 if held:
-                    yield block, held
-                held, block = [], row[0]
+                    yield key, held
+                held, key = [], row[0]
             held.append(row)
     if held:
-        yield block, held
+        yield key, held
 
 
-def _asking(shards: int):
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, column in slices(batch):
+            data, ends = utf8(column)
+            words, counts = np.unique(tokens_of(LOWER[data], ends)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+
+
+def frequent_words(texts: DataFrame, size: int, shards: int) -> Parts:
+    """The parts of words with more than a shard's share of tokens, by a sample of about ``SAMPLE_BYTES``: at most as many words as shards."""
+    one_in = max(1, size // SAMPLE_BYTES)
+    words = texts.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(one_in)) == 0).select("text").mapInArrow(_token_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = words.agg(F.sum("n").alias("total"))
+    found = words.crossJoin(F.broadcast(total)).where(F.col("n") * shards > F.col("total")).collect()
+    return {r["word"] % 2**64: -(-r["n"] * shards // r["total"]) for r in found}
+
+
+def _asking(shards: int, frequent: Parts):
     """What each block tells and asks each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdDecompressor().decompress
-        for block, rows in _blocks(batches, ("block", "training", "packed")):
-            b = Block([squeeze(r[2]) for r in rows], np.array([r[1] for r in rows], bool))
-            some, bounds = shard_bounds(b.words, shards)
-            first = np.searchsorted(b.context, bounds)
-            names = (b.words >> np.uint64(32)).astype(np.uint32)[b.successor]
-            fan = np.bincount(b.context, minlength=len(b.words))
+        for block, rows in _grouped(batches, ("block", "training", "packed")):
+            b = Block([squeeze(r[2]) for r in rows], np.array([r[1] for r in rows], bool), frequent)
+            some, bounds = shard_bounds(b.ids, shards)
+            first = np.searchsorted(b.part, bounds)
+            start = np.searchsorted(b.context, first)
+            fan, deep = np.bincount(b.part, minlength=len(b.ids)), np.bincount(b.context, minlength=len(b.part))
             out = []
             for k, shard in enumerate(some.tolist()):
-                w, p = slice(bounds[k], bounds[k + 1]), slice(first[k], first[k + 1])
-                out.append((shard, block, pack(b.words[w], narrow(b.word_counts[w]), narrow(fan[w]), names[p], narrow(b.pair_counts[p]))))
+                w, p, t = slice(bounds[k], bounds[k + 1]), slice(first[k], first[k + 1]), slice(start[k], start[k + 1])
+                told = (b.ids[w], b.leads[w], narrow(b.word_counts[w]), narrow(fan[w]), thin(b.pair_name[p]), narrow(b.pair_counts[p]), narrow(deep[p]), thin(b.triple_name[t]), narrow(b.triple_counts[t]))
+                out.append((shard, block, pack(*told)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["shard", "block", "packed"])
 
     return run
 
 
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys with a count, rising, their summed counts, and each key's place (that of the next one where it has no count)."""
+    seen = times > 0
+    known, _, code = numbered(keys[seen])
+    return known, np.bincount(code, times[seen], len(known)).astype(np.int64), np.searchsorted(known, keys)
+
+
 class Told:
-    """What all blocks tell a shard, added up: words with their counts, and the pairs seen with theirs."""
+    """What all blocks tell a shard, added up: words with their counts, and the pairs and triples seen with theirs."""
 
     def __init__(self, packed: list[bytes]):
-        self.parts = told = [unpack(x, "<u8", "u1", "u1", "<u4", "u1") for x in packed]
-        self.words, place = np.unique(np.concatenate([t[0] for t in told]), return_inverse=True)
-        self.counts = np.bincount(place, np.concatenate([widened(t[1]) for t in told]), len(self.words)).astype(np.int64)
-        self.edges = edges = np.cumsum([0] + [len(t[0]) for t in told])
-        pairs = np.concatenate([np.repeat(place[a:b], widened(t[2])) for t, a, b in zip(told, edges[:-1], edges[1:], strict=True)]).astype(np.uint64) << np.uint64(32) | np.concatenate([t[3] for t in told])
-        times = np.concatenate([widened(t[4]) for t in told])
-        seen = times > 0
-        known, code = np.unique(pairs[seen], return_inverse=True)
-        self.together = np.bincount(code, times[seen], len(known)).astype(np.int64)
-        self.context, self.name = (known >> np.uint64(32)).astype(np.int64), (known & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        told = [unpack(x, "<u8", "u1", *["u1"] * 7) for x in packed]
+        join = lambda k, f: np.concatenate([f(t[k]) for t in told])
+        ids, leads, counts, fan = join(0, lambda x: x), join(1, lambda x: x), join(2, widened), join(3, widened)
+        self.sizes = np.array([(len(t[0]), len(t[4]) // 5, len(t[7]) // 5) for t in told])
+        self.words, first, place = numbered(ids)
+        self.counts = np.bincount(place, counts, len(self.words)).astype(np.int64)
+        self.leads = leads[first] > 0
+        mask = (np.uint64(1) << NAME_BITS) - np.uint64(1)
+        known, times, at = _summed(np.repeat(place, fan).astype(np.uint64) << NAME_BITS | join(4, thick), join(5, widened))
+        self.pairs = (known >> NAME_BITS).astype(np.int64), known & mask, times
+        # a triple with a count has a pair with a count
+        known, times, _ = _summed(np.repeat(at, join(6, widened)).astype(np.uint64) << NAME_BITS | join(7, thick), join(8, widened))
+        self.triples = (known >> NAME_BITS).astype(np.int64), known & mask, times
+        self.told = told
 
 
 def _surveying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often counts of 1 to 4 occur in each group of a shard's contexts, group by group."""
-    for _, rows in _blocks(batches, ("shard", "packed")):
-        told = Told([r[1] for r in rows])
-        group = context_groups(np.bincount(told.context, told.together, len(told.words)))
-        n = counts_of_counts(told.together, group[told.context]).reshape(-1)
+    """Per shard: how many tokens and different words it has (places 0 and 1), and how often counts of 1 to 4 occur in each group of contexts of both orders."""
+    for _, rows in _grouped(batches, ("shard", "packed")):
+        t = Told([r[1] for r in rows])
+        own = t.counts[t.leads]
+        orders = [counts_of_counts(x[2], context_groups(total)[x[0]]).reshape(-1) for total, x in ((t.counts, t.pairs), (t.pairs[2], t.triples))]
+        n = np.concatenate([[own.sum(), (own > 0).sum()], *orders])
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["place", "n"])
 
 
+def surveyed(text: str | None) -> tuple[int, int, np.ndarray]:
+    """Tokens, different words and both orders' discounts, from a survey."""
+    n = np.zeros(2 + 8 * GROUPS, np.int64)
+    for entry in filter(None, (text or "").split(",")):
+        place, _, times = entry.partition(":")
+        n[int(place)] = int(times)
+    return int(n[0]), int(n[1]), np.stack([discounts(x) for x in n[2:].reshape(2, GROUPS, 4)])
+
+
 def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard, rows in _blocks(batches, ("shard", "block", "packed", "survey")):
-        n = np.zeros(4 * GROUPS, np.int64)
-        for entry in filter(None, (rows[0][3] or "").split(",")):
-            place, _, times = entry.partition(":")
-            n[int(place)] = int(times)
-        all_told = Told([r[2] for r in rows])
-        told, edges, words, counts = all_told.parts, all_told.edges, all_told.words, all_told.counts
-        trie = Trie.build(words, counts, all_told.context, all_told.name, all_told.together, discounts(n.reshape(GROUPS, 4)))
-        del all_told
-        # all blocks' questions at once, so that each part of a level is decoded once
-        where, found = trie.find_words(np.concatenate([t[0] for t in told]))
-        at = np.where(found, where, 0)
-        fan = np.concatenate([widened(t[2]) for t in told])
-        every = trie.find_successors(np.repeat(at, fan), np.repeat(found, fan), np.concatenate([t[3] for t in told]))
-        ends = np.cumsum([0] + [len(t[3]) for t in told])
-        for i, r in enumerate(rows):
-            own, codes = slice(edges[i], edges[i + 1]), every[ends[i] : ends[i + 1]]
-            answer = pack(narrow(np.where(found[own], counts[at[own]], 0)), trie.rests[at[own]], codes)
-            v, n = (int((counts > 0).sum()), int(counts.sum())) if i == 0 else (0, 0)
-            yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int32()), pa.array([shard], pa.int32()), pa.array([answer], pa.binary()), pa.array([v]), pa.array([n])], ["block", "shard", "packed", "v", "n"])
-
-
-def _scoring(n: int, v: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, rows in _grouped(batches, ("shard", "block", "packed", "survey")):
+        t = Told([r[2] for r in rows])
+        trie = Trie(t.words, t.counts, t.pairs, t.triples, surveyed(rows[0][3])[2])
+        sizes, told = t.sizes, t.told
+        del t
+        for r, (ids, _, _, fan, pair_names, _, deep, triple_names, _) in zip(rows, told, strict=True):
+            word, _ = trie.find_words(ids)  # all of them are there
+            fan, deep = widened(fan), widened(deep)
+            pair, known, codes = trie.find(2, np.repeat(word, fan), np.ones(int(fan.sum()), bool), thick(pair_names))
+            _, _, deeper = trie.find(3, np.repeat(pair, deep), np.repeat(known, deep), thick(triple_names))
+            times = trie.times.at(slice(None)).reshape(-1, 3)[word]
+            rests = np.where(known, trie.rests.at(pair), 1).astype(np.uint16) if len(pair) and len(sizes) else np.zeros(0, np.uint16)
+            answer = pack(narrow(trie.counts.at(word)), *(narrow(times[:, k]) for k in range(3)), codes, rests, deeper)
+            yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int32()), pa.array([r[0]], pa.int32()), pa.array([answer], pa.binary())], ["block", "shard", "packed"])
+
+
+def _scoring(frequent: Parts):
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
         squeeze = zstandard.ZstdDecompressor().decompress
-        for _, rows in _blocks(batches, ("block", "shard", "doc_id", "packed")):
-            answers = [unpack(r[3], "u1", "<u2", "<u2") for r in sorted((r for r in rows if r[1] >= 0), key=lambda r: r[1])]
-            own = [r for r in rows if r[1] < 0]
-            b = Block([squeeze(r[3]) for r in own], np.zeros(len(own), bool))
-            counts = np.concatenate([widened(a[0]) for a in answers])
-            rest, share = restored(np.concatenate([a[1] for a in answers])), restored(np.concatenate([a[2] for a in answers]))
-            base = (counts + 0.5) / (n + 0.5 * (v + 1))
-            p = share + rest[b.context] * base[b.successor]
-            sums = lambda x: np.bincount(b.owner, x, len(own))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[2] for r in own], pa.int64()), pa.array(b.n_tokens), pa.array(sums(counts[b.token] > 0).astype(np.int64)), pa.array(sums(np.log10(base)[b.token])), pa.array(sums(np.log10(np.maximum(p, 1e-300))[b.pair]))],
-                ["doc_id", "n_tokens", "n_known", "base_score", "score"],
-            )
+        n, v, off = surveyed(answers.column("survey")[0].as_py())
+        told = [unpack(x, *["u1"] * 4, *["<u2"] * 3) for _, x in sorted(zip(answers.column("shard").to_pylist(), answers.column("packed").to_pylist(), strict=True))]
+        b = Block([squeeze(x) for x in own.column("packed").to_pylist()], np.zeros(own.num_rows, bool), frequent)
+        join = lambda k, f: np.concatenate([f(t[k]) for t in told])
+        lead = np.empty(len(b.words), np.int64)
+        lead[b.word[b.leads]] = np.flatnonzero(b.leads)
+        counts = join(0, widened)[lead]
+        times = np.stack([np.bincount(b.word, join(k, widened), len(b.words)) for k in (1, 2, 3)], 1)
+        base = (counts + 0.5) / (n + 0.5 * (v + 1))
+        inner = join(4, restored) + left_over(counts, times, off[0])[b.word[b.part]] * base[b.successor]
+        outer = join(6, restored) + join(5, restored)[b.context] * inner[b.inner]
+        p = inner[b.pair]
+        p[b.at] = outer[b.triple]
+        sums = lambda x: np.bincount(b.owner, x, own.num_rows)
+        return pa.table(
+            [own.column("doc_id"), pa.array(b.n_tokens), pa.array(sums(counts[b.token] > 0).astype(np.int64)), pa.array(np.full(own.num_rows, n)), pa.array(sums(np.log10(base)[b.token])), pa.array(sums(np.log10(np.maximum(p, 1e-300))))],
+            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
     return run
 
@@ -209,24 +300,23 @@ def score_documents(documents: DataFrame, *, folds: int = 5, held_fold: int = 1,
 
     It learns from the rows outside the held-out fold (a row without doc_id is scored, not learned from). A null text is empty: one token, the end. Rows that
     repeat count each time. Where there is nothing to learn from, every probability is the base's. Other columns are not read.
+    Scores depend neither on the blocks nor on the shards.
     """
     fold = crc_mod("doc_id", folds)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("training", F.coalesce(fold != held_fold, F.lit(False)))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     session = rows.sparkSession
-    shards = int(session.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(session.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(shards, -(-size // block_bytes))
-    shards = max(shards, blocks // 2)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(blocks)).cast("int"))
-    packed = dealt.mapInArrow(_pack_rows, "block int, doc_id long, training boolean, packed binary")
-    asked = packed.repartition("block").sortWithinPartitions("block").select("block", "training", "packed").mapInArrow(_asking(shards), "shard int, block int, packed binary")
-    heard = asked.repartition("shard").sortWithinPartitions("shard", "block")  # read twice, shuffled once
-    survey = heard.select("shard", "packed").mapInArrow(_surveying, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    survey = survey.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "place", "n"))), ",").alias("survey"))  # one row, at most 256 numbers
-    informed = heard.crossJoin(F.broadcast(survey)).sortWithinPartitions("shard", "block")
-    answers = cut(informed.mapInArrow(_answering, "block int, shard int, packed binary, v long, n long"))
-    total = answers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    own = packed.select("block", F.lit(-1).alias("shard"), "doc_id", "packed")
-    told = answers.select("block", "shard", F.lit(None).cast("long").alias("doc_id"), "packed")
-    scored = own.union(told).repartition("block").sortWithinPartitions("block").mapInArrow(_scoring(total["n"], total["v"]), "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", F.coalesce(fold == held_fold, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+    blocks = max(partitions, -(-size // block_bytes))
+    shards = max(partitions, blocks // 2)
+    frequent = frequent_words(rows, size, shards)
+    dealt = rows.withColumn("training", F.coalesce(fold != held_fold, F.lit(False))).withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(blocks)).cast("int"))
+    # the three exchanges; each branch reads all columns, so that those read twice are shuffled once
+    texts = dealt.mapInArrow(_pack_rows, "block int, doc_id long, training boolean, packed binary").repartition("block")
+    asked = texts.sortWithinPartitions("block").mapInArrow(_asking(shards, frequent), "shard int, block int, packed binary")
+    heard = asked.repartition("shard")
+    survey = heard.sortWithinPartitions("shard").mapInArrow(_surveying, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    survey = F.broadcast(survey.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "place", "n"))), ",").alias("survey")))  # one row, at most 514 numbers
+    answers = heard.crossJoin(survey).sortWithinPartitions("shard").mapInArrow(_answering, "block int, shard int, packed binary").repartition("block").crossJoin(survey)
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(frequent), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.select("doc_id", F.coalesce(fold == held_fold, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -15,10 +15,11 @@ suffixes start with the same window; all but the earliest in the corpus are repe
 
 Copies of a whole segment stream past and never enter the construction.
 
-A window has its anchor at one of 81 places. An anchor that occurs more than ``HOT`` times has its segments cut into three, by
+A window has its anchor at one of 81 places. An anchor that has more than a ``SHARE`` of what a task deals with on average (told by a sample; such anchors
+are few, whatever the corpus) is frequent: its segments are cut into three, by
 the anchor's place in the window, and each third is grouped by all the bytes that its windows have in common, not by the anchor alone.
 Equal segments are then folded into the earliest (in part before the shuffle, by their bytes), and what
-is left of a group goes through the same construction. A group that still has over ``HOT`` different segments is cut into
+is left of a group goes through the same construction. A group that still has too many different segments is cut into
 three again: 81 = 3^4, so after four cuts a group is one window.
 """
 
@@ -37,7 +38,10 @@ from .common import cut, mix64, ragged, slices, utf8
 
 LENGTH = 100
 GRAM = 20
-HOT = 5_000
+#: The share of a task's segments that one anchor may have.
+SHARE = 0.25
+#: Bytes of text, about, from which frequent anchors are told: at least, and for each partition.
+SAMPLE_BYTES, SAMPLE_PART = 16 << 20, 64 << 10
 #: Places of the anchor in a window that a segment's part covers, from cut to cut.
 CUTS = (27, 9, 3, 1)
 #: Window starts that one numpy step handles; places in it must fit 24 bits.
@@ -100,32 +104,48 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different anchors of each text, and how often each stands in it."""
-    for batch in batches:
-        for rows, column in slices(batch):
-            data, ends = utf8(column)
-            hashes, _, first, _ = segments(data, ends)
-            owner = np.searchsorted(ends, first, "right") - 1
-            order = np.lexsort((hashes, owner))  # a text that repeats itself has few anchors, many times
-            hashes, owner = hashes[order], owner[order]
-            opens = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(hashes) else np.zeros(0, np.int64)
-            times = np.diff(np.r_[opens, len(hashes)])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[opens].view(np.int64)), pa.array(rows.column("doc_id").to_numpy()[owner[opens]]), pa.array(times.astype(np.int32))], ["anchor", "doc_id", "times"])
-
-
-def _chosen(rows: pa.RecordBatch, column: pa.Array, name: str):
-    """The segments of the texts whose anchor is among those listed for the text; with owner numbers."""
-    data, ends = utf8(column)
-    hashes, place, first, last = segments(data, ends)
-    owner = np.searchsorted(ends, first, "right") - 1
-    lists = rows.column(name)
+def _anchor_rows(frequent: np.ndarray):
+    """The different anchors of each text, and how often each stands in it, but for those that are frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, column in slices(batch):
+                data, ends = utf8(column)
+                hashes, _, first, _ = segments(data, ends)
+                owner = np.searchsorted(ends, first, "right") - 1
+                if len(frequent):
+                    rare = ~np.isin(hashes, frequent)
+                    hashes, owner = hashes[rare], owner[rare]
+                order = np.lexsort((hashes, owner))  # a text that repeats itself has few anchors, many times
+                hashes, owner = hashes[order], owner[order]
+                opens = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(hashes) else np.zeros(0, np.int64)
+                times = np.diff(np.r_[opens, len(hashes)])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[opens].view(np.int64)), pa.array(rows.column("doc_id").to_numpy()[owner[opens]]), pa.array(times.astype(np.int32))], ["anchor", "doc_id", "times"])
+
+    return run
+
+
+def frequent_anchors(documents: DataFrame, share: float) -> tuple[np.ndarray, int]:
+    """Anchors with over ``share`` of a task's average segments, rising, and how many segments that is: by a sample, of which at most partitions / share numbers come back."""
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    one_in = max(1, size // max(SAMPLE_BYTES, partitions * SAMPLE_PART))
+    some = documents.where(F.pmod(F.xxhash64("doc_id", "twin", F.lit(6)), F.lit(one_in)) == 0).mapInArrow(_anchor_rows(np.zeros(0, np.uint64)), "anchor long, doc_id long, times int")
+    counts = some.groupBy("anchor").agg(F.sum("times").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    found = counts.crossJoin(F.broadcast(total)).where((F.col("n") > 3) & (F.col("n") * partitions > share * F.col("total"))).select("anchor", "total").collect()
+    limit = max(1, int(share * one_in * found[0]["total"] / partitions)) if found else 1
+    return np.array(sorted(r["anchor"] % 2**64 for r in found), np.uint64), limit
+
+
+def _listed(rows: pa.RecordBatch, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which segments have an anchor that is listed for their text."""
+    lists = rows.column("anchors")
     flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     listed = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     with np.errstate(over="ignore"):
         salt = lambda o: mix64(o.astype(np.uint64) + np.uint64(1))
-        keep = np.isin(hashes ^ salt(owner), flat ^ salt(listed))
-    return data, ends, hashes[keep], place[keep], first[keep], last[keep], owner[keep]
+        return np.isin(hashes ^ salt(owner), flat ^ salt(listed))
 
 
 SEGMENT = "key long, doc_id long, twin int, place long, before int, content binary"
@@ -137,13 +157,17 @@ def _binary(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes()), pa.py_buffer(data[ragged(start, size)].tobytes())])
 
 
-def _segment_rows(name: str):
-    """Of the anchors listed in a column: anchor, document, anchor's place in it, how far before it the segment begins, and its bytes."""
+def _segment_rows(frequent: np.ndarray | None = None):
+    """Of frequent anchors, or else those listed for each text: anchor, document, anchor's place in it, how far before it the segment begins, and its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, column in slices(batch):
-                data, ends, hashes, place, first, last, owner = _chosen(rows, column, name)
+                data, ends = utf8(column)
+                hashes, place, first, last = segments(data, ends)
+                owner = np.searchsorted(ends, first, "right") - 1
+                keep = _listed(rows, hashes, owner) if frequent is None else np.isin(hashes, frequent)
+                hashes, place, first, last, owner = (x[keep] for x in (hashes, place, first, last, owner))
                 own = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes.view(np.int64)), rows.column("doc_id").take(own), rows.column("twin").take(own), pa.array(place - ends[owner]), pa.array((place - first).astype(np.int32)), _binary(data, first, last - first + LENGTH)],
@@ -289,39 +313,41 @@ def _constructed(found: DataFrame) -> DataFrame:
     return found.repartition("key").sortWithinPartitions("key", "content", "before", "doc_id", "twin", "place").mapInArrow(_span_rows, SPAN)
 
 
-def _hot_spans(found: DataFrame, hot: int) -> DataFrame:
+def _frequent_spans(found: DataFrame, limit: int) -> DataFrame:
     """Spans of segments whose key is too frequent for one task."""
     out = []
     for width in CUTS:
         parts = found.mapInArrow(_split(width), SEGMENT)
         same = ["key", "content", "before"]
         firsts = cut(parts.groupBy(*same).agg(F.min(F.struct("doc_id", "twin", "place")).alias("first"), F.count("*").alias("n")))
-        # copies of a whole part: all but the earliest go
-        copies = parts.join(firsts.where("n > 1").select(*same, "first"), same).where(F.struct("doc_id", "twin", "place") != F.col("first"))
-        begin = F.col("place") - F.col("before")
-        out.append(copies.select("doc_id", "twin", begin.alias("start"), (begin + F.length("content")).alias("stop")))
+        # copies of a whole part: all but the earliest go. A row finds its group by a name of 128 bits, which no two groups share
+        seed = 0
+        while True:
+            name = [F.xxhash64("key", "before", "content", F.lit(seed)).alias("h1"), F.xxhash64(F.lit(seed), "content", "key").alias("h2")]
+            if not firsts.groupBy(*name).count().where("count > 1").limit(1).count():
+                break
+            seed += 1
+        rows = parts.select(*name, "doc_id", "twin", "place", (F.col("place") - F.col("before")).alias("start"), F.length("content").alias("size"))
+        copies = rows.join(firsts.where("n > 1").select(*name, "first"), ["h1", "h2"]).where(F.struct("doc_id", "twin", "place") != F.col("first"))
+        out.append(copies.select("doc_id", "twin", "start", (F.col("start") + F.col("size")).alias("stop")))
         different = firsts.select(*same, "first.*")
         sizes = firsts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        out.append(_constructed(different.join(sizes.where(F.col("m") <= hot), "key", "left_semi")))
-        large = cut(sizes.where(F.col("m") > hot).select("key"))
+        out.append(_constructed(different.join(sizes.where(F.col("m") <= limit), "key", "left_semi")))
+        large = cut(sizes.where(F.col("m") > limit).select("key"))
         if not large.limit(1).count():
             break
         found = different.join(large, "key", "left_semi").select(*SEGMENT_NAMES)
     return reduce(DataFrame.union, out)
 
 
-def repeated_spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_spans(documents: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, twin, start, stop): byte spans of ``documents(doc_id, twin, text)`` covered by windows that also start earlier. They may overlap."""
-    listed = documents.mapInArrow(_anchor_rows, "anchor long, doc_id long, times int")
+    frequent, limit = frequent_anchors(documents, share)
+    listed = documents.mapInArrow(_anchor_rows(frequent), "anchor long, doc_id long, times int").repartition("anchor")  # shuffled once for both sides; no anchor is frequent
     counts = listed.groupBy("anchor").agg(F.sum("times").alias("n")).where(F.col("n") > 1)
-    repeated = listed.join(counts.hint("shuffle_hash"), "anchor")  # a frequent anchor's side can be split
-    chosen = cut(repeated.groupBy("doc_id").agg(F.collect_set(F.when(F.col("n") <= hot, F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot")))
-    kept = documents.join(chosen, "doc_id")
-    spans = _constructed(kept.select("doc_id", "twin", "text", "anchors").mapInArrow(_segment_rows("anchors"), SEGMENT))
-    if chosen.where(F.size("hot") > 0).limit(1).count():
-        frequent = kept.where(F.size("hot") > 0).select("doc_id", "twin", "text", "hot").mapInArrow(_segment_rows("hot"), SEGMENT)
-        spans = spans.union(_hot_spans(cut(frequent), hot))
-    return spans
+    chosen = cut(listed.join(counts.hint("shuffle_hash"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    spans = _constructed(documents.join(chosen, "doc_id").select("doc_id", "twin", "text", "anchors").mapInArrow(_segment_rows(), SEGMENT))
+    return spans.union(_frequent_spans(documents.mapInArrow(_segment_rows(frequent), SEGMENT), limit)) if len(frequent) else spans
 
 
 def _left(content: np.ndarray, found: list | None) -> tuple[bytes, int]:
@@ -361,13 +387,13 @@ def _identified(documents: DataFrame, *columns: str) -> DataFrame:
     return documents.select(*columns, F.coalesce(F.col("doc_id").cast("long"), behind).alias("_doc"), F.hash("text").alias("_twin"))
 
 
-def _with_spans(documents: DataFrame, hot: int, *columns: str) -> DataFrame:
+def _with_spans(documents: DataFrame, share: float, *columns: str) -> DataFrame:
     rows = _identified(documents, *columns)
-    spans = repeated_spans(rows.select(F.col("_doc").alias("doc_id"), F.col("_twin").alias("twin"), "text"), hot).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    spans = repeated_spans(rows.select(F.col("_doc").alias("doc_id"), F.col("_twin").alias("twin"), "text"), share).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     return rows.join(spans.withColumnsRenamed({"doc_id": "_doc", "twin": "_twin"}), ["_doc", "_twin"], "left").select(*columns, "_spans")
 
 
-def remove_repeats(documents: DataFrame, *, hot: int = HOT) -> DataFrame:
+def remove_repeats(documents: DataFrame, *, share: float = SHARE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) of every row of ``documents(doc_id, text)``.
 
     A null text is empty; a text under 100 bytes loses nothing. Of equal windows the one with the least (doc_id, start) stays; documents without doc_id
@@ -375,10 +401,10 @@ def remove_repeats(documents: DataFrame, *, hot: int = HOT) -> DataFrame:
     are documents of their own, in order of a hash. Other columns are not read.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_spans(rows, hot, "doc_id", "text").mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return _with_spans(rows, share, "doc_id", "text").mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def cut_repeats(documents: DataFrame, *, hot: int = HOT) -> DataFrame:
+def cut_repeats(documents: DataFrame, *, share: float = SHARE) -> DataFrame:
     """``documents`` with what ``remove_repeats`` leaves of each text, n_chars (if there) to match, and all other columns as they were.
 
     A character of which only some bytes are left goes whole. No row goes; a null text stays null.
@@ -393,4 +419,4 @@ def cut_repeats(documents: DataFrame, *, hot: int = HOT) -> DataFrame:
                 new = {"text": pa.array(text, pa.string()), "n_chars": pa.array([len(t or "") for t in text], pa.int64())}
                 yield pa.RecordBatch.from_arrays([new[n].cast(rows.schema.field(n).type) if n in new else rows.column(n) for n in names], names)
 
-    return _with_spans(documents, hot, *names).mapInArrow(run, documents.schema)
+    return _with_spans(documents, share, *names).mapInArrow(run, documents.schema)
