@@ -279,7 +279,7 @@ def test_scores_brute_force(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(ts), sum(counts[x] > 0 for x in ts), n, zlib.crc32(str(i).encode()) % 5 == 1)
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] <= 0
     small = {r["doc_id"]: r["score"] for r in score_documents(docs(spark, rows), block_bytes=300).collect()}
-    assert all(small[i] == pytest.approx(got[i]["score"], rel=0.2) for i in small)
+    assert all(small[i] == pytest.approx(got[i]["score"], rel=1e-9) for i in small)
     assert score_documents(docs(spark, [])).count() == 0
 
 

@@ -344,8 +344,9 @@ def repeated_spans(documents: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, twin, start, stop): byte spans of ``documents(doc_id, twin, text)`` covered by windows that also start earlier. They may overlap."""
     frequent, limit = frequent_anchors(documents, share)
     listed = documents.mapInArrow(_anchor_rows(frequent), "anchor long, doc_id long, times int").repartition("anchor")  # shuffled once for both sides; no anchor is frequent
-    counts = listed.groupBy("anchor").agg(F.sum("times").alias("n")).where(F.col("n") > 1)
-    chosen = cut(listed.join(counts.hint("shuffle_hash"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    # both sides read all columns, so that one exchange serves them
+    counts = listed.groupBy("anchor").agg(F.sum("times").alias("n"), F.max("doc_id").alias("last")).where((F.col("n") > 1) & F.col("last").isNotNull()).select("anchor")
+    chosen = cut(listed.join(counts.hint("shuffle_hash"), "anchor").groupBy("doc_id").agg(F.collect_set(F.when(F.col("times") > 0, F.col("anchor"))).alias("anchors")))
     spans = _constructed(documents.join(chosen, "doc_id").select("doc_id", "twin", "text", "anchors").mapInArrow(_segment_rows(), SEGMENT))
     return spans.union(_frequent_spans(documents.mapInArrow(_segment_rows(frequent), SEGMENT), limit)) if len(frequent) else spans
 
