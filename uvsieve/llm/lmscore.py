@@ -11,7 +11,7 @@ so that the discounts are the corpus's and not the shard's. With them a shard bu
 Elias-Fano levels, mapped from a file - and answers each block by successor search within the context's own range. With the
 answers, packed in the same order, each block scores its documents.
 
-Words are named by 64-bit hashes, successors within a context's range by the hash's upper 40 bits. A frequent word would make its shard too large, so it is
+Words are named by 64-bit hashes, successors of a word within its range by the hash's upper 40 bits, those of a pair by 32. A frequent word would make its shard too large, so it is
 cut into parts by its successors, as many as it has times the share of a shard in a sample; parts are shards' words like any other, and what their
 successors leave is added up by the block in whole numbers. The parts change who counts, not what is counted.
 """
@@ -56,8 +56,8 @@ def tokens_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different keys, rising, where each first stands, and the number of each key among them."""
-    order = np.argsort(keys, kind="stable")
+    """The different keys, rising, where each stands (once), and the number of each key among them."""
+    order = np.argsort(keys)
     ordered = keys[order]
     fresh = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.zeros(0, bool)
     number = np.empty(len(keys), np.int64)
@@ -94,7 +94,7 @@ class Block:
         self.later = np.ones(len(tokens), bool)
         self.later[np.cumsum(self.n_tokens) - self.n_tokens] = False
         self.at = np.flatnonzero(self.later)
-        keys, first, self.triple = numbered(self.pair[self.at - 1].astype(np.uint64) << NAME_BITS | names[self.token[self.at]])
+        keys, first, self.triple = numbered(self.pair[self.at - 1].astype(np.uint64) << NAME_BITS | names[self.token[self.at]] >> np.uint64(8))
         self.context, self.triple_name, self.inner = (keys >> NAME_BITS).astype(np.int64), keys & ((np.uint64(1) << NAME_BITS) - np.uint64(1)), self.pair[self.at[first]]
         learned = training[self.owner]
         self.word_counts = np.bincount(self.token[learned], minlength=n)[self.word]
@@ -144,6 +144,15 @@ def thick(raw: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
+def parted(codes: np.ndarray) -> np.ndarray:
+    """16-bit codes as the planes of their bytes."""
+    return np.ascontiguousarray(codes.astype("<u2").view(np.uint8).reshape(-1, 2).T).reshape(-1)
+
+
+def joined(planes: np.ndarray) -> np.ndarray:
+    return restored(np.ascontiguousarray(planes.reshape(2, -1).T).view("<u2").reshape(-1))
+
+
 def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
@@ -199,7 +208,7 @@ def _asking(shards: int, frequent: Parts):
             out = []
             for k, shard in enumerate(some.tolist()):
                 w, p, t = slice(bounds[k], bounds[k + 1]), slice(first[k], first[k + 1]), slice(start[k], start[k + 1])
-                told = (b.ids[w], b.leads[w], narrow(b.word_counts[w]), narrow(fan[w]), thin(b.pair_name[p]), narrow(b.pair_counts[p]), narrow(deep[p]), thin(b.triple_name[t]), narrow(b.triple_counts[t]))
+                told = (b.ids[w], b.leads[w], narrow(b.word_counts[w]), narrow(fan[w]), thin(b.pair_name[p]), narrow(b.pair_counts[p]), narrow(deep[p]), b.triple_name[t].astype("<u4"), narrow(b.triple_counts[t]))
                 out.append((shard, block, pack(*told)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["shard", "block", "packed"])
 
@@ -207,30 +216,32 @@ def _asking(shards: int, frequent: Parts):
 
 
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different keys with a count, rising, their summed counts, and each key's place (that of the next one where it has no count)."""
-    seen = times > 0
+    """The different keys with a count, rising, their summed counts, and the place of each key that has one."""
+    seen = np.flatnonzero(times)
     known, _, code = numbered(keys[seen])
-    return known, np.bincount(code, times[seen], len(known)).astype(np.int64), np.searchsorted(known, keys)
+    at = np.zeros(len(keys), np.int64)
+    at[seen] = code
+    return known, np.bincount(code, times[seen], len(known)).astype(np.int64), at
 
 
 class Told:
     """What all blocks tell a shard, added up: words with their counts, and the pairs and triples seen with theirs."""
 
     def __init__(self, packed: list[bytes]):
-        told = [unpack(x, "<u8", "u1", *["u1"] * 7) for x in packed]
+        told = [unpack(x, "<u8", *["u1"] * 6, "<u4", "u1") for x in packed]
         join = lambda k, f: np.concatenate([f(t[k]) for t in told])
         ids, leads, counts, fan = join(0, lambda x: x), join(1, lambda x: x), join(2, widened), join(3, widened)
-        self.sizes = np.array([(len(t[0]), len(t[4]) // 5, len(t[7]) // 5) for t in told])
+        self.ends = np.cumsum([(0, 0, 0)] + [(len(t[0]), len(t[4]) // 5, len(t[7])) for t in told], axis=0)
         self.words, first, place = numbered(ids)
         self.counts = np.bincount(place, counts, len(self.words)).astype(np.int64)
         self.leads = leads[first] > 0
         mask = (np.uint64(1) << NAME_BITS) - np.uint64(1)
-        known, times, at = _summed(np.repeat(place, fan).astype(np.uint64) << NAME_BITS | join(4, thick), join(5, widened))
+        self.ids, self.fan, self.deep, self.names = ids, fan, join(6, widened), (join(4, thick), join(7, lambda x: x.astype(np.uint64)))
+        known, times, at = _summed(np.repeat(place, fan).astype(np.uint64) << NAME_BITS | self.names[0], join(5, widened))
         self.pairs = (known >> NAME_BITS).astype(np.int64), known & mask, times
         # a triple with a count has a pair with a count
-        known, times, _ = _summed(np.repeat(at, join(6, widened)).astype(np.uint64) << NAME_BITS | join(7, thick), join(8, widened))
+        known, times, _ = _summed(np.repeat(at, self.deep).astype(np.uint64) << NAME_BITS | self.names[1], join(8, widened))
         self.triples = (known >> NAME_BITS).astype(np.int64), known & mask, times
-        self.told = told
 
 
 def _surveying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,16 +268,15 @@ def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _grouped(batches, ("shard", "block", "packed", "survey")):
         t = Told([r[2] for r in rows])
         trie = Trie(t.words, t.counts, t.pairs, t.triples, surveyed(rows[0][3])[2])
-        sizes, told = t.sizes, t.told
-        del t
-        for r, (ids, _, _, fan, pair_names, _, deep, triple_names, _) in zip(rows, told, strict=True):
-            word, _ = trie.find_words(ids)  # all of them are there
-            fan, deep = widened(fan), widened(deep)
-            pair, known, codes = trie.find(2, np.repeat(word, fan), np.ones(int(fan.sum()), bool), thick(pair_names))
-            _, _, deeper = trie.find(3, np.repeat(pair, deep), np.repeat(known, deep), thick(triple_names))
-            times = trie.times.at(slice(None)).reshape(-1, 3)[word]
-            rests = np.where(known, trie.rests.at(pair), 1).astype(np.uint16) if len(pair) and len(sizes) else np.zeros(0, np.uint16)
-            answer = pack(narrow(trie.counts.at(word)), *(narrow(times[:, k]) for k in range(3)), codes, rests, deeper)
+        # all blocks' questions at once, so that each part of a level is decoded once
+        word, _ = trie.find_words(t.ids)  # all of them are there
+        pair, known, codes = trie.find(2, np.repeat(word, t.fan), np.ones(len(t.names[0]), bool), t.names[0])
+        _, _, deeper = trie.find(3, np.repeat(pair, t.deep), np.repeat(known, t.deep), t.names[1])
+        rests = np.where(known, trie.rests.at(np.where(known, pair, 0)), 1).astype(np.uint16) if len(t.pairs[0]) else np.ones(len(pair), np.uint16)  # 1 stands for all
+        counts, times = trie.counts.at(word), trie.times.at(slice(None)).reshape(-1, 3)[word]
+        for r, low, high in zip(rows, t.ends[:-1], t.ends[1:], strict=True):
+            w, p, d = (slice(a, b) for a, b in zip(low, high, strict=True))
+            answer = pack(narrow(counts[w]), *(narrow(times[w, k]) for k in range(3)), parted(codes[p]), parted(rests[p]), parted(deeper[d]))
             yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int32()), pa.array([r[0]], pa.int32()), pa.array([answer], pa.binary())], ["block", "shard", "packed"])
 
 
@@ -274,7 +284,7 @@ def _scoring(frequent: Parts):
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
         squeeze = zstandard.ZstdDecompressor().decompress
         n, v, off = surveyed(answers.column("survey")[0].as_py())
-        told = [unpack(x, *["u1"] * 4, *["<u2"] * 3) for _, x in sorted(zip(answers.column("shard").to_pylist(), answers.column("packed").to_pylist(), strict=True))]
+        told = [unpack(x, *["u1"] * 7) for _, x in sorted(zip(answers.column("shard").to_pylist(), answers.column("packed").to_pylist(), strict=True))]
         b = Block([squeeze(x) for x in own.column("packed").to_pylist()], np.zeros(own.num_rows, bool), frequent)
         join = lambda k, f: np.concatenate([f(t[k]) for t in told])
         lead = np.empty(len(b.words), np.int64)
@@ -282,8 +292,8 @@ def _scoring(frequent: Parts):
         counts = join(0, widened)[lead]
         times = np.stack([np.bincount(b.word, join(k, widened), len(b.words)) for k in (1, 2, 3)], 1)
         base = (counts + 0.5) / (n + 0.5 * (v + 1))
-        inner = join(4, restored) + left_over(counts, times, off[0])[b.word[b.part]] * base[b.successor]
-        outer = join(6, restored) + join(5, restored)[b.context] * inner[b.inner]
+        inner = join(4, joined) + left_over(counts, times, off[0])[b.word[b.part]] * base[b.successor]
+        outer = join(6, joined) + join(5, joined)[b.context] * inner[b.inner]
         p = inner[b.pair]
         p[b.at] = outer[b.triple]
         sums = lambda x: np.bincount(b.owner, x, own.num_rows)
@@ -308,13 +318,13 @@ def score_documents(documents: DataFrame, *, folds: int = 5, held_fold: int = 1,
     partitions = int(session.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(partitions, -(-size // block_bytes))
-    shards = max(partitions, blocks // 2)
+    shards = blocks
     frequent = frequent_words(rows, size, shards)
     dealt = rows.withColumn("training", F.coalesce(fold != held_fold, F.lit(False))).withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(blocks)).cast("int"))
     # the three exchanges; each branch reads all columns, so that those read twice are shuffled once
     texts = dealt.mapInArrow(_pack_rows, "block int, doc_id long, training boolean, packed binary").repartition("block")
     asked = texts.sortWithinPartitions("block").mapInArrow(_asking(shards, frequent), "shard int, block int, packed binary")
-    heard = asked.repartition("shard")
+    heard = asked.repartition(shards, "shard")  # a shard or a few to a task
     survey = heard.sortWithinPartitions("shard").mapInArrow(_surveying, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
     survey = F.broadcast(survey.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "place", "n"))), ",").alias("survey")))  # one row, at most 514 numbers
     answers = heard.crossJoin(survey).sortWithinPartitions("shard").mapInArrow(_answering, "block int, shard int, packed binary").repartition("block").crossJoin(survey)

@@ -95,54 +95,46 @@ def _agenda(symbols: np.ndarray, table: PairTable, rate: float, key: int, offere
     return [x for x in ids if x >= 0]
 
 
-def _side_by_side(ids: np.ndarray, lengths: np.ndarray, table: PairTable, rate: float, keys: np.ndarray, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """ids: a row per word, filled up with -1."""
+def _side_by_side(ids: np.ndarray, lengths: np.ndarray, table: PairTable, rate: float, keys: np.ndarray, offered: list | None = None) -> np.ndarray:
+    """ids: a row per word, filled up with -1, as are the places of symbols that merged into the one before. A symbol stands where it begins."""
     n, width = ids.shape
-    below, columns = threshold(rate), np.arange(width)
-    start = np.minimum(np.broadcast_to(columns, (n, width)), lengths[:, None]).astype(np.int32)
-    start = np.c_[start, lengths.astype(np.int32)]  # the last column: where the word ends
-    lengths = lengths.copy()
-
-    def ranks(rows, at):
-        """Of the pair that begins at each place; a place at the end has none."""
-        nxt = np.minimum(at + 1, width - 1)
-        left, right = ids[rows, at], np.where(at + 1 < width, ids[rows, nxt], -1)
-        rank, merged = table.find(left, right)
+    below = threshold(rate)
+    after = np.minimum(np.arange(1, width + 2)[None, :], lengths[:, None]).astype(np.int32)  # where the next symbol begins, or the word ends
+    before = np.broadcast_to(np.arange(-1, width), (n, width + 1)).astype(np.int32)
+    rank, merged = np.full((n, width), NEVER), np.full((n, width), -1, np.int32)
+
+    def look(rows, at):
+        """Sets the rank and the result of the pair that begins at each place."""
+        right = after[rows, at]
+        pair = right < lengths[rows]
+        rank[rows, at] = NEVER
+        rows, at, right = rows[pair], at[pair], right[pair]
+        found, symbol = table.find(ids[rows, at], ids[rows, right])
+        some = np.flatnonzero(found != NEVER)
+        rows, at, right, found, symbol = rows[some], at[some], right[some], found[some], symbol[some]
         if rate:
-            skip = candidate_hash(keys[rows], start[rows, at], start[rows, at + 1], start[rows, np.minimum(at + 2, width)]) < below
-            rank = np.where(skip, NEVER, rank)
-        none = (left < 0) | (right < 0)
-        rank = np.where(none, NEVER, rank)
+            kept = candidate_hash(keys[rows], at, right, after[rows, right]) >= below
+            rows, at, right, found, symbol = rows[kept], at[kept], right[kept], found[kept], symbol[kept]
+        rank[rows, at], merged[rows, at] = found, symbol
         if offered is not None:
-            r, a = rows[rank != NEVER], at[rank != NEVER]
-            offered.append((r, place_hash(start[r, a], start[r, a + 1], start[r, np.minimum(a + 2, width)])))
-        return rank, merged
+            offered.append((rows, place_hash(at, right, after[rows, right])))
 
-    rows, at = np.indices((n, width)).reshape(2, -1)
-    rank, merged = (x.reshape(n, width) for x in ranks(rows, at))
+    look(np.repeat(np.arange(n), lengths - 1), ragged(np.zeros(n, np.int64), lengths - 1))
     alive = np.arange(n)
     while True:
         best = rank[alive].argmin(axis=1)
         go = rank[alive, best] != NEVER
         alive, best = alive[go], best[go]
         if not len(alive):
-            return ids, lengths
-        ids[alive, best] = merged[alive, best]
-        # what follows the merged pair moves one place to the left
-        source = np.minimum(columns[None, :] + (columns[None, :] > best[:, None]), width - 1)
-        moved = ids[alive[:, None], source]
-        moved[:, -1] = -1
-        ids[alive] = moved
-        wide = np.minimum(np.arange(width + 1)[None, :] + (np.arange(width + 1)[None, :] > best[:, None]), width)
-        start[alive] = start[alive[:, None], wide]
-        rank_moved, merged_moved = rank[alive[:, None], source], merged[alive[:, None], source]
-        rank_moved[:, -1] = NEVER
-        rank[alive], merged[alive] = rank_moved, merged_moved
-        lengths[alive] -= 1
-        for shift in (-1, 0):
-            where = best + shift
-            ok = where >= 0
-            rank[alive[ok], where[ok]], merged[alive[ok], where[ok]] = ranks(alive[ok], where[ok])
+            return ids
+        gone = after[alive, best]
+        following = after[alive, gone]
+        ids[alive, best], ids[alive, gone], rank[alive, gone] = merged[alive, best], -1, NEVER
+        after[alive, best], before[alive, following] = following, best
+        look(alive, best)
+        earlier = before[alive, best]
+        some = earlier >= 0
+        look(alive[some], earlier[some])
 
 
 def merge_words(flat: np.ndarray, lengths: np.ndarray, table: PairTable, rate: float = 0.0, keys: np.ndarray | None = None, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -169,11 +161,11 @@ def merge_words(flat: np.ndarray, lengths: np.ndarray, table: PairTable, rate: f
         ids = np.full((len(rows), width), -1, np.int32)
         ids[np.arange(width)[None, :] < size[:, None]] = flat[ragged(starts[rows], size)]
         met = None if offered is None else []
-        ids, size = _side_by_side(ids, size, table, rate, keys[rows], met)
+        ids = _side_by_side(ids, size, table, rate, keys[rows], met)
         if offered is not None:
             offered.extend((rows[r], h) for r, h in met)
-        parts.append(ids[np.arange(width)[None, :] < size[:, None]])
-        out_lengths[rows] = size
+        parts.append(ids[ids >= 0])
+        out_lengths[rows] = (ids >= 0).sum(1)
         done.append(rows)
         at = to
     for row in order[short:]:

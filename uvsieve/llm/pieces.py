@@ -70,11 +70,12 @@ class Pieces:
         self.foreign = n
 
     def encode_units(self, units: list[str], keys: np.ndarray, rate: float, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        joined = "".join(units).replace(" ", MARK)
+        joined = "".join(units)
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         distinct, code = np.unique(points, return_inverse=True)
-        symbols = np.array([self.ids.get(chr(c), self.foreign + int(c)) for c in distinct], np.int32)[code]
+        # a blank is a mark; a mark in the text itself is spelt in bytes, or it would come back as a blank
+        symbols = np.array([self.ids.get(MARK if c == 32 else chr(c), self.foreign + int(c)) if c != ord(MARK) else self.foreign + int(c) for c in distinct.tolist()], np.int32)[code]
         flat, count = merge_words(symbols, lengths, self.table, rate, keys, offered)
         foreign = np.flatnonzero(flat >= self.foreign)
         if len(foreign):
@@ -182,8 +183,8 @@ def decode(pieces: Pieces, flat: np.ndarray, lengths: np.ndarray) -> list[bytes]
 def encode_pieces(documents: DataFrame, model: str, *, rate: float = 0.1, seed: int = 17, variants: int | None = None, carry: bool = False) -> DataFrame:
     """doc_id, n_pieces, pieces (array of piece numbers) and lossless of every row of ``documents(doc_id, text)``.
 
-    ``lossless``: the pieces were decoded again and gave the text. It fails only where a text holds the mark itself,
-    which decodes to a blank. Null and empty texts have no pieces. At rate 0 the pieces are those of the model's own encoder. Repeated
+    ``lossless``: the pieces were decoded again and gave the text. A text's own mark letters are spelt in bytes, so that holds for them too (the model's own encoder
+    takes them for blanks). Null and empty texts have no pieces. At rate 0 the pieces are else those of the model's own encoder. Repeated
     rows give equal results, a null doc_id counts as 0; other columns are not read; nothing is shuffled.
     ``model`` is a merge-type model's path that every executor can read. Dropout is drawn for each occurrence of a unit; with ``variants``, from so many keys only.
     With ``carry``, all columns of ``documents`` come along (their names must differ from the three added ones).

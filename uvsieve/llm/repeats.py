@@ -120,7 +120,7 @@ def _anchor_rows(frequent: np.ndarray):
                 hashes, owner = hashes[order], owner[order]
                 opens = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(hashes) else np.zeros(0, np.int64)
                 times = np.diff(np.r_[opens, len(hashes)])
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[opens].view(np.int64)), pa.array(rows.column("doc_id").to_numpy()[owner[opens]]), pa.array(times.astype(np.int32))], ["anchor", "doc_id", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[opens].view(np.int64)), pa.array(rows.column("_doc").to_numpy()[owner[opens]]), pa.array(times.astype(np.int32))], ["anchor", "doc_id", "times"])
 
     return run
 
@@ -130,7 +130,7 @@ def frequent_anchors(documents: DataFrame, share: float) -> tuple[np.ndarray, in
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     one_in = max(1, size // max(SAMPLE_BYTES, partitions * SAMPLE_PART))
-    some = documents.where(F.pmod(F.xxhash64("doc_id", "twin", F.lit(6)), F.lit(one_in)) == 0).mapInArrow(_anchor_rows(np.zeros(0, np.uint64)), "anchor long, doc_id long, times int")
+    some = documents.where(F.pmod(F.xxhash64("_doc", "_twin", F.lit(6)), F.lit(one_in)) == 0).select("_doc", "text").mapInArrow(_anchor_rows(np.zeros(0, np.uint64)), "anchor long, doc_id long, times int")
     counts = some.groupBy("anchor").agg(F.sum("times").alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     found = counts.crossJoin(F.broadcast(total)).where((F.col("n") > 3) & (F.col("n") * partitions > share * F.col("total"))).select("anchor", "total").collect()
@@ -170,7 +170,7 @@ def _segment_rows(frequent: np.ndarray | None = None):
                 hashes, place, first, last, owner = (x[keep] for x in (hashes, place, first, last, owner))
                 own = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), rows.column("doc_id").take(own), rows.column("twin").take(own), pa.array(place - ends[owner]), pa.array((place - first).astype(np.int32)), _binary(data, first, last - first + LENGTH)],
+                    [pa.array(hashes.view(np.int64)), rows.column("_doc").take(own), rows.column("_twin").take(own), pa.array(place - ends[owner]), pa.array((place - first).astype(np.int32)), _binary(data, first, last - first + LENGTH)],
                     SEGMENT_NAMES,
                 )
 
@@ -341,14 +341,15 @@ def _frequent_spans(found: DataFrame, limit: int) -> DataFrame:
 
 
 def repeated_spans(documents: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, twin, start, stop): byte spans of ``documents(doc_id, twin, text)`` covered by windows that also start earlier. They may overlap."""
+    """(doc_id, twin, start, stop): byte spans of ``documents(_doc, _twin, text, ...)`` covered by windows that also start earlier. They may overlap."""
     frequent, limit = frequent_anchors(documents, share)
-    listed = documents.mapInArrow(_anchor_rows(frequent), "anchor long, doc_id long, times int").repartition("anchor")  # shuffled once for both sides; no anchor is frequent
+    listed = documents.select("_doc", "text").mapInArrow(_anchor_rows(frequent), "anchor long, doc_id long, times int").repartition("anchor")  # shuffled once for both sides; no anchor is frequent
     # both sides read all columns, so that one exchange serves them
     counts = listed.groupBy("anchor").agg(F.sum("times").alias("n"), F.max("doc_id").alias("last")).where((F.col("n") > 1) & F.col("last").isNotNull()).select("anchor")
-    chosen = cut(listed.join(counts.hint("shuffle_hash"), "anchor").groupBy("doc_id").agg(F.collect_set(F.when(F.col("times") > 0, F.col("anchor"))).alias("anchors")))
-    spans = _constructed(documents.join(chosen, "doc_id").select("doc_id", "twin", "text", "anchors").mapInArrow(_segment_rows(), SEGMENT))
-    return spans.union(_frequent_spans(documents.mapInArrow(_segment_rows(frequent), SEGMENT), limit)) if len(frequent) else spans
+    repeated = listed.join(counts.hint("shuffle_hash"), "anchor").groupBy(F.col("doc_id").alias("_doc"))
+    chosen = cut(repeated.agg(F.collect_set(F.when(F.col("times") > 0, F.col("anchor"))).alias("anchors")))
+    spans = _constructed(documents.join(chosen, "_doc").mapInArrow(_segment_rows(), SEGMENT))  # all columns, as in the join with the spans: one exchange serves both
+    return spans.union(_frequent_spans(documents.select("_doc", "_twin", "text").mapInArrow(_segment_rows(frequent), SEGMENT), limit)) if len(frequent) else spans
 
 
 def _left(content: np.ndarray, found: list | None) -> tuple[bytes, int]:
@@ -368,7 +369,8 @@ def _left(content: np.ndarray, found: list | None) -> tuple[bytes, int]:
 
 def _each_left(rows: pa.RecordBatch, column: pa.Array) -> list[tuple[bytes, int]]:
     data, ends = utf8(column)
-    return [_left(data[ends[i] : ends[i + 1]], found) for i, found in enumerate(rows.column("_spans").to_pylist())]
+    spans, twins = rows.column("_spans").to_pylist(), rows.column("_twin").to_pylist()
+    return [_left(data[ends[i] : ends[i + 1]], found and [s for s in found if s["twin"] == twin]) for i, (found, twin) in enumerate(zip(spans, twins, strict=True))]
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,8 +392,8 @@ def _identified(documents: DataFrame, *columns: str) -> DataFrame:
 
 def _with_spans(documents: DataFrame, share: float, *columns: str) -> DataFrame:
     rows = _identified(documents, *columns)
-    spans = repeated_spans(rows.select(F.col("_doc").alias("doc_id"), F.col("_twin").alias("twin"), "text"), share).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    return rows.join(spans.withColumnsRenamed({"doc_id": "_doc", "twin": "_twin"}), ["_doc", "_twin"], "left").select(*columns, "_spans")
+    spans = repeated_spans(rows, share).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("twin", "start", "stop")).alias("_spans"))
+    return rows.join(spans, "_doc", "left").select(*columns, "_twin", "_spans")
 
 
 def remove_repeats(documents: DataFrame, *, share: float = SHARE) -> DataFrame:
