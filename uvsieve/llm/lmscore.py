@@ -11,7 +11,7 @@ so that the discounts are the corpus's and not the shard's. With them a shard bu
 Elias-Fano levels, mapped from a file - and answers each block by successor search within the context's own range. With the
 answers, packed in the same order, each block scores its documents.
 
-Words are named by 64-bit hashes, successors of a word within its range by the hash's upper 40 bits, those of a pair by 32. A frequent word would make its shard too large, so it is
+Words are named by 64-bit hashes, successors of a word within its range by the hash's upper 40 bits, those of a pair, which are few, by 24. A frequent word would make its shard too large, so it is
 cut into parts by its successors, as many as it has times the share of a shard in a sample; parts are shards' words like any other, and what their
 successors leave is added up by the block in whole numbers. The parts change who counts, not what is counted.
 """
@@ -34,6 +34,8 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 END = np.uint64(0x454E44)  # no word's hash but by a chance of 2^-64
+#: Bits that name a pair's successor.
+TRIPLE_BITS = np.uint64(24)
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
 
@@ -94,7 +96,7 @@ class Block:
         self.later = np.ones(len(tokens), bool)
         self.later[np.cumsum(self.n_tokens) - self.n_tokens] = False
         self.at = np.flatnonzero(self.later)
-        keys, first, self.triple = numbered(self.pair[self.at - 1].astype(np.uint64) << NAME_BITS | names[self.token[self.at]] >> np.uint64(8))
+        keys, first, self.triple = numbered(self.pair[self.at - 1].astype(np.uint64) << NAME_BITS | names[self.token[self.at]] >> np.uint64(NAME_BITS - TRIPLE_BITS))
         self.context, self.triple_name, self.inner = (keys >> NAME_BITS).astype(np.int64), keys & ((np.uint64(1) << NAME_BITS) - np.uint64(1)), self.pair[self.at[first]]
         learned = training[self.owner]
         self.word_counts = np.bincount(self.token[learned], minlength=n)[self.word]
@@ -133,17 +135,26 @@ def widened(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def thin(names: np.ndarray) -> np.ndarray:
-    """40-bit names as five bytes each."""
-    return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).reshape(-1)
+def thin(names: np.ndarray, width: int) -> np.ndarray:
+    """Names as so many bytes each."""
+    return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).reshape(-1)
 
 
-def thick(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = raw.reshape(-1, 5)
+def thick(raw: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
+def stepped(ids: np.ndarray) -> np.ndarray:
+    """Rising ids as the planes of the bytes of their differences, which need fewer."""
+    return np.ascontiguousarray(np.diff(ids, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).reshape(-1)
+
+
+def summed(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").reshape(-1).astype(np.uint64), dtype=np.uint64)
+
+
 def parted(codes: np.ndarray) -> np.ndarray:
     """16-bit codes as the planes of their bytes."""
     return np.ascontiguousarray(codes.astype("<u2").view(np.uint8).reshape(-1, 2).T).reshape(-1)
@@ -208,7 +219,7 @@ def _asking(shards: int, frequent: Parts):
             out = []
             for k, shard in enumerate(some.tolist()):
                 w, p, t = slice(bounds[k], bounds[k + 1]), slice(first[k], first[k + 1]), slice(start[k], start[k + 1])
-                told = (b.ids[w], b.leads[w], narrow(b.word_counts[w]), narrow(fan[w]), thin(b.pair_name[p]), narrow(b.pair_counts[p]), narrow(deep[p]), b.triple_name[t].astype("<u4"), narrow(b.triple_counts[t]))
+                told = (stepped(b.ids[w]), b.leads[w], narrow(b.word_counts[w]), narrow(fan[w]), thin(b.pair_name[p], 5), narrow(b.pair_counts[p]), narrow(deep[p]), thin(b.triple_name[t], 3), narrow(b.triple_counts[t]))
                 out.append((shard, block, pack(*told)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["shard", "block", "packed"])
 
@@ -228,15 +239,15 @@ class Told:
     """What all blocks tell a shard, added up: words with their counts, and the pairs and triples seen with theirs."""
 
     def __init__(self, packed: list[bytes]):
-        told = [unpack(x, "<u8", *["u1"] * 6, "<u4", "u1") for x in packed]
+        told = [unpack(x, *["u1"] * 9) for x in packed]
         join = lambda k, f: np.concatenate([f(t[k]) for t in told])
-        ids, leads, counts, fan = join(0, lambda x: x), join(1, lambda x: x), join(2, widened), join(3, widened)
-        self.ends = np.cumsum([(0, 0, 0)] + [(len(t[0]), len(t[4]) // 5, len(t[7])) for t in told], axis=0)
+        ids, leads, counts, fan = join(0, summed), join(1, lambda x: x), join(2, widened), join(3, widened)
+        self.ends = np.cumsum([(0, 0, 0)] + [(len(t[1]), len(t[4]) // 5, len(t[7]) // 3) for t in told], axis=0)
         self.words, first, place = numbered(ids)
         self.counts = np.bincount(place, counts, len(self.words)).astype(np.int64)
         self.leads = leads[first] > 0
         mask = (np.uint64(1) << NAME_BITS) - np.uint64(1)
-        self.ids, self.fan, self.deep, self.names = ids, fan, join(6, widened), (join(4, thick), join(7, lambda x: x.astype(np.uint64)))
+        self.ids, self.fan, self.deep, self.names = ids, fan, join(6, widened), (join(4, lambda x: thick(x, 5)), join(7, lambda x: thick(x, 3)))
         known, times, at = _summed(np.repeat(place, fan).astype(np.uint64) << NAME_BITS | self.names[0], join(5, widened))
         self.pairs = (known >> NAME_BITS).astype(np.int64), known & mask, times
         # a triple with a count has a pair with a count
@@ -324,7 +335,7 @@ def score_documents(documents: DataFrame, *, folds: int = 5, held_fold: int = 1,
     # the three exchanges; each branch reads all columns, so that those read twice are shuffled once
     texts = dealt.mapInArrow(_pack_rows, "block int, doc_id long, training boolean, packed binary").repartition("block")
     asked = texts.sortWithinPartitions("block").mapInArrow(_asking(shards, frequent), "shard int, block int, packed binary")
-    heard = asked.repartition(shards, "shard")  # a shard or a few to a task
+    heard = asked.repartitionById(shards, "shard")  # a shard to a task
     survey = heard.sortWithinPartitions("shard").mapInArrow(_surveying, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
     survey = F.broadcast(survey.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "place", "n"))), ",").alias("survey")))  # one row, at most 514 numbers
     answers = heard.crossJoin(survey).sortWithinPartitions("shard").mapInArrow(_answering, "block int, shard int, packed binary").repartition("block").crossJoin(survey)
