@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from uvsieve.functions import formats, geometry, thresholds
 from uvsieve.functions.stokes import stokes_flag, stokes_value
-from uvsieve.operators import annuli, cells, flags, loading, summary
+from uvsieve.operators import annuli, cells, flags, loading, profiles, summary
 from uvsieve.sources import fixtures
-from uvsieve.sources.observation import DerivedObservation
+from uvsieve.sources.observation import DerivedObservation, Observation
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -125,19 +126,77 @@ def test_stokes(spark):
         stokes_value(F.col("d"), "X")
 
 
-def test_write_back_round_trip(spark):
+@pytest.mark.parametrize("stokes,overwrite", [("I", False), ("I", True), ("U", False), ("V", True)])
+def test_write_back_by_rows_and_by_long_rows_agree(spark, stokes, overwrite):
     o = DerivedObservation(spark, FOLDER)
     long = loading.flatten(o.main, o.descriptions, o.windows)
-    back = loading.renest(loading.flagged_long(long, long.select("newrow").limit(0)))
-    want = {(r["ddid"], r["row"]): r["flag"] for r in loading.numbered(o.main).select("ddid", "row", "flag").collect()}
-    assert {(r["ddid"], r["row"]): r["flag"] for r in back.collect()} == want
+    some = long.where("newrow % 7 = 0").select("newrow")
+    ids = some.union(some).union(long.where("newrow = 11").select("newrow"))  # ids may repeat
+    flat = {(r["ddid"], r["row"], r["chan"]): r["flag"] for r in loading.flagged_long(long, ids, stokes, overwrite).collect()}
+    nested = loading.write_flags(o.main, o.descriptions, o.windows, ids, stokes, overwrite).collect()
+    assert len(nested) == o.main.count()
+    assert {(r["ddid"], r["row"], k): f for r in nested for k, f in enumerate(r["flag"])} == flat
+    untouched = {r["row_id"]: r["flag"] for r in loading.write_flags(o.main, o.descriptions, o.windows, some.limit(0)).collect()}
+    assert untouched == {r["row_id"]: r["flag"] for r in o.main.select("row_id", "flag").collect()}
 
 
-def test_flattened_numbers_are_dense(spark):
+def test_flattened_numbers_are_dense_and_data_stays_put(spark):
     o = DerivedObservation(spark, FOLDER)
-    got = sorted(r[0] for r in loading.flatten(o.main, o.descriptions, o.windows).select("newrow").collect())
+    long = loading.flatten(o.main, o.descriptions, o.windows)
+    got = sorted(r[0] for r in long.select("newrow").collect())
     assert got == list(range(len(got)))
-    assert got == sorted(r[0] for r in loading.flatten_apart(o.main, o.descriptions, o.windows).select("newrow").collect())
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(ddid" in plan  # the narrow numbers
+    assert not [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "data" in line]
+
+
+def test_tables_from_parquet_with_and_without_optional_columns(spark, tmp_path):
+    o = DerivedObservation(spark, FOLDER)
+    for name in ("main", "antenna", "field", "spectral_window", "data_description", "polarization", "state", "source", "observation"):
+        o.table(name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    read = Observation(spark, str(tmp_path))
+    assert summary.section_sizes(read).collect() == summary.section_sizes(o).collect()
+    assert read.observations.count() == 1
+    full = {r["source_id"]: (r["rest_frequency"], r["system_velocity"]) for r in summary.source_list(read.sources).collect()}
+    assert full == {k: (1.42e9 + k * 1e6 if k % 2 == 0 else 0.0, k * 1000.0 if k % 3 == 0 else 0.0) for k in full} and len(full) == 5
+    bare = summary.source_list(read.sources.drop("rest_frequency", "sysvel")).collect()
+    assert {(r["rest_frequency"], r["system_velocity"]) for r in bare} == {(0.0, 0.0)}
+    same = lambda x: sorted(map(tuple, loading.flatten(x.main, x.descriptions, x.windows).select("newrow", "u", "flag").collect()))
+    assert same(read) == same(o)
+
+
+@pytest.mark.parametrize("shape", ["ball", "rod", "same", "one", "none"])
+def test_longest_baseline_brute_force(spark, shape):
+    rng = random.Random(shape)
+    n, z = {"one": 1, "none": 0}.get(shape, 150), 0.0 if shape == "same" else 1.0
+    at = [[z * rng.gauss(0, 1), z * rng.gauss(0, 1), z * rng.gauss(0, 30 if shape == "rod" else 1)] for _ in range(n)]
+    got = summary.longest_baseline(spark.createDataFrame(list(enumerate(at)), "antenna_id int, position array<double>")).first()[0]
+    assert got == (pytest.approx(max(math.dist(a, b) for a in at for b in at), abs=1e-12) if n > 1 else None)
+
+
+def test_a_sample_of_cells_is_of_cells(spark):
+    grid = spark.range(2000).selectExpr("cast(id % 40 as int) AS u_bin", "cast(id / 40 as int) AS v_bin", "rand(3) AS median")
+    whole = {tuple(r) for r in grid.collect()}
+    some = [tuple(r) for r in profiles.sample_rows(grid, 0.2, 7).collect()]
+    assert set(some) <= whole and 300 < len(some) < 500  # drawn with replacement
+    assert some == [tuple(r) for r in profiles.sample_rows(grid, 0.2, 7).collect()]
+
+
+@pytest.mark.parametrize("hot", [10**6, 20])
+def test_summary_and_spreads_brute_force(spark, hot):
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), rng.randrange(2), k, rng.choice([1.0, 2.5, rng.random() * 9])) for k in range(600)]
+    df = spark.createDataFrame(rows, "u_bin int, v_bin int, newrow long, value double")
+    groups = {}
+    for u, v, _, x in rows:
+        groups.setdefault((u, v), []).append(x)
+    for r in cells.summary(df, hot=hot).collect():
+        x = groups[r["u_bin"], r["v_bin"]]
+        m = statistics.median(x)
+        assert (r["n"], r["median"]) == (len(x), pytest.approx(m))
+        assert (r["std"], r["mad"], r["ratio"]) == (pytest.approx(statistics.pstdev(x)), pytest.approx(1.4826 * statistics.median(abs(y - m) for y in x)), pytest.approx(statistics.mean(x) / m))
+    norm = {(r["u_bin"], r["v_bin"]): r["rms"] for r in cells.rms_grid(df, normalised=True, hot=hot).collect()}
+    assert norm == {k: pytest.approx(math.sqrt(statistics.mean((y - statistics.median(x)) ** 2 for y in x))) for k, x in groups.items()}
 
 
 def test_field_choice(spark):
@@ -158,7 +217,7 @@ def test_formats(spark):
 
 def test_observation_summary(spark):
     lists = summary.observation_summary(DerivedObservation(spark, FOLDER))
-    assert {k: v.count() > 0 for k, v in lists.items()} == dict.fromkeys(("main", "scans", "fields", "intents", "windows", "antennas"), True)
+    assert {k: v.count() > 0 for k, v in lists.items()} == dict.fromkeys(("main", "scans", "fields", "intents", "sources", "windows", "antennas"), True)
 
 
 def test_geodetic(spark):
@@ -178,7 +237,7 @@ def test_job_writes(spark, tmp_path):
 
     flag_job.run(spark, DerivedObservation(spark, FOLDER), str(tmp_path), field=2, factor=0.1, uvrange=(0, 5000))
     assert spark.read.parquet(f"{tmp_path}/flag_ids").count() > 0
-    assert spark.read.parquet(f"{tmp_path}/flag").columns == ["ddid", "row", "flag"]
+    assert spark.read.parquet(f"{tmp_path}/flag").columns == ["row_id", "ddid", "row", "flag"]
 
 
 def test_stream_counts(spark, tmp_path):

@@ -71,6 +71,21 @@ def long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loading.flatten(o.main, o.descriptions, o.windows)
 
 
+def long_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long rows with Stokes I, its flag, and cells of the grid that the whole observation and all its windows span."""
+    o = DerivedObservation(spark, sf_dir)
+    grid = geometry.physical_grid(geometry.observation_limits(o.main, o.windows), diameter=fixtures.DIAMETER, factor=FACTOR)
+    return grid.binned(long_rows(spark, sf_dir).select("*", stokes_value(F.col("data"), "I").alias("value"), stokes_flag(F.col("flag"), "I").alias("flag_i")))
+
+
+def found_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flag ids that flagging Stokes I of the long rows finds."""
+    o = DerivedObservation(spark, sf_dir)
+    grid = geometry.physical_grid(geometry.observation_limits(o.main, o.windows), diameter=fixtures.DIAMETER, factor=FACTOR)
+    rows = long_rows(spark, sf_dir).select("newrow", "u", "v", stokes_value(F.col("data"), "I").alias("value"), stokes_flag(F.col("flag"), "I").alias("flag"))
+    return flags.flag_outliers(rows, grid, sigma=SIGMA, n_annuli=RINGS).flagged_rows()
+
+
 # finding interference
 
 
@@ -210,22 +225,52 @@ def cell_index_ranges(spark, sf_dir):
 
 @query
 def group_indices(spark, sf_dir):
-    found = cells.grouped(kept(spark, sf_dir).where(F.col("u_bin").between(3, 6)))
-    return found.select(*CELL, F.array_join(F.col("members.newrow").cast("array<string>"), ",").alias("rows"))
+    """The rows of every cell, in order, a row each."""
+    return cells.members(kept(spark, sf_dir))
+
+
+@query
+def group_idx_val(spark, sf_dir):
+    return cells.members(kept(spark, sf_dir), "value").withColumn("value", F.round("value", 6))
 
 
 @query
 def group_flagval(spark, sf_dir):
-    found = cells.grouped(binned(spark, sf_dir).where(F.col("u_bin").between(3, 6)), "value", "flag")
-    return found.select(*CELL, F.array_join(F.transform("members", lambda m: F.concat(m["newrow"].cast("string"), F.lit(":"), m["flag"].cast("int").cast("string"))), ",").alias("rows"))
+    return cells.members(binned(spark, sf_dir), "flag")
 
 
 @query
 def group_members(spark, sf_dir):
-    """The members of every cell; the three queries group_indices, group_flagval and group_values show four columns of cells only, as their SQL does."""
     return cells.members(binned(spark, sf_dir), "value", "flag").withColumn("value", F.round("value", 6))
 
 
+@query
+def amplitude_groups(spark, sf_dir):
+    """Median and spread of the amplitude of complex Stokes I, by cell of the long rows."""
+    rows = cells.usable(long_binned(spark, sf_dir).select(*CELL, stokes_value(F.col("data"), "I", "abs").alias("value"), F.col("flag_i").alias("flag")))
+    found = cells.cell_stats(rows).join(cells.apply_grid(rows, "std", F.stddev_pop), CELL)
+    return found.select(*CELL, "n", F.round("median", 3).alias("median"), F.round("std", 3).alias("std"))
+
+
+@query
+def rms_norm(spark, sf_dir):
+    return cells.rms_grid(kept(spark, sf_dir), normalised=True).select(*CELL, six("rms"))
+
+
+@query
+def histogram_cell(spark, sf_dir):
+    """Histograms of the cells of a block, each of its own values in bins that all share."""
+    rows = cells.cells_within(kept(spark, sf_dir), (5, 7), (5, 9))
+    return profiles.histogram_by(rows, CELL, 20, low=0.0, high=20.0)
+
+
+@query
+def histogram_ring(spark, sf_dir):
+    """A histogram of the values of each ring's cells."""
+    rings = ringed(spark, sf_dir).where(F.col("annulus_id").isNotNull()).select(*CELL, "annulus_id")
+    return profiles.histogram_by(kept(spark, sf_dir).join(rings, CELL), ["annulus_id"], 20, low=0.0, high=20.0)
+
+
 @query
 def distinct_bins(spark, sf_dir):
     return binned(spark, sf_dir).agg(F.countDistinct("u_bin").alias("u_bins"), F.countDistinct("v_bin").alias("v_bins"))
@@ -358,7 +403,7 @@ def grid_colors(spark, sf_dir):
 
 @query
 def load_binned(spark, sf_dir):
-    return long_rows(spark, sf_dir).select("newrow", "ddid", "row", "chan", six("u"), six("v"), F.round(stokes_value(F.col("data"), "I"), 4).alias("stokes_i"), stokes_flag(F.col("flag"), "I").alias("flag"))
+    return long_binned(spark, sf_dir).select("newrow", "ddid", "row", "chan", six("u"), six("v"), *CELL, F.round("value", 4).alias("stokes_i"), F.col("flag_i").alias("flag"))
 
 
 @query
@@ -396,24 +441,24 @@ def ddid_by_nchan(spark, sf_dir):
 
 
 def _written(spark, sf_dir, overwrite):
-    rows = long_rows(spark, sf_dir)
-    return loading.flagged_long(rows, rows.where(F.col("newrow") % 10 == 0), "I", overwrite)
+    return loading.flagged_long(long_rows(spark, sf_dir), found_ids(spark, sf_dir), "I", overwrite).select("newrow", *[F.col("flag")[k].alias(f"f{k}") for k in range(4)])
 
 
 @query
 def write_flags_or(spark, sf_dir):
-    return _written(spark, sf_dir, False).select("newrow", *[F.col("flag")[k].alias(f"f{k}") for k in range(4)])
+    return _written(spark, sf_dir, False)
 
 
 @query
 def write_flags_overwrite(spark, sf_dir):
-    return _written(spark, sf_dir, True).select("newrow", *[F.col("flag")[k].alias(f"f{k}") for k in range(4)])
+    return _written(spark, sf_dir, True)
 
 
 @query
 def renest_flags(spark, sf_dir):
+    o = DerivedObservation(spark, sf_dir)
     text = F.transform("flag", lambda c: F.array_join(F.transform(c, lambda f: f.cast("int").cast("string")), ""))
-    return loading.renest(_written(spark, sf_dir, False)).select("ddid", "row", F.array_join(text, "/").alias("flags"))
+    return loading.write_flags(o.main, o.descriptions, o.windows, found_ids(spark, sf_dir)).select("ddid", "row", F.array_join(text, "/").alias("flags"))
 
 
 # summaries
@@ -449,6 +494,20 @@ def spectral_windows(spark, sf_dir):
     return summary.window_list(o.descriptions, o.windows, o.polarizations).join(rows, "ddid").withColumn("centre_mhz", F.round("centre_mhz", 6))
 
 
+@query
+def obs_summary(spark, sf_dir):
+    """How many lines each section of the observation's summary has."""
+    return summary.section_sizes(DerivedObservation(spark, sf_dir))
+
+
+@query
+def spw_split(spark, sf_dir):
+    """The band of each description's window in parts, with the description's rows."""
+    o = DerivedObservation(spark, sf_dir)
+    rows = o.main.groupBy("ddid").agg(F.count("*").alias("n_rows")).join(o.descriptions, "ddid")
+    return summary.split_windows(o.windows, 4).join(rows, "spw_id").select("ddid", "spw_id", "part", six("low_mhz"), six("high_mhz"), "n_rows")
+
+
 @query
 def antenna_list(spark, sf_dir):
     return summary.antenna_list(DerivedObservation(spark, sf_dir).antennas)
@@ -479,12 +538,8 @@ def scan_main(spark, sf_dir):
 
 @query
 def scan_ordered(spark, sf_dir):
-    """Places in the order (scan_number, time, row_id): a scan's start from the scans' counts, and the rank within."""
-    rows = fixtures.main_table(spark, sf_dir).where(F.col("scan_number") <= 3).select("scan_number", "time", "row_id")
-    counts = rows.groupBy("scan_number").agg(F.count("*").alias("n"))
-    starts = counts.select("scan_number", (F.sum("n").over(Window.orderBy("scan_number")) - F.col("n")).alias("start"))
-    within = F.row_number().over(Window.partitionBy("scan_number").orderBy("time", "row_id"))
-    return rows.withColumn("w", within).join(starts, "scan_number").select((F.col("start") + F.col("w")).alias("place"), "row_id")
+    """Places in the order (scan_number, time, row_id)."""
+    return summary.ordered_rows(fixtures.main_table(spark, sf_dir))
 
 
 @query
@@ -495,7 +550,7 @@ def residual_column(spark, sf_dir):
 @query
 def union_ddids(spark, sf_dir):
     o = DerivedObservation(spark, sf_dir)
-    return loading.flatten_apart(o.main, o.descriptions, o.windows).select("newrow", "ddid", six("u"), six("v"))
+    return loading.flatten(o.main, o.descriptions, o.windows).select("newrow", "ddid", six("u"), six("v"))
 
 
 @query
@@ -511,12 +566,12 @@ def field_lookup(spark, sf_dir):
 
 @query
 def source_list(spark, sf_dir):
-    return summary.source_list(fixtures.fields(spark, sf_dir).select("source_id", "name", F.lit(0).alias("spw_id")))
+    return summary.source_list(DerivedObservation(spark, sf_dir).sources)
 
 
 @query
 def observation_info(spark, sf_dir):
-    return fixtures.observations(spark, sf_dir).select("observer", "project", "telescope_name").limit(1)
+    return fixtures.observations(spark, sf_dir).select("observer", "project", "telescope_name", F.date_format("began", "dd-MMM-yyyy HH:mm:ss").alias("began"), F.date_format("ended", "dd-MMM-yyyy HH:mm:ss").alias("ended"))
 
 
 @query
@@ -531,8 +586,10 @@ def spw_bounds(spark, sf_dir):
 
 @query
 def cell_runs(spark, sf_dir):
-    after = F.lead("start").over(Window.orderBy(*CELL))
-    return cells.row_map(kept(spark, sf_dir)).select(*CELL, "start", after.alias("next_start"))
+    """Each cell's run and where the next one begins: where it stops itself, but for the last."""
+    runs = cells.row_map(kept(spark, sf_dir))
+    end = runs.agg(F.max("stop").alias("end"))  # one row
+    return runs.crossJoin(F.broadcast(end)).select(*CELL, "start", F.when(F.col("stop") < F.col("end"), F.col("stop")).alias("next_start"))
 
 
 @query
@@ -551,8 +608,7 @@ def bin_counts(spark, sf_dir):
 
 @query
 def group_values(spark, sf_dir):
-    found = cells.grouped(kept(spark, sf_dir).where(F.col("u_bin").between(3, 6)), "value")
-    return found.select(*CELL, F.array_join(F.transform("members", lambda m: F.round(m["value"] * 1000).cast("bigint").cast("string")), ",").alias("thousandths"))
+    return cells.members(kept(spark, sf_dir), "value").select(*CELL, "place", F.round(F.col("value") * 1000).cast("bigint").alias("thousandths"))
 
 
 @query

@@ -11,7 +11,7 @@ import logging
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from uvsieve.functions.geometry import plan_grid
+from uvsieve.functions.geometry import observation_limits, physical_grid
 from uvsieve.functions.stokes import stokes_flag, stokes_value
 from uvsieve.operators import loading
 from uvsieve.operators.flags import flag_outliers
@@ -24,15 +24,16 @@ def run(spark: SparkSession, observation: Observation, out: str, *, field: int |
     main = observation.main.where(F.col("field_id") == chosen)
     long = loading.flatten(main, observation.descriptions, observation.windows, column)
     rows = long.select("newrow", "u_m", "v_m", "lam", "u", "v", stokes_value(F.col("data"), stokes, component).alias("value"), stokes_flag(F.col("flag"), stokes).alias("flag"))
-    rows = loading.within_uv(rows, *uvrange) if uvrange else rows
     diameter = observation.antennas.agg(F.avg("dish_diameter")).first()[0]
-    found = flag_outliers(rows, plan_grid(rows, diameter=diameter, factor=factor), sigma=sigma)
+    grid = physical_grid(observation_limits(main, observation.windows), diameter=diameter, factor=factor)  # before rows are chosen: bins don't move with the choice
+    rows = loading.within_uv(rows, *uvrange) if uvrange else rows
+    found = flag_outliers(rows, grid, sigma=sigma)
     found.flagged_rows().write.mode("overwrite").parquet(f"{out}/flag_ids")
     found.cells.select("u_bin", "v_bin", "n", "median").write.mode("overwrite").parquet(f"{out}/median_before")
     found.median_after().write.mode("overwrite").parquet(f"{out}/median_after")
     ids = spark.read.parquet(f"{out}/flag_ids")
-    loading.renest(loading.flagged_long(long, ids, stokes, overwrite)).write.mode("overwrite").parquet(f"{out}/flag")
-    logging.getLogger(__name__).info("flagged %s of %s rows", ids.count(), rows.count())
+    loading.write_flags(main, observation.descriptions, observation.windows, ids, stokes, overwrite).write.mode("overwrite").parquet(f"{out}/flag")
+    logging.getLogger(__name__).info("flagged %s rows", ids.count())
 
 
 def main() -> None:

@@ -5,6 +5,8 @@ Nothing here is shared with the DataFrame code; constants are written out again.
 
 from __future__ import annotations
 
+import re
+
 FACTOR = 0.2
 
 #: Building blocks; each may use those before it.
@@ -69,16 +71,27 @@ BLOCKS = {
                WHEN event_id%701=0 THEN 300*sqrt(value) ELSE sqrt(value) END AS amp FROM (
           SELECT n.*, b.nchan, b.base, w.chan_freq, row_number() OVER (PARTITION BY n.ddid ORDER BY row_id)-1 AS row, unnest(range(b.nchan))::INTEGER AS chan
           FROM nested n JOIN dd USING (ddid) JOIN spw w USING (spw_id) JOIN bases b ON b.ddid=n.ddid) x) y""",
+    "lams": "SELECT min(299792458::DOUBLE/f) AS lam_min, max(299792458::DOUBLE/f) AS lam_max FROM (SELECT unnest(chan_freq) AS f FROM spw) x",
+    "llim": "SELECT *, trunc(1/(1.22::DOUBLE*lam_max/13.5::DOUBLE)) AS bw FROM (SELECT min(u_m)/any_value(lam_min) AS u_lo, max(u_m)/any_value(lam_min) AS u_hi, min(v_m)/any_value(lam_min) AS v_lo, max(v_m)/any_value(lam_min) AS v_hi, any_value(lam_max) AS lam_max FROM nested, lams) x",
+    "lspec": f"SELECT *, trunc({FACTOR}::DOUBLE*(u_hi-u_lo)/bw)::INTEGER AS u_n, trunc({FACTOR}::DOUBLE*(v_hi-v_lo)/bw)::INTEGER AS v_n FROM llim",
+    "found_edges": """SELECT *, list_append(list_transform(range(u_n-1), lambda i: u_lo+i*((u_hi-u_lo)/(u_n-1))), u_hi) AS ue,
+        list_append(list_transform(range(v_n-1), lambda i: v_lo+i*((v_hi-v_lo)/(v_n-1))), v_hi) AS ve FROM lspec""",
+    "found_binned": """SELECT newrow, ddid, row, chan, (amp/2)::FLOAT::DOUBLE+(amp/2)::FLOAT::DOUBLE AS value, sqrt(pow((amp/2)::FLOAT::DOUBLE+(amp/2)::FLOAT::DOUBLE,2)+pow((amp/4)::FLOAT::DOUBLE+(amp/4)::FLOAT::DOUBLE,2)) AS strength,
+        fl[1] OR fl[4] AS flag, u, v, len(list_filter(ue, lambda e: e<=u))::INTEGER AS u_bin, len(list_filter(ve, lambda e: e<=v))::INTEGER AS v_bin FROM long, found_edges""",
     "states": "SELECT * FROM (VALUES (0,'click'),(1,'error'),(2,'purchase'),(3,'signup'),(4,'view')) t(state_id,obs_mode)",
     "ant": "SELECT s_suppkey::INTEGER AS antenna_id, s_name AS name, 5109000.0::DOUBLE+(s_suppkey*37)%4001 AS x, 2006000.0::DOUBLE+(s_suppkey*53)%3001 AS y, -3239000.0::DOUBLE+floor(s_acctbal) AS z FROM supplier",
     "mids": "SELECT u_bin, v_bin, median(value) AS m FROM kept GROUP BY ALL",
 }
 
 
+#: The steps from binned rows to flags, once more over the long rows of the nested table.
+STEPS = ("kept", "stats", "cells", "q", "rings", "ringed", "mid", "limits", "known", "low1", "st1", "clip", "clipped", "st2", "thr", "judged", "flags")
+_AGAIN = re.compile(rf"\b({'|'.join((*STEPS, 'binned', 'edges'))})\b")
+BLOCKS |= {f"found_{step}": _AGAIN.sub(r"found_\1", BLOCKS[step]) for step in STEPS}
+
+
 def sql(select: str) -> str:
     """``select`` under the blocks it needs."""
-    import re
-
     needed: set[str] = set()
 
     def need(text: str) -> None:
@@ -88,7 +101,7 @@ def sql(select: str) -> str:
                 need(BLOCKS[name])
 
     need(select)
-    recursive = "RECURSIVE " if needed & {"clip", "allclip"} else ""
+    recursive = "RECURSIVE " if needed & {"clip", "allclip", "found_clip"} else ""
     parts = ", ".join(f"{n} AS ({b})" for n, b in BLOCKS.items() if n in needed)
     return f"WITH {recursive}{parts} {select}" if parts else select
 
@@ -118,8 +131,8 @@ ORACLE_SQL: dict[str, str] = {
     "std_grid": sql("SELECT u_bin, v_bin, round(stddev_pop(value),6) AS std FROM kept GROUP BY ALL"),
     "cell_summary": sql("SELECT s.u_bin, s.v_bin, s.n, round(s.mean,6) AS mean, round(s.median,6) AS median, round(std,6) AS std, round(mad,6) AS mad, round(s.mean/s.median,6) AS ratio FROM stats s JOIN (SELECT u_bin, v_bin, stddev_pop(value) AS std, 1.4826*median(abs(value-m)) AS mad FROM kept JOIN mids USING (u_bin,v_bin) GROUP BY ALL) x USING (u_bin,v_bin)"),
     "cell_index_ranges": sql("SELECT u_bin, v_bin, min(newrow) AS first_row, max(newrow) AS last_row FROM kept GROUP BY ALL"),
-    "group_indices": sql("SELECT u_bin, v_bin, string_agg(newrow::VARCHAR, ',' ORDER BY newrow) AS rows FROM kept WHERE u_bin BETWEEN 3 AND 6 GROUP BY ALL"),
-    "group_flagval": sql("SELECT u_bin, v_bin, string_agg(newrow::VARCHAR||':'||CASE WHEN flag THEN '1' ELSE '0' END, ',' ORDER BY newrow) AS rows FROM binned WHERE u_bin BETWEEN 3 AND 6 GROUP BY ALL"),
+    "group_indices": sql("SELECT u_bin, v_bin, row_number() OVER (PARTITION BY u_bin, v_bin ORDER BY newrow) AS place, newrow FROM kept"),
+    "group_flagval": sql("SELECT u_bin, v_bin, row_number() OVER (PARTITION BY u_bin, v_bin ORDER BY newrow) AS place, newrow, flag FROM binned"),
     "distinct_bins": sql("SELECT count(DISTINCT u_bin) AS u_bins, count(DISTINCT v_bin) AS v_bins FROM binned"),
     "existing_flags": sql("SELECT count(*) AS n, count_if(flag)::BIGINT AS flagged, round(100.0::DOUBLE*count_if(flag)/count(*),6) AS percent FROM binned"),
     "flag_percentage": sql("SELECT (SELECT count(*) FROM flags) AS flagged, count(*) AS n, round(100.0::DOUBLE*(SELECT count(*) FROM flags)/count(*),6) AS percent FROM binned"),
@@ -151,16 +164,16 @@ ORACLE_SQL: dict[str, str] = {
     "uvrange_filter": sql("SELECT newrow FROM vis WHERE sqrt(u*u+v*v) BETWEEN 500 AND 1500"),
     "rayleigh_thresholds": sql("SELECT u_bin, v_bin, round(median/sqrt(2*ln(2))*sqrt(-2*ln(1-0.045/2)),6) AS lo, round(median/sqrt(2*ln(2))*sqrt(-2*ln(0.045/2)),6) AS hi FROM stats"),
     "fixed_thresholds": sql("SELECT u_bin, v_bin, round(median/sqrt(2*ln(2))*sqrt(-2*ln(1-0.00269980/2)),6) AS lo, round(median/sqrt(2*ln(2))*sqrt(-2*ln(0.00269980/2)),6) AS hi FROM stats"),
-    "load_binned": sql("SELECT newrow, ddid, row, chan, round(u,6) AS u, round(v,6) AS v, round((amp/2)::FLOAT::DOUBLE+(amp/2)::FLOAT::DOUBLE,4) AS stokes_i, fl[1] OR fl[4] AS flag FROM long"),
+    "load_binned": sql("SELECT newrow, ddid, row, chan, round(u,6) AS u, round(v,6) AS v, u_bin, v_bin, round(value,4) AS stokes_i, flag FROM found_binned"),
     "stokes_all": sql("SELECT newrow, round((amp/2)::FLOAT::DOUBLE-(amp/2)::FLOAT::DOUBLE,4) AS q, round((amp/8)::FLOAT::DOUBLE+(amp/16)::FLOAT::DOUBLE,4) AS u, round((amp/8)::FLOAT::DOUBLE-(amp/16)::FLOAT::DOUBLE,4) AS v, fl[2] OR fl[3] AS flag_uv, list_contains(fl,true) AS flag_any FROM long"),
     "amplitude": sql("SELECT newrow, round(sqrt(pow((amp/2)::FLOAT::DOUBLE+(amp/2)::FLOAT::DOUBLE,2)+pow((amp/4)::FLOAT::DOUBLE+(amp/4)::FLOAT::DOUBLE,2)),3) AS amplitude FROM long"),
     "filter_ddid_in": sql("SELECT newrow FROM long WHERE ddid IN (1)"),
     "filter_field": sql("SELECT ddid, count(*) AS n FROM nested WHERE field_id=2 GROUP BY ddid"),
     "row_spans": sql("SELECT ddid, base AS first_row, base+n_rows*nchan-1 AS last_row FROM bases"),
     "ddid_by_nchan": sql("SELECT nchan::INTEGER AS nchan, string_agg(ddid::VARCHAR, ',' ORDER BY ddid) AS ddids FROM bases GROUP BY nchan"),
-    "write_flags_or": sql("SELECT newrow, fl[1] OR newrow%10=0 AS f0, fl[2] AS f1, fl[3] AS f2, fl[4] OR newrow%10=0 AS f3 FROM long"),
-    "write_flags_overwrite": sql("SELECT newrow, newrow%10=0 AS f0, fl[2] AS f1, fl[3] AS f2, newrow%10=0 AS f3 FROM long"),
-    "renest_flags": sql("SELECT ddid, row, string_agg(CASE WHEN fl[1] OR newrow%10=0 THEN '1' ELSE '0' END||CASE WHEN fl[2] THEN '1' ELSE '0' END||CASE WHEN fl[3] THEN '1' ELSE '0' END||CASE WHEN fl[4] OR newrow%10=0 THEN '1' ELSE '0' END, '/' ORDER BY chan) AS flags FROM long GROUP BY ddid, row"),
+    "write_flags_or": sql("SELECT newrow, fl[1] OR newrow IN (SELECT newrow FROM found_flags) AS f0, fl[2] AS f1, fl[3] AS f2, fl[4] OR newrow IN (SELECT newrow FROM found_flags) AS f3 FROM long"),
+    "write_flags_overwrite": sql("SELECT newrow, newrow IN (SELECT newrow FROM found_flags) AS f0, fl[2] AS f1, fl[3] AS f2, newrow IN (SELECT newrow FROM found_flags) AS f3 FROM long"),
+    "renest_flags": sql("SELECT ddid, row, string_agg(CASE WHEN fl[1] OR hit THEN '1' ELSE '0' END||CASE WHEN fl[2] THEN '1' ELSE '0' END||CASE WHEN fl[3] THEN '1' ELSE '0' END||CASE WHEN fl[4] OR hit THEN '1' ELSE '0' END, '/' ORDER BY chan) AS flags FROM (SELECT *, newrow IN (SELECT newrow FROM found_flags) AS hit FROM long) x GROUP BY ddid, row"),
     "main_table_info": sql("SELECT ddid, count(*) AS n_rows, round(max(time)-min(time),3) AS exposure, strftime(min(ts),'%d-%b-%Y %H:%M:%S') AS began, strftime(max(ts),'%d-%b-%Y %H:%M:%S') AS ended FROM nested GROUP BY ddid"),
     "scan_list": sql("SELECT scan_number, n.field_id, r_name AS field_name, strftime(t0,'%d-%b-%Y %H:%M:%S') AS began, strftime(t1,'%d-%b-%Y %H:%M:%S') AS ended, n_rows, coalesce(obs_mode,'') AS intent FROM (SELECT scan_number, field_id, count(*) AS n_rows, min(ts) AS t0, max(ts) AS t1, arg_min(state_id, struct_pack(t:=ts, r:=row_id)) AS state_id FROM nested GROUP BY ALL) n JOIN region ON r_regionkey=n.field_id LEFT JOIN states USING (state_id)"),
     "field_list": sql("""SELECT r_regionkey::INTEGER AS field_id, r_name AS name, coalesce(n,0) AS n_rows, printf('%d:%02d:%02d.%02d', h//360000, h//6000%60, h//100%60, h%100) AS ra, printf('%s%d.%02d.%02d.%02d', CASE WHEN g<0 AND d>0 THEN '-' ELSE '' END, d//360000, d//6000%60, d//100%60, d%100) AS declination
@@ -168,20 +181,20 @@ ORACLE_SQL: dict[str, str] = {
     "list_fields": sql("SELECT r_regionkey::INTEGER AS field_id, r_name AS name, coalesce(obs_mode,'') AS intent FROM region LEFT JOIN (SELECT field_id, arg_max(state_id, struct_pack(s:=scan_number, t:=ts, r:=row_id)) AS state_id FROM nested GROUP BY 1) l ON l.field_id=r_regionkey LEFT JOIN states USING (state_id)"),
     "spectral_windows": sql("SELECT ddid, spw_id, name, len(chan_freq)::INTEGER AS n_chan, chan_freq[1]/1e6 AS first_mhz, chan_width/1e3 AS width_khz, total_bandwidth/1e3 AS bandwidth_khz, round((list_min(chan_freq)+list_max(chan_freq))/2e6,6) AS centre_mhz, 'XX,XY,YX,YY' AS correlations, n_rows FROM dd JOIN spw USING (spw_id) JOIN (SELECT ddid, count(*) AS n_rows FROM nested GROUP BY ddid) c USING (ddid)"),
     "longest_baseline": sql("SELECT round(max(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))),6) AS distance FROM ant a JOIN ant b ON a.antenna_id<b.antenna_id"),
-    "spw_exclude_bad": sql("SELECT ddid, chan, n, mhz-1 AS low, mhz+1 AS high FROM (SELECT ddid, chan, max(round(299792458::DOUBLE/lam/1e6,6)) AS mhz, count(*) AS n FROM long GROUP BY ALL) x WHERE NOT EXISTS (SELECT 1 FROM (VALUES (933.0,960.0),(1163.0,1299.0),(1524.0,1630.0)) b(l,h) WHERE mhz-1>=l AND mhz+1<=h)"),
+    "spw_exclude_bad": sql("SELECT ddid, chan, n, mhz-1 AS low, mhz+1 AS high FROM (SELECT ddid, chan, max(round(299792458::DOUBLE/lam/1e6,6)) AS mhz, count(*) AS n FROM long GROUP BY ALL) x WHERE NOT EXISTS (SELECT 1 FROM (VALUES (850.0,985.0),(1090.0,1250.0),(1490.0,1580.0)) b(l,h) WHERE mhz-1>=l AND mhz+1<=h)"),
     "scan_main": sql("SELECT row_id, field_id, ddid, scan_number, round(u_m,6) AS u_m, round(v_m,6) AS v_m FROM nested"),
-    "scan_ordered": sql("SELECT (row_number() OVER (ORDER BY scan_number, time, row_id))::BIGINT AS place, row_id FROM nested WHERE scan_number<=3"),
+    "scan_ordered": sql("SELECT (row_number() OVER (ORDER BY scan_number, time, row_id))::BIGINT AS place, row_id FROM nested"),
     "residual_column": sql("SELECT newrow, round((amp/2)::FLOAT::DOUBLE,4) AS first_re, round((amp/16)::FLOAT::DOUBLE,4) AS third_re FROM long"),
     "union_ddids": sql("SELECT newrow, ddid, round(u,6) AS u, round(v,6) AS v FROM long"),
     "join_ddid_spw": sql("SELECT ddid, chan, round(lam,9) AS lam, count(*) AS n FROM long GROUP BY ALL"),
     "field_lookup": "SELECT r_regionkey::INTEGER AS field_id, r_name AS name FROM region WHERE r_name='ASIA'",
-    "source_list": "SELECT r_regionkey::INTEGER AS source_id, r_name AS name, 0 AS spw_id, 0.0::DOUBLE AS rest_frequency, 0.0::DOUBLE AS system_velocity FROM region",
-    "observation_info": "SELECT 'observer' AS observer, 'project' AS project, 'array' AS telescope_name",
+    "source_list": "SELECT r_regionkey::INTEGER AS source_id, r_name AS name, (r_regionkey%2)::INTEGER AS spw_id, CASE WHEN r_regionkey%2=0 THEN 1.42e9::DOUBLE+r_regionkey*1e6::DOUBLE ELSE 0 END AS rest_frequency, CASE WHEN r_regionkey%3=0 THEN r_regionkey*1000.0::DOUBLE ELSE 0 END AS system_velocity FROM region",
+    "observation_info": "SELECT 'observer' AS observer, 'project' AS project, 'array' AS telescope_name, strftime(min(ts),'%d-%b-%Y %H:%M:%S') AS began, strftime(max(ts),'%d-%b-%Y %H:%M:%S') AS ended FROM events",
     "spw_bounds": "SELECT CASE WHEN s_suppkey%2=0 THEN '0:' ELSE '' END||(s_suppkey+880)||CASE WHEN s_suppkey%3=0 THEN '' ELSE '~'||(s_suppkey+933) END||'MHz' AS text, (s_suppkey+880)::DOUBLE AS low, CASE WHEN s_suppkey%3=0 THEN s_suppkey+880 ELSE s_suppkey+933 END::DOUBLE AS high, 'MHz' AS unit FROM supplier",
     "cell_runs": sql("SELECT u_bin, v_bin, start, lead(start) OVER (ORDER BY u_bin, v_bin) AS next_start FROM (SELECT u_bin, v_bin, (sum(n) OVER (ORDER BY u_bin,v_bin)-n)::BIGINT AS start FROM stats) x"),
     "cell_limits": sql("SELECT u_bin, v_bin, round(cu,6) AS ci_upper, doubted FROM known"),
     "bin_counts": sql("SELECT u_bin, v_bin, n FROM stats"),
-    "group_values": sql("SELECT u_bin, v_bin, string_agg(round(value*1000)::BIGINT::VARCHAR, ',' ORDER BY newrow) AS thousandths FROM kept WHERE u_bin BETWEEN 3 AND 6 GROUP BY ALL"),
+    "group_values": sql("SELECT u_bin, v_bin, row_number() OVER (PARTITION BY u_bin, v_bin ORDER BY newrow) AS place, round(value*1000)::BIGINT AS thousandths FROM kept"),
     "amplitude_median_std": sql("SELECT u_bin, v_bin, round(median(abs(value)),6) AS median, round(stddev_pop(abs(value)),6) AS std FROM kept GROUP BY ALL"),
     "apply_fn": sql("SELECT u_bin, v_bin, round(max(value)-min(value),6) AS extent FROM kept GROUP BY ALL"),
     "null_flags_multi": sql("SELECT newrow FROM binned WHERE NOT flag AND value+u*0=0"),
@@ -192,6 +205,14 @@ ORACLE_SQL: dict[str, str] = {
     "semi_flagged": sql("SELECT chan, count(*) AS n FROM vis WHERE newrow IN (SELECT newrow FROM flags) GROUP BY chan"),
     "anti_flagged": sql("SELECT chan, count(*) AS n FROM vis WHERE newrow NOT IN (SELECT newrow FROM flags) GROUP BY chan"),
     "apply_flags": sql("SELECT newrow, newrow IN (SELECT newrow FROM flags) AS flagged FROM vis"),
+    "group_idx_val": sql("SELECT u_bin, v_bin, row_number() OVER (PARTITION BY u_bin, v_bin ORDER BY newrow) AS place, newrow, round(value,6) AS value FROM kept"),
+    "group_members": sql("SELECT u_bin, v_bin, row_number() OVER (PARTITION BY u_bin, v_bin ORDER BY newrow) AS place, newrow, round(value,6) AS value, flag FROM binned"),
+    "amplitude_groups": sql("SELECT u_bin, v_bin, count(*) AS n, round(median(strength),3) AS median, round(stddev_pop(strength),3) AS std FROM found_binned WHERE NOT flag AND strength<>0 GROUP BY ALL"),
+    "rms_norm": sql("SELECT u_bin, v_bin, round(sqrt(avg(pow(value-m,2))),6) AS rms FROM kept JOIN mids USING (u_bin,v_bin) GROUP BY ALL"),
+    "histogram_cell": sql("SELECT u_bin, v_bin, least(floor(value/20.0::DOUBLE*20),19)::INTEGER AS bin, count(*) AS n FROM kept WHERE u_bin BETWEEN 5 AND 7 AND v_bin BETWEEN 5 AND 9 AND value BETWEEN 0 AND 20 GROUP BY ALL"),
+    "histogram_ring": sql("SELECT annulus_id, least(floor(value/20.0::DOUBLE*20),19)::INTEGER AS bin, count(*) AS n FROM kept JOIN ringed USING (u_bin,v_bin) WHERE annulus_id IS NOT NULL AND value BETWEEN 0 AND 20 GROUP BY ALL"),
+    "obs_summary": sql("SELECT 'main' AS section, count(DISTINCT ddid) AS n_rows FROM nested UNION ALL SELECT 'scans', count(*) FROM (SELECT DISTINCT scan_number, field_id FROM nested JOIN region ON r_regionkey=field_id) x UNION ALL SELECT 'fields', count(*) FROM region UNION ALL SELECT 'intents', count(*) FROM region UNION ALL SELECT 'sources', count(*) FROM region UNION ALL SELECT 'windows', count(*) FROM dd UNION ALL SELECT 'antennas', count(*) FROM ant"),
+    "spw_split": sql("SELECT ddid, spw_id, part, round(chan_freq[1]/1e6+part*(total_bandwidth/1e6/4),6) AS low_mhz, round(chan_freq[1]/1e6+(part+1)*(total_bandwidth/1e6/4),6) AS high_mhz, n_rows FROM dd JOIN spw USING (spw_id) JOIN (SELECT ddid, count(*) AS n_rows FROM nested GROUP BY ddid) c USING (ddid), (SELECT unnest(range(4))::INTEGER AS part) p"),
     "radial_annulus_profile": sql("""SELECT name, annulus_id, n, round(mean,6) AS mean FROM (SELECT 'before' AS name, annulus_id, count(*) AS n, avg(median) AS mean FROM ringed WHERE annulus_id IS NOT NULL GROUP BY ALL
         UNION ALL SELECT 'after', annulus_id, count(*), avg(coalesce(m,0)) FROM ringed LEFT JOIN (SELECT u_bin, v_bin, median(value) AS m FROM judged WHERE NOT outlier GROUP BY ALL) j USING (u_bin,v_bin) WHERE annulus_id IS NOT NULL GROUP BY ALL) x"""),
 }

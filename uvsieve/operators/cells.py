@@ -13,7 +13,7 @@ from ..sources.checkpoints import settled
 
 CELL = ["u_bin", "v_bin"]
 #: Rows of a cell beyond which its median isn't taken from one aggregation buffer.
-HOT_ROWS = 5_000_000
+HOT_ROWS = 200_000
 
 
 def usable(rows: DataFrame, keep_flagged: bool = False) -> DataFrame:
@@ -31,14 +31,14 @@ def _any_hot(rows: DataFrame, keys: list[str], value: str, hot: int) -> bool:
     return (rows.groupBy(*keys).agg(F.count(value).alias("_n")).agg(F.max("_n")).first()[0] or 0) > hot
 
 
-def medians(rows: DataFrame, keys: list[str] = CELL, value: str = "value", hot: int = HOT_ROWS) -> DataFrame:
+def medians(rows: DataFrame, keys: list[str] = CELL, value: str = "value", hot: int = HOT_ROWS, split: bool | None = None) -> DataFrame:
     """(keys, median): the exact median of each group, the mean of the middle pair where the count is even.
 
     Groups of up to ``hot`` rows are one aggregate. In a larger one the median is first bracketed by approximate quantiles, whose buffers are
-    of bounded size; the rows below the bracket are counted, and only those within it are gathered."""
-    if not _any_hot(rows, keys, value, hot):
-        return rows.groupBy(*keys).agg(F.median(value).alias("median"))
-    return _split_medians(rows, keys, value, hot)
+    of bounded size; the rows below the bracket are counted, and only those within it are gathered. ``split``: whether there is a larger one, if that is known."""
+    if split is None:
+        split = _any_hot(rows, keys, value, hot)
+    return _split_medians(rows, keys, value, hot) if split else rows.groupBy(*keys).agg(F.median(value).alias("median"))
 
 
 def _split_medians(rows: DataFrame, keys: list[str], value: str, hot: int) -> DataFrame:
@@ -62,25 +62,34 @@ def median_grid(rows: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     return medians(usable(rows), hot=hot)
 
 
-def cell_stats(rows: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+def cell_stats(rows: DataFrame, hot: int = HOT_ROWS, split: bool | None = None) -> DataFrame:
     """(u_bin, v_bin, n, mean, median) of rows that are to be counted: one shuffle, unless a cell is too large for one buffer."""
     sums = [F.count("*").alias("n"), F.avg("value").alias("mean")]
-    if not _any_hot(rows, CELL, "value", hot):
+    if split is None:
+        split = _any_hot(rows, CELL, "value", hot)
+    if not split:
         return rows.groupBy(*CELL).agg(*sums, F.median("value").alias("median"))
     return rows.groupBy(*CELL).agg(*sums).join(_split_medians(rows, CELL, "value", hot), CELL)
 
 
 def mad_grid(rows: DataFrame, scale: float = MAD_SCALE, hot: int = HOT_ROWS) -> DataFrame:
-    """(u_bin, v_bin, mad): scaled median absolute deviation."""
-    centre = medians(rows, hot=hot)
-    apart = rows.join(centre, CELL).select(*CELL, F.abs(F.col("value") - F.col("median")).alias("value"))
-    return medians(apart, hot=hot).select(*CELL, (F.col("median") * scale).alias("mad"))
+    """(u_bin, v_bin, mad): scaled median absolute deviation. The rows are settled once, sized once, and read twice more."""
+    rows = settled(rows.select(*CELL, "value"))
+    split = _any_hot(rows, CELL, "value", hot)
+    apart = _apart(rows, medians(rows, hot=hot, split=split))
+    return medians(apart, value="apart", hot=hot, split=split).select(*CELL, (F.col("median") * scale).alias("mad"))
+
+
+def _apart(rows: DataFrame, centre: DataFrame) -> DataFrame:
+    """Rows with how far they are from their cell's median."""
+    return rows.join(centre.select(*CELL, F.col("median").alias("_m")), CELL).withColumn("apart", F.abs(F.col("value") - F.col("_m")))
 
 
 def rms_grid(rows: DataFrame, normalised: bool = False, hot: int = HOT_ROWS) -> DataFrame:
     """(u_bin, v_bin, rms): the root of the summed squares about the median; ``normalised``: of their mean."""
-    apart = rows.join(medians(rows, hot=hot), CELL).withColumn("_s", F.pow(F.col("value") - F.col("median"), 2))
-    return apart.groupBy(*CELL).agg(F.sqrt((F.avg if normalised else F.sum)("_s")).alias("rms"))
+    rows = settled(rows.select(*CELL, "value"))
+    square = F.col("apart") * F.col("apart")
+    return _apart(rows, medians(rows, hot=hot)).groupBy(*CELL).agg(F.sqrt((F.avg if normalised else F.sum)(square)).alias("rms"))
 
 
 def apply_grid(rows: DataFrame, name: str, function) -> DataFrame:
@@ -88,12 +97,6 @@ def apply_grid(rows: DataFrame, name: str, function) -> DataFrame:
     return rows.groupBy(*CELL).agg(function(F.col("value")).alias(name))
 
 
-def grouped(rows: DataFrame, *columns: str) -> DataFrame:
-    """(u_bin, v_bin, members): the cell's rows in order of newrow, as an array of structs. Unlike the aggregates above this holds a
-    whole cell in one row; it is for looking at cells, not for a corpus."""
-    return rows.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("newrow", *columns))).alias("members"))
-
-
 def members(rows: DataFrame, *columns: str, width: int = 100_000) -> DataFrame:
     """(u_bin, v_bin, place, newrow, ...): the cell's rows in order of newrow, numbered from 1, a row each. A cell is cut into ranges of ``width``
     newrows: the ranges' running sums are added, and only within a range is there a window, so that no cell meets in one task."""
@@ -109,16 +112,25 @@ def index_ranges(rows: DataFrame) -> DataFrame:
 
 
 def row_map(rows: DataFrame) -> DataFrame:
-    """(u_bin, v_bin, start, stop): each cell's run in the order (u_bin, v_bin, newrow). The running sum is over cells, not rows."""
+    """(u_bin, v_bin, start, stop): each cell's run in the order (u_bin, v_bin, newrow). Running sums are over the cells of a u_bin, and over the u_bins."""
     counts = rows.groupBy(*CELL).agg(F.count("*").alias("_n"))
-    stop = F.sum("_n").over(Window.orderBy(*CELL).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("stop", stop).select(*CELL, (F.col("stop") - F.col("_n")).alias("start"), "stop")
-
-
-def summary(rows: DataFrame) -> DataFrame:
-    """(u_bin, v_bin, n, mean, median, std, mad, ratio) in one row per cell."""
-    spread = rows.groupBy(*CELL).agg(F.stddev_pop("value").alias("std"))
-    return cell_stats(rows).join(spread, CELL).join(mad_grid(rows), CELL).withColumn("ratio", F.try_divide("mean", "median"))
+    wide = counts.groupBy("u_bin").agg(F.sum("_n").alias("_w"))
+    before = wide.select("u_bin", (F.sum("_w").over(Window.orderBy("u_bin")) - F.col("_w")).alias("_before"))  # a row per bin of one axis
+    within = F.sum("_n").over(Window.partitionBy("u_bin").orderBy("v_bin").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("_within", within).join(before, "u_bin").select(*CELL, (F.col("_before") + F.col("_within") - F.col("_n")).alias("start"), (F.col("_before") + F.col("_within")).alias("stop"))
+
+
+def summary(rows: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+    """(u_bin, v_bin, n, mean, median, std, mad, ratio) in one row per cell. The rows are settled once, sized once, and read twice more."""
+    rows = settled(rows.select(*CELL, "value"))
+    split = _any_hot(rows, CELL, "value", hot)
+    stats = settled(cell_stats(rows, hot, split))
+    apart = _apart(rows, stats)
+    if split:
+        spread = apart.groupBy(*CELL).agg(F.stddev_pop("value").alias("std")).join(medians(apart, value="apart", hot=hot, split=True).withColumnRenamed("median", "mad"), CELL)
+    else:
+        spread = apart.groupBy(*CELL).agg(F.stddev_pop("value").alias("std"), F.median("apart").alias("mad"))
+    return stats.join(spread, CELL).withColumn("mad", F.col("mad") * MAD_SCALE).withColumn("ratio", F.try_divide("mean", "median"))
 
 
 def remove_zero_values(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -100,9 +100,9 @@ class Flagging:
 def flag_outliers(visibilities: DataFrame, grid: Grid, *, sigma: float = 3.0, n_annuli: int = 10, use_existing_flags: bool = True, hot: int = HOT_ROWS) -> Flagging:
     """Finds outliers of ``visibilities(newrow, u, v, value, flag)``.
 
-    Rows already flagged take no part, unless ``use_existing_flags`` is false. The cells' statistics are settled once; rows are read where
-    they are needed."""
-    binned = grid.binned(visibilities).select(*CELL, "newrow", "value", "flag")
+    Rows already flagged take no part, unless ``use_existing_flags`` is false. The narrow binned rows and the cells' statistics are settled once and read
+    where they are needed."""
+    binned = settled(grid.binned(visibilities).select(*CELL, "newrow", "value", "flag"))
     rows = usable(binned, not use_existing_flags).drop("flag")
     cells = settled(with_radius(cell_stats(rows, hot=hot), grid))
     annuli = plan_annuli(cells, n_annuli, sigma)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,9 +27,9 @@ def pick_field(main: DataFrame, field_id: int | None = None) -> int:
     """The field asked for, or the only one; several without a choice are an error that lists them."""
     if field_id is not None:
         return field_id
-    found = sorted(r["field_id"] for r in main.select("field_id").distinct().limit(100).collect())
+    found = [r["field_id"] for r in main.select("field_id").distinct().orderBy("field_id").limit(100).collect()]
     if len(found) != 1:
-        raise ValueError(f"choose one of the fields {found}")
+        raise ValueError(f"choose one of the fields {found}{' and others' if len(found) == 100 else ''}")
     return found[0]
 
 
@@ -51,23 +49,31 @@ def row_bases(main: DataFrame, descriptions: DataFrame, windows: DataFrame) -> D
 
 
 def numbered(main: DataFrame) -> DataFrame:
-    """``main`` with ``row``, its place among its description's rows in order of row_id, without a window over all rows: rows are counted by
-    range of row_id, the ranges' running sums are added, and only within a range is there a window."""
+    """``main`` with ``row``, its place among its description's rows in order of row_id. Only (row_id, ddid) are dealt out: rows are counted by
+    range of row_id, the ranges' running sums are added, and within a range there is a window. The numbers then join the rows by row_id:
+    broadcast if they are few, else in place where the table is bucketed by row_id."""
     width = 100_000
-    block = F.floor(F.col("row_id") / width)
-    sizes = main.groupBy("ddid", block.alias("_block")).agg(F.count("*").alias("_n"))
+    narrow = main.select("row_id", "ddid", F.floor(F.col("row_id") / width).alias("_block"))
+    sizes = narrow.groupBy("ddid", "_block").agg(F.count("*").alias("_n"))
     starts = sizes.select("ddid", "_block", (F.sum("_n").over(Window.partitionBy("ddid").orderBy("_block")) - F.col("_n")).alias("_start"))
     within = F.row_number().over(Window.partitionBy("ddid", "_block").orderBy("row_id")) - 1
-    return main.withColumn("_block", block).withColumn("_within", within).join(starts, ["ddid", "_block"]).withColumn("row", F.col("_start") + F.col("_within")).drop("_block", "_within", "_start")
+    numbers = narrow.withColumn("_within", within).join(starts, ["ddid", "_block"]).select("row_id", (F.col("_start") + F.col("_within")).alias("row"))
+    return main.join(numbers, "row_id")
 
 
-def flatten(main: DataFrame, descriptions: DataFrame, windows: DataFrame, data: str = "residual", flags: bool = True) -> DataFrame:
-    """(newrow, ddid, row, chan, u, v, data[corr], flag[corr]) with u and v in wavelengths; one row per row and channel.
+#: Descriptions whose bases are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 10_000
+
 
-    The dimension tables are small; whether they are broadcast is left to their size."""
-    channels = descriptions.join(windows, "spw_id").select("ddid", "chan_freq", F.size("chan_freq").alias("nchan"))
-    bases = row_bases(main, descriptions, windows).select("ddid", "base")
-    rows = numbered(main.withColumn("_data", data_column(main, data))).join(channels, "ddid").join(bases, "ddid")
+def described(main: DataFrame, descriptions: DataFrame, windows: DataFrame) -> DataFrame:
+    """(ddid, nchan, n_rows, base, chan_freq), a row per description that has rows; to be broadcast where there are at most ``MAX_BROADCAST``."""
+    dims = row_bases(main, descriptions, windows).join(descriptions.join(windows, "spw_id").select("ddid", "chan_freq"), "ddid")
+    return F.broadcast(dims) if descriptions.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else dims
+
+
+def flatten(main: DataFrame, descriptions: DataFrame, windows: DataFrame, data: str = "residual", flags: bool = True) -> DataFrame:
+    """(newrow, ddid, row, chan, u, v, data[corr], flag[corr]) with u and v in wavelengths; one row per row and channel, of all descriptions in one pass."""
+    rows = numbered(main.withColumn("_data", data_column(main, data))).join(described(main, descriptions, windows), "ddid")
     cells = F.arrays_zip(F.col("_data").alias("data"), F.col("flag").alias("flag"), F.col("chan_freq").alias("freq"))
     long = rows.select("ddid", "row", "nchan", "base", "u_m", "v_m", F.posexplode(cells).alias("chan", "c"))
     lam = F.lit(LIGHT) / F.col("c.freq")
@@ -75,13 +81,6 @@ def flatten(main: DataFrame, descriptions: DataFrame, windows: DataFrame, data:
     return long.select((F.col("base") + F.col("row") * F.col("nchan") + F.col("chan")).alias("newrow"), "ddid", "row", "chan", lam.alias("lam"), "u_m", "v_m", (F.col("u_m") / lam).alias("u"), (F.col("v_m") / lam).alias("v"), *kept)
 
 
-def flatten_apart(main: DataFrame, descriptions: DataFrame, windows: DataFrame, data: str = "residual") -> DataFrame:
-    """As ``flatten``, one data description at a time and put together: the same rows. For windows of unlike width that are to be kept apart."""
-    known = sorted(r["ddid"] for r in descriptions.select("ddid").collect())  # a dimension table
-    whole = flatten(main, descriptions, windows, data)
-    return reduce(DataFrame.unionByName, [whole.where(F.col("ddid") == d) for d in known])
-
-
 def within_uv(rows: DataFrame, low: float, high: float) -> DataFrame:
     return rows.where(uv_distance(F.col("u"), F.col("v")).between(low, high))
 
@@ -91,16 +90,28 @@ def row_spans(main: DataFrame, descriptions: DataFrame, windows: DataFrame) -> D
     return row_bases(main, descriptions, windows).select("ddid", F.col("base").alias("first_row"), (F.col("base") + F.col("n_rows") * F.col("nchan") - 1).alias("last_row"))
 
 
+def _merged(flags: Column, hit, size: Column, stokes: str, overwrite: bool) -> Column:
+    """The flags of a row's correlations, with those of a Stokes parameter replaced by ``hit``, or joined with it."""
+    touched = (F.lit(0), size - 1) if stokes in "IQ" else (F.lit(1), F.lit(2))
+    return F.transform(flags, lambda f, i: F.when((i == touched[0]) | (i == touched[1]), hit if overwrite else f | hit).otherwise(f))
+
+
 def flagged_long(long: DataFrame, flag_ids: DataFrame, stokes: str = "I", overwrite: bool = False) -> DataFrame:
-    """``long`` with the flags of a Stokes parameter's correlations set from ``flag_ids(newrow)``: replaced, or joined with what was there."""
+    """``long`` with the flags of a Stokes parameter's correlations set from ``flag_ids(newrow)``: replaced, or joined with what was there. Ids may repeat."""
     ids = flag_ids.select("newrow").distinct().withColumn("_hit", F.lit(True))
     hit = F.coalesce(F.col("_hit"), F.lit(False))
-    touched = (F.lit(0), F.size("flag") - 1) if stokes in "IQ" else (F.lit(1), F.lit(2))
-    new = F.transform("flag", lambda f, i: F.when((i == touched[0]) | (i == touched[1]), hit if overwrite else f | hit).otherwise(f))
-    return long.join(ids, "newrow", "left").withColumn("flag", new).drop("_hit")
+    return long.join(ids, "newrow", "left").withColumn("flag", _merged(F.col("flag"), hit, F.size("flag"), stokes, overwrite)).drop("_hit")
+
 
+def write_flags(main: DataFrame, descriptions: DataFrame, windows: DataFrame, flag_ids: DataFrame, stokes: str = "I", overwrite: bool = False) -> DataFrame:
+    """(row_id, ddid, row, flag): the nested flags (channel x correlation) of ``main`` with those of ``flag_ids(newrow)`` set.
 
-def renest(long: DataFrame) -> DataFrame:
-    """(ddid, row, flag): channel x correlation arrays again. A row has as many channels as its window."""
-    gathered = long.groupBy("ddid", "row").agg(F.array_sort(F.collect_list(F.struct("chan", "flag"))).alias("c"))
-    return gathered.select("ddid", "row", F.col("c.flag").alias("flag"))
+    Ids become rows with a short list of channels (a row has as many as its window at most), and that side joins the nested rows: nothing is exploded or nested again."""
+    dims = described(main, descriptions, windows)
+    first, last = F.col("base"), F.col("base") + F.col("n_rows") * F.col("nchan")
+    at = F.col("newrow") - F.col("base")
+    placed = flag_ids.select("newrow").join(dims, (F.col("newrow") >= first) & (F.col("newrow") < last)).select("ddid", F.floor(at / F.col("nchan")).alias("row"), (at % F.col("nchan")).cast("int").alias("chan"))
+    hits = placed.groupBy("ddid", "row").agg(F.collect_set("chan").alias("_hits"))
+    rows = numbered(main.select("row_id", "ddid", "flag")).join(hits, ["ddid", "row"], "left")
+    new = F.transform("flag", lambda c, k: _merged(c, F.coalesce(F.array_contains("_hits", k), F.lit(False)), F.size(c), stokes, overwrite))
+    return rows.select("row_id", "ddid", "row", new.alias("flag"))

@@ -29,6 +29,11 @@ def histogram(rows: DataFrame, n: int, value: str = "value", low: float | None =
     return found.select("bin", (F.lit(a) + F.col("bin") * width).alias("left"), (F.lit(a) + (F.col("bin") + 1) * width).alias("right"), "n", (F.col("n") / F.lit(float(total * width))).alias("density"))
 
 
+def histogram_by(rows: DataFrame, keys: list[str], n: int, value: str = "value", *, low: float, high: float) -> DataFrame:
+    """(keys, bin, n): a histogram of each group in the same bins, by one aggregate. Bins without rows are absent."""
+    return rows.withColumn("bin", equal_width(F.col(value), F.lit(low), F.lit(high), n)).where(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+
+
 def radial_profile(cells: DataFrame, value: str, n: int) -> DataFrame:
     """(bin, centre, n, median, std) of cell values in ``n`` radius bins of equal width, those on a bin's edge left out."""
     span = cells.agg(F.min("radius").alias("a"), F.max("radius").alias("b")).first()

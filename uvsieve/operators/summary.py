@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.formats import clock, correlation_names, degrees_minutes_seconds, hours_minutes_seconds
 
@@ -74,18 +77,42 @@ def antenna_list(antennas: DataFrame) -> DataFrame:
 
 
 def longest_baseline(antennas: DataFrame) -> DataFrame:
-    """The greatest distance between two antennas, and which: each antenna is held against all, antennas being a small, given table
-    that doesn't grow with the observation (at most ``MAX_ANTENNAS``)."""
-    if antennas.limit(MAX_ANTENNAS + 1).count() > MAX_ANTENNAS:
-        raise ValueError(f"more than {MAX_ANTENNAS} antennas")
-    p = antennas.select("antenna_id", *[F.col("position")[k].alias(c) for k, c in enumerate("xyz")])
-    a, b = p.toDF("first", "x1", "y1", "z1"), p.toDF("second", "x2", "y2", "z2")
-    apart = F.sqrt(sum((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz"))
-    pairs = a.join(F.broadcast(b), F.col("first") < F.col("second")).select("first", "second", apart.alias("distance"))
-    return pairs.groupBy().agg(F.max("distance").alias("distance"))
+    """The greatest distance between two antennas, of any number.
 
+    The antenna farthest from the first one, and the one farthest from that, are ``reach`` apart. From the middle between them no antenna is
+    farther than ``most``; so an end of a longer baseline is at least ``reach`` - ``most`` from it, and only such antennas are held against each other."""
+    p = antennas.select("antenna_id", *[F.col("position")[k].alias(c) for k, c in enumerate("xyz")])
 
-MAX_ANTENNAS = 10_000
+    def apart(a, b) -> Column:
+        return F.sqrt(sum((x - y) * (x - y) for x, y in zip(a, b, strict=True)))
+
+    def farthest(point) -> tuple | None:
+        row = p.select("antenna_id", *"xyz", apart([F.col(c) for c in "xyz"], [F.lit(v) for v in point]).alias("d")).orderBy(F.desc("d"), "antenna_id").first()
+        return row and (row["x"], row["y"], row["z"], row["d"])
+
+    one = farthest((0.0, 0.0, 0.0))
+    if one is None:
+        return p.agg(F.max(F.lit(0.0)).alias("distance"))
+    other = farthest(one[:3])
+    middle = [(a + b) / 2 for a, b in zip(one[:3], other[:3], strict=True)]
+    out = apart([F.col(c) for c in "xyz"], [F.lit(m) for m in middle])
+    most = farthest(middle)[3]
+    ends = p.where(out >= other[3] - most - 1e-6 * max(most, 1.0))
+    a, b = ends.toDF("first", "x1", "y1", "z1"), ends.toDF("second", "x2", "y2", "z2")
+    pairs = a.join(b, F.col("first") < F.col("second"))
+    return pairs.agg(F.max(apart([F.col(f"{c}1") for c in "xyz"], [F.col(f"{c}2") for c in "xyz"])).alias("distance"))
+
+
+def ordered_rows(main: DataFrame, width: float = 600.0) -> DataFrame:
+    """(place, row_id) in the order (scan_number, time, row_id). Rows are counted by scan and by ``width`` seconds of time; a scan begins where the ones before it end, a
+    range where the ranges of its scan before it end, and only within a range is there a window."""
+    rows = main.select("scan_number", "time", "row_id", F.floor(F.col("time") / width).alias("_range"))
+    counts = rows.groupBy("scan_number", "_range").agg(F.count("*").alias("_n"))
+    scans = counts.groupBy("scan_number").agg(F.sum("_n").alias("_m"))
+    begins = scans.select("scan_number", (F.sum("_m").over(Window.orderBy("scan_number")) - F.col("_m")).alias("_scan"))  # a row per scan
+    starts = counts.join(begins, "scan_number").select("scan_number", "_range", (F.col("_scan") + F.sum("_n").over(Window.partitionBy("scan_number").orderBy("_range")) - F.col("_n")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("scan_number", "_range").orderBy("time", "row_id"))
+    return rows.withColumn("_within", within).join(starts, ["scan_number", "_range"]).select((F.col("_start") + F.col("_within")).alias("place"), "row_id")
 
 
 def windows_outside(windows: DataFrame, bad: DataFrame) -> DataFrame:
@@ -93,10 +120,11 @@ def windows_outside(windows: DataFrame, bad: DataFrame) -> DataFrame:
     return windows.join(bad, (F.col("low") >= F.col("bad_low")) & (F.col("high") <= F.col("bad_high")), "left_anti")
 
 
-def split_range(low: float, high: float, n: int) -> list[tuple[float, float]]:
-    """``n`` ranges of equal width."""
-    width = (high - low) / n
-    return [(low + k * width, low + (k + 1) * width) for k in range(n)]
+def split_windows(windows: DataFrame, n: int) -> DataFrame:
+    """(spw_id, part, low_mhz, high_mhz): the band of each window in ``n`` parts of equal width."""
+    low, band = F.col("chan_freq")[0] / 1e6, F.col("total_bandwidth") / 1e6
+    parts = windows.select("spw_id", low.alias("_low"), (band / n).alias("_wide"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
+    return parts.select("spw_id", "part", (F.col("_low") + F.col("part") * F.col("_wide")).alias("low_mhz"), (F.col("_low") + (F.col("part") + 1) * F.col("_wide")).alias("high_mhz"))
 
 
 def observation_summary(observation) -> dict[str, DataFrame]:
@@ -104,5 +132,11 @@ def observation_summary(observation) -> dict[str, DataFrame]:
     o = observation
     return {
         "main": main_info(o.main), "scans": scan_list(o.main, o.fields, o.states), "fields": field_list(o.main, o.fields), "intents": field_intents(o.main, o.fields, o.states),
-        "windows": window_list(o.descriptions, o.windows, o.polarizations), "antennas": antenna_list(o.antennas),
+        "sources": source_list(o.sources), "windows": window_list(o.descriptions, o.windows, o.polarizations), "antennas": antenna_list(o.antennas),
     }
+
+
+def section_sizes(observation) -> DataFrame:
+    """(section, n_rows) of an observation's summary."""
+    found = observation_summary(observation)
+    return reduce(DataFrame.unionByName, [lines.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("section"), "n_rows") for name, lines in found.items()])

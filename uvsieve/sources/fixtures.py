@@ -104,6 +104,16 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("r_regionkey").cast("int").alias("field_id"), F.col("r_name").alias("name"), F.lit("T").alias("code"), F.col("r_regionkey").cast("int").alias("source_id"), F.array(F.array(k * 0.1, k * 0.2 - 0.5)).alias("reference_dir"))
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source per field; every other one has a line with a rest frequency, and every third a velocity."""
+    k = F.col("r_regionkey").cast("int")
+    none = F.array().cast("array<double>")
+    return spark.read.parquet(f"{sf_dir}/region.parquet").select(
+        k.alias("source_id"), F.col("r_name").alias("name"), (k % 2).alias("spw_id"),
+        F.when(k % 2 == 0, F.array(F.lit(1.42e9) + k * 1e6)).otherwise(none).alias("rest_frequency"), F.when(k % 3 == 0, F.array(k * F.lit(1000.0))).alias("sysvel"),
+    )
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One observation, as long as the events last."""
     span = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min("ts").alias("began"), F.max("ts").alias("ended"))
@@ -112,4 +122,4 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bad_ranges(spark: SparkSession) -> DataFrame:
     """Frequency ranges of known interference."""
-    return spark.createDataFrame([("933~960MHz",), ("1163~1299MHz",), ("1524~1630MHz",)], "range string")
+    return spark.createDataFrame([("850~985MHz",), ("1090~1250MHz",), ("1490~1580MHz",)], "range string")

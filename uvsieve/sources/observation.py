@@ -15,7 +15,7 @@ class Observation:
     """Main table and dimension tables, read when first asked for.
 
     ``folder`` holds one Parquet table per name (main, antenna, field, spectral_window, data_description, polarization, state,
-    source)."""
+    source, observation)."""
 
     spark: SparkSession
     folder: str
@@ -47,6 +47,14 @@ class Observation:
     def antennas(self) -> DataFrame:
         return self.table("antenna")
 
+    @cached_property
+    def sources(self) -> DataFrame:
+        return self.table("source")
+
+    @cached_property
+    def observations(self) -> DataFrame:
+        return self.table("observation")
+
     @cached_property
     def fields(self) -> DataFrame:
         return self.table("field")
@@ -56,6 +64,6 @@ class DerivedObservation(Observation):
     """An observation derived from a folder of general tables (events, supplier, region)."""
 
     def table(self, name: str) -> DataFrame:
-        with_folder = {"main": fixtures.main_table, "antenna": fixtures.antennas, "field": fixtures.fields}
+        with_folder = {"main": fixtures.main_table, "antenna": fixtures.antennas, "field": fixtures.fields, "source": fixtures.sources, "observation": fixtures.observations}
         plain = {"data_description": fixtures.data_descriptions, "spectral_window": fixtures.spectral_windows, "polarization": fixtures.polarizations, "state": fixtures.states}
         return with_folder[name](self.spark, self.folder) if name in with_folder else plain[name](self.spark)
