@@ -133,3 +133,36 @@ def test_quality_with_one_class_and_empty(spark):
     rows = score_quality(df, spark.createDataFrame([(0, 1)], "doc_id long, quality int")).collect()
     assert len({r["score"] for r in rows}) == 1 and rows[0]["score"] >= 0.5
     assert score_quality(df.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def test_marks_in_texts_and_long_texts_decode_exactly(spark):
+    """A text's own mark letters, a word of many symbols, a long text, repeated and null rows."""
+    rows = [(1, "a▁b ▁▁ c▁"), (1, "a▁b ▁▁ c▁"), (2, "▁"), (3, "ab" * 3000), (4, "word " * 500_000), (None, None), (5, "\n \n  x")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, pieces_of string")
+    model = tokenizer_path("piece_bpe_32k.model")
+    for rate in (0.0, 0.3):
+        got = encode_pieces(df, model, rate=rate)
+        assert got.where("not lossless").count() == 0 and got.count() == len(rows)
+        back = sorted(r["text"] for r in decode_pieces(got, model).collect())
+        assert back == sorted(t or "" for _, t in rows)
+
+
+def test_rounds_agree_with_the_agenda_on_many_words(monkeypatch):
+    """Words of all lengths under many keys: side by side and through the agenda, with the same merges taken."""
+    rng = np.random.default_rng(5)
+    n = 40
+    left, right = (x.reshape(-1) for x in np.meshgrid(np.arange(n), np.arange(n)))
+    some = rng.random(n * n) < 0.5
+    table = merges.PairTable(left[some], right[some], rng.integers(0, 50, int(some.sum())), rng.integers(0, n, int(some.sum())))
+    lengths = rng.integers(0, 30, 3000)
+    flat, keys = rng.integers(0, 6, int(lengths.sum())).astype(np.int32), rng.integers(0, 2**63, 3000).astype(np.uint64)
+    for rate in (0.0, 0.2, 1.0):
+        taken = []
+        a = merges.merge_words(flat, lengths, table, rate, keys, taken)
+        monkeypatch.setattr(merges, "LONG", 0)
+        other = []
+        b = merges.merge_words(flat, lengths, table, rate, keys, other)
+        monkeypatch.undo()
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+        pairs = lambda x: sorted(zip(*(np.concatenate(y).tolist() for y in zip(*x, strict=True)), strict=True)) if x else []
+        assert pairs(taken) == pairs(other)

@@ -29,17 +29,31 @@ class PairTable:
     """Which pairs merge, at which rank, into which symbol."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray):
-        keys = np.asarray(left, np.int64) << 32 | np.asarray(right, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys = np.r_[keys[order], np.int64(2**63 - 1)]
-        self.rank = np.r_[np.asarray(rank, np.int32)[order], NEVER]
-        self.merged = np.r_[np.asarray(merged, np.int32)[order], np.int32(-1)]
+        keys = (np.asarray(left, np.int64) << 32 | np.asarray(right, np.int64)).view(np.uint64)
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length() + 1))
+        order = np.argsort(self._bucket(keys), kind="stable")
+        self.keys = keys[order]
+        self.opening = np.searchsorted(self._bucket(self.keys), np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
+        self.rank, self.merged = np.asarray(rank, np.int32)[order], np.asarray(merged, np.int32)[order]
+
+    def _bucket(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (((keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = left.astype(np.int64) << 32 | (right.astype(np.int64) & 0xFFFFFFFF)
-        at = np.searchsorted(self.keys, keys)
-        hit = self.keys[at] == keys
-        return np.where(hit, self.rank[at], NEVER), np.where(hit, self.merged[at], -1)
+        keys = (left.astype(np.int64) << 32 | (right.astype(np.int64) & 0xFFFFFFFF)).view(np.uint64)
+        bucket = self._bucket(keys)
+        at, end = self.opening[bucket], self.opening[bucket + 1]
+        rank, merged = np.full(len(keys), NEVER), np.full(len(keys), -1, np.int32)
+        todo = np.flatnonzero(at < end)
+        at, end, keys = at[todo], end[todo], keys[todo]
+        while len(todo):
+            same = self.keys[at] == keys
+            hit = np.flatnonzero(same)
+            rank[todo[hit]], merged[todo[hit]] = self.rank[at[hit]], self.merged[at[hit]]
+            more = np.flatnonzero(~same & (at + 1 < end))
+            todo, at, end, keys = todo[more], at[more] + 1, end[more], keys[more]
+        return rank, merged
 
 
 def place_hash(start, middle, end) -> np.ndarray:
@@ -59,7 +73,7 @@ def threshold(rate: float) -> np.uint64:
     return np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
 
 
-def _agenda(symbols: np.ndarray, table: PairTable, rate: float, key: int, offered: list | None = None) -> list[int]:
+def _agenda(symbols: np.ndarray, table: PairTable, rate: float, key: int, taken: list | None = None) -> list[int]:
     ids, n = symbols.tolist(), len(symbols)
     after, before, end = [*range(1, n), -1], [*range(-1, n - 1)], [*range(1, n + 1)]
     below, heap = int(threshold(rate)), []
@@ -73,9 +87,6 @@ def _agenda(symbols: np.ndarray, table: PairTable, rate: float, key: int, offere
             ranks, merged = table.find(np.array([a for a, _ in unknown]), np.array([b for _, b in unknown]))
             known.update(zip(unknown, zip(ranks.tolist(), merged.tolist(), strict=True), strict=True))
         skipped = candidate_hash(np.uint64(key), left, right, [end[j] for j in right]).tolist() if rate else [2**64] * len(pairs)
-        if offered is not None:
-            some = [(i, j, end[j]) for i, j, p in zip(left, right, new, strict=True) if known[p][0] != NEVER]
-            offered.append(np.array(some, np.int64).reshape(-1, 3))
         for i, j, p, h in zip(left, right, new, skipped, strict=True):
             if known[p][0] != NEVER and (not rate or h >= below):
                 heapq.heappush(heap, (known[p][0], i, j, end[j]))
@@ -86,6 +97,8 @@ def _agenda(symbols: np.ndarray, table: PairTable, rate: float, key: int, offere
         _, i, j, e = heapq.heappop(heap)
         if ids[i] < 0 or ids[j] < 0 or after[i] != j or end[j] != e:
             continue
+        if taken is not None:
+            taken.append(np.array([(i, j, e)], np.int64))
         ids[i], ids[j], end[i], after[i] = known[ids[i], ids[j]][1], -1, e, after[j]
         if after[i] >= 0:
             before[after[i]] = i
@@ -95,53 +108,58 @@ def _agenda(symbols: np.ndarray, table: PairTable, rate: float, key: int, offere
     return [x for x in ids if x >= 0]
 
 
-def _side_by_side(ids: np.ndarray, lengths: np.ndarray, table: PairTable, rate: float, keys: np.ndarray, offered: list | None = None) -> np.ndarray:
+def _side_by_side(ids: np.ndarray, lengths: np.ndarray, table: PairTable, rate: float, keys: np.ndarray, taken: list | None = None) -> np.ndarray:
     """ids: a row per word, filled up with -1, as are the places of symbols that merged into the one before. A symbol stands where it begins."""
     n, width = ids.shape
-    below = threshold(rate)
-    after = np.minimum(np.arange(1, width + 2)[None, :], lengths[:, None]).astype(np.int32)  # where the next symbol begins, or the word ends
-    before = np.broadcast_to(np.arange(-1, width), (n, width + 1)).astype(np.int32)
-    rank, merged = np.full((n, width), NEVER), np.full((n, width), -1, np.int32)
+    below, wide = threshold(rate), width + 1
+    # one row of width + 1 places after the other
+    after = np.minimum(np.arange(1, width + 2)[None, :], lengths[:, None]).astype(np.int32).reshape(-1)  # where the next symbol begins, or the word ends
+    before = np.broadcast_to(np.arange(-1, width), (n, wide)).astype(np.int32).reshape(-1)
+    rank, merged = np.full(n * wide, NEVER), np.full(n * wide, -1, np.int32)
+    table_rows, symbols = rank.reshape(n, wide), np.c_[ids, np.full(n, -1, np.int32)].reshape(-1)
 
     def look(rows, at):
         """Sets the rank and the result of the pair that begins at each place."""
-        right = after[rows, at]
-        pair = right < lengths[rows]
-        rank[rows, at] = NEVER
-        rows, at, right = rows[pair], at[pair], right[pair]
-        found, symbol = table.find(ids[rows, at], ids[rows, right])
+        start = rows * wide
+        here, right = start + at, after[start + at]
+        rank[here] = NEVER
+        pair = np.flatnonzero(right < lengths[rows])
+        rows, at, here, right, start = rows[pair], at[pair], here[pair], right[pair], start[pair]
+        there = start + right
+        found, symbol = table.find(symbols[here], symbols[there])
         some = np.flatnonzero(found != NEVER)
-        rows, at, right, found, symbol = rows[some], at[some], right[some], found[some], symbol[some]
         if rate:
-            kept = candidate_hash(keys[rows], at, right, after[rows, right]) >= below
-            rows, at, right, found, symbol = rows[kept], at[kept], right[kept], found[kept], symbol[kept]
-        rank[rows, at], merged[rows, at] = found, symbol
-        if offered is not None:
-            offered.append((rows, place_hash(at, right, after[rows, right])))
+            kept = candidate_hash(keys[rows[some]], at[some], right[some], after[there[some]]) >= below
+            some = some[kept]
+        rank[here[some]], merged[here[some]] = found[some], symbol[some]
 
     look(np.repeat(np.arange(n), lengths - 1), ragged(np.zeros(n, np.int64), lengths - 1))
     alive = np.arange(n)
     while True:
-        best = rank[alive].argmin(axis=1)
-        go = rank[alive, best] != NEVER
-        alive, best = alive[go], best[go]
+        best = table_rows[alive].argmin(axis=1)
+        start = alive * wide
+        go = np.flatnonzero(rank[start + best] != NEVER)
+        alive, best, start = alive[go], best[go], start[go]
         if not len(alive):
-            return ids
-        gone = after[alive, best]
-        following = after[alive, gone]
-        ids[alive, best], ids[alive, gone], rank[alive, gone] = merged[alive, best], -1, NEVER
-        after[alive, best], before[alive, following] = following, best
+            return symbols.reshape(n, wide)
+        here = start + best
+        gone = after[here]
+        following = after[start + gone]
+        if taken is not None:
+            taken.append((alive, place_hash(best, gone, following)))
+        symbols[here], symbols[start + gone], rank[start + gone] = merged[here], -1, NEVER
+        after[here], before[start + following] = following, best
         look(alive, best)
-        earlier = before[alive, best]
-        some = earlier >= 0
+        earlier = before[here]
+        some = np.flatnonzero(earlier >= 0)
         look(alive[some], earlier[some])
 
 
-def merge_words(flat: np.ndarray, lengths: np.ndarray, table: PairTable, rate: float = 0.0, keys: np.ndarray | None = None, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def merge_words(flat: np.ndarray, lengths: np.ndarray, table: PairTable, rate: float = 0.0, keys: np.ndarray | None = None, taken: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of words (one after the other in ``flat``) after merging, and how many each has.
 
-    rate: the share of candidates to skip; keys: an unsigned 64-bit key per word. ``offered`` takes, in parts, the words' numbers and the place
-    hashes of all candidates met on the way; at rate 0 a word whose key skips none of these merges alike at any rate.
+    rate: the share of candidates to skip; keys: an unsigned 64-bit key per word. ``taken`` takes, in parts, the words' numbers and the place
+    hashes of all candidates that were merged; at rate 0 a word whose key skips none of these merges alike at any rate, since a candidate that was never merged may as well be skipped.
     """
     lengths = np.asarray(lengths, np.int64)
     starts, n = np.cumsum(lengths) - lengths, len(lengths)
@@ -160,20 +178,20 @@ def merge_words(flat: np.ndarray, lengths: np.ndarray, table: PairTable, rate: f
         size, width = lengths[rows], int(lengths[order[to - 1]])
         ids = np.full((len(rows), width), -1, np.int32)
         ids[np.arange(width)[None, :] < size[:, None]] = flat[ragged(starts[rows], size)]
-        met = None if offered is None else []
+        met = None if taken is None else []
         ids = _side_by_side(ids, size, table, rate, keys[rows], met)
-        if offered is not None:
-            offered.extend((rows[r], h) for r, h in met)
+        if taken is not None:
+            taken.extend((rows[r], h) for r, h in met)
         parts.append(ids[ids >= 0])
         out_lengths[rows] = (ids >= 0).sum(1)
         done.append(rows)
         at = to
     for row in order[short:]:
-        met = None if offered is None else []
+        met = None if taken is None else []
         merged = _agenda(flat[starts[row] : starts[row] + lengths[row]], table, rate, int(keys[row]), met)
         if met:
             places = np.concatenate(met)
-            offered.append((np.full(len(places), row), place_hash(*places.T)))
+            taken.append((np.full(len(places), row), place_hash(*places.T)))
         parts.append(np.array(merged, np.int32))
         out_lengths[row] = len(merged)
         done.append(np.array([row]))

@@ -8,7 +8,7 @@ alike for the same seed, document and place. Pieces joined again give the text b
 No piece holds a mark after another letter, or a line feed; that is proved when the model is read. Hence
 units - marks with the letters after them, and line feeds - never interact and are encoded apart. Every occurrence has a key of its
 own, of seed, document and place. A unit is encoded without dropout once per worker; only occurrences whose key skips a candidate
-met on that way are encoded again, and the others would come out the same.
+merged on that way are encoded again, and the others would come out the same.
 """
 
 from __future__ import annotations
@@ -69,14 +69,14 @@ class Pieces:
         #: A letter that is no piece stands as this number plus its code point until it is spelt in bytes.
         self.foreign = n
 
-    def encode_units(self, units: list[str], keys: np.ndarray, rate: float, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode_units(self, units: list[str], keys: np.ndarray, rate: float, taken: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         joined = "".join(units)
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         distinct, code = np.unique(points, return_inverse=True)
         # a blank is a mark; a mark in the text itself is spelt in bytes, or it would come back as a blank
         symbols = np.array([self.ids.get(MARK if c == 32 else chr(c), self.foreign + int(c)) if c != ord(MARK) else self.foreign + int(c) for c in distinct.tolist()], np.int32)[code]
-        flat, count = merge_words(symbols, lengths, self.table, rate, keys, offered)
+        flat, count = merge_words(symbols, lengths, self.table, rate, keys, taken)
         foreign = np.flatnonzero(flat >= self.foreign)
         if len(foreign):
             owner = np.repeat(np.arange(len(units)), count)
@@ -108,7 +108,7 @@ class Runs:
 
 
 class Encoder:
-    """Encodes documents; remembers the units met so far: their pieces without dropout, and the candidates met on the way there."""
+    """Encodes documents; remembers the units met so far: their pieces without dropout, and the candidates merged on the way there."""
 
     def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int | None = None):
         self.pieces, self.rate, self.seed, self.variants = pieces, rate, seed, variants
@@ -116,23 +116,23 @@ class Encoder:
 
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.whole, self.offers = Runs(np.int32), Runs(np.uint64)
+        self.whole, self.taken = Runs(np.int32), Runs(np.uint64)
 
     def learn(self, units: list[str]) -> None:
         """Encodes each unit without dropout."""
-        offered: list[tuple[np.ndarray, np.ndarray]] | None = [] if self.rate else None
-        self.whole.add(*self.pieces.encode_units(units, np.zeros(len(units), np.uint64), 0.0, offered))
-        owner, places = (np.concatenate(x) for x in zip(*offered, strict=True)) if offered else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        self.offers.add(places[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(units)))
+        taken: list[tuple[np.ndarray, np.ndarray]] | None = [] if self.rate else None
+        self.whole.add(*self.pieces.encode_units(units, np.zeros(len(units), np.uint64), 0.0, taken))
+        owner, places = (np.concatenate(x) for x in zip(*taken, strict=True)) if taken else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        self.taken.add(places[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(units)))
         self.rows.update(zip(units, range(len(self.rows), len(self.rows) + len(units)), strict=True))
 
     def varied(self, row: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The occurrences that skip a candidate."""
+        """The occurrences that skip a candidate merged without dropout."""
         below, found = threshold(self.rate), []
         for at in range(0, len(row), STEP):
             part = row[at : at + STEP]
-            n = self.offers.size[part]
-            skip = mix64(np.repeat(keys[at : at + STEP], n) ^ self.offers.take(part)) < below
+            n = self.taken.size[part]
+            skip = mix64(np.repeat(keys[at : at + STEP], n) ^ self.taken.take(part)) < below
             hit = np.zeros(len(part), bool)
             hit[np.repeat(np.arange(len(part)), n)[skip]] = True
             found.append(at + np.flatnonzero(hit))
@@ -140,7 +140,7 @@ class Encoder:
 
     def encode(self, ids: np.ndarray, documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The piece numbers of all documents, one after the other, and how many each has."""
-        if len(self.rows) > MEMORY_UNITS or max(self.whole.used, self.offers.used) > 16 * MEMORY_UNITS:
+        if len(self.rows) > MEMORY_UNITS or max(self.whole.used, self.taken.used) > 16 * MEMORY_UNITS:
             self.forget()
         split = [UNIT.findall(" " + t) if t else [] for t in documents]
         count = np.fromiter(map(len, split), np.int64, len(split))
