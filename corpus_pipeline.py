@@ -25,10 +25,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that with the least doc_id. Rows without doc_id go."""
-    classes = near_duplicates(docs.select("doc_id", "text"), likeness=0.8)
-    stay = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").select(docs.columns)
+    """One document of each class of near-duplicates: that with the least doc_id.
+
+    Rows without doc_id take part, behind all others (in order of a hash). Rows that repeat doc_id and text are one document, of which one row stays;
+    other texts of a doc_id stay or go with it."""
+    behind = F.lit(2**62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), behind)).withColumn("_mark", F.hash("text"))
+    classes = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), likeness=0.8)
+    stay = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_key"))
+    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key", "_mark"]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
