@@ -61,3 +61,12 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert last.columns[:4] == docs.columns and last.count() == 3
+
+
+def test_near_duplicate_stage_with_repeated_rows_and_without_ids(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, long, "a"), (5, long, "a"), (5, "another text of the same number", "b"), (3, long + " more", "c"), (None, long, "d"), (None, "one text with no number", "e"), (None, "one text with no number", "e"), (9, None, "f"), (10, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _extra string")
+    got = sorted((r["doc_id"] or -1, r["_extra"]) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, FOLDER).collect())
+    # 3 stands for the near copies (of doc_id 5 all rows go with the text that is one), one row for the repeated text without doc_id, 9 for the empty ones
+    assert got == [(-1, "e"), (3, "c"), (9, "f")]

@@ -333,11 +333,11 @@ def score_documents(documents: DataFrame, *, folds: int = 5, held_fold: int = 1,
     frequent = frequent_words(rows, size, shards)
     dealt = rows.withColumn("training", F.coalesce(fold != held_fold, F.lit(False))).withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(blocks)).cast("int"))
     # the three exchanges; each branch reads all columns, so that those read twice are shuffled once
-    texts = dealt.mapInArrow(_pack_rows, "block int, doc_id long, training boolean, packed binary").repartition("block")
+    texts = dealt.mapInArrow(_pack_rows, "block int, doc_id long, training boolean, packed binary").repartition(blocks, "block")
     asked = texts.sortWithinPartitions("block").mapInArrow(_asking(shards, frequent), "shard int, block int, packed binary")
     heard = asked.repartitionById(shards, "shard")  # a shard to a task
     survey = heard.sortWithinPartitions("shard").mapInArrow(_surveying, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
     survey = F.broadcast(survey.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "place", "n"))), ",").alias("survey")))  # one row, at most 514 numbers
-    answers = heard.crossJoin(survey).sortWithinPartitions("shard").mapInArrow(_answering, "block int, shard int, packed binary").repartition("block").crossJoin(survey)
+    answers = heard.crossJoin(survey).sortWithinPartitions("shard").mapInArrow(_answering, "block int, shard int, packed binary").repartition(blocks, "block").crossJoin(survey)
     scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(frequent), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.select("doc_id", F.coalesce(fold == held_fold, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
