@@ -158,7 +158,7 @@ def fingerprints(documents: DataFrame, *, hashing: Callable[[bytes], bytes] = di
     session = rows.sparkSession
     partitions = int(session.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, partitions * RUNS)
-    bounds = sorted(set(int(b) for b in rows.select("doc_id").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) or []))  # as many as runs
+    bounds = sorted(set(min(int(b), NO_ID) for b in rows.select("doc_id").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) or []))  # as many as runs
     schema = "run int, doc_id long, kind int, packed binary"
     ordered = shared_digests(rows, hashing).mapInArrow(_in_runs(bounds, False), schema).union(rows.mapInArrow(_in_runs(bounds, True), schema)).repartition("run").sortWithinPartitions("run", "doc_id", "kind", "packed")
     seen = cut(ordered.mapInArrow(_stream(hashing), f"kind int, run int, doc_id long, packed binary, form binary, {RESULT}"))
