@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bytepieces import decode_bytes, encode_bytes, read_ranks, serialise
 from .common import read_table
 from .decontaminate import leaks
 from .digest import fingerprints
@@ -65,6 +67,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op13_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = serialise(read_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken")))
+    encoded = encode_bytes(read_table(spark, sf_dir, "documents", "doc_id", "text"), model, public_tokenizers.PATTERN)
+    numbers = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decode_bytes(encoded, model).select("doc_id", "n_tokens", F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_encode_pieces": op1_encode_pieces,
     "op2_fingerprints": op2_fingerprints,
@@ -76,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_lm_scores": op9_lm_scores,
     "op10_token_counts": op10_token_counts,
+    "op13_byte_pieces": op13_byte_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {}
