@@ -28,6 +28,8 @@ from .tokencount import byte_letters
 
 #: Pre-tokens a worker remembers before it starts afresh; bounds memory, not results.
 MEMORY_WORDS = 400_000
+#: Ids that are decoded at a time.
+STEP = 200_000
 UNKNOWN = "<unk>"
 #: Fixed values of the serialised model: the merge type of trainer, and the types of plain and of unknown pieces.
 BPE, NORMAL, UNKNOWN_TYPE = 2, 1, 2
@@ -161,12 +163,16 @@ def decode_bytes(encoded: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = ByteModel(sent.value)
         for batch in batches:
-            lists = batch.column("ids")
-            count = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            data, size = tables.decode(lists.flatten().to_numpy(zero_copy_only=False))
-            ends = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(count)]].tolist()
-            raw = data.tobytes()
-            decoded = pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*names, "data"])
+            ends = np.r_[0, np.cumsum(batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)]
+            at = 0
+            while at < len(batch):  # rows with about STEP ids together; a longer one stands alone, and is decoded in steps
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP, "right")) - 1)
+                part = batch.slice(at, to - at)
+                flat = part.column("ids").flatten().to_numpy(zero_copy_only=False)
+                raw = b"".join(tables.decode(flat[k : k + STEP])[0].tobytes() for k in range(0, len(flat), STEP))
+                upto = np.r_[0, np.cumsum(tables.content_length[flat])][ends[at : to + 1] - ends[at]].tolist()
+                decoded = pa.array([raw[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*names, "data"])
+                at = to
 
     return rows.mapInArrow(run, schema)
