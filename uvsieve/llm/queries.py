@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,16 +10,19 @@ from pyspark.sql import functions as F
 
 from .bytepieces import decode_bytes, encode_bytes, read_ranks, serialise
 from .common import read_table
+from .conversations import damaged, repair_conversations, summarised
 from .decontaminate import leaks
 from .digest import fingerprints
 from .langid import identify_language
 from .lmscore import score_documents
 from .minhash import near_duplicates
+from .oracle import ORACLE_SQL
 from .pages import main_texts
 from .pieces import encode_pieces
 from .quality import score_quality
 from .repeats import remove_repeats
 from .tokencount import count_tokens
+from .vectorcodes import compress, with_label_error
 
 
 def tokenizer_path(name: str) -> str:
@@ -67,6 +71,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), scale=1024, parts=4, entries=256, rounds=4)
+    digest = books.digest() if books else hashlib.sha256().hexdigest()
+    return with_label_error(coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label")).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return summarised(repair_conversations(damaged(rows), rows.select("conv_id")))
+
+
 def op13_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -87,7 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_lm_scores": op9_lm_scores,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_repaired_conversations": op12_repaired_conversations,
     "op13_byte_pieces": op13_byte_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "ORACLE_SQL"]
