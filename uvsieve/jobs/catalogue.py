@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 from ..functions import formats, geometry, thresholds
 from ..functions.stokes import stokes_flag, stokes_value
 from ..operators import annuli, cells, flags, loading, profiles, summary
-from ..sources import fixtures
-from ..sources.observation import DerivedObservation
+from ..sources import fixtures, storage
+from ..sources.checkpoints import settled, shared_folder
+from ..sources.observation import DerivedObservation, Observation
 from .oracle import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,24 +67,37 @@ def flagging(spark: SparkSession, sf_dir: str) -> flags.Flagging:
     return flags.flag_outliers(rows, grid, sigma=SIGMA, n_annuli=RINGS)
 
 
+_OBSERVED: dict[tuple[str, str], Observation] = {}
+
+
+def observed(spark: SparkSession, sf_dir: str) -> Observation:
+    """The derived observation as it is stored in the shared folder; written once by each application for each folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OBSERVED:
+        _OBSERVED[key] = storage.store(DerivedObservation(spark, sf_dir), shared_folder(spark))
+    return _OBSERVED[key]
+
+
 def long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = DerivedObservation(spark, sf_dir)
+    o = observed(spark, sf_dir)
     return loading.flatten(o.main, o.descriptions, o.windows)
 
 
+def long_grid(spark: SparkSession, sf_dir: str) -> geometry.Grid:
+    """The grid that the whole observation and all its windows span."""
+    o = observed(spark, sf_dir)
+    return geometry.physical_grid(geometry.observation_limits(o.main, o.windows), diameter=fixtures.DIAMETER, factor=FACTOR)
+
+
 def long_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long rows with Stokes I, its flag, and cells of the grid that the whole observation and all its windows span."""
-    o = DerivedObservation(spark, sf_dir)
-    grid = geometry.physical_grid(geometry.observation_limits(o.main, o.windows), diameter=fixtures.DIAMETER, factor=FACTOR)
-    return grid.binned(long_rows(spark, sf_dir).select("*", stokes_value(F.col("data"), "I").alias("value"), stokes_flag(F.col("flag"), "I").alias("flag_i")))
+    """The long rows with Stokes I, its flag, and cells."""
+    return long_grid(spark, sf_dir).binned(long_rows(spark, sf_dir).select("*", stokes_value(F.col("data"), "I").alias("value"), stokes_flag(F.col("flag"), "I").alias("flag_i")))
 
 
 def found_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flag ids that flagging Stokes I of the long rows finds."""
-    o = DerivedObservation(spark, sf_dir)
-    grid = geometry.physical_grid(geometry.observation_limits(o.main, o.windows), diameter=fixtures.DIAMETER, factor=FACTOR)
-    rows = long_rows(spark, sf_dir).select("newrow", "u", "v", stokes_value(F.col("data"), "I").alias("value"), stokes_flag(F.col("flag"), "I").alias("flag"))
-    return flags.flag_outliers(rows, grid, sigma=SIGMA, n_annuli=RINGS).flagged_rows()
+    """The flag ids that flagging Stokes I of the long rows finds, with their places."""
+    rows = long_rows(spark, sf_dir).select("newrow", "ddid", "row", "chan", "u", "v", stokes_value(F.col("data"), "I").alias("value"), stokes_flag(F.col("flag"), "I").alias("flag"))
+    return flags.flag_outliers(rows, long_grid(spark, sf_dir), sigma=SIGMA, n_annuli=RINGS, carry=("ddid", "row", "chan")).flagged_rows()
 
 
 # finding interference
@@ -187,10 +201,9 @@ def null_flags(spark, sf_dir):
 
 @query
 def sort_bins(spark, sf_dir):
-    """A row's place in the order of cells: where its cell's run begins, and its rank within."""
-    rows = kept(spark, sf_dir)
-    within = F.row_number().over(Window.partitionBy(*CELL).orderBy("newrow"))
-    return rows.withColumn("_w", within).join(cells.row_map(rows), CELL).select((F.col("start") + F.col("_w")).alias("place"), "newrow")
+    """A row's place in the order of cells: where its cell's run begins, and its place within."""
+    rows = settled(kept(spark, sf_dir).select(*CELL, "newrow"))
+    return cells.members(rows).join(cells.row_map(rows), CELL).select((F.col("start") + F.col("place")).alias("place"), "newrow")
 
 
 @query
@@ -248,7 +261,7 @@ def group_members(spark, sf_dir):
 def amplitude_groups(spark, sf_dir):
     """Median and spread of the amplitude of complex Stokes I, by cell of the long rows."""
     rows = cells.usable(long_binned(spark, sf_dir).select(*CELL, stokes_value(F.col("data"), "I", "abs").alias("value"), F.col("flag_i").alias("flag")))
-    found = cells.cell_stats(rows).join(cells.apply_grid(rows, "std", F.stddev_pop), CELL)
+    found = cells.spreads(rows)
     return found.select(*CELL, "n", F.round("median", 3).alias("median"), F.round("std", 3).alias("std"))
 
 
@@ -429,19 +442,22 @@ def filter_field(spark, sf_dir):
 
 @query
 def row_spans(spark, sf_dir):
-    o = DerivedObservation(spark, sf_dir)
-    return loading.row_spans(o.main, o.descriptions, o.windows)
+    o = observed(spark, sf_dir)
+    return loading.row_spans(o.main, o.descriptions, o.windows, o.polarizations)
 
 
 @query
 def ddid_by_nchan(spark, sf_dir):
-    o = DerivedObservation(spark, sf_dir)
+    o = observed(spark, sf_dir)
     found = loading.row_bases(o.main, o.descriptions, o.windows).groupBy("nchan").agg(F.array_sort(F.collect_list(F.col("ddid").cast("string"))).alias("d"))
     return found.select("nchan", F.array_join("d", ",").alias("ddids"))
 
 
 def _written(spark, sf_dir, overwrite):
-    return loading.flagged_long(long_rows(spark, sf_dir), found_ids(spark, sf_dir), "I", overwrite).select("newrow", *[F.col("flag")[k].alias(f"f{k}") for k in range(4)])
+    o = observed(spark, sf_dir)
+    nested = loading.write_flags(o.main, o.descriptions, o.windows, found_ids(spark, sf_dir), "I", overwrite)
+    long = loading.exploded_flags(nested, loading.row_bases(o.main, o.descriptions, o.windows))
+    return long.select("newrow", *[F.col("flag")[k].alias(f"f{k}") for k in range(4)])
 
 
 @query
@@ -454,11 +470,47 @@ def write_flags_overwrite(spark, sf_dir):
     return _written(spark, sf_dir, True)
 
 
+def flags_as_text(nested: DataFrame) -> DataFrame:
+    text = F.transform("flag", lambda c: F.array_join(F.transform(c, lambda f: f.cast("int").cast("string")), ""))
+    return nested.select("ddid", "row", F.array_join(text, "/").alias("flags"))
+
+
 @query
 def renest_flags(spark, sf_dir):
-    o = DerivedObservation(spark, sf_dir)
-    text = F.transform("flag", lambda c: F.array_join(F.transform(c, lambda f: f.cast("int").cast("string")), ""))
-    return loading.write_flags(o.main, o.descriptions, o.windows, found_ids(spark, sf_dir)).select("ddid", "row", F.array_join(text, "/").alias("flags"))
+    o = observed(spark, sf_dir)
+    return flags_as_text(loading.write_flags(o.main, o.descriptions, o.windows, found_ids(spark, sf_dir)))
+
+
+@query
+def flags_stored(spark, sf_dir):
+    """The flags of a stored table after a write-back of what flagging finds."""
+    o = storage.store(DerivedObservation(spark, sf_dir), shared_folder(spark))
+    o.write_back(found_ids(spark, sf_dir))
+    o.tidy()
+    return flags_as_text(o.main)
+
+
+# storage order
+
+
+def reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main table, its times cut to the hour so that baselines share them, in storage order."""
+    path = shared_folder(spark)
+    hourly = fixtures.main_table(spark, sf_dir).withColumn("time", F.floor(F.col("time") / 3600) * 3600)
+    storage.reorder(hourly, path)
+    return spark.read.parquet(path)
+
+
+@query
+def storage_order(spark, sf_dir):
+    """Each row's place in storage order, told by where it stands in the files."""
+    rows = reordered(spark, sf_dir).select(storage.MARK, "row_id")
+    return storage.placed(rows, storage.numbers(rows)).select((F.col("row") + 1).alias("place"), "row_id")
+
+
+@query
+def storage_inversions(spark, sf_dir):
+    return storage.inversions(reordered(spark, sf_dir))
 
 
 # summaries
@@ -496,6 +548,12 @@ def spectral_windows(spark, sf_dir):
 
 @query
 def obs_summary(spark, sf_dir):
+    """The observation's summary, a row for each line."""
+    return summary.summary_lines(observed(spark, sf_dir))
+
+
+@query
+def obs_sections(spark, sf_dir):
     """How many lines each section of the observation's summary has."""
     return summary.section_sizes(DerivedObservation(spark, sf_dir))
 
@@ -549,8 +607,7 @@ def residual_column(spark, sf_dir):
 
 @query
 def union_ddids(spark, sf_dir):
-    o = DerivedObservation(spark, sf_dir)
-    return loading.flatten(o.main, o.descriptions, o.windows).select("newrow", "ddid", six("u"), six("v"))
+    return long_rows(spark, sf_dir).select("newrow", "ddid", six("u"), six("v"))
 
 
 @query
@@ -654,6 +711,15 @@ def sigma_clip(spark, sf_dir):
     return left.groupBy(*CELL).agg(F.count("*").alias("n_left"), F.round(F.avg("value"), 6).alias("mean"))
 
 
+@query
+def sigma_clip_median(spark, sf_dir):
+    """Clipping about the median, four spreads below it and three above."""
+    rows = settled(kept(spark, sf_dir).select(*CELL, "value"))
+    bounds = flags.clip_groups(rows, 4.0, high_sigma=3.0, centre="median")
+    left = rows.join(bounds, CELL).where((F.col("value") > F.col("low")) & (F.col("value") < F.col("high")))
+    return left.groupBy(*CELL).agg(F.count("*").alias("n_left"), F.round(F.avg("value"), 6).alias("mean"))
+
+
 @query
 def semi_flagged(spark, sf_dir):
     return vis(spark, sf_dir).join(flagging(spark, sf_dir).flagged_rows(), "newrow", "left_semi").groupBy("chan").agg(F.count("*").alias("n"))

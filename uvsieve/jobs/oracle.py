@@ -46,6 +46,11 @@ BLOCKS = {
         UNION ALL SELECT u_bin, v_bin, kept1 AS vals, it+1, len(kept1)<len(vals) FROM (
           SELECT u_bin, v_bin, it, vals, list_filter(vals, lambda x: x>c-3*s AND x<c+3*s) AS kept1 FROM (
             SELECT *, sqrt(greatest(list_sum(list_transform(vals, lambda x: x*x))-len(vals)*c*c,0)/(len(vals)-1)) AS s FROM (SELECT *, list_avg(vals) AS c FROM allclip WHERE go AND it<100 AND len(vals)>=2) a) b) d""",
+    "medclip": """SELECT u_bin, v_bin, list(value ORDER BY value) AS vals, 0 AS it, true AS go FROM kept GROUP BY ALL
+        UNION ALL SELECT u_bin, v_bin, kept2 AS vals, it+1, len(kept2)<len(vals) FROM (
+          SELECT u_bin, v_bin, it, vals, list_filter(vals, lambda x: x>c-4*s AND x<c+3*s) AS kept2 FROM (
+            SELECT *, sqrt(greatest(list_sum(list_transform(vals, lambda x: x*x))-len(vals)*c*c,0)/(len(vals)-1)) AS s FROM (SELECT *, list_median(vals) AS c FROM medclip WHERE go AND it<100 AND len(vals)>=2) a) b) d""",
+    "medclipped": "SELECT u_bin, v_bin, arg_max(vals, it) AS vals FROM medclip GROUP BY ALL",
     "allclipped": "SELECT u_bin, v_bin, arg_max(vals, it) AS vals FROM allclip GROUP BY ALL",
     "clipped": "SELECT u_bin, v_bin, arg_max(vals, it) AS vals FROM clip GROUP BY ALL",
     "st2": """SELECT u_bin, v_bin, mean, median FROM st1 WHERE NOT coalesce(mean/nullif(median,0)>1.4,false)
@@ -101,7 +106,7 @@ def sql(select: str) -> str:
                 need(BLOCKS[name])
 
     need(select)
-    recursive = "RECURSIVE " if needed & {"clip", "allclip", "found_clip"} else ""
+    recursive = "RECURSIVE " if needed & {"clip", "allclip", "medclip", "found_clip"} else ""
     parts = ", ".join(f"{n} AS ({b})" for n, b in BLOCKS.items() if n in needed)
     return f"WITH {recursive}{parts} {select}" if parts else select
 
@@ -169,7 +174,7 @@ ORACLE_SQL: dict[str, str] = {
     "amplitude": sql("SELECT newrow, round(sqrt(pow((amp/2)::FLOAT::DOUBLE+(amp/2)::FLOAT::DOUBLE,2)+pow((amp/4)::FLOAT::DOUBLE+(amp/4)::FLOAT::DOUBLE,2)),3) AS amplitude FROM long"),
     "filter_ddid_in": sql("SELECT newrow FROM long WHERE ddid IN (1)"),
     "filter_field": sql("SELECT ddid, count(*) AS n FROM nested WHERE field_id=2 GROUP BY ddid"),
-    "row_spans": sql("SELECT ddid, base AS first_row, base+n_rows*nchan-1 AS last_row FROM bases"),
+    "row_spans": sql("SELECT field_id, b.ddid, count(*) AS n_rows, any_value(nchan)::INTEGER AS n_chan, 4 AS n_pol, any_value(base) AS first_row, any_value(base+b.n_rows*nchan-1)::BIGINT AS last_row FROM nested n JOIN bases b ON b.ddid=n.ddid GROUP BY field_id, b.ddid"),
     "ddid_by_nchan": sql("SELECT nchan::INTEGER AS nchan, string_agg(ddid::VARCHAR, ',' ORDER BY ddid) AS ddids FROM bases GROUP BY nchan"),
     "write_flags_or": sql("SELECT newrow, fl[1] OR newrow IN (SELECT newrow FROM found_flags) AS f0, fl[2] AS f1, fl[3] AS f2, fl[4] OR newrow IN (SELECT newrow FROM found_flags) AS f3 FROM long"),
     "write_flags_overwrite": sql("SELECT newrow, newrow IN (SELECT newrow FROM found_flags) AS f0, fl[2] AS f1, fl[3] AS f2, newrow IN (SELECT newrow FROM found_flags) AS f3 FROM long"),
@@ -202,6 +207,9 @@ ORACLE_SQL: dict[str, str] = {
     "histogram_weighted": sql("SELECT least(floor((value-2)/(12.0::DOUBLE-2)*20),19)::INTEGER AS bin, round(sum(value),5) AS n FROM kept WHERE value BETWEEN 2 AND 12 GROUP BY ALL"),
     "rayleigh_clip_upper": sql("SELECT k.u_bin, k.v_bin, count_if(value < m/sqrt(2*ln(2))*sqrt(-2*ln(0.045/2)))::BIGINT AS n_left FROM kept k JOIN mids USING (u_bin,v_bin) JOIN stats s USING (u_bin,v_bin) WHERE s.mean/s.median>1.2 GROUP BY ALL"),
     "sigma_clip": sql("""SELECT u_bin, v_bin, count(*) AS n_left, round(avg(x),6) AS mean FROM (SELECT u_bin, v_bin, unnest(vals) AS x FROM allclipped) z GROUP BY ALL"""),
+    "sigma_clip_median": sql("SELECT u_bin, v_bin, count(*) AS n_left, round(avg(x),6) AS mean FROM (SELECT u_bin, v_bin, unnest(vals) AS x FROM medclipped) z GROUP BY ALL"),
+    "storage_order": sql("SELECT row_number() OVER (ORDER BY floor(time/3600), e.user_id%4, e.user_id%4+1+e.event_id%5, row_id) AS place, row_id FROM nested n JOIN events e ON e.event_id=n.row_id"),
+    "storage_inversions": "SELECT count(*) AS n_rows, 0::BIGINT AS inversions FROM events",
     "semi_flagged": sql("SELECT chan, count(*) AS n FROM vis WHERE newrow IN (SELECT newrow FROM flags) GROUP BY chan"),
     "anti_flagged": sql("SELECT chan, count(*) AS n FROM vis WHERE newrow NOT IN (SELECT newrow FROM flags) GROUP BY chan"),
     "apply_flags": sql("SELECT newrow, newrow IN (SELECT newrow FROM flags) AS flagged FROM vis"),
@@ -211,8 +219,19 @@ ORACLE_SQL: dict[str, str] = {
     "rms_norm": sql("SELECT u_bin, v_bin, round(sqrt(avg(pow(value-m,2))),6) AS rms FROM kept JOIN mids USING (u_bin,v_bin) GROUP BY ALL"),
     "histogram_cell": sql("SELECT u_bin, v_bin, least(floor(value/20.0::DOUBLE*20),19)::INTEGER AS bin, count(*) AS n FROM kept WHERE u_bin BETWEEN 5 AND 7 AND v_bin BETWEEN 5 AND 9 AND value BETWEEN 0 AND 20 GROUP BY ALL"),
     "histogram_ring": sql("SELECT annulus_id, least(floor(value/20.0::DOUBLE*20),19)::INTEGER AS bin, count(*) AS n FROM kept JOIN ringed USING (u_bin,v_bin) WHERE annulus_id IS NOT NULL AND value BETWEEN 0 AND 20 GROUP BY ALL"),
-    "obs_summary": sql("SELECT 'main' AS section, count(DISTINCT ddid) AS n_rows FROM nested UNION ALL SELECT 'scans', count(*) FROM (SELECT DISTINCT scan_number, field_id FROM nested JOIN region ON r_regionkey=field_id) x UNION ALL SELECT 'fields', count(*) FROM region UNION ALL SELECT 'intents', count(*) FROM region UNION ALL SELECT 'sources', count(*) FROM region UNION ALL SELECT 'windows', count(*) FROM dd UNION ALL SELECT 'antennas', count(*) FROM ant"),
+    "obs_sections": sql("SELECT 'main' AS section, count(DISTINCT ddid) AS n_rows FROM nested UNION ALL SELECT 'scans', count(*) FROM (SELECT DISTINCT scan_number, field_id FROM nested JOIN region ON r_regionkey=field_id) x UNION ALL SELECT 'fields', count(*) FROM region UNION ALL SELECT 'intents', count(*) FROM region UNION ALL SELECT 'sources', count(*) FROM region UNION ALL SELECT 'windows', count(*) FROM dd UNION ALL SELECT 'antennas', count(*) FROM ant"),
     "spw_split": sql("SELECT ddid, spw_id, part, round(chan_freq[1]/1e6+part*(total_bandwidth/1e6/4),6) AS low_mhz, round(chan_freq[1]/1e6+(part+1)*(total_bandwidth/1e6/4),6) AS high_mhz, n_rows FROM dd JOIN spw USING (spw_id) JOIN (SELECT ddid, count(*) AS n_rows FROM nested GROUP BY ddid) c USING (ddid), (SELECT unnest(range(4))::INTEGER AS part) p"),
     "radial_annulus_profile": sql("""SELECT name, annulus_id, n, round(mean,6) AS mean FROM (SELECT 'before' AS name, annulus_id, count(*) AS n, avg(median) AS mean FROM ringed WHERE annulus_id IS NOT NULL GROUP BY ALL
         UNION ALL SELECT 'after', annulus_id, count(*), avg(coalesce(m,0)) FROM ringed LEFT JOIN (SELECT u_bin, v_bin, median(value) AS m FROM judged WHERE NOT outlier GROUP BY ALL) j USING (u_bin,v_bin) WHERE annulus_id IS NOT NULL GROUP BY ALL) x"""),
 }
+
+ORACLE_SQL["flags_stored"] = ORACLE_SQL["renest_flags"]
+#: The summary's sections, each over the SQL of its list.
+_SECTIONS = {
+    "main": ("main_table_info", "ddid, n_rows, began, ended"), "scans": ("scan_list", "scan_number, field_name, began, ended, n_rows, intent"), "fields": ("field_list", "field_id, 'T', name, ra, declination, 'J2000', n_rows"),
+    "intents": ("list_fields", "field_id, name, intent"), "sources": ("source_list", "source_id, name, spw_id"), "windows": ("spectral_windows", "ddid, spw_id, name, n_chan, correlations"),
+}
+ORACLE_SQL["obs_summary"] = " UNION ALL ".join(
+    [f"SELECT '{section}' AS section, concat_ws(' | ', {columns}) AS line FROM ({ORACLE_SQL[source]}) q_{section}" for section, (source, columns) in _SECTIONS.items()]
+    + ["SELECT 'antennas', concat_ws(' | ', s_suppkey, s_name, 'P'||s_suppkey) FROM supplier"]
+)

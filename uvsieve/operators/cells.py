@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.thresholds import MAD_SCALE
 from ..sources.checkpoints import settled
+from .selection import quantiles
 
 CELL = ["u_bin", "v_bin"]
 #: Rows of a cell beyond which its median isn't taken from one aggregation buffer.
@@ -34,8 +35,7 @@ def _any_hot(rows: DataFrame, keys: list[str], value: str, hot: int) -> bool:
 def medians(rows: DataFrame, keys: list[str] = CELL, value: str = "value", hot: int = HOT_ROWS, split: bool | None = None) -> DataFrame:
     """(keys, median): the exact median of each group, the mean of the middle pair where the count is even.
 
-    Groups of up to ``hot`` rows are one aggregate. In a larger one the median is first bracketed by approximate quantiles, whose buffers are
-    of bounded size; the rows below the bracket are counted, and only those within it are gathered. ``split``: whether there is a larger one, if that is known."""
+    Groups of up to ``hot`` rows are one aggregate; in a larger one the median is selected (``selection.quantiles``). ``split``: whether there is a larger one, if that is known."""
     if split is None:
         split = _any_hot(rows, keys, value, hot)
     return _split_medians(rows, keys, value, hot) if split else rows.groupBy(*keys).agg(F.median(value).alias("median"))
@@ -44,18 +44,8 @@ def medians(rows: DataFrame, keys: list[str] = CELL, value: str = "value", hot:
 def _split_medians(rows: DataFrame, keys: list[str], value: str, hot: int) -> DataFrame:
     sizes = settled(rows.groupBy(*keys).agg(F.count(value).alias("_n")))
     plain = rows.join(sizes.where(F.col("_n") <= hot).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.median(value).alias("median"))
-    return plain.unionByName(_bracketed(rows.join(sizes.where(F.col("_n") > hot), keys), keys, value))
-
-
-def _bracketed(rows: DataFrame, keys: list[str], value: str, margin: float = 0.002) -> DataFrame:
-    bracket = rows.groupBy(*keys).agg(F.percentile_approx(value, [0.5 - margin, 0.5 + margin], int(4 / margin)).alias("_b"))
-    placed = rows.join(settled(bracket), keys).withColumn("_low", F.col("_b")[0]).withColumn("_high", F.col("_b")[1])
-    counts = placed.groupBy(*keys).agg(F.first("_n").alias("_n"), F.count_if(F.col(value) < F.col("_low")).alias("_below"))
-    inside = placed.where(F.col(value).between(F.col("_low"), F.col("_high"))).groupBy(*keys, value).agg(F.count("*").alias("_times"))
-    ranked = inside.join(counts, keys).withColumn("_upto", F.col("_below") + F.sum("_times").over(Window.partitionBy(*keys).orderBy(value)))
-    first, second = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    at = lambda k: F.min(F.when(F.col("_upto") >= k, F.col(value)))
-    return ranked.groupBy(*keys).agg(((at(first) + at(second)) / 2).alias("median"))
+    large = quantiles(rows.join(sizes.where(F.col("_n") > hot).select(*keys), keys, "left_semi"), keys, value, limit=hot)
+    return plain.unionByName(large.select(*keys, F.col("q0").alias("median")))
 
 
 def median_grid(rows: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
@@ -133,6 +123,15 @@ def summary(rows: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     return stats.join(spread, CELL).withColumn("mad", F.col("mad") * MAD_SCALE).withColumn("ratio", F.try_divide("mean", "median"))
 
 
+def spreads(rows: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+    """(u_bin, v_bin, n, median, std). The rows are settled and sized once; without a hot cell one more aggregate does."""
+    rows = settled(rows.select(*CELL, "value"))
+    sums = [F.count("*").alias("n"), F.stddev_pop("value").alias("std")]
+    if not _any_hot(rows, CELL, "value", hot):
+        return rows.groupBy(*CELL).agg(*sums, F.median("value").alias("median"))
+    return rows.groupBy(*CELL).agg(*sums).join(_split_medians(rows, CELL, "value", hot), CELL)
+
+
 def remove_zero_values(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with positive values, and those of value zero (flagged); negative ones are in neither."""
     return rows.where(F.col("value") > 0), rows.where(F.col("value") == 0)

@@ -12,26 +12,38 @@ from ..functions.thresholds import rayleigh_high, rayleigh_low
 from ..sources.checkpoints import settled
 from .annuli import Annuli, plan_annuli, with_radius, with_ring
 from .cells import CELL, HOT_ROWS, cell_stats, medians, null_rows, usable
+from .selection import brackets, picked
 
 #: A mean over median beyond which a cell isn't trusted, and isn't kept.
 DOUBTFUL, HOPELESS = 1.2, 1.4
 
 
-def clip_groups(rows: DataFrame, sigma: float, rounds: int = 100, keys: list[str] = CELL) -> DataFrame:
-    """(keys, low, high): the bounds that sigma clipping about the mean ends with; values strictly between them are left.
+def clip_groups(rows: DataFrame, sigma: float, rounds: int = 100, keys: list[str] = CELL, high_sigma: float | None = None, centre: str = "mean", hot: int = HOT_ROWS) -> DataFrame:
+    """(keys, low, high): the bounds that clipping ends with, ``sigma`` spreads below the centre and ``high_sigma`` (the same if not given) above it; values strictly between them are left.
 
-    Each round is one aggregate over the rows within the bounds so far, so groups of any size can be clipped;
-    it ends when no group loses a row."""
-    bounds = settled(rows.select(*keys).distinct().select(*keys, F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(-1).cast("long").alias("n")))
+    centre: mean, or median. Each round is one aggregate over the rows within the bounds so far, so groups of any size can be clipped; it ends when no group
+    loses a row. Medians of groups beyond ``hot`` rows are selected, each round's selection beginning with the bracket that the last one ended with."""
+    if centre not in ("mean", "median"):
+        raise ValueError(f"centre must be mean or median, not {centre}")
+    above = sigma if high_sigma is None else high_sigma
+    sizes = settled(rows.groupBy(*keys).agg(F.count("value").alias("_size")))
+    split = centre == "median" and sizes.where(F.col("_size") > hot).limit(1).count() > 0
+    bounds = sizes.select(*keys, F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(-1).cast("long").alias("n"))
+    start = None
     for _ in range(rounds):
         inside = rows.join(bounds.select(*keys, "low", "high"), keys).where((F.col("value") > F.col("low")) & (F.col("value") < F.col("high")))
-        sums = inside.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg("value").alias("_c"), F.sum(F.col("value") * F.col("value")).alias("_q"))
-        spread = sigma * F.sqrt(F.greatest(F.col("_q") - F.col("_n") * F.col("_c") * F.col("_c"), F.lit(0.0)) / (F.col("_n") - 1))
+        middle = F.avg("value") if centre == "mean" else F.lit(None).cast("double") if split else F.median("value")
+        sums = inside.groupBy(*keys).agg(F.count("*").alias("_n"), middle.alias("_c"), F.sum(F.col("value") * F.col("value")).alias("_q"))
+        if split:
+            state = brackets(inside, keys, limit=hot, start=start)
+            start = state.select(*keys, "_t", F.col("_low").alias("_try_low"), F.col("_high").alias("_try_high"))
+            sums = sums.drop("_c").join(picked(inside, keys, "value", state).select(*keys, F.col("_q").alias("_c")), keys)
+        spread = F.sqrt(F.greatest(F.col("_q") - F.col("_n") * F.col("_c") * F.col("_c"), F.lit(0.0)) / (F.col("_n") - 1))
         joined = bounds.join(sums, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
         goes = (F.col("_n") != F.col("n")) & (F.col("_n") >= 2)
         bounds = settled(joined.select(
-            *keys, F.when(goes, F.greatest("low", F.col("_c") - spread)).otherwise(F.col("low")).alias("low"),
-            F.when(goes, F.least("high", F.col("_c") + spread)).otherwise(F.col("high")).alias("high"), F.col("_n").alias("n"), goes.alias("goes"),
+            *keys, F.when(goes, F.greatest("low", F.col("_c") - sigma * spread)).otherwise(F.col("low")).alias("low"),
+            F.when(goes, F.least("high", F.col("_c") + above * spread)).otherwise(F.col("high")).alias("high"), F.col("_n").alias("n"), goes.alias("goes"),
         ))
         if not bounds.where("goes").limit(1).count():
             break
@@ -78,14 +90,16 @@ class Flagging:
     cells: DataFrame  # u_bin, v_bin, n, mean, median, radius, annulus_id
     annuli: Annuli
     thresholds: DataFrame
+    carry: tuple[str, ...] = ()  # columns of the rows that come along to the flags
 
     def judged(self) -> DataFrame:
         """Usable rows with lo, hi and whether they are outliers. Values on a bound are."""
         return self.rows.join(self.thresholds, CELL).withColumn("outlier", (F.col("value") <= F.col("lo")) | (F.col("value") >= F.col("hi")))
 
     def flagged_rows(self) -> DataFrame:
-        """(newrow, reason): outliers and zeros."""
-        return self.judged().where("outlier").select("newrow", F.lit("threshold").alias("reason")).unionAll(self.nulls.select("newrow", F.lit("zero").alias("reason")))
+        """(newrow, carry, reason): outliers and zeros."""
+        names = ["newrow", *self.carry]
+        return self.judged().where("outlier").select(*names, F.lit("threshold").alias("reason")).unionAll(self.nulls.select(*names, F.lit("zero").alias("reason")))
 
     def count_grid(self) -> DataFrame:
         return self.judged().groupBy(*CELL).agg(F.count_if("outlier").alias("flagged"))
@@ -97,14 +111,14 @@ class Flagging:
         return self.cells.select(*CELL).join(left, CELL, "left").select(*CELL, F.coalesce("median", F.lit(0.0)).alias("median"))
 
 
-def flag_outliers(visibilities: DataFrame, grid: Grid, *, sigma: float = 3.0, n_annuli: int = 10, use_existing_flags: bool = True, hot: int = HOT_ROWS) -> Flagging:
+def flag_outliers(visibilities: DataFrame, grid: Grid, *, sigma: float = 3.0, n_annuli: int = 10, use_existing_flags: bool = True, hot: int = HOT_ROWS, carry: tuple[str, ...] = ()) -> Flagging:
     """Finds outliers of ``visibilities(newrow, u, v, value, flag)``.
 
-    Rows already flagged take no part, unless ``use_existing_flags`` is false. The narrow binned rows and the cells' statistics are settled once and read
+    Rows already flagged take no part, unless ``use_existing_flags`` is false. Columns named in ``carry``, such as ddid, row and chan, come along to the flags. The narrow binned rows and the cells' statistics are settled once and read
     where they are needed."""
-    binned = settled(grid.binned(visibilities).select(*CELL, "newrow", "value", "flag"))
+    binned = settled(grid.binned(visibilities).select(*CELL, "newrow", *carry, "value", "flag"))
     rows = usable(binned, not use_existing_flags).drop("flag")
     cells = settled(with_radius(cell_stats(rows, hot=hot), grid))
     annuli = plan_annuli(cells, n_annuli, sigma)
     ringed = with_ring(cells, annuli)
-    return Flagging(rows, null_rows(binned, not use_existing_flags).drop("flag"), ringed, annuli, settled(cell_thresholds(rows, ringed, annuli, sigma, hot)))
+    return Flagging(rows, null_rows(binned, not use_existing_flags).drop("flag"), ringed, annuli, settled(cell_thresholds(rows, ringed, annuli, sigma, hot)), carry)

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.thresholds import MAD_SCALE
+from ..sources.checkpoints import settled
+from .selection import LIMIT, medians_and_mads
 
 
 def equal_width(x: Column, low: Column, high: Column, n: int) -> Column:
@@ -48,13 +49,15 @@ def ring_profile(cells: DataFrame, value: str = "median") -> DataFrame:
     return cells.where(F.col("annulus_id").isNotNull()).groupBy("annulus_id").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"))
 
 
-def ring_stats(values: DataFrame) -> DataFrame:
-    """(annulus_id, n, mean, median, mad, low, high) of all values in a ring's cells, with the Rayleigh band at two sigmas."""
-    base = values.groupBy("annulus_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"))
-    apart = values.join(base.select("annulus_id", "median"), "annulus_id").groupBy("annulus_id").agg((F.median(F.abs(F.col("value") - F.col("median"))) * MAD_SCALE).alias("mad"))
+def ring_stats(values: DataFrame, hot: int = LIMIT) -> DataFrame:
+    """(annulus_id, n, mean, median, mad, low, high) of all values in a ring's cells, with the Rayleigh band at two sigmas. A ring may hold any share of the rows: medians are selected, not gathered.
+    The narrow rows are settled once."""
+    rows = settled(values.select("annulus_id", "value"))
+    means = rows.groupBy("annulus_id").agg(F.avg("value").alias("mean"))
     scale = F.col("median") / math.sqrt(2 * math.log(2))
     tail = 0.04550026
-    return base.join(apart, "annulus_id").withColumn("low", scale * math.sqrt(-2 * math.log(1 - tail / 2))).withColumn("high", scale * math.sqrt(-2 * math.log(tail / 2)))
+    found = medians_and_mads(rows, ["annulus_id"], limit=hot).join(means, "annulus_id")
+    return found.withColumn("low", scale * math.sqrt(-2 * math.log(1 - tail / 2))).withColumn("high", scale * math.sqrt(-2 * math.log(tail / 2)))
 
 
 def fits(rows: DataFrame, value: str = "value") -> DataFrame:

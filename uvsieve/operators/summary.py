@@ -136,6 +136,20 @@ def observation_summary(observation) -> dict[str, DataFrame]:
     }
 
 
+#: What a line of each section shows.
+LINES = {
+    "main": ("ddid", "n_rows", "began", "ended"), "scans": ("scan_number", "field_name", "began", "ended", "n_rows", "intent"), "fields": ("field_id", "code", "name", "ra", "declination", "epoch", "n_rows"),
+    "intents": ("field_id", "name", "intent"), "sources": ("source_id", "name", "spw_id"), "windows": ("ddid", "spw_id", "name", "n_chan", "correlations"), "antennas": ("antenna_id", "name", "station"),
+}
+
+
+def summary_lines(observation) -> DataFrame:
+    """(section, line): the lists of an observation as text, their values parted by bars; nothing is collected."""
+    found = observation_summary(observation)
+    text = lambda names: F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
+    return reduce(DataFrame.unionByName, [found[name].select(F.lit(name).alias("section"), text(names).alias("line")) for name, names in LINES.items()])
+
+
 def section_sizes(observation) -> DataFrame:
     """(section, n_rows) of an observation's summary."""
     found = observation_summary(observation)

@@ -69,7 +69,7 @@ def main_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(
         e.alias("row_id"), (F.col("user_id") % 5).cast("int").alias("field_id"), description.alias("ddid"), F.dayofmonth("ts").alias("scan_number"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1.0e6) + F.lit(float(MJD_UNIX * 86_400))).alias("time"), F.lit(8.0).alias("interval"), state.alias("state_id"),
-        F.lit(0).alias("observation_id"), F.lit(0).alias("array_id"), "u_m", "v_m",
+        F.lit(0).alias("observation_id"), F.lit(0).alias("array_id"), (F.col("user_id") % 4).cast("int").alias("antenna1"), (F.col("user_id") % 4 + 1 + e % 5).cast("int").alias("antenna2"), "u_m", "v_m",
         F.transform(channels, lambda c: correlations(c)).alias("data"), F.transform(channels, lambda c: correlations(c, 2)).alias("corrected_data"),
         F.transform(channels, lambda c: correlations(c)).alias("model"), F.transform(channels, lambda c: flags).alias("flag"),
     )
