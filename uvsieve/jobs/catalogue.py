@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import formats, geometry, thresholds
 from ..functions.stokes import stokes_flag, stokes_value
-from ..operators import annuli, cells, flags, loading, profiles, summary
+from ..operators import aggregates, annuli, cells, distributions, flags, loading, profiles, summary
 from ..sources import fixtures, storage
 from ..sources.checkpoints import settled, shared_folder
 from ..sources.observation import DerivedObservation, Observation
@@ -390,6 +390,30 @@ def fit_distributions(spark, sf_dir):
     return profiles.fits(kept(spark, sf_dir)).select(*[six(c) for c in names])
 
 
+FITTED = ["normal", "rayleigh", "lognormal", "exponential", "weibull", "gamma"]
+
+
+@query
+def distribution_fits(spark, sf_dir):
+    """Parameters of several distributions by maximum likelihood, some by Newton's steps."""
+    rows = settled(kept(spark, sf_dir).select("value"))
+    return distributions.fitted(rows, FITTED).select("name", "parameter", six("estimate"))
+
+
+@query
+def rice_fit(spark, sf_dir):
+    return distributions.fitted(settled(kept(spark, sf_dir).select("value")), ["rice"]).select("name", "parameter", six("estimate"))
+
+
+@query
+def histogram_fits(spark, sf_dir):
+    """The values' histogram with fitted densities beside it."""
+    rows = settled(kept(spark, sf_dir).select("value"))
+    fits = {n: distributions.distribution(n).fit(rows, "value") for n in ("rayleigh", "lognormal", "weibull", "gamma")}
+    found = distributions.beside(profiles.histogram(rows, 40, low=0.0, high=40.0), fits)
+    return found.select("bin", "n", six("density"), *[six(f"pdf_{n}") for n in fits])
+
+
 @query
 def rayleigh_pdf(spark, sf_dir):
     rows = kept(spark, sf_dir)
@@ -626,6 +650,15 @@ def source_list(spark, sf_dir):
     return summary.source_list(DerivedObservation(spark, sf_dir).sources)
 
 
+@query
+def sources_stored(spark, sf_dir):
+    """The source list of a written observation of which one file lacks the optional columns."""
+    folder, whole = shared_folder(spark), DerivedObservation(spark, sf_dir).sources
+    whole.where("source_id < 2").write.parquet(f"{folder}/source.parquet")
+    whole.where("source_id >= 2").drop("rest_frequency", "sysvel").write.mode("append").parquet(f"{folder}/source.parquet")
+    return summary.source_list(Observation(spark, folder).sources)
+
+
 @query
 def observation_info(spark, sf_dir):
     return fixtures.observations(spark, sf_dir).select("observer", "project", "telescope_name", F.date_format("began", "dd-MMM-yyyy HH:mm:ss").alias("began"), F.date_format("ended", "dd-MMM-yyyy HH:mm:ss").alias("ended"))
@@ -679,6 +712,15 @@ def apply_fn(spark, sf_dir):
     return cells.apply_grid(kept(spark, sf_dir), "extent", lambda v: F.max(v) - F.min(v)).select(*CELL, six("extent"))
 
 
+@query
+def cell_trimmed_mean(spark, sf_dir):
+    """A user's aggregate: the mean of a cell's values from its first decile to its last."""
+    rows = settled(kept(spark, sf_dir).select(*CELL, "value"))
+    ends = cells.quantile_grid(rows, (0.1, 0.9)).toDF(*CELL, "low", "high")
+    means = aggregates.aggregate(rows.join(ends, CELL), CELL, aggregates.TrimmedMean(), "mean")
+    return means.where(~F.isnan("mean")).select(*CELL, six("mean"))  # two values alone have none between their deciles
+
+
 @query
 def null_flags_multi(spark, sf_dir):
     rows = binned(spark, sf_dir).where(~F.col("flag")).withColumn("values", F.array(F.col("value"), F.col("u") * 0))

@@ -9,6 +9,9 @@ import re
 
 FACTOR = 0.2
 
+#: The derivative of ln gamma at k.
+_PSI = "(ln(k+10)-1/(2*(k+10))-1/(12*(k+10)**2)+1/(120*(k+10)**4)-1/(252*(k+10)**6)+1/(240*(k+10)**8)" + "".join(f"-1/(k+{i})" for i in range(10)) + ")"
+
 #: Building blocks; each may use those before it.
 BLOCKS = {
     "vis": """SELECT event_id*4+chan AS newrow, event_id, user_id, chan, lam, u_m, v_m, u_m/lam AS u, v_m/lam AS v,
@@ -46,6 +49,15 @@ BLOCKS = {
         UNION ALL SELECT u_bin, v_bin, kept1 AS vals, it+1, len(kept1)<len(vals) FROM (
           SELECT u_bin, v_bin, it, vals, list_filter(vals, lambda x: x>c-3*s AND x<c+3*s) AS kept1 FROM (
             SELECT *, sqrt(greatest(list_sum(list_transform(vals, lambda x: x*x))-len(vals)*c*c,0)/(len(vals)-1)) AS s FROM (SELECT *, list_avg(vals) AS c FROM allclip WHERE go AND it<100 AND len(vals)>=2) a) b) d""",
+    # estimates by steps: shapes by bisection, the Weibull one over the values' centred logarithms
+    "logs": "SELECT list(ln(value)) AS l, avg(ln(value)) AS m, stddev_pop(ln(value)) AS d, avg(value) AS mean FROM kept WHERE value>0",
+    "weib": """SELECT 1e-2::DOUBLE AS lo, 50::DOUBLE AS hi, 0 AS it UNION ALL SELECT CASE WHEN s1/s0-1/k<0 THEN k ELSE lo END, CASE WHEN s1/s0-1/k<0 THEN hi ELSE k END, it+1 FROM (
+        SELECT lo, hi, k, it, list_sum(list_transform(l, lambda x: exp(k*(x-m)))) AS s0, list_sum(list_transform(l, lambda x: exp(k*(x-m))*(x-m))) AS s1 FROM (SELECT lo, hi, it, sqrt(lo*hi) AS k FROM weib WHERE it<60) h, logs) w""",
+    "weibull": "SELECT k AS shape, exp(m+ln(list_avg(list_transform(l, lambda x: exp(k*(x-m)))))/k) AS scale FROM (SELECT sqrt(lo*hi) AS k FROM weib WHERE it=60) b, logs",
+    "halves": f"""SELECT 1e-3::DOUBLE AS lo, 1e3::DOUBLE AS hi, 0 AS it UNION ALL SELECT CASE WHEN ln(k)-{_PSI}>ln(mean)-m THEN k ELSE lo END, CASE WHEN ln(k)-{_PSI}>ln(mean)-m THEN hi ELSE k END, it+1
+        FROM (SELECT lo, hi, it, sqrt(lo*hi) AS k FROM halves WHERE it<80) h, logs""",
+    "gammas": "SELECT sqrt(lo*hi) AS shape, mean/sqrt(lo*hi) AS scale FROM halves, logs WHERE it=80",
+    "closed": "SELECT avg(value) AS mean, stddev_pop(value) AS std, sqrt(avg(value*value)/2) AS sigma, avg(ln(value)) AS log_mean, stddev_pop(ln(value)) AS log_std FROM kept WHERE value>0",
     "medclip": """SELECT u_bin, v_bin, list(value ORDER BY value) AS vals, 0 AS it, true AS go FROM kept GROUP BY ALL
         UNION ALL SELECT u_bin, v_bin, kept2 AS vals, it+1, len(kept2)<len(vals) FROM (
           SELECT u_bin, v_bin, it, vals, list_filter(vals, lambda x: x>c-4*s AND x<c+3*s) AS kept2 FROM (
@@ -106,7 +118,7 @@ def sql(select: str) -> str:
                 need(BLOCKS[name])
 
     need(select)
-    recursive = "RECURSIVE " if needed & {"clip", "allclip", "medclip", "found_clip"} else ""
+    recursive = "RECURSIVE " if needed & {"clip", "allclip", "medclip", "found_clip", "weib", "halves"} else ""
     parts = ", ".join(f"{n} AS ({b})" for n, b in BLOCKS.items() if n in needed)
     return f"WITH {recursive}{parts} {select}" if parts else select
 
@@ -208,6 +220,13 @@ ORACLE_SQL: dict[str, str] = {
     "rayleigh_clip_upper": sql("SELECT k.u_bin, k.v_bin, count_if(value < m/sqrt(2*ln(2))*sqrt(-2*ln(0.045/2)))::BIGINT AS n_left FROM kept k JOIN mids USING (u_bin,v_bin) JOIN stats s USING (u_bin,v_bin) WHERE s.mean/s.median>1.2 GROUP BY ALL"),
     "sigma_clip": sql("""SELECT u_bin, v_bin, count(*) AS n_left, round(avg(x),6) AS mean FROM (SELECT u_bin, v_bin, unnest(vals) AS x FROM allclipped) z GROUP BY ALL"""),
     "sigma_clip_median": sql("SELECT u_bin, v_bin, count(*) AS n_left, round(avg(x),6) AS mean FROM (SELECT u_bin, v_bin, unnest(vals) AS x FROM medclipped) z GROUP BY ALL"),
+    "cell_trimmed_mean": sql("SELECT u_bin, v_bin, round(avg(value),6) AS mean FROM kept JOIN (SELECT u_bin, v_bin, quantile_cont(value, [0.1,0.9]) AS q FROM kept GROUP BY ALL) c USING (u_bin,v_bin) WHERE value>=q[1] AND value<=q[2] GROUP BY ALL"),
+    "distribution_fits": sql("""SELECT name, parameter, round(estimate,6) AS estimate FROM (SELECT unnest(['normal','normal','rayleigh','lognormal','lognormal','exponential']) AS name, unnest(['mean','std','sigma','mean','std','scale']) AS parameter, unnest([mean,std,sigma,log_mean,log_std,mean]) AS estimate FROM closed
+        UNION ALL SELECT 'weibull', unnest(['shape','scale']), unnest([shape,scale]) FROM weibull UNION ALL SELECT 'gamma', unnest(['shape','scale']), unnest([shape,scale]) FROM gammas) x"""),
+    "histogram_fits": sql("""SELECT bin, n, round(n/t,6) AS density, round(x/(sigma*sigma)*exp(-(x*x)/(2*sigma*sigma)),6) AS pdf_rayleigh, round(exp(-pow((ln(x)-log_mean)/log_std,2)/2)/(x*log_std*sqrt(2*pi())),6) AS pdf_lognormal,
+        round(w.shape/w.scale*pow(x/w.scale,w.shape-1)*exp(-pow(x/w.scale,w.shape)),6) AS pdf_weibull, round(exp((g.shape-1)*ln(x)-x/g.scale-g.shape*ln(g.scale)-lgamma(g.shape)),6) AS pdf_gamma
+        FROM (SELECT bin, n, bin+0.5::DOUBLE AS x, sum(n) OVER () AS t FROM (SELECT least(floor(value),39)::INTEGER AS bin, count(*) AS n FROM kept WHERE value BETWEEN 0 AND 40 GROUP BY ALL) b) h, closed, weibull w, gammas g"""),
+    "sources_stored": "SELECT r_regionkey::INTEGER AS source_id, r_name AS name, (r_regionkey%2)::INTEGER AS spw_id, CASE WHEN r_regionkey=0 THEN 1.42e9::DOUBLE ELSE 0 END AS rest_frequency, 0::DOUBLE AS system_velocity FROM region",
     "storage_order": sql("SELECT row_number() OVER (ORDER BY floor(time/3600), e.user_id%4, e.user_id%4+1+e.event_id%5, row_id) AS place, row_id FROM nested n JOIN events e ON e.event_id=n.row_id"),
     "storage_inversions": "SELECT count(*) AS n_rows, 0::BIGINT AS inversions FROM events",
     "semi_flagged": sql("SELECT chan, count(*) AS n FROM vis WHERE newrow IN (SELECT newrow FROM flags) GROUP BY chan"),

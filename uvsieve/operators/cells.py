@@ -48,6 +48,14 @@ def _split_medians(rows: DataFrame, keys: list[str], value: str, hot: int) -> Da
     return plain.unionByName(large.select(*keys, F.col("q0").alias("median")))
 
 
+def quantile_grid(rows: DataFrame, at: tuple[float, ...], hot: int = HOT_ROWS) -> DataFrame:
+    """(u_bin, v_bin, q0, q1, ...): exact quantiles of each cell, between two values in proportion; selected where there is a cell beyond ``hot`` rows."""
+    if _any_hot(rows, CELL, "value", hot):
+        return quantiles(rows, CELL, at=at, limit=hot).drop("n")
+    found = rows.groupBy(*CELL).agg(F.percentile("value", F.array(*[F.lit(float(q)) for q in at])).alias("_q"))
+    return found.select(*CELL, *[F.col("_q")[k].alias(f"q{k}") for k in range(len(at))])
+
+
 def median_grid(rows: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     return medians(usable(rows), hot=hot)
 

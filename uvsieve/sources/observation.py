@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from . import fixtures
+from .schemas import read_declared
 
 
 @dataclass(frozen=True)
@@ -15,13 +16,13 @@ class Observation:
     """Main table and dimension tables, read when first asked for.
 
     ``folder`` holds one Parquet table per name (main, antenna, field, spectral_window, data_description, polarization, state,
-    source, observation)."""
+    source, observation), with the columns that ``schemas`` declares; optional ones may be missing, in some files or in all. The main table's data columns are read as they are."""
 
     spark: SparkSession
     folder: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_declared(self.spark, f"{self.folder}/{name}.parquet", name, extra=name == "main")
 
     @cached_property
     def main(self) -> DataFrame:
