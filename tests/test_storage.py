@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from uvsieve.functions.stokes import stokes_value
+from uvsieve.jobs import flag_job
 from uvsieve.operators import loading
 from uvsieve.sources import fixtures, storage
 from uvsieve.sources.observation import DerivedObservation
@@ -117,3 +118,18 @@ def test_storage_order(spark, tmp_path):
         storage.marked(main, ("row_id",), 10**6)
     with pytest.raises(ValueError):
         storage.StoredObservation(spark, f"file://{tmp_path}/nothing").partitions()
+
+
+def test_the_job_writes_flags_into_the_stored_table(spark, stored, tmp_path):
+    out, old = f"file://{tmp_path}/out", flags_of(stored)
+    flag_job.run(spark, stored, out, field=2, factor=0.1)
+    ids = spark.read.parquet(f"{out}/flag_ids")
+    own = stored.main.where("field_id = 2")
+    want = {r["row_id"]: r["flag"] for r in loading.write_flags(own, stored.descriptions, stored.windows, ids).collect()}
+    by_number = {r["row_id"]: r["flag"] for r in loading.write_flags(own, stored.descriptions, stored.windows, ids.select("newrow")).collect()}
+    new = flags_of(storage.StoredObservation(spark, stored.folder))
+    assert want == by_number and new == old | want and new != old and ids.count() > 0
+    derived = DerivedObservation(spark, FOLDER)
+    flag_job.run(spark, derived, f"{out}-derived", field=2, factor=0.1)
+    beside = {r["row_id"]: r["flag"] for r in spark.read.parquet(f"{out}-derived/flag").collect()}
+    assert beside == {k: v for k, v in new.items() if k in beside} and len(beside) == len(want)

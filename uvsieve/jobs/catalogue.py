@@ -716,7 +716,7 @@ def apply_fn(spark, sf_dir):
 def cell_trimmed_mean(spark, sf_dir):
     """A user's aggregate: the mean of a cell's values from its first decile to its last."""
     rows = settled(kept(spark, sf_dir).select(*CELL, "value"))
-    ends = cells.quantile_grid(rows, (0.1, 0.9)).toDF(*CELL, "low", "high")
+    ends = cells.quantile_grid(rows, (0.1, 0.9)).select(*CELL, (F.col("q0") - 1e-9).alias("low"), (F.col("q1") + 1e-9).alias("high"))  # whatever the last digit of a quantile
     means = aggregates.aggregate(rows.join(ends, CELL), CELL, aggregates.TrimmedMean(), "mean")
     return means.where(~F.isnan("mean")).select(*CELL, six("mean"))  # two values alone have none between their deciles
 

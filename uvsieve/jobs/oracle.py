@@ -220,7 +220,7 @@ ORACLE_SQL: dict[str, str] = {
     "rayleigh_clip_upper": sql("SELECT k.u_bin, k.v_bin, count_if(value < m/sqrt(2*ln(2))*sqrt(-2*ln(0.045/2)))::BIGINT AS n_left FROM kept k JOIN mids USING (u_bin,v_bin) JOIN stats s USING (u_bin,v_bin) WHERE s.mean/s.median>1.2 GROUP BY ALL"),
     "sigma_clip": sql("""SELECT u_bin, v_bin, count(*) AS n_left, round(avg(x),6) AS mean FROM (SELECT u_bin, v_bin, unnest(vals) AS x FROM allclipped) z GROUP BY ALL"""),
     "sigma_clip_median": sql("SELECT u_bin, v_bin, count(*) AS n_left, round(avg(x),6) AS mean FROM (SELECT u_bin, v_bin, unnest(vals) AS x FROM medclipped) z GROUP BY ALL"),
-    "cell_trimmed_mean": sql("SELECT u_bin, v_bin, round(avg(value),6) AS mean FROM kept JOIN (SELECT u_bin, v_bin, quantile_cont(value, [0.1,0.9]) AS q FROM kept GROUP BY ALL) c USING (u_bin,v_bin) WHERE value>=q[1] AND value<=q[2] GROUP BY ALL"),
+    "cell_trimmed_mean": sql("SELECT u_bin, v_bin, round(avg(value),6) AS mean FROM kept JOIN (SELECT u_bin, v_bin, quantile_cont(value, [0.1,0.9]) AS q FROM kept GROUP BY ALL) c USING (u_bin,v_bin) WHERE value>=q[1]-1e-9 AND value<=q[2]+1e-9 GROUP BY ALL"),
     "distribution_fits": sql("""SELECT name, parameter, round(estimate,6) AS estimate FROM (SELECT unnest(['normal','normal','rayleigh','lognormal','lognormal','exponential']) AS name, unnest(['mean','std','sigma','mean','std','scale']) AS parameter, unnest([mean,std,sigma,log_mean,log_std,mean]) AS estimate FROM closed
         UNION ALL SELECT 'weibull', unnest(['shape','scale']), unnest([shape,scale]) FROM weibull UNION ALL SELECT 'gamma', unnest(['shape','scale']), unnest([shape,scale]) FROM gammas) x"""),
     "histogram_fits": sql("""SELECT bin, n, round(n/t,6) AS density, round(x/(sigma*sigma)*exp(-(x*x)/(2*sigma*sigma)),6) AS pdf_rayleigh, round(exp(-pow((ln(x)-log_mean)/log_std,2)/2)/(x*log_std*sqrt(2*pi())),6) AS pdf_lognormal,

@@ -59,11 +59,14 @@ def _positive(rows: DataFrame, value: str) -> DataFrame:
 STEPS, CLOSE = 200, 1e-12
 
 
-def newton(at: float, step: Callable[[float], float], least: float = 1e-8) -> float:
-    """Steps from ``at`` until they no longer change it; a step below ``least`` is halved towards it."""
+def newton(at: float, step: Callable[[float], float], least: float = 0.0) -> float:
+    """Steps from ``at`` until they no longer change it; a step to ``least`` or below is halved, and within a millionth of where it began, it is ``least``."""
+    near = least + 1e-6 * (at - least)
     for _ in range(STEPS):
         new = at - step(at)
         new = new if new > least else (at + least) / 2
+        if new < near:
+            return least
         if abs(new - at) <= CLOSE * max(abs(at), 1.0):
             return new
         at = new
