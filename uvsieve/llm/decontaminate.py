@@ -8,7 +8,8 @@ For a passage the terms are taken in order of their largest weight. Those that c
 cannot reach 1 together are not essential: a block of items which no other term of the passage touches
 is skipped (the pivot of WAND). For touched blocks the blocks' own largest weights are summed, of the essential terms first and then of all; only
 where that bound reaches 1 are the block's postings read and its items scored. Retrieved items are verified:
-enough of their five-word runs, in the question and in the answer part, must stand in the passage.
+enough of their five-word runs, in the question and in the answer part, must stand within a window of the passage that is half as long again as the item itself. Any such window lies whole
+in one passage, so whether an item is held doesn't depend on other items. Items of like length share an index, and with it the length of passages.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ from .words import PUNCTUATED, shingles, span_hashes, spans
 K1, B = 1.2, 0.75
 SIZE = 5
 BLOCK = 8
+#: Words of the window that an item is verified in: so many times its own, and at least so many.
+WINDOW, LEAST_WINDOW = 1.5, 32
+#: Items up to so many bytes share indexes, and each of the next classes goes four times as far.
+CLASS_BYTES = 1024
 #: Bytes of test items that one index holds; more items make more indexes. So many of them are broadcast together.
 INDEX_BYTES = 8 << 20
 AT_A_TIME = 4
@@ -54,7 +59,8 @@ class Index:
     post_weight: np.ndarray
     runs: list[np.ndarray]  # five-word runs of each item
     question: list[np.ndarray]  # which of them lie in the question
-    stride: int
+    window: np.ndarray  # of each item, in words
+    stride: int  # of passages: the longest window
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,11 +81,10 @@ def question_length(text: str, n_words: int) -> int:
 
 @dataclass(frozen=True)
 class Whole:
-    """What the weights need to know of all items: how many have words, their mean length, and the longest one's."""
+    """What the weights need to know of all items: how many have words, and their mean length."""
 
     n: int
     mean: float
-    longest: int
 
 
 def build(items: list[tuple[int, str]], known: dict[int, int], whole: Whole, least: float) -> Index | None:
@@ -115,9 +120,10 @@ def build(items: list[tuple[int, str]], known: dict[int, int], whole: Whole, lea
     term, item, weight = term[order], item[order], weight[order]
     cell = term * (len(items) // BLOCK + 1) + item // BLOCK
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    window = np.maximum(LEAST_WINDOW, np.ceil(WINDOW * count)).astype(np.int64)
     return Index(
         [i for i, _ in items], terms, np.searchsorted(terms >> np.uint64(48), np.arange(65537, dtype=np.uint64)), number, most, np.searchsorted(term[first], np.arange(len(terms) + 1)), (item // BLOCK)[first], np.maximum.reduceat(weight, first),
-        np.r_[first, len(cell)], item, weight, runs, question, whole.longest,
+        np.r_[first, len(cell)], item, weight, runs, question, window, int(window.max()),
     )
 
 
@@ -148,7 +154,7 @@ def block_bounds(index: Index, passage: np.ndarray, term: np.ndarray, n: int) ->
 def retrieve(index: Index, words: np.ndarray, owner: np.ndarray, stride: int) -> tuple[np.ndarray, ...]:
     """Passages that reach 1 for an item: the passage's first word, its last word + 1, item and score.
 
-    A passage is 2 x ``stride`` words; the next begins ``stride`` words later, so an item always fits into one."""
+    A passage is 2 x ``stride`` words; the next begins ``stride`` words later, so an item's window always fits into one."""
     if not len(words):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -211,7 +217,7 @@ def retrieve(index: Index, words: np.ndarray, owner: np.ndarray, stride: int) ->
 def leaks(documents: DataFrame, benchmark: DataFrame, *, least: float = 0.8, least_part: float = 0.5, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id, item_id, score, overlap, question_overlap, answer_overlap: a row per document and test item that it holds.
 
-    ``documents(doc_id, text)``, ``benchmark(item_id, text)``. Held: a passage has at least ``least`` of the item's five-word runs (an item
+    ``documents(doc_id, text)``, ``benchmark(item_id, text)``. Held: a window of half as many words again as the item's has at least ``least`` of the item's five-word runs (an item
     under five words is one run) and at least ``least_part`` of those of its question and of its answer. Letter case and ASCII
     punctuation don't count. The score is BM25 over the least that such a passage reaches. Null or wordless texts and
     items match nothing; rows that repeat give repeated results, items that repeat count once; a null doc_id or item_id stays null. With an empty table there is no row.
@@ -226,7 +232,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, least: float = 0.8, lea
                     held = held_items(parts.value, column, least, least_part)
                     ids = rows.column("doc_id").to_pylist()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[o] for o, _, _ in held], pa.int64()), pa.array([parts.value[p].item_ids[i] for _, p, i in held], pa.int64()), *(pa.array([v[k] for v in held.values()], pa.float64()) for k in (1, 0, 2, 3))],
+                        [pa.array([ids[o] for o, _, _ in held], pa.int64()), pa.array([parts.value[p].item_ids[i] for _, p, i in held], pa.int64()), *(pa.array([v[k] for v in held.values()], pa.float64()) for k in (3, 0, 1, 2))],
                         ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"],
                     )
 
@@ -253,15 +259,20 @@ def indexes(benchmark: DataFrame, least: float, index_bytes: int = INDEX_BYTES,
     """Broadcast lists of indexes of all items. An index holds about ``index_bytes`` of their text, and is built in a task of its own;
     a list holds ``at_a_time`` indexes, and documents are read once for each list."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).dropDuplicates()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // index_bytes))
-    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    length = F.greatest(F.octet_length("text"), F.lit(CLASS_BYTES))
+    items = items.withColumn("_class", F.ceil(F.log(4.0, length / CLASS_BYTES)).cast("int"))
+    parts, here = 0, F.lit(0)
+    for row in items.groupBy("_class").agg(F.sum(F.octet_length("text")).alias("total")).orderBy("_class").collect():  # a row for each four times of length
+        n = max(1, -(-row["total"] // index_bytes))
+        here = F.when(F.col("_class") == row["_class"], parts + F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).otherwise(here)
+        parts += n
+    items = items.withColumn("part", here.cast("int")).drop("_class")
     terms = cut(items.select("part", "text").mapInArrow(_item_terms, "part int, term long, n_words long"))
-    x = terms.where("n_words > 0").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.max("n_words").alias("longest")).first()
+    x = terms.where("n_words > 0").agg(F.count("*").alias("n"), F.sum("n_words").alias("words")).first()
     context = benchmark.sparkSession.sparkContext
     if not x["n"]:
         return [context.broadcast([])]
-    whole = Whole(x["n"], x["words"] / x["n"], x["longest"])
+    whole = Whole(x["n"], x["words"] / x["n"])
     known = terms.groupBy("term").agg(F.count("*").alias("df"), F.collect_set("part").alias("parts"))  # at most as many as indexes
     told = known.select(F.explode("parts").alias("part"), "term", "df", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("string").alias("text"))
 
@@ -294,26 +305,42 @@ def indexes(benchmark: DataFrame, least: float, index_bytes: int = INDEX_BYTES,
 
 
 def held_items(parts: list[Index], column: pa.Array, least: float, least_part: float) -> dict[tuple[int, int, int], tuple[float, ...]]:
-    """By text, index and item that it holds: the overlap, score, question's and answer's overlap of its best passage."""
+    """By text, index and item that it holds: the overlap, question's and answer's overlap of its best window, and the score of that window's passage."""
     best: dict[tuple[int, int, int], tuple[float, ...]] = {}
     if not parts:
         return best
     words, owner = words_of(column)
     for part, index in enumerate(parts):
-        for b, e, i, s in zip(*(x.tolist() for x in retrieve(index, words, owner, max(32, index.stride))), strict=True):
-            held = np.isin(index.runs[i], shingles(words[b:e], owner[b:e], SIZE)[0])
-            asked = index.question[i]
-            overlap = held.mean()
-            question = held[asked].mean() if asked.any() else overlap
-            answer = held[~asked].mean() if not asked.all() else overlap
-            if overlap >= least - 1e-9 and min(question, answer) >= least_part - 1e-9:
-                key = (int(owner[b]), part, i)
-                best[key] = max(best.get(key, (0.0,)), (float(overlap), round(s, 9), float(question), float(answer)))
+        for b, e, i, s in zip(*(x.tolist() for x in retrieve(index, words, owner, index.stride)), strict=True):
+            key = (int(owner[b]), part, i)
+            for found in windows(shingles(words[b:e], owner[b:e], SIZE)[0], index.runs[i], index.question[i], int(index.window[i]), least, least_part):
+                best[key] = max(best.get(key, (0.0,)), (*found, round(s, 9)))
     return best
 
 
+def windows(passage: np.ndarray, runs: np.ndarray, asked: np.ndarray, window: int, least: float, least_part: float) -> Iterator[tuple[float, float, float]]:
+    """The overlap, question's and answer's overlap of windows of a passage (its runs in order) that hold enough of an item's runs, each window beginning with one of them."""
+    places = np.flatnonzero(np.isin(passage, runs))
+    need = math.ceil(least * len(runs) - 1e-9)
+    if not len(places) or np.isin(runs, passage[places]).sum() < need:
+        return
+    ends = np.searchsorted(places, places + window - SIZE, "right")
+    fewest = need - (len(runs) - len(np.unique(runs)))  # runs that an item repeats count each time
+    for a, z in enumerate(ends.tolist()):
+        if z - a < fewest or (a and z == ends[a - 1]):  # too few, or part of the window before
+            continue
+        held = np.isin(runs, passage[places[a:z]])
+        overlap = held.mean()
+        question = held[asked].mean() if asked.any() else overlap
+        answer = held[~asked].mean() if not asked.all() else overlap
+        if overlap >= least - 1e-9 and min(question, answer) >= least_part - 1e-9:
+            yield float(overlap), float(question), float(answer)
+            if overlap == 1:
+                return
+
+
 def drop_leaked(documents: DataFrame, benchmark: DataFrame, *, least: float = 0.8, least_part: float = 0.5, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The rows of ``documents`` that hold no test item (as ``leaks`` finds them), with all their columns. No document is shuffled."""
+    """The rows of ``documents`` that hold no test item (as ``leaks`` finds them), with all their columns. Rows without text, and rows that repeat, are judged like others; without items all rows stay, and of no rows none. No document is shuffled."""
     for parts in indexes(benchmark, least, index_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], parts=parts) -> Iterator[pa.RecordBatch]:
