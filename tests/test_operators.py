@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from uvsieve.functions import formats, geometry, thresholds
 from uvsieve.functions.stokes import stokes_flag, stokes_value
-from uvsieve.operators import annuli, cells, flags, loading, profiles, summary
+from uvsieve.operators import annuli, baselines, cells, flags, loading, profiles, summary
 from uvsieve.sources import fixtures
 from uvsieve.sources.observation import DerivedObservation, Observation
 
@@ -250,3 +250,21 @@ def test_stream_counts(spark, tmp_path):
     q = cell_counts(stream, grid).writeStream.format("memory").queryName("occupancy").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select sum(n) from occupancy").first()[0] == rows.count()
+
+
+def test_projections_by_every_pair(spark):
+    o = DerivedObservation(spark, FOLDER)
+    got = {r["moment"]: r["wavelengths"] for r in baselines.longest_projections(o, 3).collect()}
+    points = [r["position"] for r in o.antennas.collect()]
+    ra, dec = o.fields.where("field_id = 3").first()["reference_dir"][0]
+    times = o.main.agg(F.min("time"), F.max("time")).first()
+    lon = math.atan2(*(np.mean([p[k] for p in points]) for k in (1, 0)))
+    for name, t in (("begin", times[0]), ("middle", sum(times) / 2), ("end", times[1])):
+        h = baselines.sidereal_angle(t, lon) - ra
+        turn = np.array([[math.sin(h), math.cos(h), 0], [-math.sin(dec) * math.cos(h), math.sin(dec) * math.sin(h), math.cos(dec)]])
+        uv = [turn @ np.array(p) for p in points]
+        assert got[name] == pytest.approx(max(np.hypot(*(a - b)) for a in uv for b in uv) * 1.5e9 / geometry.LIGHT)
+    with pytest.raises(ValueError, match="no field"):
+        baselines.longest_projections(o, 99)
+    # at noon of the first of January 2000 Greenwich has 18 h 41 min 50.55 s
+    assert baselines.sidereal_angle(51_544.5 * 86_400, 0.0) == pytest.approx(math.radians((18 + 41 / 60 + 50.548 / 3600) * 15), abs=1e-6)

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import formats, geometry, thresholds
 from ..functions.stokes import stokes_flag, stokes_value
-from ..operators import aggregates, annuli, cells, distributions, flags, loading, profiles, summary
+from ..operators import aggregates, annuli, baselines, cells, distributions, flags, loading, profiles, summary
 from ..sources import fixtures, storage
 from ..sources.checkpoints import settled, shared_folder
 from ..sources.observation import DerivedObservation, Observation
@@ -600,6 +600,12 @@ def longest_baseline(spark, sf_dir):
     return summary.longest_baseline(DerivedObservation(spark, sf_dir).antennas).select(six("distance"))
 
 
+@query
+def longest_projections(spark, sf_dir):
+    """The longest baseline that a field sees at three moments."""
+    return baselines.longest_projections(observed(spark, sf_dir), 2).select("moment", F.round("wavelengths", 3).alias("wavelengths"))
+
+
 @query
 def spw_exclude_bad(spark, sf_dir):
     """Channels seen in the rows, 2 MHz wide, without those wholly in a bad range."""

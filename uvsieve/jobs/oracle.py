@@ -97,6 +97,10 @@ BLOCKS = {
         fl[1] OR fl[4] AS flag, u, v, len(list_filter(ue, lambda e: e<=u))::INTEGER AS u_bin, len(list_filter(ve, lambda e: e<=v))::INTEGER AS v_bin FROM long, found_edges""",
     "states": "SELECT * FROM (VALUES (0,'click'),(1,'error'),(2,'purchase'),(3,'signup'),(4,'view')) t(state_id,obs_mode)",
     "ant": "SELECT s_suppkey::INTEGER AS antenna_id, s_name AS name, 5109000.0::DOUBLE+(s_suppkey*37)%4001 AS x, 2006000.0::DOUBLE+(s_suppkey*53)%3001 AS y, -3239000.0::DOUBLE+floor(s_acctbal) AS z FROM supplier",
+    "moments": "SELECT unnest(['begin','middle','end']) AS moment, unnest([min(time),(min(time)+max(time))/2,max(time)]) AS t FROM nested",
+    "angles": """SELECT moment, radians(280.46061837::DOUBLE+360.98564736629::DOUBLE*d+0.000387933::DOUBLE*pow(d/36525,2)-pow(d/36525,3)/38710000::DOUBLE)+lon-0.2::DOUBLE AS h, -0.1::DOUBLE AS dec
+        FROM (SELECT moment, t/86400-51544.5::DOUBLE AS d, lon FROM moments, (SELECT atan2(avg(y),avg(x)) AS lon FROM ant) l) q""",
+    "turned": "SELECT moment, antenna_id, x*sin(h)+y*cos(h) AS u, -x*sin(dec)*cos(h)+y*sin(dec)*sin(h)+z*cos(dec) AS v FROM angles, ant",
     "mids": "SELECT u_bin, v_bin, median(value) AS m FROM kept GROUP BY ALL",
 }
 
@@ -198,6 +202,7 @@ ORACLE_SQL: dict[str, str] = {
     "list_fields": sql("SELECT r_regionkey::INTEGER AS field_id, r_name AS name, coalesce(obs_mode,'') AS intent FROM region LEFT JOIN (SELECT field_id, arg_max(state_id, struct_pack(s:=scan_number, t:=ts, r:=row_id)) AS state_id FROM nested GROUP BY 1) l ON l.field_id=r_regionkey LEFT JOIN states USING (state_id)"),
     "spectral_windows": sql("SELECT ddid, spw_id, name, len(chan_freq)::INTEGER AS n_chan, chan_freq[1]/1e6 AS first_mhz, chan_width/1e3 AS width_khz, total_bandwidth/1e3 AS bandwidth_khz, round((list_min(chan_freq)+list_max(chan_freq))/2e6,6) AS centre_mhz, 'XX,XY,YX,YY' AS correlations, n_rows FROM dd JOIN spw USING (spw_id) JOIN (SELECT ddid, count(*) AS n_rows FROM nested GROUP BY ddid) c USING (ddid)"),
     "longest_baseline": sql("SELECT round(max(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))),6) AS distance FROM ant a JOIN ant b ON a.antenna_id<b.antenna_id"),
+    "longest_projections": sql("""SELECT moment, round(max(sqrt(pow(a.u-b.u,2)+pow(a.v-b.v,2)))*1.5e9::DOUBLE/299792458::DOUBLE,3) AS wavelengths FROM turned a JOIN turned b USING (moment) WHERE a.antenna_id<=b.antenna_id GROUP BY moment"""),
     "spw_exclude_bad": sql("SELECT ddid, chan, n, mhz-1 AS low, mhz+1 AS high FROM (SELECT ddid, chan, max(round(299792458::DOUBLE/lam/1e6,6)) AS mhz, count(*) AS n FROM long GROUP BY ALL) x WHERE NOT EXISTS (SELECT 1 FROM (VALUES (850.0,985.0),(1090.0,1250.0),(1490.0,1580.0)) b(l,h) WHERE mhz-1>=l AND mhz+1<=h)"),
     "scan_main": sql("SELECT row_id, field_id, ddid, scan_number, round(u_m,6) AS u_m, round(v_m,6) AS v_m FROM nested"),
     "scan_ordered": sql("SELECT (row_number() OVER (ORDER BY scan_number, time, row_id))::BIGINT AS place, row_id FROM nested"),
