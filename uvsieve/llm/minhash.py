@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, slices, sorted_groups, utf8
+from .common import cut, mix64, slices, sorted_groups, utf8, written
 from .components import components
 from .words import shingles, span_hashes, spans
 
@@ -93,6 +93,30 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def text_keys(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each text's words in order, and the texts of the words."""
+    starts, stops, owner = spans(data, ends)
+    words = span_hashes(data, starts, stops)
+    keys = np.zeros((len(ends) - 1, 2), np.uint64)
+    with np.errstate(over="ignore"):
+        rank = np.arange(len(words)) - np.searchsorted(owner, owner)
+        for k, salt in enumerate((0xA24BAED4963EE407, 0x9FB21C651E98DF25)):
+            np.add.at(keys[:, k], owner, mix64(mix64(words + np.uint64(salt)) + rank.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return keys, owner
+
+
+def _with_keys(documents: DataFrame) -> DataFrame:
+    """doc_id, k1, k2 and text of rows with a doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, column in slices(batch):
+                keys, _ = text_keys(*utf8(pc.utf8_lower(column)))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(np.ascontiguousarray(keys[:, k]).view(np.int64)) for k in (0, 1)), rows.column("text")], ["doc_id", "k1", "k2", "text"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, k1 long, k2 long, text string")
+
+
 def signed(documents: DataFrame) -> DataFrame:
     """doc_id, text key (of the words), band keys and a byte of each slot. A text without words has no bands."""
 
@@ -102,13 +126,7 @@ def signed(documents: DataFrame) -> DataFrame:
                 column = pc.utf8_lower(column)
                 data, ends = utf8(column)
                 n = len(column)
-                starts, stops, owner = spans(data, ends)
-                words = span_hashes(data, starts, stops)
-                keys = np.zeros((n, 2), np.uint64)
-                with np.errstate(over="ignore"):
-                    rank = np.arange(len(words)) - np.searchsorted(owner, owner)
-                    for k, salt in enumerate((0xA24BAED4963EE407, 0x9FB21C651E98DF25)):
-                        np.add.at(keys[:, k], owner, mix64(mix64(words + np.uint64(salt)) + rank.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+                keys, owner = text_keys(data, ends)
                 signature = marks(signatures(*bags(data, ends), n))
                 bare = np.bincount(owner, minlength=n)[:n] == 0
                 bands = pa.array([[] if b else k for b, k in zip(bare, band_keys(signature).tolist(), strict=True)], pa.list_(pa.int64()))
@@ -295,13 +313,35 @@ def near_duplicates(documents: DataFrame, *, likeness: float = 0.8) -> DataFrame
 
     Classes are the components of links between bags of five-word shingles at least ``likeness`` alike; letter case and ASCII
     white space don't count. A text of fewer words is one shingle. Texts without words (also null ones) are alike only
-    to each other. Rows without doc_id are passed over, repeated rows count once, other columns are not read.
+    to each other. A doc_id with several texts is one document: what is like any of them is of its class. Rows without doc_id are passed over, repeated rows count once, texts of any length are taken whole,
+    an empty table gives an empty one, other columns are not read.
     """
     known = cut(signed(documents))
+    ends = [F.min(F.struct("k1", "k2")).alias("one"), F.max(F.struct("k1", "k2")).alias("other")]
+    if not known.groupBy("doc_id").agg(*ends).where("one <> other").limit(1).count():
+        return _classes(documents, known, likeness)
+    # numbers for each text of each doc_id, in order of doc_id
+    order = ("doc_id", "k1", "k2")
+    numbers = cut(known.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
+    named = written(_with_keys(documents).join(numbers, [*order]).select(F.col("node").alias("doc_id"), "text"))
+    whose = numbers.select("node", F.col("doc_id").alias("whose"))
+    found = _classes(named, cut(signed(named)), likeness, whose)
+    for name in ("doc_id", "class_id", "text_id"):
+        found = found.withColumnRenamed(name, "node").join(whose, "node").drop("node").withColumnRenamed("whose", name)
+    return found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("text_id").alias("text_id"))
+
+
+def _classes(documents: DataFrame, known: DataFrame, likeness: float, whose: DataFrame | None = None) -> DataFrame:
+    """``near_duplicates`` where each doc_id has one text. ``whose(node, whose)``: documents (by doc_id) that are of one class whatever their texts."""
     texts = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("text_id"))
     kept = known.join(texts, ["k1", "k2"])
     members = kept.where(F.col("doc_id") == F.col("text_id")).select(F.explode("bands").alias("band"), F.col("doc_id").alias("doc"), "slots")
     groups = components(cut(coarse_links(members)))
-    classes = components(cut(verified_links(documents, cut(groups), likeness)))
+    links = verified_links(documents, cut(groups), likeness)
+    if whose is not None:
+        own = kept.select(F.col("doc_id").alias("node"), "text_id").join(whose, "node")
+        least = own.groupBy("whose").agg(F.min("text_id").alias("b"))
+        links = links.union(own.join(least, "whose").select(F.col("text_id").alias("a"), "b"))
+    classes = components(cut(links))
     found = kept.select("doc_id", "text_id").join(classes, F.col("text_id") == F.col("node"), "left")
     return found.groupBy("doc_id").agg(F.min(F.coalesce("component", "text_id")).alias("class_id"), F.min("text_id").alias("text_id"))
