@@ -42,6 +42,16 @@ def test_no_bracket_ends_wide(spark):
         assert r["_next"] == min(v for v in own if v > r["_high"])
 
 
+def test_rows_stay_where_they_are(spark, monkeypatch):
+    df = spark.createDataFrame([(k % 3, float(k)) for k in range(300)], "g int, value double").repartition(4)
+    state = selection.brackets(df, ["g"], limit=500)
+    plan = lambda: selection._within(df, ["g"], "value", state)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan() and "hashpartitioning(g" not in plan()
+    monkeypatch.setattr(selection, "MAX_BROADCAST", 2)
+    assert "BroadcastHashJoin" not in plan() or "hashpartitioning(g" in plan()  # another way beyond the bound
+    assert {r["g"]: r["q0"] for r in selection.quantiles(df, ["g"], limit=30).collect()} == {0: 148.5, 1: 149.5, 2: 150.5}
+
+
 def test_a_start_that_misses_does_no_harm(spark):
     df = spark.createDataFrame([(g, float(k)) for g in range(4) for k in range(1001)], "g int, value double")
     start = spark.createDataFrame([(0, 0, 490.0, 510.0), (1, 0, 0.0, 3.0), (2, 0, 900.0, 901.0), (3, 0, 5000.0, 6000.0)], "g int, _t int, _try_low double, _try_high double")

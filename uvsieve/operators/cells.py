@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.thresholds import MAD_SCALE
 from ..sources.checkpoints import settled
-from .selection import quantiles
+from .selection import quantiles, sent
 
 CELL = ["u_bin", "v_bin"]
 #: Rows of a cell beyond which its median isn't taken from one aggregation buffer.
@@ -44,7 +44,7 @@ def medians(rows: DataFrame, keys: list[str] = CELL, value: str = "value", hot:
 def _split_medians(rows: DataFrame, keys: list[str], value: str, hot: int) -> DataFrame:
     sizes = settled(rows.groupBy(*keys).agg(F.count(value).alias("_n")))
     plain = rows.join(sizes.where(F.col("_n") <= hot).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.median(value).alias("median"))
-    large = quantiles(rows.join(sizes.where(F.col("_n") > hot).select(*keys), keys, "left_semi"), keys, value, limit=hot)
+    large = quantiles(rows.join(sent(sizes.where(F.col("_n") > hot).select(*keys)), keys, "left_semi"), keys, value, limit=hot)
     return plain.unionByName(large.select(*keys, F.col("q0").alias("median")))
 
 

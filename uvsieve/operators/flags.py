@@ -12,7 +12,7 @@ from ..functions.thresholds import rayleigh_high, rayleigh_low
 from ..sources.checkpoints import settled
 from .annuli import Annuli, plan_annuli, with_radius, with_ring
 from .cells import CELL, HOT_ROWS, cell_stats, medians, null_rows, usable
-from .selection import brackets, picked
+from .selection import brackets, picked, sent
 
 #: A mean over median beyond which a cell isn't trusted, and isn't kept.
 DOUBTFUL, HOPELESS = 1.2, 1.4
@@ -31,7 +31,7 @@ def clip_groups(rows: DataFrame, sigma: float, rounds: int = 100, keys: list[str
     bounds = sizes.select(*keys, F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(-1).cast("long").alias("n"))
     start = None
     for _ in range(rounds):
-        inside = rows.join(bounds.select(*keys, "low", "high"), keys).where((F.col("value") > F.col("low")) & (F.col("value") < F.col("high")))
+        inside = rows.join(sent(bounds.select(*keys, "low", "high")), keys).where((F.col("value") > F.col("low")) & (F.col("value") < F.col("high")))
         middle = F.avg("value") if centre == "mean" else F.lit(None).cast("double") if split else F.median("value")
         sums = inside.groupBy(*keys).agg(F.count("*").alias("_n"), middle.alias("_c"), F.sum(F.col("value") * F.col("value")).alias("_q"))
         if split:

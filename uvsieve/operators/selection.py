@@ -18,6 +18,8 @@ from ..sources.checkpoints import settled
 LIMIT = 200_000
 #: Steps of the sketch: a round leaves about three in so many rows.
 STEPS = 200
+#: Groups and quantiles (of about 100 bytes) whose brackets go to the rows by broadcast, so that rows stay where they are; beyond, both sides are shuffled by group.
+MAX_BROADCAST = 100_000
 #: Of a group and wanted quantile: rank, part of the next rank, bracket, rows below and within it, and the least value above it.
 STATE = ("_rank", "_part", "_low", "_high", "_below", "_inside", "_next")
 
@@ -35,15 +37,20 @@ def brackets(rows: DataFrame, keys: list[str], value: str = "value", at: tuple[f
     named = [*keys, "_t"]
     if start is not None:
         tried = state.join(start.select(*named, "_try_low", "_try_high"), named).where((F.col("_try_low") <= F.col("_high")) & (F.col("_try_high") >= F.col("_low")))
-        state = settled(_counted(rows, keys, value, state, tried))
+        state = settled(_counted(rows, keys, value, state, settled(tried)))
     wide = (F.col("_inside") > limit) & (F.col("_low") < F.col("_high"))
     while state.where(wide).limit(1).count():
-        state = settled(_counted(rows, keys, value, state, _proposed(rows, keys, value, state.where(wide))))
+        state = settled(_counted(rows, keys, value, state, settled(_proposed(rows, keys, value, state.where(wide)))))
     return state
 
 
+def sent(table: DataFrame) -> DataFrame:
+    """A settled table of groups, to be broadcast if it has at most ``MAX_BROADCAST`` rows."""
+    return F.broadcast(table) if table.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else table
+
+
 def _within(rows: DataFrame, keys: list[str], value: str, state: DataFrame, *more: str) -> DataFrame:
-    return rows.select(*keys, F.col(value).cast("double").alias("_x")).join(state.select(*keys, "_t", "_low", "_high", *more), keys).where(F.col("_x").between(F.col("_low"), F.col("_high")))
+    return rows.select(*keys, F.col(value).cast("double").alias("_x")).join(sent(state.select(*keys, "_t", "_low", "_high", *more)), keys).where(F.col("_x").between(F.col("_low"), F.col("_high")))
 
 
 def _proposed(rows: DataFrame, keys: list[str], value: str, state: DataFrame) -> DataFrame:
@@ -107,6 +114,6 @@ def quantiles(rows: DataFrame, keys: list[str], value: str = "value", at: tuple[
 def medians_and_mads(rows: DataFrame, keys: list[str], value: str = "value", scale: float = MAD_SCALE, limit: int = LIMIT) -> DataFrame:
     """(keys, n, median, mad): exact medians and scaled median absolute deviations, both by selection."""
     middle = settled(quantiles(rows, keys, value, limit=limit).withColumnRenamed("q0", "median"))
-    apart = rows.join(middle.select(*keys, "median"), keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_apart"))
+    apart = rows.join(sent(middle.select(*keys, "median")), keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_apart"))
     spread = quantiles(apart, keys, "_apart", limit=limit)
     return middle.join(spread.select(*keys, (F.col("q0") * scale).alias("mad")), keys)
