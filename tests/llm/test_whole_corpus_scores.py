@@ -5,9 +5,14 @@ import math
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 
-from uvsieve.llm.lmscore import score_documents
+from uvsieve.llm import eliasfano, lmscore
+from uvsieve.llm.lmscore import narrow, score_documents, widened
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -108,3 +113,47 @@ def test_a_long_text(spark):
     text = " ".join(f"u{k % 50021}" for k in range(700_000))
     got = scored(spark, [(0, text), (2, "u1 u2 u3")])
     assert got[0, 700_001]["n_tokens"] == 700_001 and got[2, 4]["score"] > got[2, 4]["base_score"]
+
+
+def test_counts_beyond_32_bits():
+    counts = np.array([0, 1, 2**32 + 5, 2**45])
+    assert widened(narrow(counts)).tolist() == counts.tolist()
+
+
+def chain(rows, shards, frequent):
+    """All steps of scoring in one process, each document a block of its own."""
+    blocks = pa.RecordBatch.from_pydict({"block": [k for k, _ in enumerate(rows)], "doc_id": [i for i, _ in rows], "training": [k % 3 != 1 for k, _ in enumerate(rows)], "packed": [zstandard.compress(t.encode()) for _, t in rows]})
+    asked = pa.Table.from_batches(lmscore._asking(shards, frequent)(iter([blocks]))).sort_by("shard").combine_chunks()
+    survey = collections.Counter()
+    for batch in lmscore._surveying(frequent)(iter(asked.to_batches())):
+        for place, n in zip(batch["place"].to_pylist(), batch["n"].to_pylist(), strict=True):
+            survey[place] += n
+    text = ",".join(f"{k}:{n}" for k, n in survey.items())
+    asked = asked.append_column("survey", pa.array([text] * asked.num_rows))
+    answers = pa.Table.from_batches(lmscore._answering(frequent)(iter(asked.to_batches())))
+    answers = answers.append_column("survey", pa.array([text] * answers.num_rows))
+    out = []
+    for k in range(len(rows)):
+        own = pa.Table.from_batches([blocks]).filter(pc.equal(pc.field("block"), k))
+        out += lmscore._scoring(frequent)(own, answers.filter(pc.equal(pc.field("block"), k))).to_pylist()
+    return out
+
+
+def test_more_contexts_than_places_beside_a_name(monkeypatch):
+    rows = [(i, t) for i, t in corpus(80) if i is not None and t]
+    plain = chain(rows, 3, {})
+    for bits in (0, 3):
+        monkeypatch.setattr(eliasfano, "PLACE_BITS", bits)
+        assert chain(rows, 3, {}) == plain
+
+
+def test_successors_of_two_frequent_words_have_long_names(monkeypatch):
+    """With names cut to one bit, other pairs take unseen successors for seen ones; those of frequent words don't."""
+    rows = [(k, f"a b x{k}") for k in range(60)]
+    a, b = (int(w) for w in lmscore.tokens_of(np.frombuffer(b"a b", np.uint8), np.array([0, 3]))[0][:2])
+    exact = chain(rows, 3, {})
+    monkeypatch.setattr(lmscore, "COARSE", np.uint64(39))
+    fine, cut = chain(rows, 3, {a: 1, b: 2}), chain(rows, 3, {})
+    held = [k for k in range(60) if k % 3 == 1]
+    assert all(fine[k]["score"] == pytest.approx(exact[k]["score"], rel=1e-6) for k in held)
+    assert sum(cut[k]["score"] > exact[k]["score"] + 0.1 for k in held) > 15

@@ -152,6 +152,8 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 #: Bits that name a successor within its context's range.
 NAME_BITS = np.uint64(40)
+#: Bits of a context's place beside a name; a level of more contexts is several sequences.
+PLACE_BITS = 24
 
 
 def by_count(counts: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
@@ -178,8 +180,10 @@ class Trie:
         for total, (context, name, times), discount in zip((counts, pairs[2]), (pairs, triples), off, strict=True):
             share = (times - discount[context_groups(total)[context], np.minimum(times, 3) - 1]) / np.maximum(total[context], 1)
             pointers = np.searchsorted(context, np.arange(len(total) + 1))
-            keys = context.astype(np.uint64) << NAME_BITS | name
-            self.levels.append((Sequence(pointers, store), Sequence(keys, store), Level(quantised(share), store)))
+            cuts = pointers[:: 1 << PLACE_BITS].tolist()
+            keys = (context & ((1 << PLACE_BITS) - 1)).astype(np.uint64) << NAME_BITS | name
+            runs = [(a, Sequence(keys[a:b], store)) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+            self.levels.append((Sequence(pointers, store), runs, Level(quantised(share), store)))
         self.rests = Level(quantised(left_over(pairs[2], by_count(triples[2], triples[0], len(pairs[2])), off[1])), store)
         self.times = Level(by_count(pairs[2], pairs[0], len(words)), store)
 
@@ -188,10 +192,15 @@ class Trie:
 
     def find(self, order: int, context: np.ndarray, known: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each name the place, whether it is there, and its code (0 if not): by successor search within the range of its context."""
-        pointers, sequence, codes = self.levels[order - 2]
+        pointers, runs, codes = self.levels[order - 2]
         places, there, out = np.zeros(len(context), np.int64), np.zeros(len(context), bool), np.zeros(len(context), np.uint16)
         rows = np.flatnonzero(known)
-        place, equal = sequence.successor(context[rows].astype(np.uint64) << NAME_BITS | name[rows])
+        place, equal = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+        keys = (context[rows] & ((1 << PLACE_BITS) - 1)).astype(np.uint64) << NAME_BITS | name[rows]
+        for run, own in [(0, slice(None))] if len(runs) == 1 else _by_chunk(context[rows] >> PLACE_BITS):
+            start, sequence = runs[run]
+            place[own], equal[own] = sequence.successor(keys[own])
+            place[own] += start
         inside = equal & (place >= pointers.at(context[rows]).astype(np.int64)) & (place < pointers.at(context[rows] + 1).astype(np.int64))
         rows, place = rows[inside], place[inside]
         places[rows], there[rows], out[rows] = place, True, codes.at(place)

@@ -11,7 +11,8 @@ so that the discounts are the corpus's and not the shard's. With them a shard bu
 Elias-Fano levels, mapped from a file - and answers each block by successor search within the context's own range. With the
 answers, packed in the same order, each block scores its documents.
 
-Words are named by 64-bit hashes, successors of a word within its range by the hash's upper 40 bits, those of a pair, which are few, by 24. A frequent word would make its shard too large, so it is
+Words are named by 64-bit hashes, successors of a word within its range by the hash's upper 40 bits. So are those of a pair of two frequent words; those of
+other pairs, which are no more than the rarer word's tokens and so at most about a shard's share, by 24. A frequent word would make its shard too large, so it is
 cut into parts by its successors, as many as it has times the share of a shard in a sample; parts are shards' words like any other, and what their
 successors leave is added up by the block in whole numbers. The parts change who counts, not what is counted.
 """
@@ -26,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import eliasfano
 from .common import crc_mod, mix64, ragged, slices, utf8
 from .eliasfano import GROUPS, NAME_BITS, Trie, context_groups, counts_of_counts, discounts, left_over, restored
 from .words import span_hashes, spans
@@ -34,8 +36,9 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 END = np.uint64(0x454E44)  # no word's hash but by a chance of 2^-64
-#: Bits that name a pair's successor.
-TRIPLE_BITS = np.uint64(24)
+#: Bits left out of the names of successors of pairs that aren't of two frequent words.
+COARSE = np.uint64(16)
+NAME_MASK = (np.uint64(1) << NAME_BITS) - np.uint64(1)
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
 
@@ -67,6 +70,33 @@ def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[fresh], order[fresh], number
 
 
+def numbered_names(place: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `numbered`, of pairs of a place and a name: the different places and names, rising, where each stands, and each one's number."""
+    if not len(place) or int(place.max()) >> eliasfano.PLACE_BITS == 0:
+        keys, first, number = numbered(place.astype(np.uint64) << NAME_BITS | name)
+        return (keys >> NAME_BITS).astype(np.int64), keys & NAME_MASK, first, number
+    order = np.lexsort((name, place))
+    places, names = place[order].astype(np.int64), name[order]
+    fresh = np.r_[True, (places[1:] != places[:-1]) | (names[1:] != names[:-1])]
+    number = np.empty(len(place), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return places[fresh], names[fresh], order[fresh], number
+
+
+def part_ids(words: np.ndarray, part: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.where(part == 0, words, mix64(words + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def of_frequent(ids: np.ndarray, names: np.ndarray, frequent: Parts) -> np.ndarray:
+    """Whether pairs, given by the id of the first word's part and the second word's name, are of two frequent words."""
+    if not frequent:
+        return np.zeros(len(ids), bool)
+    words, parts = np.array(list(frequent), np.uint64), np.array(list(frequent.values()), np.int64)
+    leads = part_ids(np.repeat(words, parts), ragged(np.zeros(len(words), np.int64), parts))
+    return np.isin(ids, leads) & np.isin(names, words >> (np.uint64(64) - NAME_BITS))
+
+
 class Block:
     """The tokens of some texts as different words, pairs and triples.
 
@@ -81,8 +111,7 @@ class Block:
         parts = np.array([frequent.get(w, 1) for w in self.words.tolist()], np.int64) if frequent else np.ones(n, np.int64)
         part = ragged(np.zeros(n, np.int64), parts)
         self.word = np.repeat(np.arange(n), parts)
-        with np.errstate(over="ignore"):
-            ids = np.where(part == 0, self.words[self.word], mix64(self.words[self.word] + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        ids = part_ids(self.words[self.word], part)
         order = np.argsort(ids, kind="stable")
         self.ids, self.word, self.leads = ids[order], self.word[order], part[order] == 0
         place = np.empty(len(order), np.int64)
@@ -90,14 +119,16 @@ class Block:
         # pairs: each token after the one before it, the first of a text after an end
         before = np.r_[np.searchsorted(self.words, END), self.token[:-1]]
         own = place[(np.cumsum(parts) - parts)[before] + (mix64(self.words)[self.token] % parts[before].astype(np.uint64)).astype(np.int64)]
-        keys, first, self.pair = numbered(own.astype(np.uint64) << NAME_BITS | names[self.token])
-        self.part, self.pair_name, self.successor = (keys >> NAME_BITS).astype(np.int64), keys & ((np.uint64(1) << NAME_BITS) - np.uint64(1)), self.token[first]
+        self.part, self.pair_name, first, self.pair = numbered_names(own, names[self.token])
+        self.successor = self.token[first]
+        fine = of_frequent(self.ids[self.part], self.pair_name, frequent)
         # triples: all but the first token of a text
         self.later = np.ones(len(tokens), bool)
         self.later[np.cumsum(self.n_tokens) - self.n_tokens] = False
         self.at = np.flatnonzero(self.later)
-        keys, first, self.triple = numbered(self.pair[self.at - 1].astype(np.uint64) << NAME_BITS | names[self.token[self.at]] >> np.uint64(NAME_BITS - TRIPLE_BITS))
-        self.context, self.triple_name, self.inner = (keys >> NAME_BITS).astype(np.int64), keys & ((np.uint64(1) << NAME_BITS) - np.uint64(1)), self.pair[self.at[first]]
+        context, name = self.pair[self.at - 1], names[self.token[self.at]]
+        self.context, self.triple_name, first, self.triple = numbered_names(context, np.where(fine[context], name, name >> COARSE << COARSE))
+        self.inner, self.fine = self.pair[self.at[first]], fine[self.context]
         learned = training[self.owner]
         self.word_counts = np.bincount(self.token[learned], minlength=n)[self.word]
         self.pair_counts = np.bincount(self.pair[learned], minlength=len(self.part))
@@ -127,12 +158,12 @@ def unpack(packed: bytes, *types: str) -> list[np.ndarray]:
 
 
 def narrow(counts: np.ndarray) -> np.ndarray:
-    """Counts as the four planes of their bytes: small ones pack to almost nothing."""
-    return np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).reshape(-1)
+    """Counts as the eight planes of their bytes: empty ones pack to almost nothing."""
+    return np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).reshape(-1)
 
 
 def widened(planes: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").reshape(-1)
 
 
 def thin(names: np.ndarray, width: int) -> np.ndarray:
@@ -219,51 +250,58 @@ def _asking(shards: int, frequent: Parts):
             out = []
             for k, shard in enumerate(some.tolist()):
                 w, p, t = slice(bounds[k], bounds[k + 1]), slice(first[k], first[k + 1]), slice(start[k], start[k + 1])
-                told = (stepped(b.ids[w]), b.leads[w], narrow(b.word_counts[w]), narrow(fan[w]), thin(b.pair_name[p], 5), narrow(b.pair_counts[p]), narrow(deep[p]), thin(b.triple_name[t], 3), narrow(b.triple_counts[t]))
+                names, fine = b.triple_name[t], b.fine[t]
+                told = (stepped(b.ids[w]), b.leads[w], narrow(b.word_counts[w]), narrow(fan[w]), thin(b.pair_name[p], 5), narrow(b.pair_counts[p]), narrow(deep[p]), thin(names[~fine] >> COARSE, 3), thin(names[fine], 5), narrow(b.triple_counts[t]))
                 out.append((shard, block, pack(*told)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["shard", "block", "packed"])
 
     return run
 
 
-def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different keys with a count, rising, their summed counts, and the place of each key that has one."""
+def _summed(place: np.ndarray, name: np.ndarray, times: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """The different places and names with a count, rising, with their summed counts, and the number of each one that has one."""
     seen = np.flatnonzero(times)
-    known, _, code = numbered(keys[seen])
-    at = np.zeros(len(keys), np.int64)
+    places, names, _, code = numbered_names(place[seen], name[seen])
+    at = np.zeros(len(place), np.int64)
     at[seen] = code
-    return known, np.bincount(code, times[seen], len(known)).astype(np.int64), at
+    return (places, names, np.bincount(code, times[seen], len(places)).astype(np.int64)), at
 
 
 class Told:
     """What all blocks tell a shard, added up: words with their counts, and the pairs and triples seen with theirs."""
 
-    def __init__(self, packed: list[bytes]):
-        told = [unpack(x, *["u1"] * 9) for x in packed]
+    def __init__(self, packed: list[bytes], frequent: Parts):
+        told = [unpack(x, *["u1"] * 10) for x in packed]
         join = lambda k, f: np.concatenate([f(t[k]) for t in told])
         ids, leads, counts, fan = join(0, summed), join(1, lambda x: x), join(2, widened), join(3, widened)
-        self.ends = np.cumsum([(0, 0, 0)] + [(len(t[1]), len(t[4]) // 5, len(t[7]) // 3) for t in told], axis=0)
+        self.ends = np.cumsum([(0, 0, 0)] + [(len(t[1]), len(t[4]) // 5, len(t[7]) // 3 + len(t[8]) // 5) for t in told], axis=0)
         self.words, first, place = numbered(ids)
         self.counts = np.bincount(place, counts, len(self.words)).astype(np.int64)
         self.leads = leads[first] > 0
-        mask = (np.uint64(1) << NAME_BITS) - np.uint64(1)
-        self.ids, self.fan, self.deep, self.names = ids, fan, join(6, widened), (join(4, lambda x: thick(x, 5)), join(7, lambda x: thick(x, 3)))
-        known, times, at = _summed(np.repeat(place, fan).astype(np.uint64) << NAME_BITS | self.names[0], join(5, widened))
-        self.pairs = (known >> NAME_BITS).astype(np.int64), known & mask, times
+        pair_names = join(4, lambda x: thick(x, 5))
+        self.ids, self.fan, self.deep = ids, fan, join(6, widened)
+        fine = np.repeat(of_frequent(np.repeat(ids, fan), pair_names, frequent), self.deep)
+        triple_names = np.empty(len(fine), np.uint64)
+        triple_names[~fine], triple_names[fine] = join(7, lambda x: thick(x, 3)) << COARSE, join(8, lambda x: thick(x, 5))
+        self.names = pair_names, triple_names
+        self.pairs, at = _summed(np.repeat(place, fan), pair_names, join(5, widened))
         # a triple with a count has a pair with a count
-        known, times, _ = _summed(np.repeat(at, self.deep).astype(np.uint64) << NAME_BITS | self.names[1], join(8, widened))
-        self.triples = (known >> NAME_BITS).astype(np.int64), known & mask, times
+        self.triples, _ = _summed(np.repeat(at, self.deep), triple_names, join(9, widened))
 
 
-def _surveying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _surveying(frequent: Parts):
     """Per shard: how many tokens and different words it has (places 0 and 1), and how often counts of 1 to 4 occur in each group of contexts of both orders."""
-    for _, rows in _grouped(batches, ("shard", "packed")):
-        t = Told([r[1] for r in rows])
-        own = t.counts[t.leads]
-        orders = [counts_of_counts(x[2], context_groups(total)[x[0]]).reshape(-1) for total, x in ((t.counts, t.pairs), (t.pairs[2], t.triples))]
-        n = np.concatenate([[own.sum(), (own > 0).sum()], *orders])
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["place", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches, ("shard", "packed")):
+            t = Told([r[1] for r in rows], frequent)
+            own = t.counts[t.leads]
+            orders = [counts_of_counts(x[2], context_groups(total)[x[0]]).reshape(-1) for total, x in ((t.counts, t.pairs), (t.pairs[2], t.triples))]
+            n = np.concatenate([[own.sum(), (own > 0).sum()], *orders])
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["place", "n"])
+
+    return run
 
 
 def surveyed(text: str | None) -> tuple[int, int, np.ndarray]:
@@ -275,20 +313,23 @@ def surveyed(text: str | None) -> tuple[int, int, np.ndarray]:
     return int(n[0]), int(n[1]), np.stack([discounts(x) for x in n[2:].reshape(2, GROUPS, 4)])
 
 
-def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in _grouped(batches, ("shard", "block", "packed", "survey")):
-        t = Told([r[2] for r in rows])
-        trie = Trie(t.words, t.counts, t.pairs, t.triples, surveyed(rows[0][3])[2])
-        # all blocks' questions at once, so that each part of a level is decoded once
-        word, _ = trie.find_words(t.ids)  # all of them are there
-        pair, known, codes = trie.find(2, np.repeat(word, t.fan), np.ones(len(t.names[0]), bool), t.names[0])
-        _, _, deeper = trie.find(3, np.repeat(pair, t.deep), np.repeat(known, t.deep), t.names[1])
-        rests = np.where(known, trie.rests.at(np.where(known, pair, 0)), 1).astype(np.uint16) if len(t.pairs[0]) else np.ones(len(pair), np.uint16)  # 1 stands for all
-        counts, times = trie.counts.at(word), trie.times.at(slice(None)).reshape(-1, 3)[word]
-        for r, low, high in zip(rows, t.ends[:-1], t.ends[1:], strict=True):
-            w, p, d = (slice(a, b) for a, b in zip(low, high, strict=True))
-            answer = pack(narrow(counts[w]), *(narrow(times[w, k]) for k in range(3)), parted(codes[p]), parted(rests[p]), parted(deeper[d]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int32()), pa.array([r[0]], pa.int32()), pa.array([answer], pa.binary())], ["block", "shard", "packed"])
+def _answering(frequent: Parts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches, ("shard", "block", "packed", "survey")):
+            t = Told([r[2] for r in rows], frequent)
+            trie = Trie(t.words, t.counts, t.pairs, t.triples, surveyed(rows[0][3])[2])
+            # all blocks' questions at once, so that each part of a level is decoded once
+            word, _ = trie.find_words(t.ids)  # all of them are there
+            pair, known, codes = trie.find(2, np.repeat(word, t.fan), np.ones(len(t.names[0]), bool), t.names[0])
+            _, _, deeper = trie.find(3, np.repeat(pair, t.deep), np.repeat(known, t.deep), t.names[1])
+            rests = np.where(known, trie.rests.at(np.where(known, pair, 0)), 1).astype(np.uint16) if len(t.pairs[0]) else np.ones(len(pair), np.uint16)  # 1 stands for all
+            counts, times = trie.counts.at(word), trie.times.at(slice(None)).reshape(-1, 3)[word]
+            for r, low, high in zip(rows, t.ends[:-1], t.ends[1:], strict=True):
+                w, p, d = (slice(a, b) for a, b in zip(low, high, strict=True))
+                answer = pack(narrow(counts[w]), *(narrow(times[w, k]) for k in range(3)), parted(codes[p]), parted(rests[p]), parted(deeper[d]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int32()), pa.array([r[0]], pa.int32()), pa.array([answer], pa.binary())], ["block", "shard", "packed"])
+
+    return run
 
 
 def _scoring(frequent: Parts):
@@ -336,8 +377,8 @@ def score_documents(documents: DataFrame, *, folds: int = 5, held_fold: int = 1,
     texts = dealt.mapInArrow(_pack_rows, "block int, doc_id long, training boolean, packed binary").repartition(blocks, "block")
     asked = texts.sortWithinPartitions("block").mapInArrow(_asking(shards, frequent), "shard int, block int, packed binary")
     heard = asked.repartitionById(shards, "shard")  # a shard to a task
-    survey = heard.sortWithinPartitions("shard").mapInArrow(_surveying, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    survey = heard.sortWithinPartitions("shard").mapInArrow(_surveying(frequent), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
     survey = F.broadcast(survey.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "place", "n"))), ",").alias("survey")))  # one row, at most 514 numbers
-    answers = heard.crossJoin(survey).sortWithinPartitions("shard").mapInArrow(_answering, "block int, shard int, packed binary").repartition(blocks, "block").crossJoin(survey)
+    answers = heard.crossJoin(survey).sortWithinPartitions("shard").mapInArrow(_answering(frequent), "block int, shard int, packed binary").repartition(blocks, "block").crossJoin(survey)
     scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(frequent), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.select("doc_id", F.coalesce(fold == held_fold, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
