@@ -1,9 +1,11 @@
 """Every operator on documents with nulls, empty and very long texts, repeated rows, ties, clashing columns, and on empty tables."""
 
+import hashlib
+
 import pytest
 
 from uvsieve.llm.decontaminate import drop_leaked, leaks
-from uvsieve.llm.digest import fingerprints
+from uvsieve.llm.digest import edited, fingerprints
 from uvsieve.llm.langid import identify_language
 from uvsieve.llm.lmscore import score_documents
 from uvsieve.llm.minhash import near_duplicates
@@ -77,3 +79,20 @@ def test_leaks_of_odd_rows(spark):
     assert sorted((r["doc_id"], r["item_id"] or 0) for r in found) == [(8, 0), (8, 0), (8, 1), (8, 1)]
     clean = drop_leaked(documents(spark), benchmark(spark))
     assert clean.columns == documents(spark).columns and clean.count() == len(ROWS) - 2
+
+
+def test_the_largest_id_is_not_a_missing_one(spark):
+    rows = [(2**63 - 1, "the last of all"), (None, "without a number"), (0, "The  last of all"), (-(2**63), "the first"), (2**63 - 2, "WITHOUT a number")]
+    got = {r["doc_id"]: r for r in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    order = [*sorted(i for i in texts if i is not None), None]
+    assert set(got) == set(order)
+    for i, after in zip(order, order[1:] + order[:1], strict=True):
+        assert got[i]["n_chars"] == len(texts[i]) and got[i]["edited_sha256"] == hashlib.sha256(edited(texts[i], texts[after]).encode()).hexdigest()
+    assert got[2**63 - 1]["fingerprint"] == got[0]["fingerprint"] and got[None]["fingerprint"] == got[2**63 - 2]["fingerprint"]
+
+
+def test_clashes_among_rows_without_id(spark):
+    rows = [(None, "aa"), (None, "bb"), (1, "aa"), (2, "cc")]
+    got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), hashing=lambda form: b"one").collect()
+    assert len(got) == 4 and len({r["fingerprint"] for r in got}) == 3

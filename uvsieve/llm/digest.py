@@ -24,8 +24,6 @@ from .common import cut, slices
 
 #: Runs of documents in doc_id order for each shuffle partition.
 RUNS = 4
-#: Stands for a missing doc_id, in order behind all others.
-NO_ID = 2**63 - 1
 
 
 def canonical(text: str) -> bytes:
@@ -82,8 +80,9 @@ def _in_runs(bounds: list[int], text: bool):
         for batch in batches:
             for rows, column in slices(batch) if text else [(batch, None)]:
                 ids = rows.column("doc_id")
+                part = np.where(ids.is_null(), len(edges) + 1, np.searchsorted(edges, ids.fill_null(0).to_numpy(), "right"))  # rows without doc_id are the last run
                 packed = pa.array([pack(t.encode()) for t in column.to_pylist()], pa.binary()) if text else pa.nulls(rows.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, ids.to_numpy(), "right").astype(np.int32)), ids, pa.array(np.full(rows.num_rows, int(text), np.int32)), packed], ["run", "doc_id", "kind", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), ids, pa.array(np.full(rows.num_rows, int(text), np.int32)), packed], ["run", "doc_id", "kind", "packed"])
 
     return run
 
@@ -100,7 +99,7 @@ def _stream(hashing: Callable[[bytes], bytes]):
         types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string(), *[pa.binary()] * 4, pa.bool_(), pa.bool_()]
         out: list[tuple] = []
         before: tuple | None = None
-        marked: int | None = None
+        marked: list[int | None] = []  # the doc_id marked last, which may be missing
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
@@ -114,10 +113,10 @@ def _stream(hashing: Callable[[bytes], bytes]):
         for batch in batches:
             for run, doc, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("run", "doc_id", "kind", "packed")), strict=True):
                 if kind == 0:
-                    marked = doc
+                    marked = [doc]
                     continue
                 text = unpack(packed).decode()
-                shared = marked is not None and marked == doc
+                shared = marked == [doc]
                 if before is not None and before[0] == run:
                     form = pack(canonical(before[3])) if before[4] else None
                     out.append((0, run, before[1], None, form, *_compare(before[3], text, hashing)))
@@ -152,13 +151,14 @@ def fingerprints(documents: DataFrame, *, hashing: Callable[[bytes], bytes] = di
 
     The edited text has its last quarter replaced by the start of the next document's, in order of doc_id (the last is followed by the
     first; one alone by itself). An exact digest's likeness is 1 where the canonical texts are equal, else 0. A null text is empty.
-    Rows that repeat a doc_id follow each other in order of their packed texts; rows without doc_id come last. Other columns are not read.
+    Rows that repeat a doc_id follow each other in order of their packed texts; rows without doc_id come last, as one run. Any doc_id is allowed,
+    2**63 - 1 too. An empty table gives no rows; long texts are streamed whole. Other columns are not read.
     """
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     session = rows.sparkSession
     partitions = int(session.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, partitions * RUNS)
-    bounds = sorted(set(min(int(b), NO_ID) for b in rows.select("doc_id").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) or []))  # as many as runs
+    bounds = sorted(set(min(int(b), 2**63 - 1) for b in rows.select("doc_id").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) or []))  # as many as runs
     schema = "run int, doc_id long, kind int, packed binary"
     ordered = shared_digests(rows, hashing).mapInArrow(_in_runs(bounds, False), schema).union(rows.mapInArrow(_in_runs(bounds, True), schema)).repartition("run").sortWithinPartitions("run", "doc_id", "kind", "packed")
     seen = cut(ordered.mapInArrow(_stream(hashing), f"kind int, run int, doc_id long, packed binary, form binary, {RESULT}"))
@@ -180,7 +180,7 @@ def fingerprints(documents: DataFrame, *, hashing: Callable[[bytes], bytes] = di
     clashing_any = clashes.limit(1).count() > 0
     named = name(name(results, "digest", "sure", "fingerprint"), "edited_digest", "edited_sure", "edited_fingerprint")
     return named.select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         F.col("same_edited").cast("double").alias("near_edited"), F.col("same_next").cast("double").alias("near_next"),
     )
 
