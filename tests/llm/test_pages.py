@@ -117,3 +117,50 @@ def test_odd_pages(spark):
     got = main_texts(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 5), (1, 4_499_999), (2, 0), (3, 0), (4, 4), (4, 4)]
     assert main_texts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def article_of(page):
+    return "\n".join(t for kind, t in lines_of(page) if kind == pages.INSIDE)
+
+
+def test_blocks_about_something_else_stay():
+    kept = ["class='share-price'", "class='comments-section-of-law'", "class='promo-code'", "class='tags-table'", "id='related-work'", "class='sharePrice'", "class='notice-period lead'", "class='menu-of-the-day'", "id=ad-hoc-networks"]
+    gone = ["class='ad'", "class='ad-300x250'", "class='x site-nav'", "class='comment-list'", "id='comments'", "class='relatedPosts'", "class='share-buttons'", "class='cookie-banner'", "class='newsletter-signup-form'", "class='widget-area-2'", "class='social-media-links'", "class='post-comments'", "id=sidebar", "hidden", "style='display: none'"]
+    for attribute in kept:
+        assert article_of(f"<article><p>one</p><div {attribute}>two</div><p>three</p></article>") == "one\ntwo\nthree", attribute
+    for attribute in gone:
+        assert article_of(f"<article><p>one</p><div {attribute}>two</div><p>three</p></article>") == "one\nthree", attribute
+    assert article_of("<article><h2 id='comments'>Comments</h2><p>on a verdict</p></article>") == "Comments\non a verdict"
+
+
+def test_the_longest_article_is_the_article():
+    teasers = "<article><h3>Elsewhere</h3><p>short</p></article>" * 3
+    story = "<article><p>The story itself, which is longer.</p><article class='comment'>me too</article><article>inner</article></article>"
+    for page in (teasers + story, story + teasers, f"<main><h1>Title</h1>{story}{teasers}</main>"):
+        assert article_of(page).removeprefix("Title\n") == "The story itself, which is longer.\ninner"
+    assert article_of(f"<main><h1>Title</h1>{story}{teasers}</main>").startswith("Title\n")
+    assert article_of("<article>one</article><article>two</article>") == "one"
+    assert article_of("<article></article><article></article>") == ""
+
+
+def planted(rng):
+    """A page with an article whose blocks are known, classes of all sorts in it and around it."""
+    words = lambda: " ".join(rng.choice(("stone", "river", "price", "share", "tag", "menu", "notice", "law")) + str(rng.randrange(10**5)) for _ in range(rng.randint(3, 25)))
+    names, ends = ("price", "law", "history", "value", "table", "work"), ("", "-list", "-box", "-area-2", "Wrapper")
+    html, truth = [], []
+    for _ in range(rng.randint(3, 15)):
+        text = words()
+        if rng.random() < 0.5:
+            truth.append(text)
+            html.append(rng.choice([f"<p>{text}</p>", f"<div class='{rng.choice(('share', 'comments', 'tags', 'promo'))}-{rng.choice(names)}'>{text}</div>", f"<section><h2 id='related'>{text}</h2></section>"]))
+        else:
+            html.append(f"<div class='{rng.choice(('', 'site-', 'post-'))}{rng.choice(('share', 'comments', 'tags', 'promo', 'ad', 'cookie'))}{rng.choice(ends)}'>{text}</div>")
+    around = f"<nav>{words()}</nav><div class='sidebar'>{words()}</div>"
+    return f"<html><body>{around}<article>{''.join(html)}</article><footer>{words()}</footer></body></html>", "\n".join(truth)
+
+
+def test_planted_blocks(spark):
+    rng = random.Random(5)
+    sites = [planted(rng) for _ in range(200)]
+    got = main_texts(spark.createDataFrame([(k, f"http://h{k % 7}.example/{k}", html, "x") for k, (html, _) in enumerate(sites)], SCHEMA)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: truth for k, (_, truth) in enumerate(sites)}

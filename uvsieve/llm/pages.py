@@ -8,7 +8,8 @@ so that a passage that one neighbour quotes stays.
 
 Elements speak only for lines that no alignment deletes, since a site may have texts that no two pages share: those in elements
 that never hold main text (menus, forms, adverts by class or role, reader comments and so on) go too, and on a page with an article
-or main element those outside of it.
+or main element those outside of it. A class or id speaks by its end: `comment-list` and `site-nav` do, `share-price` and `comments-section-of-law` are
+about something else. Of several article elements beside each other the one with most text (the first of equals) is the article, the others tell of other pages.
 
 Pages that follow each other and are alike in 90 % of their main text, by length, are copies. A run of copies has the same mates: the last
 page before it and the first after it.
@@ -47,6 +48,9 @@ SKIPPED = frozenset("head title nav aside footer form button menu dialog label i
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 MARKED = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted related replies reply respond share sharing shares sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split())
+#: Words that may stand behind a marking word, since they only tell of a place on the page.
+PLACES = frozenset("area bar block body bottom box btn button buttons center container content footer form frame group header heading icon icons image inner item items label left link links list main media message module outer overlay panel placement post posts primary right row secondary section slot small text title to toggle top unit wrap wrapper zone".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar alertdialog form".split())
 MAIN = frozenset(("article", "main"))
 #: Kinds of lines: in an article or main element, outside of one, and in an element that never holds main text.
@@ -61,13 +65,24 @@ PART_BYTES = 32 << 20
 HELD_BYTES = 32 << 20
 
 
-def _is_marked(rest: str) -> bool:
+def is_marking(token: str) -> bool:
+    """Whether a class or id ends in a word that marks what isn't main text, words of place, numbers and single letters passed over."""
+    for word in reversed(WORD.findall(token)):
+        word = word.lower()
+        if word in MARKED:
+            return True
+        if word not in PLACES and len(word) > 1 and not word.isdigit():
+            return False
+    return False
+
+
+def _is_marked(element: str, rest: str) -> bool:
     if "=" not in rest and "hidden" not in rest:
         return False
     for name, a, b, c in ATTRIBUTE.findall(rest):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id"):
-            if any(w.lower() in MARKED for w in WORD.findall(value)):
+        if name == "class" or (name == "id" and element not in HEADINGS):  # a heading's id is where links lead to
+            if any(map(is_marking, value.split())):
                 return True
         elif name == "role":
             if value.strip().lower() in ROLES:
@@ -83,6 +98,8 @@ def lines_of(page: str) -> list[tuple[str, str]]:
     block: list[str] = []
     apart: list[str] = []
     inside, skipping, depth = 0, "", 0
+    article, articles = 0, 0  # how deep in article elements, and the number of the outermost one
+    of: list[int] = []  # the outermost article of each line, 0 if none
     at = 0
 
     def close(pieces: list[str], kind: str) -> None:
@@ -90,6 +107,7 @@ def lines_of(page: str) -> list[tuple[str, str]]:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 out.append((kind, text))
+                of.append(articles if article else 0)
             pieces.clear()
 
     def place() -> str:
@@ -124,6 +142,7 @@ def lines_of(page: str) -> list[tuple[str, str]]:
                 close(block, place())
                 if name in MAIN and inside:
                     inside -= 1
+                    article -= name == "article" and article > 0
             continue
         if name in VOID:
             if name == "hr":
@@ -131,7 +150,7 @@ def lines_of(page: str) -> list[tuple[str, str]]:
             else:
                 block.append(" ")
             continue
-        skip = name in SKIPPED or (name == "header" and not inside) or (name not in ("html", "body", "article", "main") and _is_marked(token["rest"]))
+        skip = name in SKIPPED or (name == "header" and not inside) or ((name not in ("html", "body", "article", "main") or (name == "article" and article)) and _is_marked(name, token["rest"]))
         if name in BLOCKS or (skip and name not in ("label", "button")):
             close(block, place())
         if skip:
@@ -142,10 +161,19 @@ def lines_of(page: str) -> list[tuple[str, str]]:
             block.append(" ")
         if name in MAIN:
             inside += 1
+            if name == "article":
+                articles += not article
+                article += 1
     if at < len(page):
         (apart if skipping else block).append(page[at:])
     close(apart, APART)
     close(block, place())
+    if articles > 1:
+        sizes = [0] * (articles + 1)
+        for k, (kind, text) in zip(of, out, strict=True):
+            sizes[k] += len(text) * (kind == INSIDE)
+        own = max(range(1, articles + 1), key=lambda k: sizes[k])
+        out = [(APART if k not in (0, own) else kind, text) for k, (kind, text) in zip(of, out, strict=True)]
     return out
 
 
