@@ -159,7 +159,8 @@ def identify_language(documents: DataFrame, *, folds: int = 3, held_fold: int =
     It learns from rows outside the held-out fold that have text and lang: a bounded sample of about
     ``per_language`` of each, taken by a hash. ``lang_pred`` is ``und``, with score 0 and ambiguous, where the text is null or
     has no letter, or where nothing could be learned. Ties go to the language first in order.
-    Repeated rows give repeated results; other columns are not read.
+    Repeated rows give repeated results; a row without doc_id is judged, not learned from, and not held out; texts of any length are read whole;
+    an empty table gives an empty one; other columns are not read.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     usable = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(crc_mod("doc_id", folds) != held_fold, F.lit(False)))

@@ -361,7 +361,7 @@ def score_documents(documents: DataFrame, *, folds: int = 5, held_fold: int = 1,
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``documents(doc_id, text)``.
 
     It learns from the rows outside the held-out fold (a row without doc_id is scored, not learned from). A null text is empty: one token, the end. Rows that
-    repeat count each time. Where there is nothing to learn from, every probability is the base's. Other columns are not read.
+    repeat count each time. Texts of any length are scored whole, an empty table gives an empty one. Where there is nothing to learn from, every probability is the base's. Other columns are not read.
     Scores depend neither on the blocks nor on the shards.
     """
     fold = crc_mod("doc_id", folds)

@@ -411,7 +411,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages(page_id, url, html)``.
 
     A null html is empty and has an empty text. Pages with null or unreadable URLs are mates of each other only. Rows that repeat are
-    rows of their own, and copies. Pages of one URL follow each other in order of page_id (null first). Other columns are not read.
+    rows of their own, and copies. Pages of one URL follow each other in order of page_id (null first). Pages of any
+    length are read whole; an empty table gives an empty one. Other columns are not read.
 
     Pages are dealt by ranges of URLs, cut by a sample of ``SAMPLES`` for each; in a range they stream past in order. Only the first and the last run of
     each range wait for the mates beyond it; the result doesn't depend on where the ranges are cut.

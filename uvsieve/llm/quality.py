@@ -137,7 +137,8 @@ def score_quality(documents: DataFrame, labels: DataFrame, *, threshold: float =
     ``labels(doc_id, quality)`` of the held-out fold are never learned from; labels that are null, neither 0 nor 1,
     or without a document are passed over, and a doc_id with both labels counts for both. If only one class
     is left, every text gets the smoothed share of good labels. A null text is scored as an empty
-    one. Repeated rows give repeated results; no row is dropped. Training takes a bounded sample:
+    one. Repeated rows give repeated results; no row is dropped; a row without doc_id is scored, not learned from, and not held out; texts of any
+    length are scored whole; an empty table gives an empty one; other columns are not read. Training takes a bounded sample:
     ``per_class`` texts of each class, none longer than ``longest`` bytes (scored texts have no such bound).
     """
     model = _fitted(documents, labels, per_class, longest, folds, held_fold)
@@ -173,7 +174,10 @@ def _fitted(documents: DataFrame, labels: DataFrame, per_class: int, longest: in
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.3, folds: int = 5, held_fold: int = 0, per_class: int = 1_500, longest: int = 32_768) -> DataFrame:
-    """The rows of ``documents`` that ``score_quality`` predicts 1 for, with all their columns. Nothing is shuffled."""
+    """The rows of ``documents`` that ``score_quality`` predicts 1 for (a score equal to the threshold is kept), with all their columns, whatever their names.
+
+    Null and empty texts are judged as empty ones, rows without doc_id and repeated rows like any others; no rows give none. Nothing is shuffled.
+    """
     model = _fitted(documents, labels, per_class, longest, folds, held_fold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -401,7 +401,7 @@ def remove_repeats(documents: DataFrame, *, share: float = SHARE) -> DataFrame:
 
     A null text is empty; a text under 100 bytes loses nothing. Of equal windows the one with the least (doc_id, start) stays; documents without doc_id
     come last. Rows that repeat a doc_id with the same text count as one document and all get its result; different texts of one doc_id
-    are documents of their own, in order of a hash. Other columns are not read.
+    are documents of their own, in order of a hash. An empty table gives an empty one. Other columns are not read.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return _with_spans(rows, share, "doc_id", "text").mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
@@ -410,7 +410,8 @@ def remove_repeats(documents: DataFrame, *, share: float = SHARE) -> DataFrame:
 def cut_repeats(documents: DataFrame, *, share: float = SHARE) -> DataFrame:
     """``documents`` with what ``remove_repeats`` leaves of each text, n_chars (if there) to match, and all other columns as they were.
 
-    A character of which only some bytes are left goes whole. No row goes; a null text stays null.
+    A character of which only some bytes are left goes whole. No row goes; a null text stays null. Ties and repeated rows are as in ``remove_repeats``;
+    no rows give none.
     """
     names = documents.columns
 

@@ -122,8 +122,8 @@ class Counter:
 def count_tokens(documents: DataFrame, tokenizer: str, *, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of ``documents(doc_id, text)``.
 
-    A null text is empty: 0 bytes and tokens. Repeated rows give repeated results; other columns are
-    not read. ``tokenizer`` is the path of a byte-level tokenizer file with word ends, readable by
+    A null text is empty: 0 bytes and tokens. Repeated rows give repeated results; a row without doc_id keeps a null one; texts of any
+    length are counted whole; an empty table gives an empty one; other columns are not read. ``tokenizer`` is the path of a byte-level tokenizer file with word ends, readable by
     every executor. Nothing is shuffled.
     """
     whole = documents.sparkSession.sparkContext.broadcast(prove_whole(tokenizer))  # bounded by the vocabulary
