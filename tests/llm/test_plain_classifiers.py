@@ -7,8 +7,10 @@ import random
 import zlib
 
 import numpy as np
+import zstandard
 
 from uvsieve.llm.langid import identify_language
+from uvsieve.llm.quality import score_quality, train, training_rows
 
 M32 = 2**32 - 1
 
@@ -91,3 +93,33 @@ def test_languages_are_the_plain_models(spark):
     for i in want:
         assert [x for x, _ in got[i]] == [x for x, _ in want[i]]
         assert np.allclose([s for _, s in got[i]], [s for _, s in want[i]], atol=2e-4)  # weights are kept in 32 bits
+
+
+def test_quality_scores_are_the_curve_over_sizes_of_blocks(spark):
+    rng = random.Random(4)
+    good, bad = [f"river{k} stone" for k in range(90)], [f"buy{k} now" for k in range(90)]
+    rows = [(k, " ".join(rng.choice(good if k % 2 else bad) for _ in range(rng.choice((1, 20, 600))))) for k in range(200)]
+    rows += [(900, None), (901, ""), (902, "é" * 3_000), (None, "river1 stone"), (3, rows[3][1])]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    model = train(training_rows(documents, labels, per_class=1_500, longest=32_768, folds=5, held_fold=0))
+    kept = {i for i, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 0}
+
+    def size(raw, content):
+        squeeze = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False, write_checksum=False)
+        return sum(len(squeeze.compress(raw[at : at + model.block])) for at in range(0, len(raw), model.block))
+
+    def score(text):
+        raw = (text or "").encode()
+        g, b, n = size(raw, model.good), size(raw, model.bad), max(len(raw), 1)
+        d, r, s = max(min((b - g) / n, 1), -1), min((g + b) / (2 * n), 1), 1 / math.sqrt(n)
+        z = model.weights[0] + sum(w * x for w, x in zip(model.weights[1:], (d, r, d * d, r * r, d * r, s, d * s), strict=True))
+        return model.doubt + (1 - 2 * model.doubt) / (1 + math.exp(-max(min(z, 30), -30)))
+
+    got = score_quality(documents, labels).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((i is None, i or 0) for i, _ in rows)
+    texts = dict(rows)
+    for r in got:
+        assert abs(r["score"] - score(texts[r["doc_id"]])) < 1e-6 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (r["doc_id"] is not None and r["doc_id"] not in kept)
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 200 and len(texts[r["doc_id"]]) > 100]
+    assert len(held) > 10 and all(r["predicted"] == r["doc_id"] % 2 for r in held)
