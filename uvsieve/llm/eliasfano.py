@@ -193,15 +193,19 @@ class Trie:
     def find(self, order: int, context: np.ndarray, known: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each name the place, whether it is there, and its code (0 if not): by successor search within the range of its context."""
         pointers, runs, codes = self.levels[order - 2]
-        places, there, out = np.zeros(len(context), np.int64), np.zeros(len(context), bool), np.zeros(len(context), np.uint16)
-        rows = np.flatnonzero(known)
-        place, equal = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
-        keys = (context[rows] & ((1 << PLACE_BITS) - 1)).astype(np.uint64) << NAME_BITS | name[rows]
-        for run, own in [(0, slice(None))] if len(runs) == 1 else _by_chunk(context[rows] >> PLACE_BITS):
+        there, asked = known.copy(), context[known]
+        place, equal = np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        keys = (asked & ((1 << PLACE_BITS) - 1)).astype(np.uint64)
+        keys <<= NAME_BITS
+        keys |= name[known]
+        for run, own in [(0, slice(None))] if len(runs) == 1 else _by_chunk(asked >> PLACE_BITS):
             start, sequence = runs[run]
             place[own], equal[own] = sequence.successor(keys[own])
             place[own] += start
-        inside = equal & (place >= pointers.at(context[rows]).astype(np.int64)) & (place < pointers.at(context[rows] + 1).astype(np.int64))
-        rows, place = rows[inside], place[inside]
-        places[rows], there[rows], out[rows] = place, True, codes.at(place)
+        del keys
+        equal &= place >= pointers.at(asked).astype(np.int64)
+        equal &= place < pointers.at(asked + 1).astype(np.int64)
+        there[known], place = equal, place[equal]
+        places, out = np.zeros(len(context), np.int32 if sum(s.n for _, s in runs) < 1 << 31 else np.int64), np.zeros(len(context), np.uint16)
+        places[there], out[there] = place, codes.at(place)
         return places, there, out

@@ -19,7 +19,7 @@ successors leave is added up by the block in whole numbers. The parts change who
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ COARSE = np.uint64(16)
 NAME_MASK = (np.uint64(1) << NAME_BITS) - np.uint64(1)
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that are parted into words at a time, and of messages that leave a task at a time.
+RUN_BYTES = 1 << 20
 
 
 #: Bytes of text, about, from which frequent words are told.
@@ -60,27 +62,63 @@ def tokens_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tokens, n_tokens
 
 
+def tokens_of_texts(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As `tokens_of`, of texts that come one after the other: no more than ``RUN_BYTES`` of them, or one text, are held at a time."""
+    found, held, size = [], [], 0
+
+    def settle():
+        data = LOWER[np.frombuffer(b"".join(held), np.uint8)]
+        found.append(tokens_of(data, np.r_[0, np.cumsum([len(t) for t in held])].astype(np.int64)))
+        held.clear()
+
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= RUN_BYTES:
+            settle()
+            size = 0
+    if held:
+        settle()
+    tokens, n_tokens = zip(*found, strict=True)
+    return np.concatenate(tokens), np.concatenate(n_tokens)
+
+
+def number_kind(n: int) -> type:
+    """The kind of numbers below ``n``: a block's or shard's take four bytes each, not eight."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
+def numbers(order: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different key stands (once), and the number of each key among them, from their order and which differ from the one before."""
+    kind = number_kind(len(order))
+    number = np.empty(len(order), kind)
+    place = np.cumsum(fresh, dtype=kind)
+    place -= 1
+    number[order] = place
+    return order[fresh].astype(kind), number
+
+
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different keys, rising, where each stands (once), and the number of each key among them."""
     order = np.argsort(keys)
     ordered = keys[order]
     fresh = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.zeros(0, bool)
-    number = np.empty(len(keys), np.int64)
-    number[order] = np.cumsum(fresh) - 1
-    return ordered[fresh], order[fresh], number
+    ordered = ordered[fresh]
+    return ordered, *numbers(order, fresh)
 
 
 def numbered_names(place: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As `numbered`, of pairs of a place and a name: the different places and names, rising, where each stands, and each one's number."""
     if not len(place) or int(place.max()) >> eliasfano.PLACE_BITS == 0:
-        keys, first, number = numbered(place.astype(np.uint64) << NAME_BITS | name)
-        return (keys >> NAME_BITS).astype(np.int64), keys & NAME_MASK, first, number
+        keys = place.astype(np.uint64)
+        keys <<= NAME_BITS
+        keys |= name
+        keys, first, number = numbered(keys)
+        return (keys >> NAME_BITS).astype(place.dtype), keys & NAME_MASK, first, number
     order = np.lexsort((name, place))
-    places, names = place[order].astype(np.int64), name[order]
+    places, names = place[order], name[order]
     fresh = np.r_[True, (places[1:] != places[:-1]) | (names[1:] != names[:-1])]
-    number = np.empty(len(place), np.int64)
-    number[order] = np.cumsum(fresh) - 1
-    return places[fresh], names[fresh], order[fresh], number
+    return places[fresh], names[fresh], *numbers(order, fresh)
 
 
 def part_ids(words: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -88,13 +126,10 @@ def part_ids(words: np.ndarray, part: np.ndarray) -> np.ndarray:
         return np.where(part == 0, words, mix64(words + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def of_frequent(ids: np.ndarray, names: np.ndarray, frequent: Parts) -> np.ndarray:
-    """Whether pairs, given by the id of the first word's part and the second word's name, are of two frequent words."""
-    if not frequent:
-        return np.zeros(len(ids), bool)
+def frequent_names(frequent: Parts) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the frequent words' parts, and the names that the words have as successors: a pair of two frequent words has one of each."""
     words, parts = np.array(list(frequent), np.uint64), np.array(list(frequent.values()), np.int64)
-    leads = part_ids(np.repeat(words, parts), ragged(np.zeros(len(words), np.int64), parts))
-    return np.isin(ids, leads) & np.isin(names, words >> (np.uint64(64) - NAME_BITS))
+    return part_ids(np.repeat(words, parts), ragged(np.zeros(len(words), np.int64), parts)), words >> (np.uint64(64) - NAME_BITS)
 
 
 class Block:
@@ -102,37 +137,50 @@ class Block:
 
     Words stand by rising hash; their parts, to which pairs belong, by rising id; pairs by part and the successor's name; triples by pair and name."""
 
-    def __init__(self, texts: list[bytes], training: np.ndarray, frequent: Parts):
-        data = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
-        tokens, self.n_tokens = tokens_of(data, np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64))
-        self.owner = np.repeat(np.arange(len(texts)), self.n_tokens)
+    def __init__(self, texts: Iterable[bytes], frequent: Parts):
+        tokens, self.n_tokens = tokens_of_texts(texts)
         self.words, _, self.token = numbered(tokens)
-        n, names = len(self.words), self.words >> (np.uint64(64) - NAME_BITS)
+        del tokens  # arrays as long as the tokens are given up as soon as they can be
+        n, names, kind = len(self.words), self.words >> (np.uint64(64) - NAME_BITS), self.token.dtype
         parts = np.array([frequent.get(w, 1) for w in self.words.tolist()], np.int64) if frequent else np.ones(n, np.int64)
         part = ragged(np.zeros(n, np.int64), parts)
         self.word = np.repeat(np.arange(n), parts)
         ids = part_ids(self.words[self.word], part)
         order = np.argsort(ids, kind="stable")
         self.ids, self.word, self.leads = ids[order], self.word[order], part[order] == 0
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), number_kind(len(order)))
         place[order] = np.arange(len(order))
         # pairs: each token after the one before it, the first of a text after an end
-        before = np.r_[np.searchsorted(self.words, END), self.token[:-1]]
-        own = place[(np.cumsum(parts) - parts)[before] + (mix64(self.words)[self.token] % parts[before].astype(np.uint64)).astype(np.int64)]
+        before = np.empty(len(self.token), kind)
+        before[0], before[1:] = np.searchsorted(self.words, END), self.token[:-1]
+        head = np.cumsum(parts) - parts
+        own = place[head][before]
+        cut = np.flatnonzero((parts > 1)[before])
+        lead = before[cut]
+        own[cut] = place[head[lead] + (mix64(self.words)[self.token[cut]] % parts[lead].astype(np.uint64)).astype(np.int64)]
+        del before, cut, lead
         self.part, self.pair_name, first, self.pair = numbered_names(own, names[self.token])
+        del own
         self.successor = self.token[first]
-        fine = of_frequent(self.ids[self.part], self.pair_name, frequent)
+        leads, ends = frequent_names(frequent)
+        fine = np.isin(self.ids, leads)[self.part] & np.isin(names, ends)[self.successor]
         # triples: all but the first token of a text
-        self.later = np.ones(len(tokens), bool)
+        self.later = np.ones(len(self.token), bool)
         self.later[np.cumsum(self.n_tokens) - self.n_tokens] = False
-        self.at = np.flatnonzero(self.later)
-        context, name = self.pair[self.at - 1], names[self.token[self.at]]
-        self.context, self.triple_name, first, self.triple = numbered_names(context, np.where(fine[context], name, name >> COARSE << COARSE))
-        self.inner, self.fine = self.pair[self.at[first]], fine[self.context]
-        learned = training[self.owner]
-        self.word_counts = np.bincount(self.token[learned], minlength=n)[self.word]
-        self.pair_counts = np.bincount(self.pair[learned], minlength=len(self.part))
-        self.triple_counts = np.bincount(self.triple[learned[self.at]], minlength=len(self.context))
+        context, after = self.pair[:-1][self.later[1:]], self.token[self.later]
+        name, sharp = (names >> COARSE << COARSE)[after], fine[context]
+        name[sharp] = names[after[sharp]]
+        del after, sharp, first
+        self.context, self.triple_name, first, self.triple = numbered_names(context, name)
+        del context, name
+        self.inner, self.fine = self.pair[self.later][first], fine[self.context]
+
+    def learned(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often the texts of ``training`` hold each part's word, each pair and each triple."""
+        own = np.repeat(training, self.n_tokens)
+        words = np.bincount(self.token[own], minlength=len(self.words))[self.word]
+        pairs = np.bincount(self.pair[own], minlength=len(self.part))
+        return words, pairs, np.bincount(self.triple[own[self.later]], minlength=len(self.context))
 
 
 def shard_bounds(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +214,12 @@ def widened(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").reshape(-1)
 
 
+def narrowest(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes each as the largest takes."""
+    top = counts.max(initial=0)
+    return counts.astype(next((k for k in (np.uint8, np.uint16, np.uint32) if top <= np.iinfo(k).max), np.int64))
+
+
 def thin(names: np.ndarray, width: int) -> np.ndarray:
     """Names as so many bytes each."""
     return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).reshape(-1)
@@ -236,68 +290,115 @@ def frequent_words(texts: DataFrame, size: int, shards: int) -> Parts:
     return {r["word"] % 2**64: -(-r["n"] * shards // r["total"]) for r in found}
 
 
+def _messages(first: str, second: str, rows: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Packed messages between blocks and shards, about ``RUN_BYTES`` at a time."""
+    held, size = [], 0
+
+    def settle():
+        a, b, packed = zip(*held, strict=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(packed, pa.binary())], [first, second, "packed"])
+
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size >= RUN_BYTES:
+            yield settle()
+            size = 0
+    if held:
+        yield settle()
+
+
+def _questions(block: int, b: Block, counts: tuple[np.ndarray, np.ndarray, np.ndarray], shards: int) -> Iterator[tuple[int, int, bytes]]:
+    """What a block tells and asks each shard."""
+    word_counts, pair_counts, triple_counts = counts
+    some, bounds = shard_bounds(b.ids, shards)
+    first = np.searchsorted(b.part, bounds.astype(b.part.dtype))
+    start = np.searchsorted(b.context, first.astype(b.context.dtype))
+    fan, deep = np.bincount(b.part, minlength=len(b.ids)), np.bincount(b.context, minlength=len(b.part))
+    for k, shard in enumerate(some.tolist()):
+        w, p, t = slice(bounds[k], bounds[k + 1]), slice(first[k], first[k + 1]), slice(start[k], start[k + 1])
+        names, fine = b.triple_name[t], b.fine[t]
+        told = (stepped(b.ids[w]), b.leads[w], narrow(word_counts[w]), narrow(fan[w]), thin(b.pair_name[p], 5), narrow(pair_counts[p]), narrow(deep[p]), thin(names[~fine] >> COARSE, 3), thin(names[fine], 5), narrow(triple_counts[t]))
+        yield shard, block, pack(*told)
+
+
 def _asking(shards: int, frequent: Parts):
     """What each block tells and asks each shard."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(block: int, rows: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
         squeeze = zstandard.ZstdDecompressor().decompress
+        b = Block((squeeze(r[2]) for r in rows), frequent)
+        counts = b.learned(np.array([r[1] for r in rows], bool))
+        del b.token, b.pair, b.triple, b.later, b.inner, b.successor  # the block's own business
+        return _questions(block, b, counts, shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _grouped(batches, ("block", "training", "packed")):
-            b = Block([squeeze(r[2]) for r in rows], np.array([r[1] for r in rows], bool), frequent)
-            some, bounds = shard_bounds(b.ids, shards)
-            first = np.searchsorted(b.part, bounds)
-            start = np.searchsorted(b.context, first)
-            fan, deep = np.bincount(b.part, minlength=len(b.ids)), np.bincount(b.context, minlength=len(b.part))
-            out = []
-            for k, shard in enumerate(some.tolist()):
-                w, p, t = slice(bounds[k], bounds[k + 1]), slice(first[k], first[k + 1]), slice(start[k], start[k + 1])
-                names, fine = b.triple_name[t], b.fine[t]
-                told = (stepped(b.ids[w]), b.leads[w], narrow(b.word_counts[w]), narrow(fan[w]), thin(b.pair_name[p], 5), narrow(b.pair_counts[p]), narrow(deep[p]), thin(names[~fine] >> COARSE, 3), thin(names[fine], 5), narrow(b.triple_counts[t]))
-                out.append((shard, block, pack(*told)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["shard", "block", "packed"])
+            yield from _messages("shard", "block", asked(block, rows))  # nothing of a block is left when the next one begins
 
     return run
 
 
 def _summed(place: np.ndarray, name: np.ndarray, times: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
     """The different places and names with a count, rising, with their summed counts, and the number of each one that has one."""
-    seen = np.flatnonzero(times)
+    seen = times > 0
     places, names, _, code = numbered_names(place[seen], name[seen])
-    at = np.zeros(len(place), np.int64)
+    at = np.zeros(len(place), code.dtype)
     at[seen] = code
     return (places, names, np.bincount(code, times[seen], len(places)).astype(np.int64)), at
 
 
+def _heard(packed: Iterable[bytes]) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """How many words, pairs and triples each block tells, with the sums before it, and all blocks' arrays of each sort."""
+    ends, columns = [(0, 0, 0)], [[] for _ in range(9)]
+    for x in packed:
+        ids, leads, counts, fan, pair_names, pair_counts, deep, coarse, fine, triple_counts = unpack(x, *["u1"] * 10)
+        told = summed(ids), leads.copy(), narrowest(widened(counts)), narrowest(widened(fan)), thick(pair_names, 5), narrowest(widened(pair_counts)), narrowest(widened(deep)), (thick(coarse, 3), thick(fine, 5)), narrowest(widened(triple_counts))
+        ends.append((len(leads), len(told[4]), len(told[8])))
+        for column, array in zip(columns, told, strict=True):
+            column.append(array)
+    return np.cumsum(ends, axis=0), columns
+
+
 class Told:
     """What all blocks tell a shard, added up: words with their counts, and the pairs and triples seen with theirs."""
 
-    def __init__(self, packed: list[bytes], frequent: Parts):
-        told = [unpack(x, *["u1"] * 10) for x in packed]
-        join = lambda k, f: np.concatenate([f(t[k]) for t in told])
-        ids, leads, counts, fan = join(0, summed), join(1, lambda x: x), join(2, widened), join(3, widened)
-        self.ends = np.cumsum([(0, 0, 0)] + [(len(t[1]), len(t[4]) // 5, len(t[7]) // 3 + len(t[8]) // 5) for t in told], axis=0)
-        self.words, first, place = numbered(ids)
+    def __init__(self, packed: Iterable[bytes], frequent: Parts):
+        self.ends, columns = _heard(packed)
+        join = lambda: np.concatenate(columns.pop(0))  # noqa: E731, each sort of array in turn
+        self.ids, leads, counts, self.fan = join(), join(), join(), join()
+        self.words, first, place = numbered(self.ids)
         self.counts = np.bincount(place, counts, len(self.words)).astype(np.int64)
         self.leads = leads[first] > 0
-        pair_names = join(4, lambda x: thick(x, 5))
-        self.ids, self.fan, self.deep = ids, fan, join(6, widened)
-        fine = np.repeat(of_frequent(np.repeat(ids, fan), pair_names, frequent), self.deep)
+        pair_names = join()
+        self.pairs, at = _summed(np.repeat(place, self.fan), pair_names, join())
+        self.deep = join()
+        frequent_leads, ends = frequent_names(frequent)
+        fine = np.repeat(np.isin(self.ids, frequent_leads), self.fan)
+        fine[fine] = np.isin(pair_names[fine], ends)
+        fine = np.repeat(fine, self.deep)
         triple_names = np.empty(len(fine), np.uint64)
-        triple_names[~fine], triple_names[fine] = join(7, lambda x: thick(x, 3)) << COARSE, join(8, lambda x: thick(x, 5))
+        coarse_names, fine_names = (np.concatenate(x) for x in zip(*columns.pop(0), strict=True))
+        triple_names[~fine], triple_names[fine] = coarse_names << COARSE, fine_names
+        del fine, coarse_names, fine_names
         self.names = pair_names, triple_names
-        self.pairs, at = _summed(np.repeat(place, fan), pair_names, join(5, widened))
         # a triple with a count has a pair with a count
-        self.triples, _ = _summed(np.repeat(at, self.deep), triple_names, join(9, widened))
+        self.triples, _ = _summed(np.repeat(at, self.deep), triple_names, join())
 
 
 def _surveying(frequent: Parts):
     """Per shard: how many tokens and different words it has (places 0 and 1), and how often counts of 1 to 4 occur in each group of contexts of both orders."""
 
+    def counted(rows: list[tuple]) -> np.ndarray:
+        t = Told((r[1] for r in rows), frequent)
+        own = t.counts[t.leads]
+        orders = [counts_of_counts(x[2], context_groups(total)[x[0]]).reshape(-1) for total, x in ((t.counts, t.pairs), (t.pairs[2], t.triples))]
+        return np.concatenate([[own.sum(), (own > 0).sum()], *orders])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, ("shard", "packed")):
-            t = Told([r[1] for r in rows], frequent)
-            own = t.counts[t.leads]
-            orders = [counts_of_counts(x[2], context_groups(total)[x[0]]).reshape(-1) for total, x in ((t.counts, t.pairs), (t.pairs[2], t.triples))]
-            n = np.concatenate([[own.sum(), (own > 0).sum()], *orders])
+            n = counted(rows)
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["place", "n"])
 
@@ -314,20 +415,26 @@ def surveyed(text: str | None) -> tuple[int, int, np.ndarray]:
 
 
 def _answering(frequent: Parts):
+    """What a shard answers each block."""
+
+    def answered(rows: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
+        t = Told((r[2] for r in rows), frequent)
+        trie = Trie(t.words, t.counts, t.pairs, t.triples, surveyed(rows[0][3])[2])
+        del t.pairs, t.triples  # the trie has them, in its file
+        # all blocks' questions at once, so that each part of a level is decoded once
+        word, _ = trie.find_words(t.ids)  # all of them are there
+        pair, known, codes = trie.find(2, np.repeat(word.astype(number_kind(len(t.words))), t.fan), np.ones(len(t.names[0]), bool), t.names[0])
+        _, _, deeper = trie.find(3, np.repeat(pair, t.deep), np.repeat(known, t.deep), t.names[1])
+        rests = np.ones(len(pair), np.uint16)  # 1 stands for all
+        rests[known] = trie.rests.at(pair[known])
+        counts, times = trie.counts.at(word), trie.times.at(slice(None)).reshape(-1, 3)[word]
+        for r, low, high in zip(rows, t.ends[:-1], t.ends[1:], strict=True):
+            w, p, d = (slice(a, b) for a, b in zip(low, high, strict=True))
+            yield r[1], r[0], pack(narrow(counts[w]), *(narrow(times[w, k]) for k in range(3)), parted(codes[p]), parted(rests[p]), parted(deeper[d]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, ("shard", "block", "packed", "survey")):
-            t = Told([r[2] for r in rows], frequent)
-            trie = Trie(t.words, t.counts, t.pairs, t.triples, surveyed(rows[0][3])[2])
-            # all blocks' questions at once, so that each part of a level is decoded once
-            word, _ = trie.find_words(t.ids)  # all of them are there
-            pair, known, codes = trie.find(2, np.repeat(word, t.fan), np.ones(len(t.names[0]), bool), t.names[0])
-            _, _, deeper = trie.find(3, np.repeat(pair, t.deep), np.repeat(known, t.deep), t.names[1])
-            rests = np.where(known, trie.rests.at(np.where(known, pair, 0)), 1).astype(np.uint16) if len(t.pairs[0]) else np.ones(len(pair), np.uint16)  # 1 stands for all
-            counts, times = trie.counts.at(word), trie.times.at(slice(None)).reshape(-1, 3)[word]
-            for r, low, high in zip(rows, t.ends[:-1], t.ends[1:], strict=True):
-                w, p, d = (slice(a, b) for a, b in zip(low, high, strict=True))
-                answer = pack(narrow(counts[w]), *(narrow(times[w, k]) for k in range(3)), parted(codes[p]), parted(rests[p]), parted(deeper[d]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int32()), pa.array([r[0]], pa.int32()), pa.array([answer], pa.binary())], ["block", "shard", "packed"])
+            yield from _messages("block", "shard", answered(rows))
 
     return run
 
@@ -336,8 +443,9 @@ def _scoring(frequent: Parts):
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
         squeeze = zstandard.ZstdDecompressor().decompress
         n, v, off = surveyed(answers.column("survey")[0].as_py())
+        b = Block((squeeze(x.as_py()) for x in own.column("packed")), frequent)
+        del b.pair_name, b.triple_name, b.fine  # only questions have names
         told = [unpack(x, *["u1"] * 7) for _, x in sorted(zip(answers.column("shard").to_pylist(), answers.column("packed").to_pylist(), strict=True))]
-        b = Block([squeeze(x) for x in own.column("packed").to_pylist()], np.zeros(own.num_rows, bool), frequent)
         join = lambda k, f: np.concatenate([f(t[k]) for t in told])
         lead = np.empty(len(b.words), np.int64)
         lead[b.word[b.leads]] = np.flatnonzero(b.leads)
@@ -345,10 +453,14 @@ def _scoring(frequent: Parts):
         times = np.stack([np.bincount(b.word, join(k, widened), len(b.words)) for k in (1, 2, 3)], 1)
         base = (counts + 0.5) / (n + 0.5 * (v + 1))
         inner = join(4, joined) + left_over(counts, times, off[0])[b.word[b.part]] * base[b.successor]
-        outer = join(6, joined) + join(5, joined)[b.context] * inner[b.inner]
+        outer = inner[b.inner]
+        outer *= join(5, joined)[b.context]
+        outer += join(6, joined)
         p = inner[b.pair]
-        p[b.at] = outer[b.triple]
-        sums = lambda x: np.bincount(b.owner, x, own.num_rows)
+        p[b.later] = outer[b.triple]
+        del told, inner, outer, b.part, b.pair, b.successor, b.context, b.inner, b.triple, b.later
+        owner = np.repeat(np.arange(own.num_rows), b.n_tokens)
+        sums = lambda x: np.bincount(owner, x, own.num_rows)
         return pa.table(
             [own.column("doc_id"), pa.array(b.n_tokens), pa.array(sums(counts[b.token] > 0).astype(np.int64)), pa.array(np.full(own.num_rows, n)), pa.array(sums(np.log10(base)[b.token])), pa.array(sums(np.log10(np.maximum(p, 1e-300))))],
             ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
