@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import formats, geometry, thresholds
 from ..functions.stokes import stokes_flag, stokes_value
-from ..operators import aggregates, annuli, baselines, cells, distributions, flags, loading, profiles, summary
+from ..operators import aggregates, annuli, baselines, cells, clipping, distributions, flags, loading, profiles, summary
 from ..sources import fixtures, storage
 from ..sources.checkpoints import settled, shared_folder
 from ..sources.observation import DerivedObservation, Observation
@@ -753,9 +753,8 @@ def rayleigh_clip_upper(spark, sf_dir):
 
 @query
 def sigma_clip(spark, sf_dir):
-    rows = kept(spark, sf_dir)
-    bounds = flags.clip_groups(rows, SIGMA)
-    left = rows.join(bounds, CELL).where((F.col("value") > F.col("low")) & (F.col("value") < F.col("high")))
+    rows = settled(kept(spark, sf_dir).select(*CELL, "value"))
+    left = clipping.within(rows, clipping.clip_groups(rows, SIGMA))
     return left.groupBy(*CELL).agg(F.count("*").alias("n_left"), F.round(F.avg("value"), 6).alias("mean"))
 
 

@@ -12,45 +12,12 @@ from ..functions.thresholds import rayleigh_high, rayleigh_low
 from ..sources.checkpoints import settled
 from .annuli import Annuli, plan_annuli, with_radius, with_ring
 from .cells import CELL, HOT_ROWS, cell_stats, medians, null_rows, usable
-from .selection import brackets, picked, sent
+from .clipping import clip_groups, within
 
 #: A mean over median beyond which a cell isn't trusted, and isn't kept.
 DOUBTFUL, HOPELESS = 1.2, 1.4
 
 
-def clip_groups(rows: DataFrame, sigma: float, rounds: int = 100, keys: list[str] = CELL, high_sigma: float | None = None, centre: str = "mean", hot: int = HOT_ROWS) -> DataFrame:
-    """(keys, low, high): the bounds that clipping ends with, ``sigma`` spreads below the centre and ``high_sigma`` (the same if not given) above it; values strictly between them are left.
-
-    centre: mean, or median. Each round is one aggregate over the rows within the bounds so far, so groups of any size can be clipped; it ends when no group
-    loses a row. Medians of groups beyond ``hot`` rows are selected, each round's selection beginning with the bracket that the last one ended with."""
-    if centre not in ("mean", "median"):
-        raise ValueError(f"centre must be mean or median, not {centre}")
-    above = sigma if high_sigma is None else high_sigma
-    sizes = settled(rows.groupBy(*keys).agg(F.count("value").alias("_size")))
-    split = centre == "median" and sizes.where(F.col("_size") > hot).limit(1).count() > 0
-    bounds = sizes.select(*keys, F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(-1).cast("long").alias("n"))
-    start = None
-    for _ in range(rounds):
-        inside = rows.join(sent(bounds.select(*keys, "low", "high")), keys).where((F.col("value") > F.col("low")) & (F.col("value") < F.col("high")))
-        middle = F.avg("value") if centre == "mean" else F.lit(None).cast("double") if split else F.median("value")
-        sums = inside.groupBy(*keys).agg(F.count("*").alias("_n"), middle.alias("_c"), F.sum(F.col("value") * F.col("value")).alias("_q"))
-        if split:
-            state = brackets(inside, keys, limit=hot, start=start)
-            start = state.select(*keys, "_t", F.col("_low").alias("_try_low"), F.col("_high").alias("_try_high"))
-            sums = sums.drop("_c").join(picked(inside, keys, "value", state).select(*keys, F.col("_q").alias("_c")), keys)
-        spread = F.sqrt(F.greatest(F.col("_q") - F.col("_n") * F.col("_c") * F.col("_c"), F.lit(0.0)) / (F.col("_n") - 1))
-        joined = bounds.join(sums, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-        goes = (F.col("_n") != F.col("n")) & (F.col("_n") >= 2)
-        bounds = settled(joined.select(
-            *keys, F.when(goes, F.greatest("low", F.col("_c") - sigma * spread)).otherwise(F.col("low")).alias("low"),
-            F.when(goes, F.least("high", F.col("_c") + above * spread)).otherwise(F.col("high")).alias("high"), F.col("_n").alias("n"), goes.alias("goes"),
-        ))
-        if not bounds.where("goes").limit(1).count():
-            break
-        bounds = bounds.drop("goes")
-    return bounds.select(*keys, "low", "high")
-
-
 def cell_thresholds(rows: DataFrame, cells: DataFrame, annuli: Annuli, sigma: float = 3.0, hot: int = HOT_ROWS) -> DataFrame:
     """(u_bin, v_bin, lo, hi, branch) for every cell of ``cells(u_bin, v_bin, n, mean, median, annulus_id)``.
 
@@ -65,8 +32,7 @@ def cell_thresholds(rows: DataFrame, cells: DataFrame, annuli: Annuli, sigma: fl
     first = settled(cell_stats(lower, hot=hot))
     skewed = first.where(F.try_divide("mean", "median") > HOPELESS).select(*CELL)
     if skewed.limit(1).count():
-        bounds = clip_groups(lower.join(skewed, CELL, "left_semi"), sigma)
-        rest = lower.join(bounds, CELL).where((F.col("value") > F.col("low")) & (F.col("value") < F.col("high"))).select(*CELL, "value")
+        rest = within(lower, clip_groups(lower.join(skewed, CELL, "left_semi"), sigma, hot=hot)).select(*CELL, "value")
         second = first.join(skewed, CELL, "left_anti").unionByName(cell_stats(rest, hot=hot))
     else:
         second = first
