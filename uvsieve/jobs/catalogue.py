@@ -762,8 +762,7 @@ def sigma_clip(spark, sf_dir):
 def sigma_clip_median(spark, sf_dir):
     """Clipping about the median, four spreads below it and three above."""
     rows = settled(kept(spark, sf_dir).select(*CELL, "value"))
-    bounds = flags.clip_groups(rows, 4.0, high_sigma=3.0, centre="median")
-    left = rows.join(bounds, CELL).where((F.col("value") > F.col("low")) & (F.col("value") < F.col("high")))
+    left = clipping.within(rows, clipping.clip_groups(rows, 4.0, high_sigma=3.0, centre="median"))
     return left.groupBy(*CELL).agg(F.count("*").alias("n_left"), F.round(F.avg("value"), 6).alias("mean"))
 
 
